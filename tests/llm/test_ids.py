@@ -1,5 +1,6 @@
 """Packing, the id store and the language model."""
 
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -13,11 +14,15 @@ from sparkwarden.llm.common import Scratch, tokenizer_path
 from .fixtures import BLANK, SF, crc, empty, odd, odd_rows
 
 
-def plain_ids(name, text, end):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = plain_ids.__dict__.setdefault(name, Tokenizer.from_file(tokenizer_path(name)))
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def plain_ids(name, text, end):
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 ODD_TEXTS = ["", " ", "a  b", "a   b\n\nc  \n d", "<|endoftext|> hi", "hi<|startoftext|>there\n", "\n", "tab\tq\r\n z", "a ̈b", "ΑΣ ΣΑΣ x", "don't 'll 's it''s", "  lead", "trail  ", "1234 56 7", "a\x1cb \x1c c", "é éx ́", "\n a", "a\n", "\nb c", None]
