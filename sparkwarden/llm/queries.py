@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gru, langid, mixing, packing, rules, shards, store, topk
+from . import gru, jaccard, langid, licenses, mixing, packing, rules, shards, store, topk
 from .common import Scratch, table
 
 SHARDS = 24
@@ -25,6 +25,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.inherit(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -50,6 +58,6 @@ def op10_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_mix, op3_topk, op6_rules, op7_pack, op8_store, op9_shards, op10_gru)
+    f.__name__: f for f in (op1_langid, op2_mix, op3_topk, op4_license, op5_jaccard, op6_rules, op7_pack, op8_store, op9_shards, op10_gru)
 }
 ORACLES: dict[str, str] = {}
