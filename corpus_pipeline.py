@@ -1,4 +1,8 @@
-"""From documents to packed training sequences: quality rules, language ID, near duplicates, mixing, packing."""
+"""From documents to packed training sequences: quality rules, language ID, near duplicates, mixing, packing.
+
+Each stage takes what the one before kept; all but the last return the columns of documents. Stages name rows by id and a hash
+of the text, so repeated ids are told apart; null ids and texts, empty tables and further columns pass as each operator says.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from sparkwarden.llm import jaccard, langid, mixing, packing, rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the latest policy of the rule ledger keeps."""
+    return rules.select(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one language is found."""
+    return langid.select(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the least doc_id."""
+    return jaccard.select(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them."""
+    return mixing.select(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+#: The stages need Python on the way; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL: str | None = None
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +57,33 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows of ids that may be broadcast; beyond that the join is a sort-merge join.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a staged table of ids for broadcasting if it has been counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: str, column: str = "text") -> DataFrame:
+    """All columns of `df`, as they are, and the columns that `fn` makes of them; the new names must be free."""
+
+    own, new = df.columns, [f.split()[0] for f in fields.split(", ")]
+    within = [f"_{k}" for k in range(len(own))]  # mapInArrow can't take names with dots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, within[own.index(column)]):
+            yield pa.RecordBatch.from_arrays([*part.columns, *fn(part.rename_columns(own))], names=[*own, *new])
+
+    return df.toDF(*within).mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields]))
+
+
+def names(df: DataFrame) -> list[str]:
+    """Column names that select() takes as they are, dots and all."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
 def plain(docs: DataFrame, **defaults: str) -> DataFrame:
     """Only the named columns, with their types; extra columns of any name are left out."""
     return docs.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in defaults.items()))

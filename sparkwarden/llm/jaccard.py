@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, plain, windows, word_hashes, word_lists
+from .common import Scratch, map_slices, plain, small, windows, word_hashes, word_lists
 
 WORDS, SHARE = 5, 75
 SKETCH, SHARED = 64, 16
@@ -145,17 +145,18 @@ def _pairs(k: Column, up: Column, down: Column, i: Column, band: Column) -> Colu
     )
 
 
-def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """Staged: the rows (doc_id, hash of the text, n, node), and each node's label and component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = plain(docs, doc_id=kind, text="string")
+    hashed = docs.withColumn("h", F.xxhash64("text"))
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("text").to_pylist(), words)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), lists([s[:SKETCH] for s in sets])], names=["doc_id", "n", "node", "low"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), lists([s[:SKETCH] for s in sets])], names=["doc_id", "h", "n", "node", "low"])
 
-    rows = scratch.stage(map_slices(docs, sketch, f"doc_id {kind}, n long, node binary, low array<long>"), "rows")
+    rows = scratch.stage(map_slices(hashed, sketch, f"doc_id {kind}, h long, n long, node binary, low array<long>"), "rows")
     sets = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"))
     reps = scratch.stage(sets, "nodes")
     tokens = reps.select("node", "n", F.explode("low").alias("t"))
@@ -209,7 +210,27 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(links, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
     least = scratch.stage(least, "least")
     class_id = scratch.stage(least.groupBy("label").agg(F.min("least").alias("component_id")), "class")
-    of = scratch.stage(least.join(class_id, "label").select("node", "component_id"), "of")
+    of = scratch.stage(least.join(class_id, "label").select("node", "label", "component_id"), "of")
     scratch.drop(near, placed, count, bands, least, class_id)
-    out = rows.select("doc_id", "n", "node").join(of, "node", "left")
+    return rows.select("doc_id", "h", "n", "node"), of
+
+
+def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    rows, of = classes(docs, words, share)
+    out = rows.join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def select(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """One row of each component, the least id (null last), with all columns; rows without words stay as they are."""
+    scratch = Scratch(docs.sparkSession, "distinct")
+    rows, of = classes(docs, words, share)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    least = scratch.stage(rows.groupBy("node").agg(F.min(key).alias("key")).join(of, "node").groupBy("label").agg(F.min("key").alias("best")), "least")
+    every = rows.where("n > 0").groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")).join(of.select("node", "label"), "node").join(least, "label")
+    every = scratch.stage(every.select("doc_id", "h", "times", (key != F.col("best")).alias("goes")), "every")
+    goes = small(every.where("goes").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
+    left = docs.join(goes, docs["doc_id"].eqNullSafe(goes["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(goes["_h"]), "left_anti")
+    # Rows that are the same in id and text can't be told apart by that key; only where there are any, rows are compared.
+    return left.dropDuplicates(["doc_id", "text"]) if every.where("not goes and times > 1").limit(1).count() else left

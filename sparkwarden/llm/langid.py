@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_slices, plain
+from .common import annotate, crc_bucket, map_slices, names, plain
 
 BLOCK = 512
 SAMPLE_DOCS = 48
@@ -188,3 +188,14 @@ def identify(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits; learns from the rows that aren't held out."""
     out = predict(docs, fit(docs, **bounds))
     return out.select("doc_id", (crc_bucket(4) == 2).alias("held_out"), "lang_pred", "score", "bits")
+
+
+def select(docs: DataFrame, least: float = 0.5, **bounds: int) -> DataFrame:
+    """The rows of which one language is found with a score of `least` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **bounds))
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        lang, score, _ = shared.value.predict(batch.column("text").to_pylist())
+        return [pa.array(lang, pa.string()), pa.array(score)]
+
+    return annotate(docs, run, "_l_lang string, _l_score double").where((F.col("_l_lang") != "und") & (F.col("_l_score") >= least)).select(*names(docs))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, plain
+from .common import WORD, Scratch, names, plain, small
 
 SEED = 97
 #: Words in a block: what a source's share can be off by.
@@ -88,24 +88,22 @@ def shard_quotas(rows: pd.DataFrame, block: int, quota: dict[str | None, int], s
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken. The sources' names, sizes and weights are on the driver, as a
+    """doc_id, source, size, source_size, target, taken, text_hash. The sources' names, sizes and weights are on the driver, as a
     mix is always given by source; nothing else leaves the executors."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = plain(docs, doc_id=kind, source="string", text="string").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("_h"), F.xxhash64("text").alias("_t"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("_h", "_t"), F.lit(shards)).cast("int"))
     spark = docs.sparkSession
-    from .common import Scratch
-
     scratch = Scratch(spark, "mix")
     rows = scratch.stage(rows, "sizes")
     per_shard = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     size = {r["source"]: int(r["words"]) for r in per_shard.groupBy("source").agg(F.sum("words").alias("words")).collect()}
     target = targets(size, weights, share, most)
-    names = sorted(size, key=lambda s: (s is None, s or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
     seats = round(sum(target.values()) / block)
-    quota = dict(zip(names, sainte_lague([target[s] for s in names], seats)))
+    quota = dict(zip(order, sainte_lague([target[s] for s in order], seats)))
     plan = per_shard.groupBy("source").applyInPandas(lambda x: shard_quotas(x, block, quota, seed), "source string, shard int, line_start long, first long, n long, quota long, step long")
-    info = spark.createDataFrame([(s, size[s], float(target[s])) for s in names], "source string, source_size long, target double")
+    info = spark.createDataFrame([(s, size[s], float(target[s])) for s in order], "source string, source_size long, target double")
     # the shards of each source: SHARDS rows for each, whatever their sizes
     plan = plan.join(F.broadcast(info), plan["source"].eqNullSafe(info["source"])).select(plan["source"].alias("p_source"), plan["shard"].alias("p_shard"), "line_start", "first", "n", "quota", "step", "source_size", "target")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "_t", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -122,4 +120,15 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
     w = Window.partitionBy("p_source").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("head", F.coalesce(F.last("_times", ignorenulls=True).over(w), F.lit(0))).select(F.col("p_source").alias("h_source"), F.col("_s").alias("h_shard"), "head")
     both = both.join(heads, both["p_source"].eqNullSafe(heads["h_source"]) & (both["p_shard"] == heads["h_shard"]))
-    return both.select("doc_id", laid["source"].alias("source"), "size", "source_size", "target", F.expr(taken).cast("long").alias("taken"))
+    return both.select("doc_id", laid["source"].alias("source"), "size", "source_size", "target", F.expr(taken).cast("long").alias("taken"), F.col("_t").alias("text_hash"))
+
+
+def select(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows: a document comes as often as its taken words make it whole, a rest by seeded chance; all columns."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(SEED + 1)), 11) / float(1 << 53)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + u)).otherwise(0).cast("int")
+    keys = mix(docs, **options).withColumn("_copies", copies).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.max("_copies").alias("_copies"))
+    keys = small(scratch.stage(keys.where("_copies > 0"), "copies"))
+    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_h"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(docs[c] for c in names(docs)))

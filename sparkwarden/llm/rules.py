@@ -10,12 +10,14 @@ ledger row each; null ids stay null; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, plain, starts, sums, windows, word_hashes, word_lists
+from .common import annotate, map_slices, names, plain, starts, sums, windows, word_hashes, word_lists
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -88,8 +90,25 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = map_slices(plain(docs, doc_id=kind, text="string"), run, f"doc_id {kind}, " + ", ".join(f"{k} long" for k in MEASURES))
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    return out.withColumn("fail_bits", sum(bits[1:], bits[0]).cast("long"))
+    return out.withColumn("fail_bits", fail_bits())
+
+
+def fail_bits(prefix: str = "") -> Column:
+    """The bit pattern of a row of measurements, whose columns may have a prefix."""
+    at = lambda rule: F.expr(re.sub(r"[a-z]\w*_\w+", lambda m: prefix + m[0], rule))
+    bits = [F.when(at(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
+    return sum(bits[1:], bits[0]).cast("long")
+
+
+def select(docs: DataFrame, policy: str = "web", version: int | None = None) -> DataFrame:
+    """The rows that a policy keeps, with all their columns."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        m = measure(batch.column("text").cast(pa.string()).to_pylist())
+        return [pa.array(m[k], pa.int64()) for k in MEASURES]
+
+    rows = annotate(docs, run, ", ".join(f"_q_{k} long" for k in MEASURES))
+    return rows.where(fail_bits("_q_").bitwiseAND(F.lit(mask(policy, version))) == 0).select(*names(docs))
 
 
 def mask(policy: str = "web", version: int | None = None) -> int:
