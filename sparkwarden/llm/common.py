@@ -44,7 +44,7 @@ class Scratch:
     def stage(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         self.n += 1
         path = self.path(f"{name}-{self.n}")
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

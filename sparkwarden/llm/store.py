@@ -93,26 +93,32 @@ def _square(m: list[int]) -> list[int]:
 
 
 class Crc:
-    """crc32 of joined strings from their crc32s and lengths (GF(2) shifts, kept by length)."""
+    """crc32 of joined strings from their crc32s and lengths: GF(2) shifts, kept for lengths of powers of two."""
 
     def __init__(self) -> None:
-        self.shift: dict[int, list[list[int]]] = {}
+        self.shift: list[list[list[int]]] = []
 
-    def join(self, crc: int, nxt: int, size: int) -> int:
-        if size not in self.shift:
-            if len(self.shift) > 20_000:
-                self.shift.clear()
-            m = _matrix(size)
-            tables = []
+    def _tables(self, bit: int) -> list[list[int]]:
+        while len(self.shift) <= bit:
+            m, tables = _matrix(1 << len(self.shift)), []
             for b in range(4):  # by byte: 4 look-ups instead of 32
                 t = [0] * 256
                 for x in range(1, 256):
                     low = x & -x
                     t[x] = t[x ^ low] ^ m[8 * b + low.bit_length() - 1]
                 tables.append(t)
-            self.shift[size] = tables
-        t = self.shift[size]
-        return t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24] ^ nxt
+            self.shift.append(tables)
+        return self.shift[bit]
+
+    def join(self, crc: int, nxt: int, size: int) -> int:
+        bit = 0
+        while size:
+            if size & 1:
+                t = self._tables(bit)
+                crc = t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
+            size >>= 1
+            bit += 1
+        return crc ^ nxt
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, width: int = 2) -> str:
@@ -143,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
 
     names = ["doc_id", "n_tokens", "digests", "leaf", "digest", "n", "ids", "kind"]
     staged = scratch.stage(plain(docs, doc_id=kind, text="string").mapInArrow(run, f"doc_id {kind}, n_tokens long, digests binary, leaf binary, digest binary, n int, ids binary, kind int"), "cut", "kind")
-    staged.where("kind = 1").groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.mode("overwrite").parquet(f"{path}/chunks")
+    staged.where("kind = 1").groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
     laid = scratch.stage(staged.where("kind = 0").select("doc_id", "n_tokens", "digests", "leaf").orderBy("doc_id", "leaf").withColumn("_file", F.spark_partition_id()), "laid")
     # A row for each file, and in one place only these sums.
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
