@@ -17,7 +17,7 @@ import numpy as np
 from .common import tokenizer_path
 
 #: Chunks kept by one Python worker.
-CACHE = 700_000
+CACHE = 1_200_000
 
 
 class Encoder:
