@@ -169,7 +169,7 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
         sets = shingle_sets(batch.column("text").to_pylist(), words)
         return pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], names=["node", "n", "tokens"])
 
-    ids = left.select(F.col("doc_id").alias("_id"))
+    ids = small(left.select(F.col("doc_id").alias("_id")))
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     full = scratch.stage(map_slices(texts, whole, "node binary, n long, tokens array<long>").where("n > 0"), "sets")
     scratch.drop(reps, often, left)
