@@ -36,6 +36,12 @@ def test_stages(spark, tmp_path):
         assert set(whole) == {i for i, _ in rows[4]}
 
 
+def test_run_is_the_stages_one_after_another(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda rows: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert key(corpus_pipeline.run(spark, SF).collect()) == key(steps(spark, docs, tmp_path)[-1].collect())
+
+
 def test_no_documents(spark, tmp_path):
     assert steps(spark, empty(spark), tmp_path)[-1].collect() == []
 
