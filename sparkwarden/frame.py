@@ -1,8 +1,9 @@
 """GuardedFrame: a DataFrame of which each column has a policy, checked operator by operator.
 
 Policies of columns are settled on the driver while the plan is built, without touching data. What depends on data, the
-sizes of groups, becomes one small job at release(): the least count over the same keys. The data itself stays inside until
-release(), which returns the plain DataFrame or raises PolicyViolation.
+sizes of groups, becomes one small job at release(): the least count over the same keys. Policies that vary by row (ByRow)
+ride along as an integer column beside the data. The data itself stays inside until release(), which returns the plain
+DataFrame or raises PolicyViolation.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .policy import A, CLEAN, Policy, PolicyViolation, T, norm, parse
+from .varied import ByRow, Varied, any_of, lift, merged, shadow, worst
 
 ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b, "mod": lambda a, b: a % b, "pow": F.pow}
 COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b}
@@ -28,31 +30,34 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
 class Expr:
     """A Spark column and the policy of its cells, given those of the frame's columns."""
 
-    build: Callable[[GuardedFrame], tuple[Column, Policy]]
+    build: Callable[[GuardedFrame], tuple[Column, Policy | Varied]]
     literal: Any = None
     is_literal: bool = False
 
     def _arith(self, other: Any, name: str) -> Expr:
         a, b = self, as_expr(other)
 
-        def build(f: GuardedFrame) -> tuple[Column, Policy]:
+        def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
             (ca, pa), (cb, pb) = a.build(f), b.build(f)
-            c = ARITHMETIC[name](ca, cb)
-            if pa.released and pb.released:
-                return c, CLEAN
-            if pa.released or pb.released:
-                left, arg = (pb, a) if pa.released else (pa, b)
-                return c, left.downgrade(T(name, arg.literal if arg.is_literal else object()), name)
-            return c, pa.join(pb)
+            given = lambda e: e.literal if e.is_literal else object()
+
+            def after(p: Policy, q: Policy) -> Policy:
+                if p.released and q.released:
+                    return CLEAN
+                if p.released or q.released:
+                    return q.downgrade(T(name, given(a)), name) if p.released else p.downgrade(T(name, given(b)), name)
+                return p.join(q)
+
+            return ARITHMETIC[name](ca, cb), lift(after, pa, pb)
 
         return Expr(build)
 
     def _compare(self, other: Any, name: str) -> Expr:
         a, b = self, as_expr(other)
 
-        def build(f: GuardedFrame) -> tuple[Column, Policy]:
+        def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
             (ca, pa), (cb, pb) = a.build(f), b.build(f)
-            return COMPARE[name](ca, cb), pa.join(pb)
+            return COMPARE[name](ca, cb), lift(Policy.join, pa, pb)
 
         return Expr(build)
 
@@ -81,11 +86,15 @@ class Expr:
     def apply(self, name: str, fn: Callable[..., Column], *args: Any) -> Expr:
         """A function known by its name and literal arguments; at most one argument can satisfy a label."""
 
-        def build(f: GuardedFrame) -> tuple[Column, Policy]:
+        def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
             c, p = self.build(f)
-            if len(args) > 1 and not p.released:
-                raise PolicyViolation(f"{name} with {len(args)} arguments", policy=p)
-            return fn(c, *args), p.downgrade(T(name, args[0] if args else None), name) if not p.released else CLEAN
+
+            def after(p: Policy) -> Policy:
+                if len(args) > 1 and not p.released:
+                    raise PolicyViolation(f"{name} with {len(args)} arguments", policy=p)
+                return p.downgrade(T(name, args[0] if args else None), name)
+
+            return fn(c, *args), lift(after, p)
 
         return Expr(build)
 
@@ -108,9 +117,9 @@ def as_expr(x: Any) -> Expr:
 def when(cond: Expr, yes: Any, no: Any) -> Expr:
     """Both arms' policies count: which arm a row takes isn't known before it runs."""
 
-    def build(f: GuardedFrame) -> tuple[Column, Policy]:
+    def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
         (c, _), (a, pa), (b, pb) = cond.build(f), as_expr(yes).build(f), as_expr(no).build(f)
-        return F.when(c, a).otherwise(b), pa.join(pb)
+        return F.when(c, a).otherwise(b), lift(Policy.join, pa, pb)
 
     return Expr(build)
 
@@ -122,18 +131,24 @@ def offset_by(e: Expr, duration: str) -> Expr:
 @dataclass(frozen=True)
 class GuardedFrame:
     _df: DataFrame
-    policies: dict[str, Policy]
+    policies: dict[str, Policy | Varied]
     #: (counts of groups as a DataFrame with column n, least size, what it is for)
     _duties: tuple[tuple[DataFrame, int, str], ...] = field(default=())
 
     @staticmethod
-    def register(df: DataFrame, policies: dict[str, str | Policy] | None = None) -> GuardedFrame:
+    def register(df: DataFrame, policies: dict[str, str | Policy | ByRow] | None = None) -> GuardedFrame:
         given = {k: parse(v) if isinstance(v, str) else v for k, v in (policies or {}).items()}
         if unknown := given.keys() - set(df.columns):
             raise ValueError(f"no such columns: {sorted(unknown)}")
-        return GuardedFrame(df, {c: given.get(c, CLEAN) for c in df.columns})
+        f = GuardedFrame(df, {c: CLEAN for c in df.columns})
+        return f._put(df, {c: (F.col(f"`{c}`"), given[c].varied() if isinstance(given[c], ByRow) else given[c]) for c in given}, f.policies)
+
+    def _put(self, df: DataFrame, made: dict[str, tuple[Column, Policy | Varied]], kept: dict[str, Policy | Varied]) -> GuardedFrame:
+        """`df` with the columns made, and a column of ids beside each whose policy varies by row."""
+        ids = {shadow(n): p.pid for n, (_, p) in made.items() if isinstance(p, Varied)}
+        return self._with(df.withColumns({n: c for n, (c, _) in made.items()} | ids), kept | {n: p.at(n) for n, (_, p) in made.items()})
 
-    def _with(self, df: DataFrame, policies: dict[str, Policy], *duties: tuple[DataFrame, int, str]) -> GuardedFrame:
+    def _with(self, df: DataFrame, policies: dict[str, Policy | Varied], *duties: tuple[DataFrame, int, str]) -> GuardedFrame:
         return GuardedFrame(df, policies, (*self._duties, *duties))
 
     def filter(self, cond: Expr) -> GuardedFrame:
@@ -141,23 +156,39 @@ class GuardedFrame:
 
     def select(self, *names: str, **exprs: Expr) -> GuardedFrame:
         made = {n: col(n).build(self) for n in names} | {n: as_expr(e).build(self) for n, e in exprs.items()}
-        return self._with(self._df.select(*(c.alias(n) for n, (c, _) in made.items())), {n: p for n, (_, p) in made.items()})
+        ids = [p.pid.alias(shadow(n)) for n, (_, p) in made.items() if isinstance(p, Varied)]
+        return self._with(self._df.select(*(c.alias(n) for n, (c, _) in made.items()), *ids), {n: p.at(n) for n, (_, p) in made.items()})
 
     def with_columns(self, **exprs: Expr) -> GuardedFrame:
-        made = {n: as_expr(e).build(self) for n, e in exprs.items()}
-        return self._with(self._df.withColumns({n: c for n, (c, _) in made.items()}), self.policies | {n: p for n, (_, p) in made.items()})
+        return self._put(self._df, {n: as_expr(e).build(self) for n, e in exprs.items()}, self.policies)
 
     def join(self, other: GuardedFrame, on: list[str], how: str = "inner") -> GuardedFrame:
-        df = self._df.join(other._df, on, how)
-        keep = self.policies if how in ("left_semi", "left_anti") else other.policies | self.policies
-        policies = {c: keep[c].join(other.policies[c]) if c in on else keep[c] for c in df.columns}
-        return GuardedFrame(df, policies, (*self._duties, *other._duties))
+        """Cells that an outer join fills with null are clean; a key has the policies of both sides."""
+        duties = (*self._duties, *other._duties)
+        if how in ("left_semi", "left_anti"):
+            keys = {c: (F.col(f"`{c}`"), lift(Policy.join, self.policies[c], worst(other.policies[c]))) for c in on}
+            right = other._df.select(*(f"`{c}`" for c in on))
+            return GuardedFrame(self._df.join(right, on, how), self.policies, duties)._put(self._df.join(right, on, how), keys, self.policies)
+        ids = {c: F.col(f"`{shadow(c)}`").alias(f"_right{shadow(c)}") for c, p in other.policies.items() if c in on and isinstance(p, Varied)}
+        df = self._df.join(other._df.select("*", *ids.values()).drop(*(shadow(c) for c in ids)), on, how)
+        policies = {c: (p.padded() if isinstance(p, Varied) else p) for c, p in (other.policies | self.policies).items()}
+        right = {c: (Varied(F.col(f"`_right{shadow(c)}`"), other.policies[c].table).padded() if c in ids else other.policies[c]) for c in on}
+        keys = {c: (F.col(f"`{c}`"), lift(Policy.join, policies[c], right[c])) for c in on}
+        rest = {c: (F.col(f"`{c}`"), p) for c, p in policies.items() if isinstance(p, Varied) and c not in on}
+        return GuardedFrame(df, policies, duties)._put(df, keys | rest, policies)
 
     def union(self, other: GuardedFrame) -> GuardedFrame:
-        return GuardedFrame(self._df.unionByName(other._df), {c: p.join(other.policies[c]) for c, p in self.policies.items()}, (*self._duties, *other._duties))
+        """Where a column's policy varies by row on either side, each row keeps its own."""
+        both = {c: merged(p, other.policies[c]) for c, p in self.policies.items()}
+        sides = [[F.col(f"`{c}`") for c in both] + [m[k].pid.alias(shadow(c)) for c, m in both.items() if isinstance(m[k], Varied)] for k in (0, 1)]
+        return GuardedFrame(self._df.select(*sides[0]).unionByName(other._df.select(*sides[1])), {c: m[0].at(c) for c, m in both.items()}, (*self._duties, *other._duties))
 
     def distinct(self) -> GuardedFrame:
-        return self._with(self._df.distinct(), self.policies)
+        varied = {c: any_of(p) for c, p in self.policies.items() if isinstance(p, Varied)}
+        if not varied:
+            return self._with(self._df.select(*(f"`{c}`" for c in self.policies)).distinct(), self.policies)
+        df = self._df.groupBy(*(f"`{c}`" for c in self.policies)).agg(*(m.pid.alias(shadow(c)) for c, m in varied.items()))
+        return self._with(df, self.policies | {c: m.at(c) for c, m in varied.items()})
 
     def sort(self, *by: Any) -> GuardedFrame:
         return self._with(self._df.orderBy(*by), self.policies)
@@ -178,16 +209,26 @@ class GuardedFrame:
         except PolicyViolation:
             return "deny"
 
+    def explain_policies(self) -> dict[str, list[str]]:
+        """The policies that cells of each column can have."""
+        return {c: list(map(str, p.table if isinstance(p, Varied) else (p,))) for c, p in self.policies.items()}
+
     def release(self) -> DataFrame:
         """The data, if every cell may be seen."""
-        for c in self._df.columns:
-            if not self.policies[c].released:
-                raise PolicyViolation("release", c, self.policies[c])
+        held = []
+        for c, p in self.policies.items():
+            if isinstance(p, Varied):
+                held += [(c, p)] if p.held() else []
+            elif not p.released:
+                raise PolicyViolation("release", c, p)
+        for c, p in held:  # reads ids up to the first row that may not be seen
+            if bad := self._df.where(p.pid.isin(p.held())).select(p.pid).limit(1).collect():
+                raise PolicyViolation("release", c, p.table[bad[0][0]])
         for counts, k, what in self._duties:
             least = counts.agg(F.min("n")).first()[0]  # keys only are read; one row comes back
             if least is not None and least < k:
-                raise PolicyViolation(f"{what} over {least} rows; {k} are needed")
-        return self._df
+                raise PolicyViolation(f"{what} over {k - least} rows too few")
+        return self._df.select(*(f"`{c}`" for c in self.policies))
 
 
 @dataclass(frozen=True)
@@ -196,21 +237,30 @@ class Grouped:
     keys: tuple[str, ...]
 
     def agg(self, suppress: bool = False, **aggs: tuple[str, Expr | None]) -> GuardedFrame:
-        """name=(method, expression); with `suppress` groups that are too small are left out instead of forbidding all."""
-        f, out, policies, need = self.frame, [], {k: self.frame.policies[k] for k in self.keys}, 0
+        """name=(method, expression); with `suppress` groups that are too small are left out instead of forbidding all.
+
+        A key has the policies of all its cells in the group; so has what is left of those of an aggregated expression."""
+        f, out, need, varying = self.frame, [], 0, []
+        policies: dict[str, Policy | Varied] = {}
+        for k in self.keys:
+            p = f.policies[k]
+            policies[k] = any_of(p) if isinstance(p, Varied) else p
         for name, (method, e) in aggs.items():
             c, p = e.build(f) if e is not None else (F.lit(1), CLEAN)
             out.append(AGGREGATES[method](c).alias(name))
-            if not p.released:
-                head = dict(p.labels[0].ops) if p.labels[0].kind == "A" else {}
-                k = head.get(norm(method), 0)
-                p = p.downgrade(A(method, k=k), method, name)
-                need = max(need, k)
-            policies[name] = p
-        if suppress and need:
-            df = f._df.groupBy(*self.keys).agg(*out, F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need).drop("_n")
-            return f._with(df, policies)
-        counts = f._df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
-        if not self.keys:
-            counts = counts.where("n > 0")  # nothing is disclosed by an empty table
-        return f._with(f._df.groupBy(*self.keys).agg(*out), policies, *([(counts, need, "aggregation")] if need else []))
+            least = lambda p: dict(p.labels[0].ops).get(norm(method), 0) if p.labels and p.labels[0].kind == "A" else 0  # noqa: B023, E731
+            after = lift(lambda p: p.downgrade(A(method, k=least(p)), method, name), p)  # noqa: B023
+            if isinstance(p, Varied):
+                varying.append(F.max(p.number([least(q) for q in p.table])))
+            else:
+                need = max(need, least(p))
+            policies[name] = any_of(after) if isinstance(after, Varied) else after
+        ids = [p.pid.alias(shadow(n)) for n, p in policies.items() if isinstance(p, Varied)]
+        at = {n: p.at(n) for n, p in policies.items()}
+        required = F.greatest(F.lit(need), *varying) if varying else F.lit(need)
+        groups = f._df.groupBy(*(f"`{k}`" for k in self.keys))
+        if suppress and (need or varying):
+            df = groups.agg(*out, *ids, F.count(F.lit(1)).alias("_n"), required.alias("_need")).where("_n >= _need").drop("_n", "_need")
+            return f._with(df, at)
+        counts = groups.agg((F.count(F.lit(1)) - required).alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 0")  # an empty table discloses nothing
+        return f._with(groups.agg(*out, *ids), at, *([(counts, 0, "aggregation")] if need or varying else []))
