@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import GuardedFrame, col, lit, offset_by, when
+from .plans.context import PolicyContext
 from .policy import PolicyViolation
+from .varied import ByRow
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -111,6 +113,31 @@ def offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_id", later=offset_by(col("ts"), "5s")).release()
 
 
+def guarded_sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of SQL, released under policies on columns that it only aggregates over 20 rows or more, or not at all."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = PolicyContext(spark)
+        for t in TABLES:
+            ctx.register(t, table(spark, sf_dir, t), {"lineitem": {"l_quantity": "A{sum>=20, mean>=20}", "l_tax": "T{+:1}", "l_linenumber": "top"}}.get(t))
+        return ctx.sql(SQL[name]).release()
+
+    return run
+
+
+def by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances below zero may be seen only as means of 20 customers or more; the others freely."""
+    g = GuardedFrame.register(table(spark, sf_dir, "customer"), {"c_acctbal": ByRow(((F.col("c_acctbal") < 0, "A{mean>=20}"),))})
+    return g.group_by("c_mktsegment").agg(m=("mean", col("c_acctbal")), n=("len", None)).release().withColumn("m", F.round("m", 4))
+
+
+def by_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without the protected ones are released as they are."""
+    g = GuardedFrame.register(table(spark, sf_dir, "customer"), {"c_acctbal": ByRow(((F.col("c_acctbal") < 0, "top"),))})
+    return g.filter(col("c_acctbal") >= 0).select("c_custkey", "c_acctbal").release()
+
+
+GUARDED_SQL = [k for k in SQL if k in ("tpch_q1", "tpch_q3", "tpch_q5", "tpch_q6", "tpch_q7", "tpch_q8", "tpch_q10", "tpch_q14", "tpch_q19")]
 MICRO = {"a": "clean", "b": "A{max>=5}", "c": "T{+:1.0}", "d": "T{+:1.0} => A{max>=5}"}
 
 
@@ -167,12 +194,14 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPECTED = {k: "allow" for k in "query_ok non_single expr_in_agg_ok expr_within_agg_ok union_ok groupsize_ok chain_ok".split()} | {k: "deny" for k in "query_fail expr_in_agg_fail_1 expr_in_agg_fail_2 union_fail join_fail groupsize_fail wrong_method select_fail ternary_fail chain_fail".split()}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run_sql(v) for k, v in SQL.items()} | {
-    "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts,
-} | {f"micro_policy_{k}": micro(k) for k in MICRO}
+    "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts, "by_row": by_row, "by_row_filter": by_row_filter,
+} | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"micro_policy_{k}": micro(k) for k in MICRO}
 ORACLES: dict[str, str] = SQL | {
     "guarded_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY 1, 2",
     "groupsize_ok": "SELECT o_orderstatus, max(o_totalprice) AS m FROM orders GROUP BY 1",
     "groupsize_suppress": "SELECT c_nationkey, max(c_acctbal) AS m FROM customer GROUP BY 1 HAVING count(*) >= 60",
+    "by_row": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m, count(*) AS n FROM customer GROUP BY 1",
+    "by_row_filter": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0",
     "offset_by": "SELECT event_id, ts + INTERVAL '5' SECOND AS later FROM events",
     "verdicts": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPECTED.items()) + ") t(name, verdict)",
-} | {f"micro_policy_{k}": f"SELECT l_returnflag, max(l_discount{' + 1.0' if k in 'cd' else ''}) AS m FROM lineitem GROUP BY 1" for k in MICRO}
+} | {f"guarded_sql_{k}": SQL[k] for k in GUARDED_SQL} | {f"micro_policy_{k}": f"SELECT l_returnflag, max(l_discount{' + 1.0' if k in 'cd' else ''}) AS m FROM lineitem GROUP BY 1" for k in MICRO}
