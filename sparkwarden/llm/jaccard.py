@@ -64,8 +64,15 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the least node reachable over edges (node, hub), where nodes of one hub are connected."""
-    edges = scratch.stage(edges.distinct(), f"{name}-edges")
+    """node, label: the least node reachable over edges (node, hub), where nodes of one hub are connected.
+
+    Each hub is first replaced by its least node: families share most of their hubs, so few distinct edges are left to pass over.
+    """
+    edges = scratch.stage(edges, f"{name}-hubs")
+    stars = edges.join(edges.groupBy("hub").agg(F.min("node").alias("least")), "hub").select("node", F.col("least").alias("hub"))
+    stars = scratch.stage(stars.distinct(), f"{name}-edges")
+    scratch.drop(edges)
+    edges = stars
     labels = scratch.stage(edges.select("node", F.col("node").alias("label")).distinct(), f"{name}-labels")
     while True:
         hubs = scratch.stage(edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("least")), f"{name}-hubs")
@@ -179,10 +186,12 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
     front = F.expr("CAST(n DIV 4 + 1 - (n - size(shared)) AS INT)") if share == 75 else F.expr(f"CAST(n - CAST(ceil(n * {share} / 100) AS LONG) + 1 - (n - size(shared)) AS INT)")
     near = scratch.stage(met.withColumn("front", front).where("front > 0").select("node", "n", F.col("shared.t").alias("tokens"), F.slice(F.col("shared.t"), F.lit(1), F.col("front")).alias("front")), "near")
     scratch.drop(full, df)
-    family = components(near.select("node", F.explode("front").alias("t")).select("node", F.col("t").cast("string").cast("binary").alias("hub")), scratch, "family")
+    # Families are found over 64-bit keys of nodes: equal keys could only join two families, and links are counted over whole nodes.
+    near = near.withColumn("key", F.xxhash64("node"))
+    family = components(near.select(F.col("key").alias("node"), F.explode("front").alias("hub")), scratch, "family").withColumnRenamed("node", "key")
     # Groups: by family and size band, in blocks of GROUP nodes.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / share) + 1e-9)).cast("int")
-    placed = scratch.stage(near.select("node", "n", "tokens").join(family, "node").withColumn("band", band), "placed")
+    placed = scratch.stage(near.select("key", "node", "n", "tokens").join(family, "key").drop("key").withColumn("band", band), "placed")
     count = scratch.stage(placed.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"), F.count(F.lit(1)).alias("size")), "groups")
     other = lambda d, c: count.select("label", (F.col("band") - d).alias("band"), F.col("k").alias(c))
     bands = scratch.stage(count.join(other(1, "up"), ["label", "band"], "left").join(other(-1, "down"), ["label", "band"], "left").select("label", "band", "k", "size", F.coalesce("up", F.lit(0)).alias("up"), F.coalesce("down", F.lit(0)).alias("down")).where("size > 1 or up > 0 or down > 0"), "bands")
