@@ -67,6 +67,31 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+_kept: dict[tuple, object] = {}
+_used: set[tuple] = set()
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """Like functools.cache, but a Python worker lets go of what its last task of batches didn't use (see forget_unused)."""
+
+    @functools.wraps(fn)
+    def get(*args: object) -> object:
+        key = (fn.__module__, fn.__qualname__, args)
+        _used.add(key)
+        if key not in _kept:
+            _kept[key] = fn(*args)
+        return _kept[key]
+
+    return get
+
+
+def forget_unused() -> None:
+    """At the end of a task: models and chunks kept for other operators would fill a worker that Spark uses again."""
+    for key in set(_kept) - _used:
+        del _kept[key]
+    _used.clear()
+
+
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: str, column: str = "text") -> DataFrame:
     """All columns of `df`, as they are, and the columns that `fn` makes of them; the new names must be free."""
 
@@ -76,6 +101,7 @@ def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fiel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, within[own.index(column)]):
             yield pa.RecordBatch.from_arrays([*part.columns, *fn(part.rename_columns(own))], names=[*own, *new])
+        forget_unused()
 
     return df.toDF(*within).mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields]))
 
@@ -108,6 +134,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
             yield fn(part)
+        forget_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,6 @@ no labelled text at all everything is `und`.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import annotate, crc_bucket, map_slices, names, plain
+from .common import annotate, crc_bucket, map_slices, names, plain, worker_cache
 
 BLOCK = 512
 SAMPLE_DOCS = 48
@@ -148,7 +147,7 @@ class Model:
         return [self.langs[k] if not z else "und" for k, z in zip(best, none)], np.where(none, 0.0, score), np.where(none, 0.0, least)
 
 
-@functools.cache
+@worker_cache
 def is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 

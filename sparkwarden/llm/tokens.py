@@ -8,13 +8,12 @@ the whole text goes to the library.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_cache
 
 #: Chunks kept by one Python worker.
 CACHE = 1_200_000
@@ -140,7 +139,7 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-@functools.cache
+@worker_cache
 def encoder(name: str) -> Encoder:
     """One for each Python worker. `name`: a path, or the name of a file that public_tokenizers has."""
     return Encoder(name if os.sep in name else tokenizer_path(name))
