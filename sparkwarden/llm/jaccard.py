@@ -5,7 +5,8 @@
 2. Sieve: the 64 lowest hashes of each node are counted over all nodes. Two sets with Jaccard similarity of 0.75 or more
    share 75 % of the 64 lowest hashes of their union in expectation; a node of which fewer than 16 occur elsewhere has
    no partner (probability of an error for a pair: below 1e-16, like that of equal hashes of different shingles). Nodes of
-   up to 64 shingles are seen whole and sieved exactly.
+   up to 64 shingles are seen whole and sieved exactly: they share 75 % of their shingles, and a partner of m > 64, which
+   shows 64 of its own, hides m - 64 of the 0.75 m shared at most; m being up to 4 n / 3, 64 - n / 3 are left.
 3. Whole sets of the nodes left: shingles found in one node only can't be shared. In the order (number of nodes, hash) two
    linked sets share one of their first floor(n / 4) + 1 shingles; nodes that do are connected to families.
 4. Groups: a family's nodes by size band (a factor of 4/3) in blocks of GROUP nodes. For two groups of a family in the same or
@@ -168,7 +169,8 @@ def classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> tuple[Da
     reps = scratch.stage(sets, "nodes")
     tokens = reps.select("node", "n", F.explode("low").alias("t"))
     often = scratch.stage(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t"), "often")
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * share / 100)).otherwise(SHARED)
+    shown = F.ceil(F.lit(SKETCH) - F.col("n") * (100 - share) / share)  # at least, by the largest partner
+    need = F.when(F.col("n") <= SKETCH, F.least(F.ceil(F.col("n") * share / 100), shown)).otherwise(SHARED)
     left = tokens.join(often, "t", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= need).select("node")
     left = scratch.stage(reps.select("node", "doc_id").join(left, "node", "left_semi"), "left")
 

@@ -83,6 +83,20 @@ def test_large_family(spark):
     assert Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
 
 
+def test_small_sets_with_partners_beyond_the_sketch(spark):
+    """Sets of 49 to 64 shingles inside sets of 65 to 85, of which the sieve sees 64: all at or just above the threshold."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(49, 65):
+        for m in range(65, 4 * n // 3 + 1):
+            for _ in range(3):
+                w = [f"w{rng.randrange(10**9)}" for _ in range(m + 4)]
+                rows += [(len(rows), " ".join(w[: n + 4])), (len(rows) + 1, " ".join(w))]
+    got = Counter(map(tuple, jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
+    assert all(c == d - d % 2 for d, _, c in got)
+
+
 def test_odd(spark):
     rows = [(r[0], r[1]) for r in odd_rows()] + [(None, "just one null id text here now"), (None, None)]
     df = odd(spark, [(*r, "en", "s") for r in rows])
