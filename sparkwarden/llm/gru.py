@@ -5,9 +5,11 @@ Words are counted over the whole training part of the corpus. The most frequent
 fall into one of TAILS classes by their spelling. The model, a GRU, gives P(class | all before) by one
 softmax and P(word | class, all before) by another; inside a spelling class a word has (c + 1) / (N_k + V_k + 1),
 c its count, N_k and V_k the class's tokens and distinct words. So all words, and one more unseen word in each
-spelling class, sum up to 1. Training is truncated backpropagation through time with Adam in numpy, on a bounded
-sample (TRAIN_TOKENS); biases start from the whole corpus's counts. Scoring carries the state across
-windows from a text's first word to its end.
+spelling class, sum up to 1. Training is truncated backpropagation through time with Adam in numpy; biases start from
+the whole corpus's counts. One task makes a start of about TRAIN_TOKENS tokens, which it sees EPOCHS times; then all training
+texts are gone through once, whole, in ROUNDS rounds: each task trains a copy of the model on its part of a round's
+texts, and the copies' mean, weighted by tokens, begins the next round. So weights depend a little on how the table is split.
+Training and scoring carry the state across windows from a text's first word to its end.
 
 Counts of the LOOKUP most frequent words are broadcast, a fixed bound; the counts of all others meet the documents
 that use them in a shuffle join, so vocabularies of any size give whole results.
@@ -18,6 +20,7 @@ ids are scored each for itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import itertools
 import zlib
@@ -36,8 +39,8 @@ HEAD, CLASSES, TAILS = 3072, 48, 64
 LOOKUP = 300_000
 HIDDEN, EMBED = 32, 16
 TRAIN_TOKENS, EPOCHS, LANES, STEPS, RATE = 250_000, 5, 64, 32, 6e-3
-#: A text gives at most so many words to the training sample.
-SAMPLE_WORDS = 1500
+#: Rounds of the pass over all training texts, tasks of a round (or the cluster's cores, if more), tokens a task lays out at once, and the rate.
+ROUNDS, TASKS, LAID, PASS_RATE = 4, 64, 1 << 18, 1.5e-3
 #: Tokens scored together in a task, and texts side by side.
 BUFFER, SIDE, SPAN = 1 << 22, 256, 64
 LN10 = float(np.log(10))
@@ -111,16 +114,23 @@ class Gru:
         width = len(tokens) // lanes
         if width < 2:
             return
-        x = tokens[: lanes * width].reshape(lanes, width)
-        new = starts[: lanes * width].reshape(lanes, width)
+        self.passes(tokens[: lanes * width].reshape(lanes, width), starts[: lanes * width].reshape(lanes, width), np.full(lanes, width), epochs, steps, rate)
+
+    def passes(self, x: np.ndarray, new: np.ndarray, length: np.ndarray, epochs: int, steps: int = STEPS, rate: float = RATE, least: float = 0.1) -> None:
+        """Training on lanes of tokens, the longest first; `length` is how far each is filled. The rate falls to `least` of it."""
         p, H = self.p, self.hidden
+        width = x.shape[1]
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         n, last = 0, epochs * -(-width // steps)
         for _ in range(epochs):
-            h = np.zeros((lanes, H), np.float32)
+            h = np.zeros((len(x), H), np.float32)
             for at in range(0, width, steps):
-                xs, ns = x[:, at : at + steps].T, new[:, at : at + steps].T
+                lanes = int((length > at).sum())
+                h = h[:lanes]
+                xs, ns = x[:lanes, at : at + steps].T, new[:lanes, at : at + steps].T
                 T = len(xs)
+                live = (np.arange(at, at + T)[:, None] < length[:lanes]).ravel()
+                size = int(live.sum())
                 emb = p["E"][xs]
                 inp = emb @ p["W"] + p["b"]
                 before, zs, rs, ns_, us = [], [], [], [], []
@@ -133,7 +143,9 @@ class Gru:
                     c = np.tanh(inp[t][:, 2 * H :] + r * u[:, 2 * H :])
                     zs.append(z), rs.append(r), ns_.append(c), us.append(u[:, 2 * H :])
                     h = c + z * (h - c)
-                _, dh_out, g = self.outputs(np.concatenate(before), xs.ravel(), True)
+                _, found, g = self.outputs(np.concatenate(before)[live], xs.ravel()[live], True)
+                dh_out = np.zeros((T * lanes, H), found.dtype)
+                dh_out[live] = found
                 dh_out = dh_out.reshape(T, lanes, H)
                 dinp = np.zeros_like(inp)
                 dU, dh = np.zeros_like(p["U"]), np.zeros((lanes, H), np.float32)
@@ -150,9 +162,9 @@ class Gru:
                 g |= {"U": dU, "b": flat.sum(0), "W": emb.reshape(-1, emb.shape[-1]).T @ flat, "E": np.zeros_like(p["E"])}
                 np.add.at(g["E"], xs.ravel(), flat @ p["W"].T)
                 n += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / (T * lanes)
-                scale = min(1.0, 0.5 / max(norm, 1e-9)) / (T * lanes)
-                lr = rate * (1 - 0.9 * n / last) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
+                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
+                scale = min(1.0, 0.5 / max(norm, 1e-9)) / size
+                lr = rate * (1 - (1 - least) * n / last) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
                 for k, v in g.items():
                     v = v * np.float32(scale)
                     m1[k] += np.float32(0.1) * (v - m1[k])
@@ -209,6 +221,28 @@ class Gru:
         return out
 
 
+def lanes_of(tokens: np.ndarray, sizes: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts in lanes of about equal length, the longest lane first: tokens, starts of texts, and the lanes' lengths."""
+    first = np.cumsum(sizes) - sizes
+    heap = [(0, k) for k in range(min(lanes, len(sizes)))]
+    lane: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n, k = heapq.heappop(heap)
+        lane[k].append(i)
+        heapq.heappush(heap, (n + int(sizes[i]), k))
+    lane.sort(key=lambda x: -int(sizes[x].sum()))
+    length = np.array([int(sizes[x].sum()) for x in lane])
+    x, new = np.zeros((len(lane), int(length.max())), np.int64), np.zeros((len(lane), int(length.max())), bool)
+    rng = np.random.default_rng(len(sizes))
+    for k, texts in enumerate(lane):
+        at = 0
+        for i in rng.permutation(texts).tolist():
+            new[k, at] = True
+            x[k, at : at + sizes[i]] = tokens[first[i] : first[i] + sizes[i]]
+            at += int(sizes[i])
+    return x, new, length
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """word (binary, the end is empty) and c over all texts; tasks count before anything is sent."""
 
@@ -305,18 +339,58 @@ def fit(docs: DataFrame, scratch: Scratch, held_out: int = 2, of: int = 7, looku
     for r in rest.groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tail_n[r["k"]], tail_v[r["k"]] = r["n"], r["v"]
     lex = Lexicon(top.column("word").to_pylist(), top.column("c").to_numpy(), total, distinct, tail_n, tail_v)
-    share = min(1.0, train_tokens / max(1, total))
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / float(1 << 53)
-    sample = rows.where(u < F.lit(1.2 * share)).select(u.alias("u"), F.xxhash64("text").alias("t"), F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS), " ").alias("text"))
-    texts = [r["text"] for r in sample.orderBy("u", "t").limit(20_000).collect()]  # some train_tokens words
-    at, sizes, missing, miss = lex.look_up(texts)
-    x, _ = lex.inputs(at, missing, miss)
-    starts = np.zeros(len(x), bool)
-    starts[np.cumsum(sizes) - sizes] = True
-    lex.model.train(x[:train_tokens], starts[:train_tokens])
+    train(rows, lex, train_tokens)
     return lex, rest
 
 
+def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
+    """Trains the lexicon's model on all texts of `rows`; the number of tokens gone through after the start."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(lex)
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 11) / float(1 << 53)
+
+    def part(rows: DataFrame, tasks: int, epochs: int, rate: float, least: float, most: int | None = None) -> int:
+        weights = spark.sparkContext.broadcast(lex.model.p)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lex, held, n, waiting = shared.value, [], 0, 0
+            model = copy.copy(lex.model)
+            model.p = {k: v.copy() for k, v in weights.value.items()}
+            room = most or LAID
+
+            def learn() -> None:
+                model.passes(*lanes_of(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])), epochs, rate=rate, least=least)
+                held.clear()
+
+            for batch in slices(batches):
+                at, sizes, missing, miss = lex.look_up(batch.column("text").to_pylist())
+                held.append((lex.inputs(at, missing, miss)[0], sizes))
+                n, waiting = n + len(at), waiting + len(at)
+                if waiting >= room:
+                    learn()
+                    waiting = 0
+                    if most:  # the start is made; what is left comes in the pass over all texts
+                        break
+            if held:
+                learn()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([v.ravel() for v in model.p.values()]).tobytes()], pa.binary())], names=["n", "weights"])
+
+        total, mean = 0, None
+        for r in rows.select("text").coalesce(tasks).mapInArrow(run, "n long, weights binary").collect():
+            w = np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"]
+            total, mean = total + r["n"], w if mean is None else mean + w
+        if total:
+            edge = np.cumsum([v.size for v in lex.model.p.values()])[:-1]
+            lex.model.p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(lex.model.p.items(), np.split(mean / total, edge))}
+        weights.destroy()
+        return total
+
+    part(rows.where(u < F.lit(1.2 * start / max(1, lex.total))), 1, EPOCHS, RATE, 0.1, start)
+    tasks = max(TASKS, spark.sparkContext.defaultParallelism)
+    return sum(part(rows.where(F.floor(u * ROUNDS) == k), tasks, 1, PASS_RATE * (1 - k / ROUNDS), 0.8) for k in range(ROUNDS))
+
+
 def score(docs: DataFrame, held_out: int = 2, of: int = 7, **bounds: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "gru")

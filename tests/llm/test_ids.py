@@ -197,6 +197,23 @@ def test_scores(spark, lookup):
     assert gru.score(empty(spark)).collect() == []
 
 
+def test_training_takes_whole_texts_of_the_whole_corpus(spark, monkeypatch):
+    """Every token of every training text is gone through, far beyond the start; ends come only where texts end."""
+    rows = [(i, "aa bb cc " * (1200 if i < 6 else 3), "en", "s") for i in range(300)] + [(900, None, "en", "s")]
+    docs, seen = odd(spark, rows), []
+    real = gru.train
+    monkeypatch.setattr(gru, "train", lambda *a: seen.append(real(*a)))
+    scores = gru.score(docs, train_tokens=500).collect()
+    want = sum(len((t or "").split()) + 1 for i, t, *_ in rows if crc(i, 7) != 2)
+    assert seen == [want] and {r["train_tokens"] for r in scores} == {want}
+    sizes = np.array([1, 3601, 10, 700, 10])
+    x, new, length = gru.lanes_of(np.arange(sizes.sum()), sizes, 2)
+    got = np.concatenate([x[k, :n] for k, n in enumerate(length)])
+    assert sorted(got) == list(range(sizes.sum()))
+    assert sorted(x[new]) == (np.cumsum(sizes) - sizes).tolist()
+    assert all((np.diff(x[k, :n]) == 1)[~new[k, 1:n]].all() for k, n in enumerate(length))
+
+
 def test_model_beats_counts(spark):
     rows = gru.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > 0.97 * sum(r["base_score"] for r in rows)
