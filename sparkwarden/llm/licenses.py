@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Lines of a file, and the file as a whole, are sparse TF-IDF vectors; idf comes from the templates, and words that no
-template has weigh most. A line whose cosine to a template reaches `least` is a header of that licence. A file is a licence
+template has weigh most. A line of which the whole, or a run of known words, has a cosine to a template of `least` or more
+is a header of that licence. A file is a licence
 file of its directory if its name says so (LICENSE, COPYING, ...) and it has a header, or if the whole text reaches `whole`.
 Files without a licence of their own take that of the nearest directory above them that has a licence file.
 
@@ -89,9 +90,8 @@ def scan(text: str | None) -> tuple[str | None, float, float]:
         if idf.keys().isdisjoint(ws := words(line)):
             continue
         near = True
-        known = sum(w in idf for w in ws)
-        # Words that no template has weigh most, so a line with few known ones stays below.
-        for part in (ws,) if known * 2 >= len(ws) else runs(ws, idf):
+        # Words that no template has weigh most, so a sentence among other words is found by its run of known ones.
+        for part in (ws, *(r for r in runs(ws, idf) if len(r) < len(ws))):
             s, k = cosine(Counter(part))
             if s > best:
                 best, at = s, k

@@ -14,6 +14,15 @@ def test_header_inside_a_line():
     assert name == "MIT" and score >= licenses.LEAST > whole
 
 
+def test_header_among_any_number_of_other_words():
+    for name, text in licenses.TEMPLATES:
+        for before in range(11):
+            for after in range(11):
+                got, score, _ = licenses.scan(f"{'onth ' * before}{text} {'erea ' * after}")
+                assert score >= licenses.LEAST and got == name, (name, before, after, got, score)
+    assert licenses.scan("Copyright 2020 Foo. Licensed under the Apache License, Version 2.0.")[0] == "Apache-2.0"
+
+
 def test_inheritance(spark):
     mit, gpl, text = licenses.TEMPLATES[0][1], licenses.TEMPLATES[4][1], "words " * 50
     rows = [
