@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, map_slices, names, plain, starts, sums, windows, word_hashes, word_lists
+from .common import annotate, map_slices, names, plain, starts, sums, windows, word_hashes, word_lists, worker_cache
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -38,6 +38,12 @@ POLICIES: dict[str, dict[int, tuple[str, ...]]] = {
 }
 
 
+@worker_cache
+def letter_kinds() -> np.ndarray:
+    """For each code point 0, 1 for a letter of any script, 2 for a capital."""
+    return np.fromiter((c.isalpha() + (c.isalpha() and c.isupper()) for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     lists = word_lists(texts)
     h, counts = word_hashes(lists)
@@ -49,12 +55,10 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     lines = [[y for y in x.split("\n") if y.strip(BLANKS)] for x in t]
     out["n_lines"] = np.fromiter(map(len, lines), np.int64, n)
     out["n_dup_lines"] = out["n_lines"] - np.fromiter((len(set(x)) for x in lines), np.int64, n)
-    raw = [x.encode("utf-8", "surrogatepass") for x in t]
-    size = np.fromiter(map(len, raw), np.int64, n)
-    b = np.frombuffer(b"".join(raw), np.uint8)
-    capital = (b >= 65) & (b <= 90)
-    out["n_capitals"] = sums(capital, size)
-    out["n_letters"] = sums(capital | ((b >= 97) & (b <= 122)), size)
+    size = np.fromiter(map(len, t), np.int64, n)
+    kind = letter_kinds()[np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out["n_capitals"] = sums(kind == 2, size)
+    out["n_letters"] = sums(kind > 0, size)
     out["n_repeat_words"] = repeated(h, counts)
     return out
 

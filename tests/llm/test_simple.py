@@ -36,6 +36,17 @@ def test_rules(spark):
     assert rules.verdicts(empty(spark)).collect() == []
 
 
+def test_acronyms_in_other_scripts(spark):
+    texts = [" ".join(f"{w}{chr(ord(w[0]) + i % 20)}" for i in range(300)) + " DNA" for w in ("слово", "λόγος", "كلمة", "字")]
+    shout = "".join(chr(ord("А") + i % 30) + " " * (i % 5 == 4) for i in range(600))
+    rows = [(i, t, "xx", "s") for i, t in enumerate([*texts, shout, "АБВ abc"])]
+    m = rules.measure([t for _, t, *_ in rows])
+    assert m["n_letters"].tolist() == [sum(map(str.isalpha, t)) for _, t, *_ in rows]
+    assert m["n_capitals"].tolist() == [sum(map(str.isupper, t)) for _, t, *_ in rows]
+    bit = 1 << list(rules.RULES).index("capitals")
+    assert {r.doc_id: bool(r.fail_bits & bit) for r in rules.verdicts(odd(spark, rows)).collect()} == {0: False, 1: False, 2: False, 3: False, 4: True, 5: False}
+
+
 def test_ablations(spark):
     rows = rules.ledger(odd(spark))
     found = {r["rule"]: r for r in rules.ablations(rows).collect()}
