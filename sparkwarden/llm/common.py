@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,9 @@ from pyspark.sql import types as T
 #: A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once in a Python worker, so that memory doesn't follow the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch on its way to Python, where the session leaves Spark's own 64 MB; JVM and worker each hold a batch or two.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (tests, one machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where none is set and the master is local (tests, one machine), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         found = "/tmp/sparkwarden-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES in this session, unless it has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive lost executors and are read with column pruning."""
 
@@ -90,6 +104,28 @@ def forget_unused() -> None:
     for key in set(_kept) - _used:
         del _kept[key]
     _used.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function over batches that leaves the worker without what the task hasn't used."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget_unused()
+
+    return tidied
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in small batches, tidied up after each task."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: str, column: str = "text") -> DataFrame:
@@ -101,9 +137,8 @@ def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fiel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, within[own.index(column)]):
             yield pa.RecordBatch.from_arrays([*part.columns, *fn(part.rename_columns(own))], names=[*own, *new])
-        forget_unused()
 
-    return df.toDF(*within).mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields]))
+    return map_batches(df.toDF(*within), run, T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields]))
 
 
 def names(df: DataFrame) -> list[str]:
@@ -134,9 +169,8 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
             yield fn(part)
-        forget_unused()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def crc_bucket(n: int, column: str = "doc_id") -> Column:

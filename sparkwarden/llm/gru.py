@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_bucket, plain, slices, word_lists
+from .common import Scratch, crc_bucket, map_batches, plain, slices, word_lists
 
 HEAD, CLASSES, TAILS = 3072, 48, 64
 LOOKUP = 300_000
@@ -259,7 +259,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         if held:
             yield send()
 
-    return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(rows.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -377,7 +377,7 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([v.ravel() for v in model.p.values()]).tobytes()], pa.binary())], names=["n", "weights"])
 
         total, mean = 0, None
-        for r in rows.select("text").coalesce(tasks).mapInArrow(run, "n long, weights binary").collect():
+        for r in map_batches(rows.select("text").coalesce(tasks), run, "n long, weights binary").collect():
             w = np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"]
             total, mean = total + r["n"], w if mean is None else mean + w
         if total:
@@ -435,7 +435,7 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7, **bounds: int) -> Dat
         if held:
             yield flush()
 
-    scored = docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, tail array<struct<word: binary, kind: int, times: long>>")
+    scored = map_batches(docs, run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, tail array<struct<word: binary, kind: int, times: long>>")
     first = lambda c: F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c)  # noqa: E731  once for each text
     flat = scored.select("*", F.posexplode_outer("tail").alias("pos", "item")).select("row", *map(first, ("doc_id", "n_tokens", "n_known", "base", "own")), F.coalesce(F.col("item.word"), F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("word"), F.col("item.kind").alias("kind"), F.coalesce("item.times", F.lit(0)).alias("times"))
     met = flat.join(rest, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import plain, slices
+from .common import map_batches, plain, slices
 from .tokens import encoder, with_end
 
 WINDOW = 2048
 #: Ids that a task packs together.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 TOKENIZER = "byte_bpe_50k.json"
 END = 1
 
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END,
 
         size = 0
         for part in slices(batches):
-            flat, counts = with_end(*encoder(tokenizer).encode(part.column("text").to_pylist()), end)
+            flat, counts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
             held.append((part.column("doc_id"), flat, counts))
             size += len(flat)
             if size >= BUFFER:
@@ -145,4 +145,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END,
         if held:
             yield flush()
 
-    return plain(docs, doc_id=kind, text="string").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids)
+    return map_batches(plain(docs, doc_id=kind, text="string"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import M1, M2, Scratch, mix, plain, slices
+from .common import M1, M2, Scratch, map_batches, mix, plain, slices
 from .tokens import encoder, with_end
 
 TOKENIZER = "word_bpe_49k.json"
@@ -129,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for part in slices(batches):
-            ids, counts = with_end(*encoder(tokenizer).encode(part.column("text").to_pylist()), end)
+            ids, counts = with_end(*encoder(tokenizer).encode(part.column("text")), end)
             if width == 2 and int(ids.max(initial=0)) > 0xFFFF:
                 raise ValueError("ids of 65536 and more need width=4")
             at, per = cuts(ids, counts)
@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
             own = np.cumsum(per) - per
             recipe = [b"".join(dig[a : a + n]) for a, n in zip(own.tolist(), per.tolist())]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(recipe, pa.binary()), pa.array(map(digest, recipe), pa.binary())] + [pa.nulls(len(per), t) for t in (pa.binary(), pa.int32(), pa.binary())] + [pa.array([0] * len(per), pa.int32())], names=names)
-            if len(seen) > 1 << 18:
+            if len(seen) > 1 << 17:
                 seen.clear()
             new = {d: c for d, c in zip(dig, chunk) if d not in seen}  # what this task has sent it needn't send again
             seen.update(new)
@@ -148,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
             yield pa.RecordBatch.from_arrays([pa.nulls(n, part.schema.field("doc_id").type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(list(new), pa.binary()), pa.array([len(c) // width for c in new.values()], pa.int32()), pa.array(list(new.values()), pa.binary()), pa.array([1] * n, pa.int32())], names=names)
 
     names = ["doc_id", "n_tokens", "digests", "leaf", "digest", "n", "ids", "kind"]
-    staged = scratch.stage(plain(docs, doc_id=kind, text="string").mapInArrow(run, f"doc_id {kind}, n_tokens long, digests binary, leaf binary, digest binary, n int, ids binary, kind int"), "cut", "kind")
+    staged = scratch.stage(map_batches(plain(docs, doc_id=kind, text="string"), run, f"doc_id {kind}, n_tokens long, digests binary, leaf binary, digest binary, n int, ids binary, kind int"), "cut", "kind")
     staged.where("kind = 1").groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
     laid = scratch.stage(staged.where("kind = 0").select("doc_id", "n_tokens", "digests", "leaf").orderBy("doc_id", "leaf").withColumn("_file", F.spark_partition_id()), "laid")
     # A row for each file, and in one place only these sums.
@@ -192,7 +192,8 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             ok = [digest(x) == d and 4 * n == len(w) for x, w, d, n in zip(raw, wide, b.column("digest").to_pylist(), b.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(list(map(zlib.crc32, wide)), pa.int64()), pa.array([len(w) // 4 for w in wide], pa.int64()), pa.array(ok)], names=["digest", "crc", "size", "ok"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "ids").mapInArrow(stored, "digest binary, crc long, size long, ok boolean")
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "ids")
+    chunks = map_batches(chunks, stored, "digest binary, crc long, size long, ok boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     many = F.expr(f"transform(sequence(0, length(digests) DIV {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")
@@ -219,7 +220,7 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 good.append(ok)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.int64()), pa.array(good)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return rows.mapInArrow(combine, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return map_batches(rows, combine, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def load(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -235,4 +236,4 @@ def load(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             ids = [np.frombuffer(b"".join(p["ids"] for p in x), f"<u{width}").astype(np.int32) for x in b.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return raw.mapInArrow(run, f"doc_id {kind}, start long, ids array<int>")
+    return map_batches(raw, run, f"doc_id {kind}, start long, ids array<int>")

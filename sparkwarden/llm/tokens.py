@@ -4,6 +4,9 @@ A chunk is what stands between two blanks. For the two kinds of files known here
 merges across such a place, so the ids of a text are those of its chunks, and nearly all chunks have been met
 before. Where that can't be told (runs of blanks before a chunk in byte-level files, files of other kinds)
 the whole text goes to the library.
+
+Chunks are found and hashed in numpy on the texts' bytes, without a Python object for each, and looked up in a table of 64-bit
+hashes that holds CACHE_BYTES at most (two chunks of one hash: below 1e-13 for each new chunk).
 """
 
 from __future__ import annotations
@@ -12,15 +15,63 @@ import json
 import os
 
 import numpy as np
-
-from .common import tokenizer_path, worker_cache
-
-#: Chunks kept by one Python worker.
-CACHE = 1_200_000
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+from .common import mix, tokenizer_path, worker_cache
+
+#: Bytes that the chunk table of one Python worker takes at most (for a moment, while it is cut down, one and a half times that).
+CACHE_BYTES = 48 << 20
+#: Bytes of longer chunks are hashed by xxhash.
+SHORT = 64
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+POWER = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(SHORT)], np.uint64)
+
+
+class Table:
+    """Hash -> number (0 to n - 1), by linear probing; 12 bytes a slot, twice as many slots as hashes or more."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.n, self.bits = 0, bits
+        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it isn't there."""
+        out = np.full(len(h), -1, np.int64)
+        at, left = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            k = self.key[at]
+            hit, go = k == h[left], k != 0
+            out[left[hit]] = self.value[at[hit]]
+            go &= ~hit
+            left, at = left[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes, none of them 0 or there, get the next numbers."""
+        if 2 * (self.n + len(h)) > len(self.key):
+            while 2 * (self.n + len(h)) > 1 << self.bits:
+                self.bits += 1
+            full = self.key != 0
+            key, value = self.key[full], self.value[full]
+            self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint32)
+            self._put(key, value)
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.uint32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, value: np.ndarray) -> None:
+        at, left = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.key[at] == 0
+            self.key[at[free]] = h[left[free]]  # of those that want one slot, the last has it
+            won = free & (self.key[at] == h[left])
+            self.value[at[won]] = value[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
 
 
 class Encoder:
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, cache: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,98 +97,145 @@ class Encoder:
         return "whole"
 
     def _clear(self) -> None:
-        self.rest: dict[str, int] = {}
-        self.first: dict[str, int] = {}
+        self.table = Table()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.n_ids = 0
-        self.at = np.zeros(1, np.int64)  # piece 0 stands for what must be encoded whole
-        self.len = np.zeros(1, np.int64)
-        self.used, self.turn = np.zeros(1, np.int64), 0
+        self.at, self.len, self.used = (np.zeros(1 << 14, t) for t in (np.uint32, np.uint32, np.uint32))
+        self.turn = 0
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.table.key, self.table.value, self.ids, self.at, self.len, self.used))
 
     def _trim(self) -> None:
-        """Keeps the half of the cache that was used last."""
-        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
-        keep[0] = True
-        at, size = self.at[keep], self.len[keep]
-        ends = np.cumsum(size)
-        self.ids = self.ids[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
-        self.n_ids, self.at, self.len, self.used = len(self.ids), ends - size, size, self.used[keep]
-        new = np.cumsum(keep) - 1
-        for name in ("rest", "first"):
-            old = getattr(self, name)
-            setattr(self, name, {k: int(new[v]) for k, v in old.items() if v and keep[v]})
-
-    def _add(self, known: dict[str, int], keys: list[str], texts: list[str]) -> None:
-        """Encodes chunks many at a time, with a special token between two."""
-        if not keys:
-            return
-        joined = [self.mark.join(texts[a : a + 2000]) + self.mark for a in range(0, len(texts), 2000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
-        stop = np.flatnonzero(ids == self.mark_id)
-        begin = np.concatenate([[0], stop[:-1] + 1])
+        """Keeps what was used last, up to a quarter of the room; with that little the table doesn't grow again at once."""
+        n, t = self.table.n, self.table
+        used = self.used[:n]
+        size = 24 + 12 + 4 * self.len[:n].astype(np.int64)
+        by_turn = np.cumsum(np.bincount(self.turn - used, size))  # bytes of what was used in the last turns
+        keep = self.turn - used < np.searchsorted(by_turn, self.most // 4)
+        full = t.key != 0
+        key = np.zeros(n, np.uint64)
+        key[t.value[full]] = t.key[full]
+        ids, at, length, used = self.ids, self.at[:n][keep].astype(np.int64), self.len[:n][keep].astype(np.int64), used[keep]
+        turn, key = self.turn, key[keep]
+        self._clear()
+        self.turn = turn
+        if len(key):
+            self.table.add(key)
+            self._store(ids[pieces(at, length)], length, used)
+
+    def _store(self, ids: np.ndarray, length: np.ndarray, used: np.ndarray | int) -> None:
+        """Ids of the last chunks of the table, one after another."""
+        n = self.table.n
+        a = n - len(length)
+        if n > len(self.at):
+            self.at, self.len, self.used = (np.concatenate([x, np.zeros(n + n // 2 - len(x), x.dtype)]) for x in (self.at, self.len, self.used))
         if self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids) // 2), np.uint32)])
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        known.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
-        self.at = np.concatenate([self.at, self.n_ids + begin])
-        self.len = np.concatenate([self.len, stop - begin])
-        self.used = np.concatenate([self.used, np.full(len(keys), self.turn)])
+        self.at[a:n], self.len[a:n], self.used[a:n] = self.n_ids + np.cumsum(length) - length, length, used
         self.n_ids += len(ids)
 
-    def _learn(self, flat: list[str], heads: list[str]) -> None:
-        # In byte-level files a chunk carries the blank before it, unless it begins with a line's end.
-        byte = self.kind == "byte"
-        for known, keys, blank in ((self.rest, flat, " "), (self.first, heads, "")):
-            new = list(set(keys).difference(known))
-            if not new:
-                continue
-            good = [k for k in new if self.mark not in k and (not byte or k and not k[-1].isspace() and not k[k[0] == "\n"].isspace())]
-            if len(good) < len(new):
-                known.update(dict.fromkeys(set(new).difference(good), 0))
-            self._add(known, good, [k if k[0] == "\n" else blank + k for k in good] if byte else good)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _good(self, k: str) -> bool:
+        """Whether the library gives a chunk the same ids wherever it stands."""
+        if self.mark in k:
+            return False
+        return self.kind != "byte" or bool(k) and not k[-1].isspace() and not k[k[0] == "\n"].isspace()
+
+    def _learn(self, h: np.ndarray, keys: list[bytes], blank: list[bool]) -> None:
+        """Encodes chunks many at a time, with a special token between two. In byte-level files a chunk carries the blank before it."""
+        text = [k.decode("utf-8") for k in keys]
+        good = np.fromiter(map(self._good, text), bool, len(text))
+        texts = [" " + t if b else t for t, b, g in zip(text, blank, good) if g]
+        joined = [self.mark.join(texts[a : a + 500]) + self.mark for a in range(0, len(texts), 500)]
+        found = [np.array(e.ids, np.uint32) for x in range(0, len(joined), 8) for e in self.lib.encode_batch_fast(joined[x : x + 8], add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, np.uint32)])
+        stop = np.flatnonzero(ids == self.mark_id)
+        length = np.full(len(text), NOT_ALONE, np.uint32)
+        length[good] = np.diff(np.concatenate([[-1], stop])) - 1
+        self.table.add(h)
+        own = ids[ids != self.mark_id]
+        size = np.where(good, length, 0).astype(np.int64)
+        self._store(own, size, self.turn)
+        n = self.table.n
+        self.len[n - len(text) : n][~good] = NOT_ALONE
+
+    def _chunks(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of each chunk of the texts in `data`, its text, and whether a blank belongs to it."""
+        text = np.flatnonzero(edge[1:] > edge[:-1])
+        blank, line = np.flatnonzero(data == 32), np.flatnonzero(data == 10)
+        if self.kind != "byte":  # line ends are blanks
+            blank, line = np.sort(np.concatenate([blank, line]), kind="stable"), line[:0]
+        # What begins a chunk, in this order at one place: the blank before it, a text, a line's end.
+        key = np.sort(np.concatenate([3 * (blank + 1), 3 * edge[text] + 1, 3 * line + 2]), kind="stable")
+        begin, what = key // 3, key % 3
+        end = np.append(begin[1:] - (what[1:] == 0), len(data))
+        return begin, end, text[np.cumsum(what == 1) - 1], (what == 0) & (self.kind == "byte")
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text. Null is the empty text."""
-        texts = [t or "" for t in texts]
-        if self.kind == "whole":
-            found = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
-        if self.kind == "byte":
-            lists = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        else:
-            lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.at) > self.most:
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        if self.kind == "whole" or not len(column):
+            return self._whole(column.to_pylist())
+        edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+        edge = edge - edge[0]
+        if self.nbytes() > self.most:
             self._trim()
         self.turn += 1
-        heads = [x[0] for x in lists if x] if self.kind == "byte" else []
-        flat = [c for x in lists for c in (x[1:] if self.kind == "byte" else x)]
-        self._learn(flat, heads)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        if self.kind == "byte":
-            piece = np.zeros(int(n.sum()), np.int64)
-            begins = (np.cumsum(n) - n)[n > 0]
-            is_head = np.zeros(len(piece), bool)
-            is_head[begins] = True
-            piece[is_head] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-            piece[~is_head] = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
-        else:
-            piece = np.fromiter(map(self.rest.__getitem__, flat), np.int64, len(flat))
+        begin, end, owner, blank = self._chunks(data, edge)
+        h = hashes(data, begin, end, blank)
+        piece = self.table.find(h)
+        if (miss := np.flatnonzero(piece < 0)).size:
+            new, first = np.unique(h[miss], return_index=True)
+            first = miss[first]
+            raw = data.tobytes()
+            self._learn(new, [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())], blank[first].tolist())
+            piece[miss] = self.table.find(h[miss])
         self.used[piece] = self.turn
-        at, size = self.at, self.len[piece]
-        ends = np.cumsum(size)
-        out = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[piece] - (ends - size), size)]
-        bounds = np.concatenate([[0], ends])
-        stop = np.cumsum(n)
-        counts = bounds[stop] - bounds[stop - n]
-        odd = np.flatnonzero(np.bincount(np.repeat(np.arange(len(n)), n)[piece == 0], minlength=len(n)))
+        size = self.len[piece]
+        odd = np.unique(owner[size == NOT_ALONE])
+        if len(odd):
+            size = np.where(np.isin(owner, odd), 0, size)
+        size = size.astype(np.int64)
+        out = self.ids[pieces(self.at[piece].astype(np.int64), size)]
+        counts = np.bincount(owner, size, len(column)).astype(np.int64)
         if not len(odd):
             return out, counts
         parts = np.split(out, np.cumsum(counts)[:-1])
-        for i, e in zip(odd.tolist(), self.lib.encode_batch_fast([texts[i] for i in odd.tolist()], add_special_tokens=False)):
-            parts[i] = np.array(e.ids, np.uint32)
+        for i in odd.tolist():
+            parts[i] = np.array(self.lib.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
+
+
+#: Length of chunks whose texts go to the library whole.
+NOT_ALONE = np.uint32(0xFFFFFFFF)
+
+
+def pieces(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of runs of these sizes, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - size), size)
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """64 bits of each chunk: powers times spread bytes, summed; never 0."""
+    stop = np.append(begin[1:], len(data))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(begin.astype(np.int32), stop - begin)  # texts follow one another, so all bytes are covered
+    np.minimum(place, SHORT - 1, out=place)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * POWER[place], out=total[1:])
+    h = total[end] - total[begin]
+    for i in np.flatnonzero(end - begin > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]])
+    h = mix((h + (end - begin).astype(np.uint64)) ^ (blank * np.uint64(0xA0761D6478BD642F)))
+    h[h == 0] = 1
+    return h
+
 
 @worker_cache
 def encoder(name: str) -> Encoder:

@@ -31,7 +31,7 @@ ODD_TEXTS = ["", " ", "a  b", "a   b\n\nc  \n d", "<|endoftext|> hi", "hi<|start
 @pytest.mark.parametrize("name", [packing.TOKENIZER, store.TOKENIZER])
 def test_encoder(spark, name):
     texts = ODD_TEXTS + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    e = tokens.Encoder(tokenizer_path(name), cache=3000)
+    e = tokens.Encoder(tokenizer_path(name), cache=3 << 20)  # so small that it is cut down
     for _ in range(2):  # the second time from the cache
         for at in range(0, len(texts), 50):
             ids, n = e.encode(texts[at : at + 50])
@@ -39,6 +39,47 @@ def test_encoder(spark, name):
                 assert got.tolist() == plain_ids(name, t, 0)[:-1]
 
 
+@pytest.mark.parametrize("name", [packing.TOKENIZER, store.TOKENIZER])
+def test_long_chunks_and_texts(name):
+    """Chunks beyond SHORT, chunks that differ in the middle only, and a text of more than two slices."""
+    a = ["x" * n + "y" * m for n in (10, 63, 64, 65, 200) for m in (0, 1, 63, 64)] + ["ab" * 40, "ba" * 40]
+    texts = [" ".join(a), " ".join(a[::-1]), "\n".join(a), "word " * 500_000, "word " * 500_000 + "!"]
+    e = tokens.Encoder(tokenizer_path(name))
+    ids, n = e.encode(texts)
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == plain_ids(name, t, 0)[:-1]
+
+
+def test_a_full_table_stays_within_its_bytes():
+    """Three times as many chunks as CACHE_BYTES hold; what they take and what the process grows by."""
+    import subprocess
+    import sys
+
+    code = """if 1:
+    import resource, numpy as np, pyarrow as pa
+    from sparkwarden.llm import packing, tokens
+    e = tokens.encoder(packing.TOKENIZER)
+    e.encode(["begin"])
+    before, seen, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0, 0
+    for k in range(200):
+        e.encode([" ".join(f"w{i:x}" for i in range(k * 12_000 + a, k * 12_000 + a + 200)) for a in range(0, 12_000, 200)])
+        most = max(most, e.nbytes())
+    print(most, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)"""
+    most, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=tokens.__file__.split("/sparkwarden/")[0]).stdout.split())
+    assert most < 1.6 * tokens.CACHE_BYTES and grown < 3 * tokens.CACHE_BYTES
+
+
+def test_table():
+    rng = np.random.default_rng(0)
+    h = np.unique(np.concatenate([rng.integers(1, 1 << 63, 50_000, dtype=np.uint64), np.arange(1, 2000, dtype=np.uint64)]))
+    rng.shuffle(h)
+    t = tokens.Table(4)
+    for part in np.array_split(h, 50):
+        assert (t.find(part) == -1).all()
+        t.add(part)
+    assert (t.find(h) == np.arange(len(h))).all() and (t.find(h + np.uint64(1 << 63)) == -1).all()
+
+
 def test_best_fill():
     rng = np.random.default_rng(1)
     for _ in range(100):
