@@ -69,6 +69,43 @@ def test_families(spark, seed):
     assert Counter(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("limits", [(256, 1 << 18, 256), (5, 600, 3)])
+def test_without_the_sieve_and_in_small_groups(spark, monkeypatch, limits):
+    for name, x in zip(("GROUP", "TOKENS", "QUERIES"), limits):
+        monkeypatch.setattr(jaccard, name, x)
+    rows = families(seed=2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.join(df, sieve=limits[0] == 5).collect())) == brute(rows)
+
+
+def test_passages_shared_by_many(spark, monkeypatch):
+    """Texts made of three of twenty passages: every shingle is common, hardly any pair links, and groups meet across."""
+    for name, x in (("GROUP", 8), ("QUERIES", 4)):
+        monkeypatch.setattr(jaccard, name, x)
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}x{rng.randrange(10**6)}" for _ in range(30)) for i in range(20)]
+    rows = [(i, " ".join(rng.sample(passages, 3 if i % 5 else 6))) for i in range(250)]
+    rows += [(i, rows[i - 250][1] + f" one two {i}") for i in range(250, 330)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """5,000 pages share a template that is 70 % of each; only edited copies link. Pairs opened stay far from all pairs."""
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(110)]
+    rows = []
+    for i in range(5000):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)] if i % 50 or not i else rows[-1][1].split()[110:149] + ["x"]
+        rows.append((i, " ".join(template + own)))
+    counted = []
+    real = jaccard.grouped
+    monkeypatch.setattr(jaccard, "grouped", lambda near, *a: counted.append(near.count()) or real(near, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 1 if i and i % 50 == 0 else i for i in range(5000)}
+    assert counted == [198]  # pages without a partner send no sets
+
+
 def test_large_family(spark):
     """More near copies than one group holds, besides many exact ones."""
     rng = random.Random(4)
