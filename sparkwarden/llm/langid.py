@@ -6,11 +6,15 @@ text's length, estimate the cross-entropy in bits a letter, and the language nee
 
 Texts are lower-cased, letters are kept and all between them counts as one blank. Parsing starts anew
 every BLOCK symbols, so that long texts are parsed in blocks side by side (one phrase more a block at most).
-The labelled sample is bounded: SAMPLE_DOCS texts of a language, lowest hash first, and SAMPLE_CHARS of
-their symbols; this keeps states in 16 bits and the tables in some 6 MB a language.
 
-Null texts and texts without a letter are `und` with score 0. A tie goes to the language first by code point. With
-no labelled text at all everything is `und`.
+The labelled sample, which bounds the model and is all that is learnt from: for each language texts in the order of a hash
+of id and text (equal rows count once) until SAMPLE_CHARS symbols are reached; of a text longer than SPAN characters a
+window of SPAN from a place that its hash chooses. The edges of an automaton are kept in rows that overlap in one
+array, so a language takes some 30 bytes a symbol of its text, whatever the number of letters.
+
+Null texts and texts without a letter are `und` with score 0. A tie goes to the language first by code point. Null and repeated
+ids are rows like others; very long texts are parsed whole; extra columns are left out (select() keeps them). With
+no labelled text at all everything is `und`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import annotate, crc_bucket, map_slices, names, plain, worker_cache
 
 BLOCK = 512
-SAMPLE_DOCS = 48
-SAMPLE_CHARS = 32_000
+#: Symbols of a language's text, and characters that one text gives at most.
+SAMPLE_CHARS, SPAN = 64_000, 4_000
 SEED = 5
 
 
@@ -34,9 +38,8 @@ def clean(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
-def automaton(text: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of `text` (symbols 0 to letters - 1): [state, symbol] -> state; state 0 is the
-    start, and as nothing leads there, 0 also means none."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of `text`: for each state symbol -> state. State 0 is the start; nothing leads there."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -62,11 +65,42 @@ def automaton(text: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.zeros((len(go), letters), np.uint16)
-    for s, nexts in enumerate(go):
-        for c, t in nexts.items():
-            table[s, c] = t
-    return table
+    return go
+
+
+def overlapped(go: list[dict[int, int]], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of edges laid over one another in one array: the edge of state s by symbol c is at base[s] + c, if owner there is s."""
+    base, owner, to, taken, free = [0] * len(go), [-1] * letters, [0] * letters, bytearray(letters), 0
+    for s in sorted(range(len(go)), key=lambda k: -len(go[k])):
+        edges = go[s]
+        if not edges:
+            continue
+        syms, tries = sorted(edges), 0
+        while free < len(owner) and owner[free] >= 0:
+            free += 1
+        if syms[-1] - syms[0] > 256:  # few edges far apart: gaps are looked for everywhere
+            full = np.frombuffer(bytes(taken), np.uint8)
+            b = np.flatnonzero(full[syms[0] :] == 0)
+            for c in syms[1:]:
+                b = b[(b + c >= len(full)) | (full[np.minimum(b + c, len(full) - 1)] == 0)]
+            b = int(b[0]) if len(b) else len(full)
+        else:
+            at = max(free, syms[0])
+            while any(at - syms[0] + c < len(owner) and owner[at - syms[0] + c] >= 0 for c in syms):
+                at, tries = at + 1, tries + 1
+                if tries == 64:  # else the row goes to the end
+                    at = max(at, len(owner))
+            b = at - syms[0]
+        if b + syms[-1] >= len(owner):
+            more = b + syms[-1] + 1 - len(owner)
+            owner += [-1] * more
+            to += [0] * more
+            taken += bytes(more)
+        base[s] = b
+        for c in syms:
+            owner[b + c], to[b + c], taken[b + c] = s, edges[c], 1
+    pad = max(base) + letters - len(owner)
+    return np.array(base, np.int32), np.array(owner + [-1] * pad, np.int32), np.array(to + [0] * pad, np.int32)
 
 
 class Model:
@@ -76,13 +110,19 @@ class Model:
         self.langs = sorted(texts)
         letters = sorted(set("".join(texts.values())) - {" "})
         self.alphabet = [" ", *letters]
-        n = len(self.alphabet) + 1
+        self.letters = len(self.alphabet) + 1
         code = {c: k for k, c in enumerate(self.alphabet)}
-        tables = [automaton(np.array([code[c] for c in texts[x]], np.int64), n) for x in self.langs]
+        tables = [overlapped(automaton(np.array([code[c] for c in texts[x]], np.int64)), self.letters) for x in self.langs]
         self.bits = np.array([np.log2(max(2, len(texts[x]))) for x in self.langs])
-        self.letters = n
-        self.base = np.cumsum([0, *(t.size for t in tables[:-1])]).astype(np.int64) if tables else np.zeros(0, np.int64)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint16)
+        shift = lambda k: np.cumsum([0, *(len(t[k]) for t in tables[:-1])]) if tables else np.zeros(0, np.int64)
+        join = lambda k: np.concatenate([t[k] for t in tables]) if tables else np.zeros(0, np.int32)
+        self.state0, self.slot0 = shift(0), shift(1)
+        self.base, self.owner, self.to = join(0), join(1), join(2)
+
+    def step(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """The next state of each language (row) and text (column); 0 if there is none."""
+        at = self.base[self.state0[:, None] + state] + self.slot0[:, None] + sym
+        return np.where(self.owner[at] == state, self.to[at], 0)
 
     def symbols(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -94,7 +134,7 @@ class Model:
 
     def codes(self) -> np.ndarray:
         if not hasattr(self, "_codes"):
-            self._codes = np.full(0x110000, self.letters - 1, np.uint16)
+            self._codes = np.full(0x110000, self.letters - 1, np.int32)
             for k, c in enumerate(self.alphabet):
                 self._codes[ord(c)] = k
         return self._codes
@@ -117,13 +157,13 @@ class Model:
         state = np.zeros((L, B), np.int64)
         count = np.zeros((L, B), np.int32)
         live = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # blocks longer than t
-        base = self.base[:, None]
+        start = self.step(np.zeros((L, 1), np.int64), np.arange(self.letters)[None, :])
         for t, n in enumerate(live.tolist()):
-            sym = stream[begin[:n] + t][None, :]
+            sym = stream[begin[:n] + t]
             s = state[:, :n]
-            nxt = self.table[base + s * self.letters + sym]
+            nxt = self.step(s, sym[None, :])
             fail = nxt == 0
-            again = self.table[base + sym]
+            again = start[:, sym]
             count[:, :n] += fail & (s != 0)
             count[:, :n] += fail & (again == 0)
             state[:, :n] = np.where(fail, again, nxt)
@@ -135,7 +175,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a symbol of each text."""
-        sym = [self.symbols(t) if t else np.zeros(0, np.uint16) for t in texts]
+        sym = [self.symbols(t) if t else np.zeros(0, np.int32) for t in texts]
         size = np.fromiter(map(len, sym), np.int64, len(sym))
         if not self.langs:
             return ["und"] * len(sym), np.zeros(len(sym)), np.zeros(len(sym))
@@ -152,21 +192,25 @@ def is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def fit(docs: DataFrame, held_out: int = 2, of: int = 4, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from labelled texts outside the held-out part. Two scans: counts by language, then the few rows whose
+def fit(docs: DataFrame, held_out: int = 2, of: int = 4, sample_chars: int = SAMPLE_CHARS, span: int = SPAN) -> Model:
+    """Learns from labelled texts outside the held-out part. Two scans: characters by language, then the few rows whose
     hash is low enough for the sample."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = plain(docs, doc_id=kind, text="string", lang="string").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket(of) != held_out))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    size = F.least(F.length("text"), F.lit(span))
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(size).alias("n")).collect()}
+    if not any(have.values()):
         return Model({})
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / float(1 << 53)
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 8 * sample_docs / n))))
-    few = rows.where(u < F.element_at(share, F.col("lang"))).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(u, "doc_id", F.xxhash64("text"))))
-    few = few.where(F.col("_r") <= sample_docs).select("lang", "_r", F.left("text", F.lit(4 * sample_chars // sample_docs)).alias("text"))
+    h = F.xxhash64("doc_id", "text", F.lit(SEED))
+    u = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    share = F.create_map(*(F.lit(x) for k, n in sorted(have.items()) for x in (k, min(1.0, 4 * (sample_chars + span) / max(n, 1)))))
+    begin = F.pmod(h, F.length("text") - size + 1).cast("int") + 1
+    few = rows.where(u < F.element_at(share, F.col("lang"))).select("lang", h.alias("h"), F.substring("text", begin, F.lit(span)).alias("text")).distinct()
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h", "text").rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * sample_chars)
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in few.collect():  # sample_docs rows a language at most
-        found.setdefault(r["lang"], []).append((r["_r"], r["text"]))
+    for r in few.collect():  # 2 * sample_chars + span characters a language at most: blanks and signs go in clean()
+        found.setdefault(r["lang"], []).append((r["before"], r["text"]))
     texts = {k: re.sub(" +", " ", " ".join(clean(t) for _, t in sorted(v)))[:sample_chars].strip() for k, v in found.items()}
     return Model({k: v for k, v in texts.items() if v})
 

@@ -147,6 +147,33 @@ def test_cross_parsing():
             assert got[k, i] == greedy(norm, texts[lang]), (lang, t)
 
 
+def test_automata_of_many_letters_stay_small():
+    """3,000 letters beside a language of 26: some megabytes, and parsing as by plain search."""
+    rng = np.random.default_rng(0)
+    many = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 32_000))
+    few = "".join("abcdefghij "[int(k)] for k in rng.integers(0, 11, 32_000)).replace("  ", " ").strip()
+    m = langid.Model({"few": few, "many": many})
+    assert (m.base.nbytes + m.owner.nbytes + m.to.nbytes) / 2 < 4e6
+    tried = [many[100:900] + many[50:99], few[7:700] + many[:5], "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3500, 600))]
+    got = m.phrases([m.symbols(t) for t in tried])
+    for i, t in enumerate(tried):
+        assert [greedy(t, few), greedy(t, many)] == got[:, i].tolist()
+
+
+def test_sample_comes_from_anywhere_in_a_text(spark):
+    """A language whose texts begin with another's words is still learnt from what follows."""
+    rows = [(i, "the and of thing " * 300 + "ción que ñez los mente " * 3000, "es", "s") for i in range(20)]
+    rows += [(100 + i, "the and of thing onth erea " * 400, "en", "s") for i in range(20)]
+    rows += [(1000 + i, "ción que ñez los mente " * 20, None, "s") for i in range(3)]
+    lang = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd(spark, rows)).collect()}
+    assert {lang[1000 + i] for i in range(3)} == {"es"}
+
+
+def test_tie_goes_to_the_first_by_code_point():
+    m = langid.Model({"b": "one two three", "a": "one two three"})
+    assert m.predict(["one two", None, "12"])[0] == ["a", "und", "und"]
+
+
 def test_languages(spark):
     rows = langid.identify(odd(spark)).collect()
     assert len(rows) == len(odd_rows())
