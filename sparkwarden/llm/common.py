@@ -141,6 +141,13 @@ def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fiel
     return map_batches(df.toDF(*within), run, T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields]))
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, with as many more underscores as it takes that no column's name begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def names(df: DataFrame) -> list[str]:
     """Column names that select() takes as they are, dots and all."""
     return [f"`{c.replace('`', '``')}`" for c in df.columns]

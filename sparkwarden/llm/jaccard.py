@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, forget_unused, map_slices, plain, small, windows, word_hashes, word_lists
+from .common import Scratch, forget_unused, free_prefix, map_slices, plain, small, windows, word_hashes, word_lists
 
 WORDS, SHARE = 5, 75
 SKETCH, SHARED = 64, 16
@@ -325,7 +325,8 @@ def select(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame
     least = scratch.stage(rows.groupBy("node").agg(F.min(key).alias("key")).join(of, "node").groupBy("label").agg(F.min("key").alias("best")), "least")
     every = rows.where("n > 0").groupBy("node", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")).join(of.select("node", "label"), "node").join(least, "label")
     every = scratch.stage(every.select("doc_id", "h", "times", (key != F.col("best")).alias("goes")), "every")
-    goes = small(every.where("goes").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
-    left = docs.join(goes, docs["doc_id"].eqNullSafe(goes["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(goes["_h"]), "left_anti")
+    p = free_prefix(docs, "_j_")
+    goes = small(every.where("goes").select(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h")))
+    left = docs.join(goes, docs["doc_id"].eqNullSafe(goes[f"{p}id"]) & F.xxhash64(docs["text"]).eqNullSafe(goes[f"{p}h"]), "left_anti")
     # Rows that are the same in id and text can't be told apart by that key; only where there are any, rows are compared.
     return left.dropDuplicates(["doc_id", "text"]) if every.where("not goes and times > 1").limit(1).count() else left

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import annotate, crc_bucket, map_slices, names, plain, worker_cache
+from .common import annotate, crc_bucket, free_prefix, map_slices, names, plain, worker_cache
 
 BLOCK = 512
 #: Symbols of a language's text, and characters that one text gives at most.
@@ -241,4 +241,5 @@ def select(docs: DataFrame, least: float = 0.5, **bounds: int) -> DataFrame:
         lang, score, _ = shared.value.predict(batch.column("text").to_pylist())
         return [pa.array(lang, pa.string()), pa.array(score)]
 
-    return annotate(docs, run, "_l_lang string, _l_score double").where((F.col("_l_lang") != "und") & (F.col("_l_score") >= least)).select(*names(docs))
+    p = free_prefix(docs, "_l_")
+    return annotate(docs, run, f"{p}lang string, {p}score double").where((F.col(f"{p}lang") != "und") & (F.col(f"{p}score") >= least)).select(*names(docs))

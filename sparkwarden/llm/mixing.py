@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, names, plain, small
+from .common import WORD, Scratch, free_prefix, names, plain, small
 
 SEED = 97
 #: Words in a block: what a source's share can be off by.
@@ -128,7 +128,8 @@ def select(docs: DataFrame, **options) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixed")
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(SEED + 1)), 11) / float(1 << 53)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + u)).otherwise(0).cast("int")
-    keys = mix(docs, **options).withColumn("_copies", copies).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.max("_copies").alias("_copies"))
-    keys = small(scratch.stage(keys.where("_copies > 0"), "copies"))
-    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_h"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(docs[c] for c in names(docs)))
+    p = free_prefix(docs, "_m_")
+    keys = mix(docs, **options).withColumn("_copies", copies).groupBy(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}h")).agg(F.max("_copies").alias(f"{p}copies"))
+    keys = small(scratch.stage(keys.where(f"`{p}copies` > 0"), "copies"))
+    rows = docs.join(keys, docs["doc_id"].eqNullSafe(keys[f"{p}id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys[f"{p}h"]))
+    return rows.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), f"{p}copies"))).select(*(docs[c] for c in names(docs)))

@@ -5,7 +5,8 @@ failed rule; a policy is a mask of rule bits, and policies have versions. Applyi
 asking what each rule alone removes, then reads the ledger and never the texts.
 
 Null and empty texts have no words: all measurements are 0 and `few_words` fails. Repeated rows get one
-ledger row each; null ids stay null; other columns are ignored.
+ledger row each; null ids stay null; other columns are ignored (select() keeps them, whatever their names). Very long texts are
+measured whole, each in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,31 +18,55 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, map_slices, names, plain, starts, sums, windows, word_hashes, word_lists, worker_cache
+from .common import Scratch, annotate, free_prefix, map_slices, names, plain, starts, sums, windows, word_hashes, word_lists, worker_cache
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
-
-#: Rule name -> condition of failure. The position is the bit.
+#: Beside those of its name: bytes of the longest word; words with a letter; occurrences of the most frequent word; different words;
+#: lines with a word (n_lines), and those of them that end a sentence.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_digits", "n_longest", "n_letter_words",
+    "n_top_word", "n_distinct", "n_ended",
+)
+
+#: Rule name -> condition of failure. The position is the bit; new rules come last.
 RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
     "symbols": "100 * n_symbols > 50 * n_words",
     "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "capitals": "100 * n_capitals > 60 * n_letters",
-    "word_length": "word_chars > 40 * n_words OR word_chars < n_words",
+    "short_words": "word_chars < 4 * n_words",
+    "long_words": "10 * word_chars > 75 * n_words",
+    "longest_word": "n_longest > 30",
+    "many_words": "n_words > 10000",
+    "digits": "100 * n_digits > 5 * word_chars",
+    "few_letters": "100 * n_letter_words < 80 * n_words",
+    "top_word": "100 * n_top_word > 20 * n_words",
+    "few_kinds": "100 * n_distinct < 40 * n_words",
+    "unended_lines": "100 * n_ended < 20 * n_lines",
+    "short_lines": "n_words < 4 * n_lines",
+    "one_line": "n_lines < 2",
 }
 #: Policy -> version -> the rules that reject.
 POLICIES: dict[str, dict[int, tuple[str, ...]]] = {
-    "web": {1: ("few_words", "repeated_words"), 2: ("few_words", "repeated_words", "symbols", "repeated_lines", "capitals", "word_length")},
+    "web": {1: ("few_words", "repeated_words"), 2: ("few_words", "repeated_words", "symbols", "repeated_lines", "capitals")},
+    "strict": {1: tuple(RULES)},
 }
 
 
 @worker_cache
-def letter_kinds() -> np.ndarray:
-    """For each code point 0, 1 for a letter of any script, 2 for a capital."""
-    return np.fromiter((c.isalpha() + (c.isalpha() and c.isupper()) for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+def char_kinds() -> np.ndarray:
+    """For each code point 0, 1 for a letter of any script, 2 for a capital, 3 for a digit, 5 for a blank."""
+
+    def kind(c: str) -> int:
+        if c in BLANKS:
+            return 5
+        if c.isalpha():
+            return 1 + c.isupper()
+        return 3 * c.isdigit()
+
+    return np.fromiter(map(kind, map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -50,15 +75,33 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     out = {"n_words": counts}
     t = [x or "" for x in texts]
     n = len(t)
-    out["word_chars"] = np.fromiter((len(x) - sum(map(x.count, BLANKS)) for x in t), np.int64, n)
-    out["n_symbols"] = np.fromiter((sum(map(x.count, SYMBOLS)) for x in t), np.int64, n)
-    lines = [[y for y in x.split("\n") if y.strip(BLANKS)] for x in t]
-    out["n_lines"] = np.fromiter(map(len, lines), np.int64, n)
-    out["n_dup_lines"] = out["n_lines"] - np.fromiter((len(set(x)) for x in lines), np.int64, n)
     size = np.fromiter(map(len, t), np.int64, n)
-    kind = letter_kinds()[np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    out["n_capitals"] = sums(kind == 2, size)
-    out["n_letters"] = sums(kind > 0, size)
+    kind = char_kinds()[np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out["word_chars"] = sums(kind != 5, size)
+    for name, k in (("n_capitals", 2), ("n_digits", 3)):
+        out[name] = sums(kind == k, size)
+    letter = (kind == 1) | (kind == 2)
+    out["n_letters"] = sums(letter, size)
+    # Words with a letter: the letters that come first in their word.
+    start = np.ones(len(kind), bool)
+    start[1:] = (kind[:-1] == 5) | (np.repeat(np.arange(n), size)[1:] != np.repeat(np.arange(n), size)[:-1])
+    word = np.cumsum(start)[letter]
+    first = np.zeros(len(kind), bool)
+    first[np.flatnonzero(letter)[np.diff(word, prepend=0) > 0]] = True
+    out["n_letter_words"] = sums(first, size)
+    out["n_symbols"] = np.fromiter((sum(map(x.count, SYMBOLS)) for x in t), np.int64, n)
+    raw = [[y for y in x.split("\n") if y.strip(BLANKS)] for x in t]
+    out["n_lines"] = np.fromiter(map(len, raw), np.int64, n)
+    out["n_dup_lines"] = out["n_lines"] - np.fromiter((len(set(x)) for x in raw), np.int64, n)
+    out["n_ended"] = np.fromiter((sum(y.rstrip(BLANKS).endswith((".", "!", "?", '"', "…", "。")) for y in x) for x in raw), np.int64, n)
+    out["n_longest"] = np.fromiter((max(map(len, x), default=0) for x in lists), np.int64, n)
+    # Words by text: different ones, and how often the most frequent one occurs.
+    key = h ^ (np.repeat(np.arange(n, dtype=np.uint64), counts) * np.uint64(0x9E3779B97F4A7C15))
+    _, at, times = np.unique(key, return_index=True, return_counts=True)
+    text = np.repeat(np.arange(n), counts)[at]
+    out["n_distinct"] = np.bincount(text, minlength=n).astype(np.int64)
+    out["n_top_word"] = np.zeros(n, np.int64)
+    np.maximum.at(out["n_top_word"], text, times)
     out["n_repeat_words"] = repeated(h, counts)
     return out
 
@@ -99,20 +142,29 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 def fail_bits(prefix: str = "") -> Column:
     """The bit pattern of a row of measurements, whose columns may have a prefix."""
-    at = lambda rule: F.expr(re.sub(r"[a-z]\w*_\w+", lambda m: prefix + m[0], rule))
+    at = lambda rule: F.expr(re.sub(r"[a-z]\w*_\w+", lambda m: f"`{prefix}{m[0]}`", rule))
     bits = [F.when(at(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     return sum(bits[1:], bits[0]).cast("long")
 
 
-def select(docs: DataFrame, policy: str = "web", version: int | None = None) -> DataFrame:
-    """The rows that a policy keeps, with all their columns."""
+def annotated(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of the documents with the ledger's beside them, and the prefix of these names, which no other column has."""
+    prefix = free_prefix(docs, "_q_")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         m = measure(batch.column("text").cast(pa.string()).to_pylist())
         return [pa.array(m[k], pa.int64()) for k in MEASURES]
 
-    rows = annotate(docs, run, ", ".join(f"_q_{k} long" for k in MEASURES))
-    return rows.where(fail_bits("_q_").bitwiseAND(F.lit(mask(policy, version))) == 0).select(*names(docs))
+    rows = annotate(docs, run, ", ".join(f"{prefix}{k} long" for k in MEASURES))
+    return rows.withColumn(f"{prefix}fail_bits", fail_bits(prefix)), prefix
+
+
+def select(docs: DataFrame, policy: str = "web", version: int | None = None) -> DataFrame:
+    """The rows that a policy keeps, with all their columns. The ledger is written to the shared folder beside the rows, once,
+    and the policy reads it there: no text is measured twice and no row is shuffled."""
+    rows, prefix = annotated(docs)
+    rows = Scratch(docs.sparkSession, "ledger").stage(rows, "ledger")
+    return rows.where(F.col(f"{prefix}fail_bits").bitwiseAND(F.lit(mask(policy, version))) == 0).select(*names(docs))
 
 
 def mask(policy: str = "web", version: int | None = None) -> int:

@@ -29,7 +29,7 @@ def odd_rows(n: int = 60, seed: int = 3) -> list[tuple]:
 
 def odd(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     df = spark.createDataFrame(odd_rows() if rows is None else rows, "doc_id long, text string, lang string, source string")
-    return df.selectExpr("*", "1 as size", "'x' as digest", "0 as shard", "array(1) as words", "current_timestamp() as `a.b`", "1 as row")
+    return df.selectExpr("*", "1 as size", "'x' as digest", "0 as shard", "array(1) as words", "current_timestamp() as `a.b`", "1 as row", "1 as _q_n_words", "2 as _copies", "3 as _m_copies", "4 as _l_lang", "5 as _id", "6 as _j_h", "7 as `_Q_x`")
 
 
 def empty(spark: SparkSession) -> DataFrame:
