@@ -10,22 +10,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .policy import A, CLEAN, Policy, PolicyViolation, T, norm, parse
-from .varied import ByRow, Varied, any_of, lift, merged, shadow, worst
+from .policy import A, CLEAN, N, Policy, PolicyViolation, T, norm, parse
+from .varied import ByRow, Varied, any_of, chosen, lift, merged, shadow, worst
 
 ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b, "mod": lambda a, b: a % b, "pow": F.pow}
 COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b}
+
+
+def least_of(c: Column, real: bool) -> Column:
+    """Spark's min takes NaN as the largest number and so passes it over; here a NaN in a group is its least."""
+    return F.when(F.max(F.isnan(c)), F.lit(float("nan"))).otherwise(F.min(c)) if real else F.min(c)
+
+
+def no_nan(c: Column, real: bool) -> Column:
+    return F.when(~F.isnan(c), c) if real else c
+
+
+def quantile(c: Column, q: float, how: str = "linear") -> Column:
+    """Exact; between two values `how` is linear, lower, higher, midpoint or nearest (half to the even place)."""
+    if how == "linear":
+        return F.percentile(c, F.lit(q))
+    sorted_ = F.array_sort(F.collect_list(c))
+    at = (F.size(sorted_) - 1) * F.lit(q)
+    lo, hi = F.get(sorted_, F.floor(at).cast("int")), F.get(sorted_, F.ceil(at).cast("int"))
+    return {"lower": lo, "higher": hi, "midpoint": (lo + hi) / 2, "nearest": F.get(sorted_, F.bround(at).cast("int"))}[how]
+
+
+#: method -> aggregate of (column, whether it has NaNs, parameters).
 AGGREGATES: dict[str, Callable[..., Column]] = {
-    "sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "len": lambda c: F.count(F.lit(1)), "count": F.count, "median": F.median, "nunique": F.count_distinct,
-    "first": F.min, "last": F.max, "std": F.stddev_samp, "var": F.var_samp, "implode": lambda c: F.array_sort(F.collect_list(c)),
+    "sum": lambda c, _: F.sum(c), "mean": lambda c, _: F.avg(c), "max": lambda c, _: F.max(c), "min": least_of, "len": lambda c, _: F.count(c), "count": lambda c, _: F.count(c),
+    "nanmin": lambda c, real: F.min(no_nan(c, real)), "nanmax": lambda c, real: F.max(no_nan(c, real)), "median": lambda c, _: F.median(c), "nunique": lambda c, _: F.count_distinct(c),
+    "std": lambda c, _, ddof=1: (F.stddev_samp if ddof else F.stddev_pop)(c), "var": lambda c, _, ddof=1: (F.var_samp if ddof else F.var_pop)(c), "quantile": lambda c, _, q, how="linear": quantile(c, q, how),
+    "implode": lambda c, _: F.collect_list(c), "groups": lambda c, _: F.array_sort(F.collect_list(c)),
 }
 
 
+def aggregate(method: str, c: Column, real: bool, where: Column | None, *args: Any) -> Column:
+    """The aggregate of a method; first and last need the name of an ordering column."""
+    only = (lambda x: x) if where is None else (lambda x: F.when(where, x))
+    if method in ("first", "last"):
+        if not args:
+            raise ValueError(f"{method} needs the column by which rows are ordered")
+        order = only(F.col(f"`{args[0]}`"))
+        return F.min_by(c, order) if method == "first" else F.max_by(c, order)
+    return AGGREGATES[method](only(c), real, *args)
+
+
 @dataclass(frozen=True)
 class Expr:
     """A Spark column and the policy of its cells, given those of the frame's columns."""
@@ -98,6 +134,36 @@ class Expr:
 
         return Expr(build)
 
+    def _test(self, of: Callable[[Column], Column]) -> Expr:
+        """A predicate: its cells have the policy of what it looks at, like comparisons."""
+        return Expr(lambda f: (lambda c, p: (of(c), p))(*self.build(f)))
+
+    __invert__ = lambda s: s._test(lambda c: ~c)
+    __neg__ = lambda s: s.apply("neg", lambda c: -c)
+    is_null = lambda s: s._test(lambda c: c.isNull())
+    is_in = lambda s, *xs: s._test(lambda c: c.isin(*xs))
+    between = lambda s, a, b: s._test(lambda c: c.between(a, b))
+    like = lambda s, pattern: s._test(lambda c: c.like(pattern))
+    contains = lambda s, pattern: s._test(lambda c: c.rlike(pattern))
+    starts_with = lambda s, x: s._test(lambda c: c.startswith(x))
+    ends_with = lambda s, x: s._test(lambda c: c.endswith(x))
+    year = lambda s: s.apply("year", F.year)
+    round = lambda s, n=0: s.apply("round", lambda c, n: F.round(c, n), n)
+    substring = lambda s, at, n: s.apply("substring", lambda c, a, n: F.substring(c, a, n), at, n)
+    redact = lambda s, by="*": s.apply("redact", lambda c: F.when(c.isNotNull(), F.lit(by)))
+    identity = lambda s: s.apply("identity", lambda c: c)
+
+    def laplace(self, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> Expr:
+        """With Laplace noise of scale sensitivity / epsilon, which discharges N labels of this epsilon or a larger one."""
+
+        def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
+            c, p = self.build(f)
+            u = F.rand(seed) - 0.5
+            noise = -F.signum(u) * F.log1p(-2 * F.abs(u) + 1e-300) * (sensitivity / epsilon)
+            return c + noise, lift(lambda p: p.downgrade(N(epsilon), "laplace"), p)
+
+        return Expr(build)
+
     def cast(self, kind: str) -> Expr:
         return Expr(lambda f: (lambda c, p: (c.cast(kind), p))(*self.build(f)))
 
@@ -115,15 +181,21 @@ def as_expr(x: Any) -> Expr:
 
 
 def when(cond: Expr, yes: Any, no: Any) -> Expr:
-    """Both arms' policies count: which arm a row takes isn't known before it runs."""
+    """Each row has the policy of the arm that it takes. Under an aggregate with a least group size only the rows that
+    take a protected arm count, so that a condition can't single out a row."""
 
     def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
         (c, _), (a, pa), (b, pb) = cond.build(f), as_expr(yes).build(f), as_expr(no).build(f)
-        return F.when(c, a).otherwise(b), lift(Policy.join, pa, pb)
+        return F.when(c, a).otherwise(b), chosen(c, pa, pb)
 
     return Expr(build)
 
 
+def function(name: str, *args: Any) -> Expr:
+    """A built-in function without protected arguments: its cells are clean."""
+    return Expr(lambda f: (F.call_function(name, *map(F.lit, args)), CLEAN))
+
+
 def offset_by(e: Expr, duration: str) -> Expr:
     return e.apply("dt.offset_by", lambda c, d: c + F.expr(f"INTERVAL {d[:-1]} {dict(s='SECOND', m='MINUTE', h='HOUR', d='DAY')[d[-1]]}"), duration)
 
@@ -184,10 +256,11 @@ class GuardedFrame:
         return GuardedFrame(self._df.select(*sides[0]).unionByName(other._df.select(*sides[1])), {c: m[0].at(c) for c, m in both.items()}, (*self._duties, *other._duties))
 
     def distinct(self) -> GuardedFrame:
-        varied = {c: any_of(p) for c, p in self.policies.items() if isinstance(p, Varied)}
+        groups = self._df.groupBy(*(f"`{c}`" for c in self.policies))
+        varied = {c: any_of(p, lambda k: looked_up(groups, k)) for c, p in self.policies.items() if isinstance(p, Varied)}
         if not varied:
             return self._with(self._df.select(*(f"`{c}`" for c in self.policies)).distinct(), self.policies)
-        df = self._df.groupBy(*(f"`{c}`" for c in self.policies)).agg(*(m.pid.alias(shadow(c)) for c, m in varied.items()))
+        df = groups.agg(*(m.pid.alias(shadow(c)) for c, m in varied.items()))
         return self._with(df, self.policies | {c: m.at(c) for c, m in varied.items()})
 
     def sort(self, *by: Any) -> GuardedFrame:
@@ -209,6 +282,18 @@ class GuardedFrame:
         except PolicyViolation:
             return "deny"
 
+    def sample(self, fraction: float, seed: int | None = None) -> GuardedFrame:
+        return self._with(self._df.sample(fraction, seed), self.policies)
+
+    def group(self, **key: Any) -> GuardedFrame:
+        """The rows of one group: those whose key columns have these values."""
+        return self._with(self._df.where(reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in key.items()), F.lit(True))), self.policies)
+
+    def explain(self, mode: str = "formatted") -> None:
+        """Spark's plan and the columns' policies; no rows."""
+        self._df.explain(mode)
+        print("\n".join(f"{c}: {' | '.join(p)}" for c, p in self.explain_policies().items()))
+
     def explain_policies(self) -> dict[str, list[str]]:
         """The policies that cells of each column can have."""
         return {c: list(map(str, p.table if isinstance(p, Varied) else (p,))) for c, p in self.policies.items()}
@@ -231,36 +316,50 @@ class GuardedFrame:
         return self._df.select(*(f"`{c}`" for c in self.policies))
 
 
+def looked_up(groups: Any, key: Column) -> list[str]:
+    """The different values of an aggregate over the groups."""
+    return [r[0] for r in groups.agg(key.alias("_found")).select("_found").distinct().collect()]
+
+
 @dataclass(frozen=True)
 class Grouped:
     frame: GuardedFrame
     keys: tuple[str, ...]
 
-    def agg(self, suppress: bool = False, **aggs: tuple[str, Expr | None]) -> GuardedFrame:
-        """name=(method, expression); with `suppress` groups that are too small are left out instead of forbidding all.
+    def agg(self, suppress: bool = False, **aggs: tuple) -> GuardedFrame:
+        """name=(method, expression, parameters..., filter): first and last take the name of an ordering column, std and var a ddof,
+        quantile its q and interpolation; an expression behind these filters the rows that are aggregated, and those that
+        pass are the group whose size counts. With `suppress` groups that are too small are left out instead of forbidding all.
 
         A key has the policies of all its cells in the group; so has what is left of those of an aggregated expression."""
-        f, out, need, varying = self.frame, [], 0, []
+        f, out, short = self.frame, [], []
+        groups = f._df.groupBy(*(f"`{k}`" for k in self.keys))
+        look = lambda k: looked_up(groups, k)
         policies: dict[str, Policy | Varied] = {}
         for k in self.keys:
             p = f.policies[k]
-            policies[k] = any_of(p) if isinstance(p, Varied) else p
-        for name, (method, e) in aggs.items():
+            policies[k] = any_of(p, look) if isinstance(p, Varied) else p
+        for name, (method, e, *args) in aggs.items():
+            where = args.pop().build(f)[0] if args and isinstance(args[-1], Expr) else None
             c, p = e.build(f) if e is not None else (F.lit(1), CLEAN)
-            out.append(AGGREGATES[method](c).alias(name))
+            real = method in ("min", "nanmin", "nanmax") and f._df.select(c).schema[0].dataType.simpleString() in ("float", "double")
+            out.append(aggregate(method, F.lit(1) if method == "len" else c, real, where, *args).alias(name))
             least = lambda p: dict(p.labels[0].ops).get(norm(method), 0) if p.labels and p.labels[0].kind == "A" else 0  # noqa: B023, E731
             after = lift(lambda p: p.downgrade(A(method, k=least(p)), method, name), p)  # noqa: B023
+            passed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
             if isinstance(p, Varied):
-                varying.append(F.max(p.number([least(q) for q in p.table])))
-            else:
-                need = max(need, least(p))
-            policies[name] = any_of(after) if isinstance(after, Varied) else after
+                for i, k in ((i, least(q)) for i, q in enumerate(p.table) if least(q)):
+                    there = passed & (p.pid == i)
+                    rows = F.count_if(there if p.own else passed)
+                    short.append(F.when(F.count_if(there) > 0, rows - k))
+            elif least(p):
+                short.append(F.when(F.count_if(passed) > 0, F.count_if(passed) - least(p)))  # an empty group discloses nothing
+            policies[name] = any_of(after, look) if isinstance(after, Varied) else after
         ids = [p.pid.alias(shadow(n)) for n, p in policies.items() if isinstance(p, Varied)]
         at = {n: p.at(n) for n, p in policies.items()}
-        required = F.greatest(F.lit(need), *varying) if varying else F.lit(need)
-        groups = f._df.groupBy(*(f"`{k}`" for k in self.keys))
-        if suppress and (need or varying):
-            df = groups.agg(*out, *ids, F.count(F.lit(1)).alias("_n"), required.alias("_need")).where("_n >= _need").drop("_n", "_need")
-            return f._with(df, at)
-        counts = groups.agg((F.count(F.lit(1)) - required).alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 0")  # an empty table discloses nothing
-        return f._with(groups.agg(*out, *ids), at, *([(counts, 0, "aggregation")] if need or varying else []))
+        if not short:
+            return f._with(groups.agg(*out, *ids), at)
+        slack = F.coalesce(F.least(*short, F.lit(None).cast("long")), F.lit(0))  # the least of them; nulls are passed over
+        if suppress:
+            return f._with(groups.agg(*out, *ids, slack.alias("_slack")).where("_slack >= 0").drop("_slack"), at)
+        return f._with(groups.agg(*out, *ids), at, (groups.agg(slack.alias("n")), 0, "aggregation"))

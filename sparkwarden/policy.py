@@ -20,11 +20,19 @@ ALIAS = {"+": "add", "-": "sub", "*": "mul", "/": "div", "%": "mod", "^": "pow",
 class PolicyViolation(Exception):
     """An operation or a release that a policy forbids."""
 
+    code = "privacy"
+
     def __init__(self, what: str, column: str = "", policy: Policy | None = None) -> None:
         super().__init__(f"{what}" + (f" on column {column!r}" if column else "") + (f": {policy}" if policy is not None else ""))
         self.what, self.column, self.policy = what, column, policy
 
 
+class NotAllowed(PolicyViolation):
+    """A statement, relation or plan node that isn't known to be safe, whatever the policies say."""
+
+    code = "invalid operation"
+
+
 def norm(name: str) -> str:
     return ALIAS.get(name.lower(), name.lower())
 
@@ -64,6 +72,8 @@ class Label:
         if self.kind == "A":
             need = dict(self.ops)
             return all(m in need and n >= need[m] for m, n in op.ops)
+        if self.kind == "N":  # noise of the same epsilon or a smaller one, which is more noise
+            return bool(op.ops) and all(any(e <= x and (d or 0) <= (y or 0) for x, y in self.ops) for e, d in op.ops)
         return bool(op.ops) and op.ops <= self.ops
 
     def __str__(self) -> str:
@@ -158,6 +168,8 @@ def parse(text: str) -> Policy:
                 label = Label("N", frozenset((float(e), float(d) if d else None) for e, _, d in (x.partition(",") for x in items)))
         else:
             raise ValueError(f"not a label: {part!r}")
+        if out.labels and (out.labels[-1] == BOT or label == TOP):
+            raise ValueError(f"{label} can't follow {out.labels[-1]}")  # what comes after bot, or before top, would never count
         out = Policy((*out.labels, label))
     return out
 

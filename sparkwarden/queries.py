@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .frame import GuardedFrame, col, lit, offset_by, when
 from .plans.context import PolicyContext
-from .policy import PolicyViolation
+from .policy import PolicyViolation, parse
+from .sources import policies as files
+from .sources.policies import MICRO
 from .varied import ByRow
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -44,6 +47,8 @@ SQL: dict[str, str] = {
     "agg_var": "SELECT l_returnflag, round(var_samp(l_quantity), 5) AS v, round(var_pop(l_quantity), 5) AS v0 FROM lineitem GROUP BY l_returnflag",
     "agg_first": "SELECT l_suppkey, min_by(l_orderkey, l_orderkey * 100 + l_linenumber) AS f FROM lineitem GROUP BY l_suppkey",
     "agg_last": "SELECT l_suppkey, max_by(l_orderkey, l_orderkey * 100 + l_linenumber) AS f FROM lineitem GROUP BY l_suppkey",
+    "agg_quantile": "SELECT l_returnflag, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS lo, percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag",
+    "agg_filter": "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n, max(l_extendedprice) FILTER (WHERE l_discount < 0.05) AS hi FROM lineitem GROUP BY l_returnflag",
     "global_agg": "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders",
     "case_when": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "is_in": "SELECT p_partkey FROM part WHERE p_size IN (1, 7, 14, 49) AND p_type IN ('PROMO', 'SMALL')",
@@ -54,6 +59,7 @@ SQL: dict[str, str] = {
     "correlated_subquery": "SELECT p_partkey FROM part WHERE p_retailprice > 1000 AND p_size < (SELECT max(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)",
     "having": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 8",
     "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY l_returnflag, l_linestatus",
+    "tpch_q2": "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment = 'BUILDING' AND o_totalprice = (SELECT min(x.o_totalprice) FROM orders x WHERE x.o_custkey = c_custkey) ORDER BY o_totalprice, o_orderkey LIMIT 100",
     "tpch_q3": "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
     "tpch_q4": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND o_orderdate < TIMESTAMP '1997-10-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL '30' DAY) GROUP BY o_orderpriority",
     "tpch_q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY n_name",
@@ -81,9 +87,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(text: str) -> list[str]:
+    """The tables that a query names; only these are opened."""
+    words = set(re.findall(r"\w+", text))
+    return [t for t in TABLES if t in words]
+
+
 def run_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
+        for t in named(text):
             table(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(text)
 
@@ -113,18 +125,68 @@ def offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_id", later=offset_by(col("ts"), "5s")).release()
 
 
+#: For each query of SQL policies that it meets: columns that only choose rows or aren't asked for (top), those that it aggregates over
+#: groups of a least size, and those that it must transform.
+GUARDS: dict[str, dict[str, str]] = {
+    "filter": {"l_discount": "top"}, "projection": {"o_totalprice": "T{*:2}"}, "hstack": {"p_name": "top"}, "early_projection": {"c_acctbal": "top"}, "inner_join": {"o_custkey": "top", "c_custkey": "top"},
+    "composite_join": {"s_nationkey": "top", "c_nationkey": "top"}, "left_outer_join": {"o_orderpriority": "top"}, "right_outer_join": {"o_orderpriority": "top"}, "full_outer_join": {"s_name": "top"},
+    "semi_join": {"o_totalprice": "top"}, "anti_join": {"o_custkey": "top"}, "cross_join": {"r_regionkey": "top"}, "self_join": {"l_suppkey": "top"}, "union": {"n_regionkey": "top"}, "distinct": {"o_totalprice": "top"},
+    "sort_limit": {"o_custkey": "top"}, "agg_sum": {"l_quantity": "A{sum>=20}"}, "agg_mean": {"l_quantity": "A{mean>=20}"}, "agg_min": {"l_extendedprice": "A{min>=5}"}, "agg_max": {"l_extendedprice": "A{max>=5}"},
+    "agg_count": {"o_totalprice": "top"}, "agg_count_nonnull": {"o_totalprice": "top"}, "agg_median": {"l_quantity": "A{median>=20}"}, "agg_nunique": {"l_suppkey": "A{nunique>=20}"},
+    "agg_std": {"l_quantity": "A{std>=20}"}, "agg_var": {"l_quantity": "A{var>=20}"}, "agg_first": {"l_orderkey": "A{first>=5}"}, "agg_last": {"l_orderkey": "A{last>=5}"},
+    "agg_quantile": {"l_quantity": "A{quantile>=20}", "l_extendedprice": "A{quantile>=20, mean>=5}"}, "agg_filter": {"l_extendedprice": "A{max>=20}", "l_quantity": "top", "l_discount": "top"},
+    "global_agg": {"o_totalprice": "A{min>=20, max>=20}"}, "case_when": {"o_totalprice": "top"}, "is_in": {"p_size": "top", "p_type": "top"}, "like_contains": {"p_brand": "top", "p_type": "top"},
+    "date_year": {"o_orderdate": "T{year}"}, "substring": {"o_totalprice": "top"}, "scalar_subquery": {"c_acctbal": "A{mean>=20}"}, "correlated_subquery": {"p_retailprice": "top"}, "having": {"l_quantity": "top"},
+    "tpch_q1": {"l_quantity": "A{sum>=20, mean>=20}", "l_linenumber": "top"}, "tpch_q2": {"r_name": "top", "c_mktsegment": "top"}, "tpch_q3": {"l_shipdate": "top", "c_mktsegment": "top"},
+    "tpch_q4": {"l_shipdate": "top", "o_totalprice": "top"}, "tpch_q5": {"r_name": "top", "o_orderdate": "top"}, "tpch_q6": {"l_shipdate": "top", "l_quantity": "top"}, "tpch_q7": {"c_nationkey": "top", "s_nationkey": "top"},
+    "tpch_q8": {"r_name": "top", "p_type": "top"}, "tpch_q9": {"p_type": "top"}, "tpch_q10": {"l_returnflag": "top", "o_orderdate": "top"}, "tpch_q11": {"l_extendedprice": "A{sum>=1}", "n_name": "top"}, "tpch_q12": {"o_orderpriority": "top"},
+    "tpch_q13": {"o_orderpriority": "top"}, "tpch_q14": {"p_type": "top", "l_shipdate": "top"}, "tpch_q15": {"l_shipdate": "top"}, "tpch_q16": {"s_acctbal": "top"}, "tpch_q17": {"l_extendedprice": "A{sum>=5}", "p_brand": "top"},
+    "tpch_q18": {"l_quantity": "A{sum>=1}"}, "tpch_q19": {"l_quantity": "top", "p_brand": "top"}, "tpch_q20": {"l_quantity": "A{sum>=1}", "p_type": "top"}, "tpch_q21": {"o_orderstatus": "top", "l_returnflag": "top"},
+    "tpch_q22": {"c_acctbal": "A{sum>=5, mean>=5}"},
+}
+
+
 def guarded_sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of SQL, released under policies on columns that it only aggregates over 20 rows or more, or not at all."""
+    """A query of SQL, released under its policies of GUARDS."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ctx = PolicyContext(spark)
-        for t in TABLES:
-            ctx.register(t, table(spark, sf_dir, t), {"lineitem": {"l_quantity": "A{sum>=20, mean>=20}", "l_tax": "T{+:1}", "l_linenumber": "top"}}.get(t))
+        for t in named(SQL[name]):
+            df = table(spark, sf_dir, t)
+            ctx.register(t, df, {c: p for c, p in GUARDS[name].items() if c in df.columns})
         return ctx.sql(SQL[name]).release()
 
     return run
 
 
+def sql_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies from a file, SQL over them."""
+    path = f"{files.scratch_dir(spark)}/orders.policy.json"
+    orders = table(spark, sf_dir, "orders")
+    files.write_parquet(orders.where("o_totalprice > 300000").select("o_orderkey", F.lit(0).alias("o_totalprice")), {"o_totalprice": [parse("A{mean>=20}")]}, path)
+    ctx = PolicyContext(spark)
+    ctx.register("orders", orders, path, on=["o_orderkey"])
+    return ctx.sql("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS m, count(*) AS n FROM orders GROUP BY o_orderstatus").release()
+
+
+def dsl_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first, last, quantiles, population deviation and a filtered maximum, under policies that allow just these."""
+    g = GuardedFrame.register(table(spark, sf_dir, "lineitem"), {"l_quantity": "A{quantile>=20, std>=20, max>=20}", "l_partkey": "A{first>=20, last>=20}"})
+    g = g.with_columns(at=col("l_orderkey") * 100 + col("l_linenumber"))
+    g = g.group_by("l_returnflag").agg(
+        f=("first", col("l_partkey"), "at"), z=("last", col("l_partkey"), "at"), q=("quantile", col("l_quantity"), 0.25), lo=("quantile", col("l_quantity"), 0.9, "lower"),
+        sd=("std", col("l_quantity"), 0), hi=("max", col("l_quantity"), col("l_discount") < 0.02), n=("len", None, col("l_tax") > 0.05),
+    )
+    return g.release().withColumn("sd", F.round("sd", 6))
+
+
+def dsl_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicates, unary operators, functions and a ternary, of which some discharge a policy."""
+    g = GuardedFrame.register(table(spark, sf_dir, "orders"), {"o_orderdate": "T{year}", "o_totalprice": "T{neg}", "o_custkey": "top"})
+    g = g.filter(~col("o_orderpriority").is_in("1-URGENT", "2-HIGH") & col("o_orderpriority").contains("[A-Z]") & (col("o_custkey") > 100) & col("o_totalprice").between(1000, 250000))
+    return g.select("o_orderkey", y=col("o_orderdate").year().cast("int"), minus=-col("o_totalprice"), p=col("o_orderpriority").substring(3, 4), band=when(col("o_orderstatus").like("F%") | col("o_orderstatus").ends_with("O"), "x", "y")).release()
+
+
 def by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances below zero may be seen only as means of 20 customers or more; the others freely."""
     g = GuardedFrame.register(table(spark, sf_dir, "customer"), {"c_acctbal": ByRow(((F.col("c_acctbal") < 0, "A{mean>=20}"),))})
@@ -137,8 +199,7 @@ def by_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter(col("c_acctbal") >= 0).select("c_custkey", "c_acctbal").release()
 
 
-GUARDED_SQL = [k for k in SQL if k in ("tpch_q1", "tpch_q3", "tpch_q5", "tpch_q6", "tpch_q7", "tpch_q8", "tpch_q10", "tpch_q14", "tpch_q19")]
-MICRO = {"a": "clean", "b": "A{max>=5}", "c": "T{+:1.0}", "d": "T{+:1.0} => A{max>=5}"}
+GUARDED_SQL = list(SQL)
 
 
 def micro(which: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -153,11 +214,20 @@ def micro(which: str) -> Callable[[SparkSession, str], DataFrame]:
 SMALL = {"df1": [(2, 5), (3, 5), (3, 4), (1, 4), (5, 1)], "df3": [(2, 5), (3, 5), (3, 5), (1, 5), (5, 5)]}
 
 
-def cases(spark: SparkSession) -> dict[str, Callable[[], GuardedFrame]]:
+def cases(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], GuardedFrame]]:
     """The acceptance cases: policy1 is T{dt.offset_by:5s} on a, policy2 A{sum>=2} on a."""
     two = spark.createDataFrame([(f"2021-01-0{i}", i) for i in range(1, 6)], "a string, b int").withColumn("a", F.to_timestamp("a"))
     dates = lambda: GuardedFrame.register(two, {"a": "T{dt.offset_by:5s}"})
     ints = lambda n, p: GuardedFrame.register(spark.createDataFrame(SMALL[n], "a int, b int"), {"a": p})
+    df1 = spark.createDataFrame(SMALL["df1"], "a int, b int")
+    df1.createOrReplaceTempView("never_registered")
+
+    def sql(text: str, **tables: tuple[DataFrame, str]) -> GuardedFrame:
+        ctx = PolicyContext(spark)
+        for name, (df, p) in tables.items():
+            ctx.register(name, df, {"a": p})
+        return ctx.sql(text)
+
     p1 = lambda: ints("df1", "T{dt.offset_by:5s}")
     ok = lambda s="5s": dates().select("b", a=offset_by(col("a"), s))
     return {
@@ -172,11 +242,31 @@ def cases(spark: SparkSession) -> dict[str, Callable[[], GuardedFrame]]:
         "union_fail": lambda: dates().union(dates()),
         "join_fail": lambda: dates().join(dates().select("a", c=col("b")), ["a"]),
         "groupsize_fail": lambda: ints("df1", "A{sum>=2}").group_by("b").agg(s=("sum", col("a"))),
+        "self_join": lambda: ints("df3", "A{sum>=2}").join(ints("df3", "A{sum>=2}").group_by("b").agg(a=("sum", col("a"))).select("a"), ["a"]),
         "groupsize_ok": lambda: ints("df3", "A{sum>=2}").group_by("b").agg(s=("sum", col("a"))),
         "wrong_method": lambda: ints("df3", "A{sum>=2}").group_by("b").agg(s=("mean", col("a"))),
         "select_fail": lambda: p1().filter(lit(1) < col("a")).select("a", b1=col("b") + 1),
         "ternary_fail": lambda: p1().select(x=when(col("b") > 1, col("a"), 0)),
         "chain_ok": lambda: ints("df3", "T{+:1} => A{max>=5}").group_by("b").agg(m=("max", col("a") + 1)),
+        "sql_fail": lambda: sql("SELECT a, b + 1 AS c FROM d WHERE b > 1", d=(two, "T{dt.offset_by:5s}")),
+        "sql_ok": lambda: sql("SELECT a + INTERVAL '5' SECOND AS later, b FROM d WHERE a > TIMESTAMP '2021-01-02'", d=(two, "T{dt.offset_by:5s}")),
+        "lateral": lambda: sql("SELECT t.a FROM (SELECT 1 AS z) x, LATERAL (SELECT a FROM i) t", i=(df1, "top")),
+        "lateral_ok": lambda: sql("SELECT t.b FROM (SELECT 1 AS z) x, LATERAL (SELECT b FROM i) t", i=(df1, "top")),
+        "command": lambda: sql("INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT a FROM i", i=(df1, "top")),
+        "create_view": lambda: sql("CREATE OR REPLACE TEMP VIEW never_made AS SELECT a FROM i", i=(df1, "top")),
+        "agg_filter_one": lambda: sql("SELECT sum(a) FILTER (WHERE b = 1) AS s FROM i", i=(df1, "A{sum>=2}")),
+        "agg_filter_two": lambda: sql("SELECT sum(a) FILTER (WHERE b = 5) AS s FROM i", i=(df1, "A{sum>=2}")),
+        "case_one": lambda: sql("SELECT sum(CASE WHEN b = 1 THEN a END) AS s FROM i", i=(df1, "A{sum>=2}")),
+        "case_two": lambda: sql("SELECT sum(CASE WHEN b > 4 THEN a ELSE 0 END) AS s FROM i", i=(df1, "A{sum>=2}")),
+        "case_beside": lambda: sql("SELECT sum(a + CASE WHEN b = 1 THEN a ELSE 0 END) AS s FROM i", i=(df1, "A{sum>=2}")),
+        "raw_path": lambda: sql(f"SELECT n_name FROM parquet.`{sf_dir}/nation.parquet`"),
+        "other_view": lambda: sql("SELECT a FROM never_registered", i=(df1, "top")),
+        "quantile_ok": lambda: sql("SELECT percentile(a, 0.5) AS m FROM i", i=(df1, "A{quantile>=3}")),
+        "ternary_ok": lambda: p1().select(x=when(col("b") > 9, col("a"), 0)),
+        "ternary_one": lambda: ints("df1", "A{sum>=2}").select(x=when(col("b") == 1, col("a"), 0)).agg(s=("sum", col("x"))),
+        "noise_ok": lambda: ints("df1", "N{0.5,}").select(x=col("a").laplace(0.5)),
+        "noise_fail": lambda: ints("df1", "N{0.5,}").select(x=col("a").laplace(2.0)),
+        "filter_one": lambda: ints("df1", "A{sum>=2}").agg(s=("sum", col("a"), col("b") == 1)),
         "chain_fail": lambda: ints("df1", "T{+:1} => A{max>=5}").group_by("b").agg(m=("max", col("a") + 1)),
     }
 
@@ -188,13 +278,13 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         except PolicyViolation:
             return "deny"
 
-    return spark.createDataFrame([(k, of(f)) for k, f in cases(spark).items()], "name string, verdict string")
+    return spark.createDataFrame([(k, of(f)) for k, f in cases(spark, sf_dir).items()], "name string, verdict string")
 
 
-EXPECTED = {k: "allow" for k in "query_ok non_single expr_in_agg_ok expr_within_agg_ok union_ok groupsize_ok chain_ok".split()} | {k: "deny" for k in "query_fail expr_in_agg_fail_1 expr_in_agg_fail_2 union_fail join_fail groupsize_fail wrong_method select_fail ternary_fail chain_fail".split()}
+EXPECTED = {k: "allow" for k in "query_ok non_single expr_in_agg_ok expr_within_agg_ok union_ok groupsize_ok chain_ok sql_ok lateral_ok agg_filter_two case_two quantile_ok ternary_ok noise_ok".split()} | {k: "deny" for k in "query_fail expr_in_agg_fail_1 expr_in_agg_fail_2 union_fail join_fail groupsize_fail wrong_method select_fail ternary_fail chain_fail self_join sql_fail lateral command create_view agg_filter_one case_one case_beside raw_path other_view ternary_one noise_fail filter_one".split()}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run_sql(v) for k, v in SQL.items()} | {
-    "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts, "by_row": by_row, "by_row_filter": by_row_filter,
+    "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts, "by_row": by_row, "by_row_filter": by_row_filter, "sql_entry": sql_entry, "dsl_aggregates": dsl_aggregates, "dsl_expressions": dsl_expressions,
 } | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"micro_policy_{k}": micro(k) for k in MICRO}
 ORACLES: dict[str, str] = SQL | {
     "guarded_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY 1, 2",
@@ -202,6 +292,9 @@ ORACLES: dict[str, str] = SQL | {
     "groupsize_suppress": "SELECT c_nationkey, max(c_acctbal) AS m FROM customer GROUP BY 1 HAVING count(*) >= 60",
     "by_row": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m, count(*) AS n FROM customer GROUP BY 1",
     "by_row_filter": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0",
+    "sql_entry": "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS m, count(*) AS n FROM orders GROUP BY 1",
+    "dsl_aggregates": "SELECT l_returnflag, min_by(l_partkey, l_orderkey * 100 + l_linenumber) AS f, max_by(l_partkey, l_orderkey * 100 + l_linenumber) AS z, quantile_cont(l_quantity, 0.25) AS q, list_sort(list(l_quantity))[1 + CAST(floor((count(*) - 1) * CAST(0.9 AS DOUBLE)) AS BIGINT)] AS lo, round(stddev_pop(l_quantity), 6) AS sd, max(l_quantity) FILTER (WHERE l_discount < 0.02) AS hi, count(*) FILTER (WHERE l_tax > 0.05) AS n FROM lineitem GROUP BY 1",
+    "dsl_expressions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, -o_totalprice AS minus, substring(o_orderpriority, 3, 4) AS p, CASE WHEN o_orderstatus LIKE 'F%' OR o_orderstatus LIKE '%O' THEN 'x' ELSE 'y' END AS band FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND regexp_matches(o_orderpriority, '[A-Z]') AND o_custkey > 100 AND o_totalprice BETWEEN 1000 AND 250000",
     "offset_by": "SELECT event_id, ts + INTERVAL '5' SECOND AS later FROM events",
     "verdicts": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPECTED.items()) + ") t(name, verdict)",
 } | {f"guarded_sql_{k}": SQL[k] for k in GUARDED_SQL} | {f"micro_policy_{k}": f"SELECT l_returnflag, max(l_discount{' + 1.0' if k in 'cd' else ''}) AS m FROM lineitem GROUP BY 1" for k in MICRO}

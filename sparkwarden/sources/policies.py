@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from decimal import Decimal
 from typing import Any
 
@@ -113,6 +114,46 @@ def read_parquet(spark: SparkSession, df: DataFrame, path: str, on: list[str]) -
     return f._put(f._df, made, {c: CLEAN for c in df.columns})
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; one of this machine only where the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        found = "/tmp/sparkwarden-shared"
+    return f"{found.rstrip('/')}/policies-{uuid.uuid4().hex}"
+
+
+def read_json(df: DataFrame, path: str) -> GuardedFrame:
+    """`df` under the policies of a JSON file whose columns come in the order of df's; each column must have one policy for all
+    its rows, as rows of a DataFrame have no order (policies that vary by row: Parquet, by key)."""
+    text = df.sparkSession.read.text(path, wholetext=True).first()[0]
+    names = json.loads(text).get("schema", df.columns)
+    given = {}
+    for c, ps in zip(names, loads(text), strict=True):
+        if len(set(ps)) > 1:
+            raise ValueError(f"policies of {c} vary by row: they need a key, as in Parquet")
+        given[c] = ps[0] if ps else CLEAN
+    return GuardedFrame.register(df, given)
+
+
+# The policies of the micro benchmark, put on l_discount.
+MICRO = {"a": "clean", "b": "A{max>=5}", "c": "T{+:1.0}", "d": "T{+:1.0} => A{max>=5}"}
+
+
 def generate(df: DataFrame, micro: str | None = None) -> dict[str, Policy]:
-    """Policies of a benchmark table: all clean, or `micro` on l_discount."""
+    """Policies of a benchmark table: all clean, or `micro` (a text) on l_discount."""
     return {c: parse(micro) if micro and c == "l_discount" else CLEAN for c in df.columns}
+
+
+def write_generated(df: DataFrame, path: str, form: str = "json", micro: str | None = None, on: list[str] | None = None) -> None:
+    """The generated policies of a table as a file: one policy a column in JSON, or ids by the key columns `on` in Parquet."""
+    found = generate(df, micro)
+    if form == "json":
+        text = json.dumps(json.loads(dumps([[p] for p in found.values()])) | {"schema": list(found)})
+        df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif form == "parquet":
+        held = {c: [p] for c, p in found.items() if p != CLEAN and c not in (on or [])}
+        write_parquet(df.select(*(on or []), *(F.lit(0).alias(c) for c in held)), held, path)
+    else:
+        raise ValueError(f"not a form of policy files: {form}")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .policy import CLEAN, TOP, Policy, PolicyViolation, parse
 
 DENIED = Policy((TOP,))
-#: Tables up to this size keep track of which of their policies a group has; groups of larger tables get the join of all.
+#: Of tables up to this size all sets of policies that a group can have are laid out; of larger ones those that groups have are looked up.
 EXACT = 6
 
 
@@ -30,6 +30,8 @@ def shadow(name: str) -> str:
 class Varied:
     pid: Column
     table: tuple[Policy, ...]
+    #: Whether a group's size is the number of its rows that have the policy (else of all its rows).
+    own: bool = False
 
     @property
     def released(self) -> bool:
@@ -44,11 +46,11 @@ class Varied:
         return F.element_at(F.array(*map(F.lit, values)), self.pid + 1)
 
     def at(self, name: str) -> Varied:
-        return Varied(F.col(f"`{shadow(name)}`"), self.table)
+        return Varied(F.col(f"`{shadow(name)}`"), self.table, self.own)
 
     def padded(self) -> Varied:
         """Rows without an id are clean."""
-        return Varied(F.coalesce(self.pid, F.lit(len(self.table))), (*self.table, CLEAN))
+        return Varied(F.coalesce(self.pid, F.lit(len(self.table))), (*self.table, CLEAN), self.own)
 
 
 @dataclass(frozen=True)
@@ -83,23 +85,39 @@ def lift(fn: Callable[..., Policy], *given: Policy | Varied) -> Policy | Varied:
     if len(table) == 1 and table[0] != DENIED:
         return table[0]
     pid = reduce(lambda at, p: at * len(p.table) + p.pid, varied, F.lit(0))
-    return Varied(Varied(pid, tuple(results)).number([table.index(r) for r in results]), table)
+    return Varied(Varied(pid, tuple(results)).number([table.index(r) for r in results]), table, any(p.own for p in varied))
 
 
 def worst(p: Policy | Varied) -> Policy:
     return reduce(Policy.join, p.table) if isinstance(p, Varied) else p
 
 
-def any_of(p: Varied) -> Varied:
-    """As an aggregate: the join of the policies that rows of a group have."""
+def any_of(p: Varied, look: Callable[[Column], list[str]]) -> Varied:
+    """As an aggregate: the join of the policies that rows of a group have. `look` gives the different values that an aggregate
+    has over the groups; it is asked for tables beyond EXACT only, as a job whose result has a row for each set found."""
     if len(p.table) > EXACT:
-        return Varied(F.max(F.lit(0)), (worst(p),))
+        key = F.array_join(F.array_sort(F.collect_set(p.pid)).cast("array<string>"), ",")
+        found = sorted(look(key))
+        joins = [reduce(Policy.join, (p.table[int(i)] for i in k.split(",") if i), CLEAN) for k in found]
+        table = tuple(dict.fromkeys(joins)) or (CLEAN,)
+        at = F.element_at(F.create_map(*(F.lit(x) for k, j in zip(found, joins) for x in (k, table.index(j)))), key) if found else F.lit(0)
+        return Varied(at, table)
     subsets = [reduce(Policy.join, (q for i, q in enumerate(p.table) if mask >> i & 1), CLEAN) for mask in range(1 << len(p.table))]
     bits = F.coalesce(F.bit_or(p.number([1 << i for i in range(len(p.table))])), F.lit(0))
     table = tuple(dict.fromkeys(subsets))
     return Varied(Varied(bits, tuple(subsets)).number([table.index(s) for s in subsets]), table)
 
 
+def chosen(test: Column, yes: Policy | Varied, no: Policy | Varied) -> Policy | Varied:
+    """The policy of the arm that each row takes."""
+    if not isinstance(yes, Varied) and yes == no:
+        return yes
+    one, two = (p if isinstance(p, Varied) else Varied(F.lit(0), (p,)) for p in (yes, no))
+    table = tuple(dict.fromkeys((*one.table, *two.table)))
+    one, two = (Varied(x.number([table.index(q) for q in x.table]), table) for x in (one, two))
+    return Varied(F.when(test, one.pid).otherwise(two.pid), table, True)
+
+
 def merged(a: Policy | Varied, b: Policy | Varied) -> tuple[Policy | Varied, Policy | Varied]:
     """Both over one table, for the two sides of a union; two policies that are the same for all rows are joined."""
     if not isinstance(a, Varied) and not isinstance(b, Varied):
