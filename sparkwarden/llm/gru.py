@@ -40,7 +40,9 @@ LOOKUP = 300_000
 HIDDEN, EMBED = 32, 16
 TRAIN_TOKENS, EPOCHS, LANES, STEPS, RATE = 250_000, 5, 64, 32, 6e-3
 #: Rounds of the pass over all training texts, tasks of a round (or the cluster's cores, if more), tokens a task lays out at once, and the rate.
-ROUNDS, TASKS, LAID, PASS_RATE = 4, 64, 1 << 18, 1.5e-3
+ROUNDS, TASKS, LAID, PASS_RATE = 4, 64, 1 << 18, 2e-3
+#: Lanes and steps of this pass: wide, as a step of few lanes is mostly overhead.
+WIDE, SHORT = 512, 16
 #: Tokens scored together in a task, and texts side by side.
 BUFFER, SIDE, SPAN = 1 << 22, 256, 64
 LN10 = float(np.log(10))
@@ -149,18 +151,31 @@ class Gru:
                 dh_out = dh_out.reshape(T, lanes, H)
                 dinp = np.zeros_like(inp)
                 dU, dh = np.zeros_like(p["U"]), np.zeros((lanes, H), np.float32)
+                # What each gate passes back for a unit of its state's gradient, for all steps at once.
+                z, r, c, hp = (np.stack(v) for v in (zs, rs, ns_, before))
+                to_c = (1 - z) * (1 - c * c)
+                to_z = (hp - c) * z * (1 - z)
+                to_r = np.stack(us) * r * (1 - r)
+                keep = ~ns[:, :, None]
+                back = np.ascontiguousarray(p["U"].T)
+                dus = np.empty((T, lanes, 3 * H), np.float32)
                 for t in reversed(range(T)):
-                    z, r, c, hp = zs[t], rs[t], ns_[t], before[t]
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (hp - c) * z * (1 - z)
-                    dr = dc * us[t] * r * (1 - r)
-                    dinp[t] = np.concatenate([dz, dr, dc], 1)
-                    du = np.concatenate([dz, dr, dc * r], 1)
-                    dU += hp.T @ du
-                    dh = (dh * z + du @ p["U"].T + dh_out[t]) * ~ns[t][:, None]
+                    du = dus[t]
+                    np.multiply(dh, to_z[t], out=du[:, :H])
+                    dc = dh * to_c[t]
+                    np.multiply(dc, to_r[t], out=du[:, H : 2 * H])
+                    np.multiply(dc, r[t], out=du[:, 2 * H :])
+                    dinp[t, :, : 2 * H], dinp[t, :, 2 * H :] = du[:, : 2 * H], dc
+                    dh *= z[t]
+                    dh += du @ back
+                    dh += dh_out[t]
+                    dh *= keep[t]
+                dU += hp.reshape(-1, H).T @ dus.reshape(-1, 3 * H)
                 flat = dinp.reshape(-1, 3 * H)
                 g |= {"U": dU, "b": flat.sum(0), "W": emb.reshape(-1, emb.shape[-1]).T @ flat, "E": np.zeros_like(p["E"])}
-                np.add.at(g["E"], xs.ravel(), flat @ p["W"].T)
+                order = np.argsort(xs.ravel(), kind="stable")
+                own, first = np.unique(xs.ravel()[order], return_index=True)
+                g["E"][own] = np.add.reduceat((flat @ p["W"].T)[order], first)
                 n += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
                 scale = min(1.0, 0.5 / max(norm, 1e-9)) / size
@@ -359,7 +374,8 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
             room = most or LAID
 
             def learn() -> None:
-                model.passes(*lanes_of(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])), epochs, rate=rate, least=least)
+                lanes, steps = (LANES, STEPS) if most else (WIDE, SHORT)
+                model.passes(*lanes_of(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]), lanes), epochs, steps, rate, least)
                 held.clear()
 
             for batch in slices(batches):
