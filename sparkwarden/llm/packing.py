@@ -28,7 +28,7 @@ from .tokens import encoder, with_end
 
 WINDOW = 2048
 #: Ids that a task packs together.
-BUFFER = 1 << 20
+BUFFER = 1 << 21
 TOKENIZER = "byte_bpe_50k.json"
 END = 1
 
