@@ -14,7 +14,7 @@ from sparkwarden import queries as base
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 PAIRS = {k: f"guarded_sql_{k}" for k in base.SQL if k.startswith("tpch")}
 ALONE = [k for k in base.QUERIES if k.startswith("micro") or k in ("guarded_q1", "groupsize_ok", "by_row", "dsl_aggregates")]
-TURNS = 3
+TURNS = 2
 
 spark = (
     SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
