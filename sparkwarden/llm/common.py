@@ -109,11 +109,29 @@ def forget_unused() -> None:
         trim(0)
 
 
+@functools.cache
+def one_blas_thread() -> None:
+    """Once in a worker: numpy's OpenBLAS on one thread. Spark runs a worker for each core and lets each start a thread for every core,
+    which wait for one another in busy loops over the small matrices used here."""
+    try:
+        with open("/proc/self/maps") as maps:
+            found = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:  # not Linux: as Spark set it
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function over batches that leaves the worker without what the task hasn't used."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         try:
             yield from run(batches)
         finally:
