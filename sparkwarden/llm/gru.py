@@ -73,6 +73,10 @@ class Gru:
     def outputs(self, h: np.ndarray, tok: np.ndarray, grad: bool = False):
         """ln P of each token (of a spelling class: of the class) after state h; with `grad` also gradients."""
         p, rows = self.p, np.arange(len(tok))
+        c = np.where(tok < self.head, self.cls[tok], self.n_head)
+        order = np.argsort(c.astype(np.int16), kind="stable")  # tokens of a class together
+        h, tok = h[order], tok[order]
+        edge = np.searchsorted(c[order], np.arange(self.n_head + 1))
         z = h @ p["C"]
         z += p["cb"]
         z -= z.max(1, keepdims=True)
@@ -85,19 +89,16 @@ class Gru:
             z[rows, self.cls[tok]] -= 1
             g = {"C": h.T @ z, "cb": z.sum(0), "O": np.zeros_like(p["O"]), "ob": np.zeros_like(p["ob"])}
             dh = z @ p["C"].T
-        c = np.where(tok < self.head, self.cls[tok], self.n_head)
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        edge = np.searchsorted(c[order], np.arange(self.n_head + 1))
         for k in range(self.n_head):
             a, b = self.first[k], self.first[k + 1]
-            o = order[edge[k] : edge[k + 1]]
-            if not len(o) or b - a == 1:
+            o = slice(edge[k], edge[k + 1])
+            if o.start == o.stop or b - a == 1:
                 continue
             hk = h[o]
             y = hk @ p["O"][:, a:b]
             y += p["ob"][a:b]
             y -= y.max(1, keepdims=True)
-            i, t = np.arange(len(o)), tok[o] - a
+            i, t = rows[: len(hk)], tok[o] - a
             own = y[i, t]
             np.exp(y, out=y)
             total = y.sum(1)
@@ -107,7 +108,9 @@ class Gru:
                 y[i, t] -= 1
                 g["O"][:, a:b], g["ob"][a:b] = hk.T @ y, y.sum(0)
                 dh[o] += y @ p["O"][:, a:b].T
-        return (out, dh, g) if grad else out
+        back = np.empty_like(order)
+        back[order] = rows
+        return (out[back], dh[back], g) if grad else out[back]
 
     def train(self, tokens: np.ndarray, starts: np.ndarray, epochs: int = EPOCHS, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> None:
         """Truncated backpropagation over `tokens` laid in lanes; `starts` marks the first token of each text."""
@@ -131,36 +134,57 @@ class Gru:
                 T = len(xs)
                 live = (np.arange(at, at + T)[:, None] < length[:lanes]).ravel()
                 size = int(live.sum())
-                emb = p["E"][xs]
-                inp = emb @ p["W"] + p["b"]
-                before, zs, rs, ns_, us = [], [], [], [], []
+                emb = p["E"][xs.ravel()]
+                inp = (emb @ p["W"] + p["b"]).reshape(T, lanes, 3 * H)
+                inp[:, :, : 2 * H] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
+                U = p["U"].copy()
+                U[:, : 2 * H] *= 0.5
+                keep = (~ns).astype(np.float32)[:, :, None]
+                before, gates = np.empty((T, lanes, H), np.float32), np.empty((T, lanes, 2 * H), np.float32)
+                cand, uh = np.empty_like(before), np.empty_like(before)
                 for t in range(T):
-                    h = np.where(ns[t][:, None], np.float32(0), h)
-                    before.append(h)
-                    u = h @ p["U"]
-                    zr = 0.5 + 0.5 * np.tanh(0.5 * (inp[t][:, : 2 * H] + u[:, : 2 * H]))
-                    z, r = zr[:, :H], zr[:, H:]
-                    c = np.tanh(inp[t][:, 2 * H :] + r * u[:, 2 * H :])
-                    zs.append(z), rs.append(r), ns_.append(c), us.append(u[:, 2 * H :])
-                    h = c + z * (h - c)
-                _, found, g = self.outputs(np.concatenate(before)[live], xs.ravel()[live], True)
-                dh_out = np.zeros((T * lanes, H), found.dtype)
+                    hp, zr, c = before[t], gates[t], cand[t]
+                    np.multiply(h, keep[t], out=hp)
+                    u = hp @ U
+                    np.add(inp[t, :, : 2 * H], u[:, : 2 * H], out=zr)
+                    np.tanh(zr, out=zr)
+                    zr *= 0.5
+                    zr += 0.5
+                    uh[t] = u[:, 2 * H :]
+                    np.multiply(zr[:, H:], uh[t], out=c)
+                    c += inp[t, :, 2 * H :]
+                    np.tanh(c, out=c)
+                    h = hp - c
+                    h *= zr[:, :H]
+                    h += c
+                _, found, g = self.outputs(before.reshape(-1, H)[live], xs.ravel()[live], True)
+                dh_out = np.zeros((T * lanes, H), np.float32)
                 dh_out[live] = found
                 dh_out = dh_out.reshape(T, lanes, H)
-                dinp = np.zeros_like(inp)
-                dU, dh = np.zeros_like(p["U"]), np.zeros((lanes, H), np.float32)
+                z, r = gates[:, :, :H], gates[:, :, H:]
+                # What a gradient of the state is multiplied by, for all steps at once.
+                by_c = (1 - z) * (1 - cand * cand)
+                by_z = (before - cand) * z * (1 - z)
+                by_r = uh * r * (1 - r)
+                dinp, du = np.empty((T, lanes, 3 * H), np.float32), np.empty((T, lanes, 3 * H), np.float32)
+                dh, UT = np.zeros((lanes, H), np.float32), np.ascontiguousarray(p["U"].T)
                 for t in reversed(range(T)):
-                    z, r, c, hp = zs[t], rs[t], ns_[t], before[t]
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (hp - c) * z * (1 - z)
-                    dr = dc * us[t] * r * (1 - r)
-                    dinp[t] = np.concatenate([dz, dr, dc], 1)
-                    du = np.concatenate([dz, dr, dc * r], 1)
-                    dU += hp.T @ du
-                    dh = (dh * z + du @ p["U"].T + dh_out[t]) * ~ns[t][:, None]
+                    d, e = dinp[t], du[t]
+                    dc = d[:, 2 * H :]
+                    np.multiply(dh, by_c[t], out=dc)
+                    np.multiply(dh, by_z[t], out=d[:, :H])
+                    np.multiply(dc, by_r[t], out=d[:, H : 2 * H])
+                    e[:, : 2 * H] = d[:, : 2 * H]
+                    np.multiply(dc, r[t], out=e[:, 2 * H :])
+                    dh = dh * z[t]
+                    dh += e @ UT
+                    dh += dh_out[t]
+                    dh *= keep[t]
                 flat = dinp.reshape(-1, 3 * H)
-                g |= {"U": dU, "b": flat.sum(0), "W": emb.reshape(-1, emb.shape[-1]).T @ flat, "E": np.zeros_like(p["E"])}
-                np.add.at(g["E"], xs.ravel(), flat @ p["W"].T)
+                g |= {"U": before.reshape(-1, H).T @ du.reshape(-1, 3 * H), "b": flat.sum(0), "W": emb.T @ flat, "E": np.zeros_like(p["E"])}
+                order = np.argsort(xs.ravel().astype(np.int16), kind="stable")
+                words, at_word = np.unique(xs.ravel()[order], return_index=True)
+                g["E"][words] = np.add.reduceat((flat @ p["W"].T)[order], at_word)
                 n += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
                 scale = min(1.0, 0.5 / max(norm, 1e-9)) / size
