@@ -39,8 +39,9 @@ HEAD, CLASSES, TAILS = 3072, 48, 64
 LOOKUP = 300_000
 HIDDEN, EMBED = 32, 16
 TRAIN_TOKENS, EPOCHS, LANES, STEPS, RATE = 250_000, 5, 64, 32, 6e-3
-#: Rounds of the pass over all training texts, tasks of a round (or the cluster's cores, if more), tokens a task lays out at once, and the rate.
-ROUNDS, TASKS, LAID, PASS_RATE = 4, 64, 1 << 18, 1.5e-3
+#: Rounds of the pass over all training texts, tasks of a round (or the cluster's cores, if more), tokens that are worth a task, tokens that a
+#: task lays out at once (far more than the longest texts, as these would run on in lanes of their own), its lanes, and the rate.
+ROUNDS, TASKS, WORTH, LAID, PASS_LANES, PASS_RATE = 4, 64, 1 << 21, 1 << 22, 128, 2e-3
 #: Tokens scored together in a task, and texts side by side.
 BUFFER, SIDE, SPAN = 1 << 22, 256, 64
 LN10 = float(np.log(10))
@@ -75,42 +76,43 @@ class Gru:
         p, rows = self.p, np.arange(len(tok))
         c = np.where(tok < self.head, self.cls[tok], self.n_head)
         order = np.argsort(c.astype(np.int16), kind="stable")  # tokens of a class together
-        h, tok = h[order], tok[order]
+        tok = tok[order]
+        h = np.ascontiguousarray(h[order].T)  # a column for each token: sums over classes then run along whole rows
         edge = np.searchsorted(c[order], np.arange(self.n_head + 1))
-        z = h @ p["C"]
-        z += p["cb"]
-        z -= z.max(1, keepdims=True)
-        own = z[rows, self.cls[tok]]
+        z = p["C"].T @ h
+        z += p["cb"][:, None]
+        z -= z.max(0)
+        own = z[self.cls[tok], rows]
         np.exp(z, out=z)
-        total = z.sum(1)
+        total = z.sum(0)
         out = own - np.log(total)
         if grad:
-            z /= total[:, None]
-            z[rows, self.cls[tok]] -= 1
-            g = {"C": h.T @ z, "cb": z.sum(0), "O": np.zeros_like(p["O"]), "ob": np.zeros_like(p["ob"])}
-            dh = z @ p["C"].T
+            z /= total
+            z[self.cls[tok], rows] -= 1
+            g = {"C": h @ z.T, "cb": z.sum(1), "O": np.zeros_like(p["O"]), "ob": np.zeros_like(p["ob"])}
+            dh = p["C"] @ z
         for k in range(self.n_head):
             a, b = self.first[k], self.first[k + 1]
             o = slice(edge[k], edge[k + 1])
             if o.start == o.stop or b - a == 1:
                 continue
-            hk = h[o]
-            y = hk @ p["O"][:, a:b]
-            y += p["ob"][a:b]
-            y -= y.max(1, keepdims=True)
-            i, t = rows[: len(hk)], tok[o] - a
-            own = y[i, t]
+            hk, O = h[:, o], p["O"][:, a:b]
+            y = O.T @ hk
+            y += p["ob"][a:b, None]
+            y -= y.max(0)
+            i, t = rows[: o.stop - o.start], tok[o] - a
+            own = y[t, i]
             np.exp(y, out=y)
-            total = y.sum(1)
+            total = y.sum(0)
             out[o] += own - np.log(total)
             if grad:
-                y /= total[:, None]
-                y[i, t] -= 1
-                g["O"][:, a:b], g["ob"][a:b] = hk.T @ y, y.sum(0)
-                dh[o] += y @ p["O"][:, a:b].T
+                y /= total
+                y[t, i] -= 1
+                g["O"][:, a:b], g["ob"][a:b] = hk @ y.T, y.sum(1)
+                dh[:, o] += O @ y
         back = np.empty_like(order)
         back[order] = rows
-        return (out[back], dh[back], g) if grad else out[back]
+        return (out[back], dh.T[back], g) if grad else out[back]
 
     def train(self, tokens: np.ndarray, starts: np.ndarray, epochs: int = EPOCHS, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> None:
         """Truncated backpropagation over `tokens` laid in lanes; `starts` marks the first token of each text."""
@@ -121,79 +123,99 @@ class Gru:
 
     def passes(self, x: np.ndarray, new: np.ndarray, length: np.ndarray, epochs: int, steps: int = STEPS, rate: float = RATE, least: float = 0.1) -> None:
         """Training on lanes of tokens, the longest first; `length` is how far each is filled. The rate falls to `least` of it."""
-        p, H = self.p, self.hidden
-        width = x.shape[1]
-        m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        H, width = self.hidden, x.shape[1]
+        flat = np.concatenate([v.ravel() for v in self.p.values()])  # all parameters as one vector, which `p` looks into
+        parts = lambda v: {k: x.reshape(w.shape) for (k, w), x in zip(self.p.items(), np.split(v, np.cumsum([w.size for w in self.p.values()])[:-1]))}
+        grad, m1, m2, change = (np.zeros_like(flat) for _ in range(4))
+        p, into = parts(flat), parts(grad)
+        self.p = p
         n, last = 0, epochs * -(-width // steps)
         for _ in range(epochs):
-            h = np.zeros((len(x), H), np.float32)
+            h = np.zeros((H, len(x)), np.float32)
             for at in range(0, width, steps):
                 lanes = int((length > at).sum())
-                h = h[:lanes]
+                h = h[:, :lanes]
                 xs, ns = x[:lanes, at : at + steps].T, new[:lanes, at : at + steps].T
                 T = len(xs)
                 live = (np.arange(at, at + T)[:, None] < length[:lanes]).ravel()
                 size = int(live.sum())
-                emb = p["E"][xs.ravel()]
-                inp = (emb @ p["W"] + p["b"]).reshape(T, lanes, 3 * H)
-                inp[:, :, : 2 * H] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
-                U = p["U"].copy()
-                U[:, : 2 * H] *= 0.5
-                keep = (~ns).astype(np.float32)[:, :, None]
-                before, gates = np.empty((T, lanes, H), np.float32), np.empty((T, lanes, 2 * H), np.float32)
-                cand, uh = np.empty_like(before), np.empty_like(before)
+                # A column for each lane, so that gates are whole rows.
+                emb = p["E"][xs.ravel()].reshape(T, lanes, -1)
+                inp = np.matmul(p["W"].T, emb.transpose(0, 2, 1))
+                inp += p["b"][:, None]
+                inp[:, : 2 * H] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
+                U = p["U"].T.copy()
+                U[: 2 * H] *= 0.5
+                keep, begins = (~ns).astype(np.float32), ns.any(1)
+                before, gates = np.empty((T, H, lanes), np.float32), np.empty((T, 2 * H, lanes), np.float32)
+                cand, uh, u = np.empty_like(before), np.empty_like(before), np.empty((3 * H, lanes), np.float32)
                 for t in range(T):
                     hp, zr, c = before[t], gates[t], cand[t]
-                    np.multiply(h, keep[t], out=hp)
-                    u = hp @ U
-                    np.add(inp[t, :, : 2 * H], u[:, : 2 * H], out=zr)
+                    if begins[t]:
+                        np.multiply(h, keep[t], out=hp)
+                    else:
+                        hp[...] = h
+                    np.matmul(U, hp, out=u)
+                    np.add(inp[t, : 2 * H], u[: 2 * H], out=zr)
                     np.tanh(zr, out=zr)
                     zr *= 0.5
                     zr += 0.5
-                    uh[t] = u[:, 2 * H :]
-                    np.multiply(zr[:, H:], uh[t], out=c)
-                    c += inp[t, :, 2 * H :]
+                    uh[t] = u[2 * H :]
+                    np.multiply(zr[H:], u[2 * H :], out=c)
+                    c += inp[t, 2 * H :]
                     np.tanh(c, out=c)
                     h = hp - c
-                    h *= zr[:, :H]
+                    h *= zr[:H]
                     h += c
-                _, found, g = self.outputs(before.reshape(-1, H)[live], xs.ravel()[live], True)
+                _, found, g = self.outputs(before.transpose(0, 2, 1).reshape(-1, H)[live], xs.ravel()[live], True)
                 dh_out = np.zeros((T * lanes, H), np.float32)
                 dh_out[live] = found
-                dh_out = dh_out.reshape(T, lanes, H)
-                z, r = gates[:, :, :H], gates[:, :, H:]
-                # What a gradient of the state is multiplied by, for all steps at once.
+                dh_out = np.ascontiguousarray(dh_out.reshape(T, lanes, H).transpose(0, 2, 1))
+                z, r = gates[:, :H], gates[:, H:]
+                # What a gradient of the state is multiplied by, for all steps at once: of the candidate, of both gates.
                 by_c = (1 - z) * (1 - cand * cand)
                 by_z = (before - cand) * z * (1 - z)
                 by_r = uh * r * (1 - r)
-                dinp, du = np.empty((T, lanes, 3 * H), np.float32), np.empty((T, lanes, 3 * H), np.float32)
-                dh, UT = np.zeros((lanes, H), np.float32), np.ascontiguousarray(p["U"].T)
+                dinp, du = np.empty((T, 3 * H, lanes), np.float32), np.empty((T, 3 * H, lanes), np.float32)
+                dh = np.zeros((H, lanes), np.float32)
                 for t in reversed(range(T)):
                     d, e = dinp[t], du[t]
-                    dc = d[:, 2 * H :]
+                    dc = d[2 * H :]
                     np.multiply(dh, by_c[t], out=dc)
-                    np.multiply(dh, by_z[t], out=d[:, :H])
-                    np.multiply(dc, by_r[t], out=d[:, H : 2 * H])
-                    e[:, : 2 * H] = d[:, : 2 * H]
-                    np.multiply(dc, r[t], out=e[:, 2 * H :])
+                    np.multiply(dh, by_z[t], out=d[:H])
+                    np.multiply(dc, by_r[t], out=d[H : 2 * H])
+                    e[: 2 * H] = d[: 2 * H]
+                    np.multiply(dc, r[t], out=e[2 * H :])
                     dh = dh * z[t]
-                    dh += e @ UT
+                    dh += p["U"] @ e
                     dh += dh_out[t]
-                    dh *= keep[t]
-                flat = dinp.reshape(-1, 3 * H)
-                g |= {"U": before.reshape(-1, H).T @ du.reshape(-1, 3 * H), "b": flat.sum(0), "W": emb.T @ flat, "E": np.zeros_like(p["E"])}
+                    if begins[t]:
+                        dh *= keep[t]
+                for k, v in g.items():
+                    into[k][...] = v
+                rows = dinp.transpose(0, 2, 1).reshape(-1, 3 * H)
+                into["U"][...] = np.matmul(before, du.transpose(0, 2, 1)).sum(0)
+                into["W"][...] = emb.reshape(len(rows), -1).T @ rows
+                into["b"][...] = rows.sum(0)
+                into["E"][...] = 0
                 order = np.argsort(xs.ravel().astype(np.int16), kind="stable")
                 words, at_word = np.unique(xs.ravel()[order], return_index=True)
-                g["E"][words] = np.add.reduceat((flat @ p["W"].T)[order], at_word)
+                into["E"][words] = np.add.reduceat((rows @ p["W"].T)[order], at_word)
                 n += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / size
-                scale = min(1.0, 0.5 / max(norm, 1e-9)) / size
+                norm = np.sqrt(float(np.dot(grad, grad))) / size
+                grad *= np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / size)
                 lr = rate * (1 - (1 - least) * n / last) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-                for k, v in g.items():
-                    v = v * np.float32(scale)
-                    m1[k] += np.float32(0.1) * (v - m1[k])
-                    m2[k] += np.float32(0.001) * (v * v - m2[k])
-                    p[k] -= np.float32(lr) * m1[k] / (np.sqrt(m2[k]) + np.float32(1e-8))
+                # Adam with means not divided through: m1 holds ten times the first, m2 a thousand times the second.
+                m1 *= np.float32(0.9)
+                m1 += grad
+                m2 *= np.float32(0.999)
+                np.multiply(grad, grad, out=change)
+                m2 += change
+                np.sqrt(m2, out=change)
+                change += np.float32(1e-8 * 1000**0.5)
+                np.divide(m1, change, out=change)
+                change *= np.float32(lr * 0.1 * 1000**0.5)
+                flat -= change
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """ln P of each text (tokens of all texts, one after another, and the number of each text's)."""
@@ -256,7 +278,7 @@ def lanes_of(tokens: np.ndarray, sizes: np.ndarray, lanes: int = LANES) -> tuple
         heapq.heappush(heap, (n + int(sizes[i]), k))
     lane.sort(key=lambda x: -int(sizes[x].sum()))
     length = np.array([int(sizes[x].sum()) for x in lane])
-    x, new = np.zeros((len(lane), int(length.max())), np.int64), np.zeros((len(lane), int(length.max())), bool)
+    x, new = np.zeros((len(lane), int(length.max())), tokens.dtype), np.zeros((len(lane), int(length.max())), bool)
     rng = np.random.default_rng(len(sizes))
     for k, texts in enumerate(lane):
         at = 0
@@ -367,6 +389,16 @@ def fit(docs: DataFrame, scratch: Scratch, held_out: int = 2, of: int = 7, looku
     return lex, rest
 
 
+def mean_copy(copies: pa.Table) -> pa.Table:
+    """One copy of the model, the mean of these by tokens; none of none."""
+    if not copies.num_rows:
+        return copies
+    n, mean = copies.column("n").to_numpy(), 0.0
+    for k, w in zip(n, copies.column("weights")):
+        mean = mean + np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * (k / n.sum())
+    return pa.table([copies.column("heap").slice(0, 1), pa.array([int(n.sum())]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["heap", "n", "weights"])
+
+
 def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
     """Trains the lexicon's model on all texts of `rows`; the number of tokens gone through after the start."""
     spark = rows.sparkSession
@@ -383,12 +415,13 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
             room = most or LAID
 
             def learn() -> None:
-                model.passes(*lanes_of(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held])), epochs, rate=rate, least=least)
+                laid = lanes_of(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]), LANES if most else PASS_LANES)
+                model.passes(*laid, epochs, rate=rate, least=least)
                 held.clear()
 
             for batch in slices(batches):
                 at, sizes, missing, miss = lex.look_up(batch.column("text").to_pylist())
-                held.append((lex.inputs(at, missing, miss)[0], sizes))
+                held.append((lex.inputs(at, missing, miss)[0].astype(np.int16), sizes))
                 n, waiting = n + len(at), waiting + len(at)
                 if waiting >= room:
                     learn()
@@ -398,20 +431,23 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
             if held:
                 learn()
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([v.ravel() for v in model.p.values()]).tobytes()], pa.binary())], names=["n", "weights"])
-
-        total, mean = 0, None
-        for r in map_batches(rows.select("text").coalesce(tasks), run, "n long, weights binary").collect():
-            w = np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"]
-            total, mean = total + r["n"], w if mean is None else mean + w
+                own = np.concatenate([v.ravel() for v in model.p.values()]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TASKS], pa.int32()), pa.array([n]), pa.array([own], pa.binary())], names=["heap", "n", "weights"])
+
+        copies = map_batches(rows.select("text").coalesce(tasks), run, "heap int, n long, weights binary")
+        if tasks > TASKS:  # the driver gets TASKS means at most, however many cores there are
+            copies = copies.groupBy("heap").applyInArrow(mean_copy, "heap int, n long, weights binary")
+        found = mean_copy(copies.toArrow())
+        total = found.column("n")[0].as_py() if found.num_rows else 0
         if total:
             edge = np.cumsum([v.size for v in lex.model.p.values()])[:-1]
-            lex.model.p = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(lex.model.p.items(), np.split(mean / total, edge))}
+            mean = np.frombuffer(found.column("weights")[0].as_py(), np.float32)
+            lex.model.p = {k: x.reshape(v.shape).copy() for (k, v), x in zip(lex.model.p.items(), np.split(mean, edge))}
         weights.destroy()
         return total
 
     part(rows.where(u < F.lit(1.2 * start / max(1, lex.total))), 1, EPOCHS, RATE, 0.1, start)
-    tasks = max(TASKS, spark.sparkContext.defaultParallelism)
+    tasks = max(spark.sparkContext.defaultParallelism, min(TASKS, -(-lex.total // (ROUNDS * WORTH))))
     return sum(part(rows.where(F.floor(u * ROUNDS) == k), tasks, 1, PASS_RATE * (1 - k / ROUNDS), 0.8) for k in range(ROUNDS))
 
 
