@@ -11,6 +11,7 @@ texts are gone through once, whole, in ROUNDS rounds: each task trains a copy of
 texts, and the copies' mean, weighted by tokens, begins the next round. So weights depend a little on how the table is split.
 Training and scoring carry the state across windows from a text's first word to its end.
 
+Texts are looked up once: their inputs, 16 bits a word, are staged, and training and scoring read these.
 Counts of the LOOKUP most frequent words are broadcast, a fixed bound; the counts of all others meet the documents
 that use them in a shuffle join, so vocabularies of any size give whole results.
 
@@ -365,9 +366,8 @@ class Lexicon:
         return x, kind
 
 
-def fit(docs: DataFrame, scratch: Scratch, held_out: int = 2, of: int = 7, lookup: int = LOOKUP, train_tokens: int = TRAIN_TOKENS) -> tuple[Lexicon, DataFrame]:
-    """The lexicon with its trained model, and the staged counts of the words beyond it."""
-    rows = docs.where(crc_bucket(of) != held_out)
+def lexicon(rows: DataFrame, scratch: Scratch, lookup: int = LOOKUP) -> tuple[Lexicon, DataFrame]:
+    """The lexicon of training texts with its untrained model, and the staged counts of the words beyond it."""
     counts = scratch.stage(count_words(rows), "counts")
     # By logarithmic steps of the count: as many of the most frequent words as the bound allows.
     step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
@@ -384,9 +384,44 @@ def fit(docs: DataFrame, scratch: Scratch, held_out: int = 2, of: int = 7, looku
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
     for r in rest.groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tail_n[r["k"]], tail_v[r["k"]] = r["n"], r["v"]
-    lex = Lexicon(top.column("word").to_pylist(), top.column("c").to_numpy(), total, distinct, tail_n, tail_v)
-    train(rows, lex, train_tokens)
-    return lex, rest
+    return Lexicon(top.column("word").to_pylist(), top.column("c").to_numpy(), total, distinct, tail_n, tail_v), rest
+
+
+TAIL = pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("times", pa.int64())])
+
+
+def look(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """doc_id, learn, u (a number from 0 to 1 by id and text), x (the model's inputs, 16 bits each), n_tokens, and of the words that the
+    lexicon has: n_known, base, inside; tail: all others."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 11) / float(1 << 53)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        for part in slices(batches):
+            at, sizes, missing, miss = lex.look_up(part.column("text").to_pylist())
+            x, k = lex.inputs(at, missing, miss)
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            inputs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(x.astype(np.int16))])
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            ok = at >= 0
+            by = lambda v: np.bincount(text, np.where(ok, v[at], 0), len(sizes))  # noqa: B023, E731
+            pairs = Counter(zip(text[miss].tolist(), missing, k.tolist()))
+            per = np.bincount(np.fromiter((p[0] for p in pairs), np.int64, len(pairs)), minlength=len(sizes))  # pairs come by text
+            items = pa.StructArray.from_arrays([pa.array((p[1] for p in pairs), pa.binary()), pa.array((p[2] for p in pairs), pa.int32()), pa.array(pairs.values(), pa.int64())], fields=list(TAIL))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
+            out = [*(part.column(c) for c in ("doc_id", "learn", "u")), inputs, pa.array(sizes), pa.array(by(lex.known).astype(np.int64)), pa.array(by(lex.base)), pa.array(by(lex.inside)), lists]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "learn", "u", "x", "n_tokens", "n_known", "base", "inside", "tail"])
+
+    return map_batches(docs.select("doc_id", "learn", u.alias("u"), "text"), run, f"doc_id {kind}, learn boolean, u double, x binary, n_tokens long, n_known long, base double, inside double, tail array<struct<word: binary, kind: int, times: long>>")
+
+
+def inputs_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The model's inputs of all rows, one after another; no row is null or empty."""
+    x = batch.column("x")
+    edges = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2], np.int16)[edges[0] // 2 : edges[-1] // 2].copy()
 
 
 def mean_copy(copies: pa.Table) -> pa.Table:
@@ -400,17 +435,17 @@ def mean_copy(copies: pa.Table) -> pa.Table:
 
 
 def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
-    """Trains the lexicon's model on all texts of `rows`; the number of tokens gone through after the start."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(lex)
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 11) / float(1 << 53)
+    """Trains the lexicon's model on all texts of `rows`, which were looked up; the number of tokens gone through after the start."""
+    spark, u = rows.sparkSession, F.col("u")
+    plan = copy.copy(lex.model)  # without its weights
+    plan.p = {}
 
     def part(rows: DataFrame, tasks: int, epochs: int, rate: float, least: float, most: int | None = None) -> int:
         weights = spark.sparkContext.broadcast(lex.model.p)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lex, held, n, waiting = shared.value, [], 0, 0
-            model = copy.copy(lex.model)
+            held, n, waiting = [], 0, 0
+            model = copy.copy(plan)
             model.p = {k: v.copy() for k, v in weights.value.items()}
             room = most or LAID
 
@@ -419,10 +454,11 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
                 model.passes(*laid, epochs, rate=rate, least=least)
                 held.clear()
 
-            for batch in slices(batches):
-                at, sizes, missing, miss = lex.look_up(batch.column("text").to_pylist())
-                held.append((lex.inputs(at, missing, miss)[0].astype(np.int16), sizes))
-                n, waiting = n + len(at), waiting + len(at)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append((inputs_of(batch), batch.column("n_tokens").to_numpy()))
+                n, waiting = n + len(held[-1][0]), waiting + len(held[-1][0])
                 if waiting >= room:
                     learn()
                     waiting = 0
@@ -434,7 +470,7 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
                 own = np.concatenate([v.ravel() for v in model.p.values()]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TASKS], pa.int32()), pa.array([n]), pa.array([own], pa.binary())], names=["heap", "n", "weights"])
 
-        copies = map_batches(rows.select("text").coalesce(tasks), run, "heap int, n long, weights binary")
+        copies = map_batches(rows.select("x", "n_tokens").coalesce(tasks), run, "heap int, n long, weights binary")
         if tasks > TASKS:  # the driver gets TASKS means at most, however many cores there are
             copies = copies.groupBy("heap").applyInArrow(mean_copy, "heap int, n long, weights binary")
         found = mean_copy(copies.toArrow())
@@ -451,51 +487,43 @@ def train(rows: DataFrame, lex: Lexicon, start: int = TRAIN_TOKENS) -> int:
     return sum(part(rows.where(F.floor(u * ROUNDS) == k), tasks, 1, PASS_RATE * (1 - k / ROUNDS), 0.8) for k in range(ROUNDS))
 
 
-def score(docs: DataFrame, held_out: int = 2, of: int = 7, **bounds: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, held_out: int = 2, of: int = 7, lookup: int = LOOKUP, train_tokens: int = TRAIN_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts are looked up once; training and scoring read the staged inputs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "gru")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = plain(docs, doc_id=kind, text="string")
-    lex, rest = fit(docs, scratch, held_out, of, **bounds)
-    shared = spark.sparkContext.broadcast(lex)
-    tail = pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("times", pa.int64())])
+    docs = plain(docs, doc_id=kind, text="string").withColumn("learn", F.coalesce(crc_bucket(of) != held_out, F.lit(False)))
+    lex, rest = lexicon(docs.where("learn"), scratch, lookup)
+    looked = scratch.stage(look(docs, lex), "looked")
+    train(looked.where("learn"), lex, train_tokens)
+    shared = spark.sparkContext.broadcast(lex.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, row = shared.value, TaskContext.get().partitionId() << 36
-        held: list[tuple] = []
+        model, row = shared.value, TaskContext.get().partitionId() << 36
+        held: list[tuple[np.ndarray, pa.RecordBatch]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal row
-            sizes = np.concatenate([x[1] for x in held])
-            ln = lex.model.score(np.concatenate([x[0] for x in held]), sizes)
-            inside, base, known = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            n = len(sizes)
-            lists = pa.concat_arrays([x[6] for x in held])
-            out = [pa.array(np.arange(row, row + n)), pa.concat_arrays([x[5] for x in held]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(ln / LN10 + inside), lists]
-            row += n
+            rows = pa.Table.from_batches([b for _, b in held]).combine_chunks().to_batches()[0]
+            ln = model.score(np.concatenate([x for x, _ in held]), rows.column("n_tokens").to_numpy())
+            own = pa.array(ln / LN10 + rows.column("inside").to_numpy())
+            out = [pa.array(np.arange(row, row + len(ln))), *(rows.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")), own, rows.column("tail")]
+            row += len(ln)
             held.clear()
             return pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "n_tokens", "n_known", "base", "own", "tail"])
 
         size = 0
-        for part in slices(batches):
-            at, sizes, missing, miss = lex.look_up(part.column("text").to_pylist())
-            x, k = lex.inputs(at, missing, miss)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            ok = at >= 0
-            by = lambda v: np.bincount(text, np.where(ok, v[at], 0), len(sizes))  # noqa: B023, E731
-            pairs = Counter(zip(text[miss].tolist(), missing, k.tolist()))
-            per = np.bincount(np.fromiter((p[0] for p in pairs), np.int64, len(pairs)), minlength=len(sizes))  # pairs come by text
-            items = pa.StructArray.from_arrays([pa.array((p[1] for p in pairs), pa.binary()), pa.array((p[2] for p in pairs), pa.int32()), pa.array(pairs.values(), pa.int64())], fields=list(tail))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
-            held.append((x, sizes, by(lex.inside), by(lex.base), by(lex.known).astype(np.int64), part.column("doc_id"), lists))
-            size += len(at)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append((inputs_of(batch), batch.drop_columns(["x"])))
+            size += len(held[-1][0])
             if size >= BUFFER:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    scored = map_batches(docs, run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, tail array<struct<word: binary, kind: int, times: long>>")
+    scored = map_batches(looked.drop("learn", "u"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, tail array<struct<word: binary, kind: int, times: long>>")
     first = lambda c: F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c)  # noqa: E731  once for each text
     flat = scored.select("*", F.posexplode_outer("tail").alias("pos", "item")).select("row", *map(first, ("doc_id", "n_tokens", "n_known", "base", "own")), F.coalesce(F.col("item.word"), F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("word"), F.col("item.kind").alias("kind"), F.coalesce("item.times", F.lit(0)).alias("times"))
     met = flat.join(rest, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
