@@ -2,8 +2,8 @@
 
 Words are counted over the whole training part of the corpus. The most frequent ones are the model's own words
 (HEAD of them, the end of a text among them), put into classes of about equal frequency; all other words, seen or not,
-fall into one of TAILS classes by their spelling. The model, a GRU, gives P(class | all before) by one
-softmax and P(word | class, all before) by another; inside a spelling class a word has (c + 1) / (N_k + V_k + 1),
+fall into one of TAILS spelling classes, which together are one class more. The model, a GRU, gives P(class | all before) by one
+softmax and P(word or spelling class | class, all before) by another; inside a spelling class a word has (c + 1) / (N_k + V_k + 1),
 c its count, N_k and V_k the class's tokens and distinct words. So all words, and one more unseen word in each
 spelling class, sum up to 1. Training is truncated backpropagation through time with Adam in numpy; biases start from
 the whole corpus's counts. One task makes a start of about TRAIN_TOKENS tokens, which it sees EPOCHS times; then all training
@@ -62,58 +62,73 @@ class Gru:
         mass = np.cumsum(head_counts + 1.0)
         cls = np.minimum((CLASSES * (mass - (head_counts + 1.0) / 2) / mass[-1]).astype(np.int64), CLASSES - 1)
         _, cls = np.unique(cls, return_inverse=True)
-        self.n_head = int(cls.max()) + 1
-        self.cls = np.concatenate([cls, self.n_head + np.arange(len(tail_counts))])
-        self.first = np.searchsorted(cls, np.arange(self.n_head + 1))  # words come by frequency, so classes are runs
-        total = np.concatenate([np.bincount(cls, head_counts + 1.0), tail_counts + 1.0])
+        # Spelling classes are members of one more class.
+        self.cls = np.concatenate([cls, np.full(len(tail_counts), cls.max() + 1)])
+        self.n_classes = int(self.cls.max()) + 1
+        self.first = np.searchsorted(self.cls, np.arange(self.n_classes + 1))  # words come by frequency, so classes are runs
+        count = np.concatenate([head_counts, tail_counts]) + 1.0
+        total = np.bincount(self.cls, count)
         f = lambda *s, by=1.0: (rng.standard_normal(s) * by).astype(np.float32)
         self.p = {
             "E": f(self.head + len(tail_counts), embed, by=0.1), "W": f(embed, 3 * hidden, by=embed**-0.5), "b": np.zeros(3 * hidden, np.float32), "U": f(hidden, 3 * hidden, by=hidden**-0.5),
-            "C": f(hidden, len(total), by=0.01), "cb": np.log(total / total.sum()).astype(np.float32), "O": f(hidden, self.head, by=0.01), "ob": np.log((head_counts + 1.0) / total[cls]).astype(np.float32),
+            "C": f(hidden, len(total), by=0.01), "cb": np.log(total / total.sum()).astype(np.float32), "O": f(hidden, len(count), by=0.01), "ob": np.log(count / total[self.cls]).astype(np.float32),
         }
 
-    def outputs(self, h: np.ndarray, tok: np.ndarray, grad: bool = False):
-        """ln P of each token (of a spelling class: of the class) after state h; with `grad` also gradients."""
-        p, rows = self.p, np.arange(len(tok))
-        c = np.where(tok < self.head, self.cls[tok], self.n_head)
-        order = np.argsort(c.astype(np.int16), kind="stable")  # tokens of a class together
+    def outputs(self, h: np.ndarray, tok: np.ndarray, grad: bool = False, careful: bool = False):
+        """ln P of each token (of a spelling class: of the class) after state h; with `grad` also gradients. `careful` takes the
+        largest logit away before exp; without, sums that leave the safe range of floats are noticed and done again with it."""
+        p, n, H = self.p, len(tok), h.shape[1]
+        order = np.argsort(self.cls[tok].astype(np.int16), kind="stable")  # tokens of a class together
         tok = tok[order]
-        h = np.ascontiguousarray(h[order].T)  # a column for each token: sums over classes then run along whole rows
-        edge = np.searchsorted(c[order], np.arange(self.n_head + 1))
-        z = p["C"].T @ h
-        z += p["cb"][:, None]
-        z -= z.max(0)
-        own = z[self.cls[tok], rows]
-        np.exp(z, out=z)
-        total = z.sum(0)
-        out = own - np.log(total)
-        if grad:
-            z /= total
-            z[self.cls[tok], rows] -= 1
-            g = {"C": h @ z.T, "cb": z.sum(1), "O": np.zeros_like(p["O"]), "ob": np.zeros_like(p["ob"])}
-            dh = p["C"] @ z
-        for k in range(self.n_head):
-            a, b = self.first[k], self.first[k + 1]
-            o = slice(edge[k], edge[k + 1])
-            if o.start == o.stop or b - a == 1:
-                continue
-            hk, O = h[:, o], p["O"][:, a:b]
-            y = O.T @ hk
-            y += p["ob"][a:b, None]
-            y -= y.max(0)
-            i, t = rows[: o.stop - o.start], tok[o] - a
-            own = y[t, i]
+        cls, rows = self.cls[tok], np.arange(n)
+        edge = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        within = tok - self.first[cls]
+        # A column for each token, so that sums over classes run along whole rows; a row of ones for the biases.
+        x = np.ones((H + 1, n), h.dtype)
+        x[:H] = h[order].T
+        C, O = np.vstack([p["C"], p["cb"]]), np.vstack([p["O"], p["ob"]])
+        sums = np.ones((2, n), x.dtype)
+
+        def exps(w: np.ndarray, x: np.ndarray, true: np.ndarray, k: int, o: slice) -> np.ndarray:
+            """exp of the logits; adds the true ones to `out` and keeps the sums."""
+            y = w.T @ x
+            if careful:
+                y -= y.max(0)
+            out[o] += y[true, rows[: y.shape[1]]]
             np.exp(y, out=y)
-            total = y.sum(0)
-            out[o] += own - np.log(total)
+            np.add.reduce(y, 0, out=sums[k, o])
+            return y
+
+        def back(w: np.ndarray, x: np.ndarray, y: np.ndarray, true: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients by the weights and by the state."""
+            y /= total
+            y[true, rows[: y.shape[1]]] -= 1
+            return x @ y.T, w[:H] @ y
+
+        out, every = np.zeros(n, x.dtype), slice(0, n)
+        with np.errstate(over="ignore", invalid="ignore"):
+            z = exps(C, x, cls, 0, every)
             if grad:
-                y /= total
-                y[t, i] -= 1
-                g["O"][:, a:b], g["ob"][a:b] = hk @ y.T, y.sum(1)
-                dh[:, o] += O @ y
-        back = np.empty_like(order)
-        back[order] = rows
-        return (out[back], dh.T[back], g) if grad else out[back]
+                gC, dh = back(C, x, z, cls, sums[0])
+                gO = np.zeros_like(O)
+            for k in range(self.n_classes):
+                a, b = self.first[k], self.first[k + 1]
+                o = slice(edge[k], edge[k + 1])
+                if o.start == o.stop or b - a == 1:
+                    continue
+                w, xk, true = O[:, a:b], x[:, o], within[o]
+                y = exps(w, xk, true, 1, o)
+                if grad:
+                    gO[:, a:b], d = back(w, xk, y, true, sums[1, o])
+                    dh[:, o] += d
+        if not careful and n and not (sums.min() > 1e-30 and sums.max() < 1e30):
+            return self.outputs(h, tok[np.argsort(order)], grad, True)
+        out -= np.log(sums[0]) + np.log(sums[1])
+        place = np.empty_like(order)
+        place[order] = rows
+        if not grad:
+            return out[place]
+        return out[place], dh.T[place], {"C": gC[:H], "cb": gC[H], "O": gO[:H], "ob": gO[H]}
 
     def train(self, tokens: np.ndarray, starts: np.ndarray, epochs: int = EPOCHS, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> None:
         """Truncated backpropagation over `tokens` laid in lanes; `starts` marks the first token of each text."""

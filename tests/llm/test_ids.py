@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkwarden.llm import gru, packing, store, tokens
@@ -200,6 +201,37 @@ def test_probabilities_sum_to_one():
     assert np.exp(m.outputs(np.repeat(h, 13, 0), np.arange(13))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_logits_beyond_exp():
+    """Sums that leave the range of floats are taken again with the largest logit away."""
+    m = gru.Gru(np.array([50, 20, 10, 5, 5, 4, 3, 3, 2, 1.0]), np.array([5.0, 4, 3]), hidden=5, embed=4)
+    h, tok = np.random.default_rng(0).standard_normal((26, 5)).astype(np.float32), np.tile(np.arange(13), 2)
+    want, want_dh, _ = m.outputs(h, tok, True)
+    for shift in (200, -200):
+        m.p["cb"] += np.float32(shift)
+        m.p["ob"] += np.float32(shift)
+        got, dh, _ = m.outputs(h, tok, True)
+        assert got == pytest.approx(want, abs=1e-3) and dh == pytest.approx(want_dh, abs=1e-3)
+        m.p["cb"] -= np.float32(shift)
+        m.p["ob"] -= np.float32(shift)
+
+
+def test_mean_of_copies():
+    w = [np.full(4, v, np.float32) for v in (1, 2, 6)]
+    table = lambda rows: pa.table({"heap": pa.array([h for h, *_ in rows], pa.int32()), "n": [n for _, n, _ in rows], "weights": pa.array([x.tobytes() for *_, x in rows], pa.binary())})
+    whole = table([(0, 10, w[0]), (1, 20, w[1]), (0, 30, w[2])])
+    parts = pa.concat_tables([gru.mean_copy(table([(0, 10, w[0]), (0, 30, w[2])])), gru.mean_copy(table([(1, 20, w[1])]))])
+    for t in (gru.mean_copy(whole), gru.mean_copy(parts)):
+        assert t.column("n").to_pylist() == [60] and np.frombuffer(t.column("weights")[0].as_py(), np.float32) == pytest.approx((10 + 40 + 180) / 60)
+    assert gru.mean_copy(whole.slice(0, 0)).num_rows == 0
+
+
+@pytest.mark.parametrize("heaps", [1, 64])
+def test_copies_meet_in_heaps(spark, monkeypatch, heaps):
+    monkeypatch.setattr(gru, "TASKS", heaps)
+    docs = odd(spark)
+    assert gru.score(docs, train_tokens=500).count() == docs.count()
+
+
 def test_score_needs_no_neighbours():
     """A text's score is the same alone and among others: state is carried through it and from nowhere else."""
     rng = np.random.default_rng(0)
