@@ -23,18 +23,17 @@ from __future__ import annotations
 
 import copy
 import heapq
-import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_bucket, map_batches, plain, slices, word_lists
+from .common import BATCH_BYTES, Scratch, coded_words, crc_bucket, map_batches, plain, slices
 
 HEAD, CLASSES, TAILS = 3072, 48, 64
 LOOKUP = 300_000
@@ -45,6 +44,10 @@ TRAIN_TOKENS, EPOCHS, LANES, STEPS, RATE = 250_000, 5, 64, 32, 6e-3
 ROUNDS, TASKS, WORTH, LAID, PASS_LANES, PASS_RATE = 4, 64, 1 << 21, 1 << 22, 128, 2e-3
 #: Tokens scored together in a task, and texts side by side.
 BUFFER, SIDE, SPAN = 1 << 22, 256, 64
+#: Tokens whose softmax over the classes is taken at once.
+BLOCK = 512
+#: Rows of words and counts that a task merges and holds, about.
+HELD_WORDS = 600_000
 LN10 = float(np.log(10))
 END = b""
 
@@ -71,64 +74,96 @@ class Gru:
         f = lambda *s, by=1.0: (rng.standard_normal(s) * by).astype(np.float32)
         self.p = {
             "E": f(self.head + len(tail_counts), embed, by=0.1), "W": f(embed, 3 * hidden, by=embed**-0.5), "b": np.zeros(3 * hidden, np.float32), "U": f(hidden, 3 * hidden, by=hidden**-0.5),
-            "C": f(hidden, len(total), by=0.01), "cb": np.log(total / total.sum()).astype(np.float32), "O": f(hidden, len(count), by=0.01), "ob": np.log(count / total[self.cls]).astype(np.float32),
+            "C": f(hidden, len(total), by=0.01).T.copy(), "cb": np.log(total / total.sum()).astype(np.float32), "O": f(hidden, len(count), by=0.01).T.copy(), "ob": np.log(count / total[self.cls]).astype(np.float32),
         }
 
-    def outputs(self, h: np.ndarray, tok: np.ndarray, grad: bool = False, careful: bool = False):
-        """ln P of each token (of a spelling class: of the class) after state h; with `grad` also gradients. `careful` takes the
-        largest logit away before exp; without, sums that leave the safe range of floats are noticed and done again with it."""
-        p, n, H = self.p, len(tok), h.shape[1]
-        order = np.argsort(self.cls[tok].astype(np.int16), kind="stable")  # tokens of a class together
-        tok = tok[order]
-        cls, rows = self.cls[tok], np.arange(n)
-        edge = np.searchsorted(cls, np.arange(self.n_classes + 1))
-        within = tok - self.first[cls]
-        # A column for each token, so that sums over classes run along whole rows; a row of ones for the biases.
-        x = np.ones((H + 1, n), h.dtype)
-        x[:H] = h[order].T
-        C, O = np.vstack([p["C"], p["cb"]]), np.vstack([p["O"], p["ob"]])
-        sums = np.ones((2, n), x.dtype)
-
-        def exps(w: np.ndarray, x: np.ndarray, true: np.ndarray, k: int, o: slice) -> np.ndarray:
-            """exp of the logits; adds the true ones to `out` and keeps the sums."""
-            y = w.T @ x
+    def outputs(self, h: np.ndarray, tok: np.ndarray, grad: bool = False):
+        """ln P of each token (of a spelling class: of the class) after state h; with `grad` also gradients."""
+        order = np.argsort(tok, kind="stable")
+        x = np.ones((len(tok), h.shape[1] + 1), h.dtype)
+        x[:, :-1] = h[order]
+        out, *more = self.sorted_outputs(x, tok[order], grad)
+        place = np.argsort(order)
+        return (out[place], more[0][place], more[1]) if grad else out[place]
+
+    def sorted_outputs(self, x: np.ndarray, tok: np.ndarray, grad: bool = False, careful: bool = False) -> tuple:
+        """Like outputs, for ascending tokens; a row of x is the state and a one for the biases. Logits have a column for each token, so that
+        sums over classes run along whole rows. `careful` takes the largest logit away before exp; without, sums that leave the safe
+        range of floats are noticed and done again with it."""
+        p, n, H = self.p, len(tok), x.shape[1] - 1
+        C, O = np.concatenate([p["C"], p["cb"][:, None]], 1), np.concatenate([p["O"], p["ob"][:, None]], 1)
+        out, sums = np.zeros(n, x.dtype), np.ones((2, n), x.dtype)
+        gC, gO, dh = np.zeros_like(C), np.zeros_like(O), np.empty((n if grad else 0, H), x.dtype)
+
+        def softmax(w: np.ndarray, at: np.ndarray, i: int, j: int, total: np.ndarray) -> np.ndarray:
+            """Adds the true logits (flat places `at`) of tokens i to j to `out` and keeps the sums; with `grad` the logits' gradients."""
+            y = w @ x[i:j].T
             if careful:
                 y -= y.max(0)
-            out[o] += y[true, rows[: y.shape[1]]]
+            flat = y.reshape(-1)
+            out[i:j] += flat[at]
             np.exp(y, out=y)
-            np.add.reduce(y, 0, out=sums[k, o])
+            np.add.reduce(y, 0, out=total[i:j])
+            if grad:
+                y *= 1 / total[i:j]
+                flat[at] -= 1
             return y
 
-        def back(w: np.ndarray, x: np.ndarray, y: np.ndarray, true: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Gradients by the weights and by the state."""
-            y /= total
-            y[true, rows[: y.shape[1]]] -= 1
-            return x @ y.T, w[:H] @ y
-
-        out, every = np.zeros(n, x.dtype), slice(0, n)
-        with np.errstate(over="ignore", invalid="ignore"):
-            z = exps(C, x, cls, 0, every)
-            if grad:
-                gC, dh = back(C, x, z, cls, sums[0])
-                gO = np.zeros_like(O)
-            for k in range(self.n_classes):
-                a, b = self.first[k], self.first[k + 1]
-                o = slice(edge[k], edge[k + 1])
-                if o.start == o.stop or b - a == 1:
+        cls, rows = self.cls[tok], np.arange(n)  # words of a class are a run, so tokens of a class are together
+        edge = np.searchsorted(tok, self.first)
+        own = (tok - self.first[cls]) * np.diff(edge)[cls] + rows - edge[cls]
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for i in range(0, n, BLOCK):  # so many as stay in the cache
+                j = min(i + BLOCK, n)
+                y = softmax(C, cls[i:j] * (j - i) + rows[: j - i], i, j, sums[0])
+                if grad:
+                    gC += y @ x[i:j]
+                    np.matmul(y.T, C[:, :H], out=dh[i:j])
+            for a, b, i, j in zip(self.first.tolist(), self.first[1:].tolist(), edge.tolist(), edge[1:].tolist()):
+                if i == j or b - a == 1:
                     continue
-                w, xk, true = O[:, a:b], x[:, o], within[o]
-                y = exps(w, xk, true, 1, o)
+                y = softmax(O[a:b], own[i:j], i, j, sums[1])
                 if grad:
-                    gO[:, a:b], d = back(w, xk, y, true, sums[1, o])
-                    dh[:, o] += d
+                    np.matmul(y, x[i:j], out=gO[a:b])
+                    dh[i:j] += y.T @ O[a:b, :H]
         if not careful and n and not (sums.min() > 1e-30 and sums.max() < 1e30):
-            return self.outputs(h, tok[np.argsort(order)], grad, True)
+            return self.sorted_outputs(x, tok, grad, True)
         out -= np.log(sums[0]) + np.log(sums[1])
-        place = np.empty_like(order)
-        place[order] = rows
-        if not grad:
-            return out[place]
-        return out[place], dh.T[place], {"C": gC[:H], "cb": gC[H], "O": gO[:H], "ob": gO[H]}
+        return (out, dh, {"C": gC[:, :H], "cb": gC[:, H], "O": gO[:, :H], "ob": gO[:, H]}) if grad else (out,)
+
+    def states(self, tok: np.ndarray, keep: np.ndarray, h: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps through tokens (steps x lanes) from state h, which `keep` sets to 0 where texts begin. A column for each lane, so that gates
+        are whole rows: the state before each step, a one and the embedding; with `whole` the steps' gates (update, reset, the candidate's part by the
+        state, its part by the input) and candidates; the last state."""
+        p, H, (T, lanes) = self.p, self.hidden, tok.shape
+        x = np.empty((T, H + p["E"].shape[1] + 1, lanes), np.float32)
+        x[:, H] = 1
+        x[:, H + 1 :] = p["E"][tok].transpose(0, 2, 1)
+        w = np.zeros((4 * H, x.shape[1]), np.float32)
+        w[: 3 * H, :H] = p["U"].T
+        for to, of in ((slice(0, 2 * H), slice(0, 2 * H)), (slice(3 * H, None), slice(2 * H, None))):
+            w[to, H], w[to, H + 1 :] = p["b"][of], p["W"].T[of]
+        w[: 2 * H] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
+        begins = ~keep.all(1)
+        gates, cand = np.empty((T if whole else 1, 4 * H, lanes), np.float32), np.empty((T if whole else 1, H, lanes), np.float32)
+        for t in range(T):
+            hp, g, c = x[t, :H], gates[t * whole], cand[t * whole]
+            if begins[t]:
+                np.multiply(h, keep[t], out=hp)
+            else:
+                hp[...] = h
+            np.matmul(w, x[t], out=g)
+            zr = g[: 2 * H]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(g[H : 2 * H], g[2 * H : 3 * H], out=c)
+            c += g[3 * H :]
+            np.tanh(c, out=c)
+            h = hp - c
+            h *= g[:H]
+            h += c
+        return x, gates, cand, h
 
     def train(self, tokens: np.ndarray, starts: np.ndarray, epochs: int = EPOCHS, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> None:
         """Truncated backpropagation over `tokens` laid in lanes; `starts` marks the first token of each text."""
@@ -150,73 +185,55 @@ class Gru:
             h = np.zeros((H, len(x)), np.float32)
             for at in range(0, width, steps):
                 lanes = int((length > at).sum())
-                h = h[:, :lanes]
-                xs, ns = x[:lanes, at : at + steps].T, new[:lanes, at : at + steps].T
+                xs, keep = x[:lanes, at : at + steps].T, (~new[:lanes, at : at + steps].T).astype(np.float32)
                 T = len(xs)
                 live = (np.arange(at, at + T)[:, None] < length[:lanes]).ravel()
                 size = int(live.sum())
-                # A column for each lane, so that gates are whole rows.
-                emb = p["E"][xs.ravel()].reshape(T, lanes, -1)
-                inp = np.matmul(p["W"].T, emb.transpose(0, 2, 1))
-                inp += p["b"][:, None]
-                inp[:, : 2 * H] *= 0.5  # sigmoid(x) = 0.5 + 0.5 tanh(x / 2)
-                U = p["U"].T.copy()
-                U[: 2 * H] *= 0.5
-                keep, begins = (~ns).astype(np.float32), ns.any(1)
-                before, gates = np.empty((T, H, lanes), np.float32), np.empty((T, 2 * H, lanes), np.float32)
-                cand, uh, u = np.empty_like(before), np.empty_like(before), np.empty((3 * H, lanes), np.float32)
-                for t in range(T):
-                    hp, zr, c = before[t], gates[t], cand[t]
-                    if begins[t]:
-                        np.multiply(h, keep[t], out=hp)
-                    else:
-                        hp[...] = h
-                    np.matmul(U, hp, out=u)
-                    np.add(inp[t, : 2 * H], u[: 2 * H], out=zr)
-                    np.tanh(zr, out=zr)
-                    zr *= 0.5
-                    zr += 0.5
-                    uh[t] = u[2 * H :]
-                    np.multiply(zr[H:], u[2 * H :], out=c)
-                    c += inp[t, 2 * H :]
-                    np.tanh(c, out=c)
-                    h = hp - c
-                    h *= zr[:H]
-                    h += c
-                _, found, g = self.outputs(before.transpose(0, 2, 1).reshape(-1, H)[live], xs.ravel()[live], True)
-                dh_out = np.zeros((T * lanes, H), np.float32)
-                dh_out[live] = found
-                dh_out = np.ascontiguousarray(dh_out.reshape(T, lanes, H).transpose(0, 2, 1))
-                z, r = gates[:, :H], gates[:, H:]
+                tok = xs.ravel().astype(np.int16)
+                order = np.argsort(tok if size == len(tok) else np.where(live, tok, np.int16(0x7FFF)), kind="stable")  # places beyond a lane's end come last
+                place, order = np.argsort(order), order[:size]
+                tok = tok[order]
+                col, gates, cand, h = self.states(xs, keep, h[:, :lanes], True)
+                before, z, r, uh = col[:, :H], gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H : 3 * H]
+                _, found, g = self.sorted_outputs(col[:, : H + 1].transpose(0, 2, 1).reshape(-1, H + 1).take(order, 0), tok, True)
+                if size < len(place):
+                    found = np.concatenate([found, np.zeros((len(place) - size, H), np.float32)])
+                dh_out = np.ascontiguousarray(found.take(place, 0).reshape(T, lanes, H).transpose(0, 2, 1))
                 # What a gradient of the state is multiplied by, for all steps at once: of the candidate, of both gates.
-                by_c = (1 - z) * (1 - cand * cand)
-                by_z = (before - cand) * z * (1 - z)
-                by_r = uh * r * (1 - r)
-                dinp, du = np.empty((T, 3 * H, lanes), np.float32), np.empty((T, 3 * H, lanes), np.float32)
+                by_c = 1 - z
+                by_z = before - cand
+                by_z *= z
+                by_z *= by_c
+                by_c *= 1 - cand * cand
+                by_r = 1 - r
+                by_r *= r
+                by_r *= uh
+                back = np.empty_like(gates)
                 dh = np.zeros((H, lanes), np.float32)
+                begins = ~keep.all(1)
                 for t in reversed(range(T)):
-                    d, e = dinp[t], du[t]
-                    dc = d[2 * H :]
+                    d = back[t]
+                    dc = d[3 * H :]
                     np.multiply(dh, by_c[t], out=dc)
                     np.multiply(dh, by_z[t], out=d[:H])
                     np.multiply(dc, by_r[t], out=d[H : 2 * H])
-                    e[: 2 * H] = d[: 2 * H]
-                    np.multiply(dc, r[t], out=e[2 * H :])
-                    dh = dh * z[t]
-                    dh += p["U"] @ e
+                    np.multiply(dc, r[t], out=d[2 * H : 3 * H])
+                    dh *= z[t]
+                    dh += p["U"] @ d[: 3 * H]
                     dh += dh_out[t]
                     if begins[t]:
                         dh *= keep[t]
                 for k, v in g.items():
                     into[k][...] = v
-                rows = dinp.transpose(0, 2, 1).reshape(-1, 3 * H)
-                into["U"][...] = np.matmul(before, du.transpose(0, 2, 1)).sum(0)
-                into["W"][...] = emb.reshape(len(rows), -1).T @ rows
-                into["b"][...] = rows.sum(0)
+                both = np.matmul(col, back.transpose(0, 2, 1)).sum(0)
+                into["U"][...] = both[:H, : 3 * H]
+                both = np.delete(both[H:], np.s_[2 * H : 3 * H], 1)
+                into["b"][...], into["W"][...] = both[0], both[1:]
+                by_gate = np.concatenate([p["W"][:, : 2 * H], np.zeros_like(p["W"][:, :H]), p["W"][:, 2 * H :]], 1)
+                de = np.matmul(by_gate, back).transpose(0, 2, 1).reshape(T * lanes, -1)
+                at_word = np.flatnonzero(np.diff(tok, prepend=-1))
                 into["E"][...] = 0
-                order = np.argsort(xs.ravel().astype(np.int16), kind="stable")
-                words, at_word = np.unique(xs.ravel()[order], return_index=True)
-                into["E"][words] = np.add.reduceat((rows @ p["W"].T)[order], at_word)
+                into["E"][tok[at_word]] = np.add.reduceat(de[order], at_word)
                 n += 1
                 norm = np.sqrt(float(np.dot(grad, grad))) / size
                 grad *= np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / size)
@@ -235,12 +252,6 @@ class Gru:
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """ln P of each text (tokens of all texts, one after another, and the number of each text's)."""
-        p, H = self.p, self.hidden
-        table = p["E"] @ p["W"] + p["b"]
-        # sigmoid(x) = 0.5 + 0.5 tanh(x / 2): halve once here
-        table[:, : 2 * H] *= 0.5
-        U = p["U"].copy()
-        U[:, : 2 * H] *= 0.5
         first = np.cumsum(sizes) - sizes
         heap = [(0, k) for k in range(min(SIDE, len(sizes)))]
         lane: list[list[int]] = [[] for _ in heap]
@@ -252,34 +263,24 @@ class Gru:
         length = np.array([int(sizes[x].sum()) for x in lane])
         total = int(length.max(initial=0))
         out = np.zeros(len(sizes))
-        live = np.searchsorted(-length, -np.arange(total), "left")
         base = np.cumsum(length) - length
         order = np.array([i for x in lane for i in x])
         n_of = sizes[order]
         text = np.repeat(order, n_of)
         place = np.arange(len(text)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-        tok = tokens[first[text] + place]
-        ends = place == n_of.repeat(n_of) - 1
-        h = np.zeros((len(lane), H), np.float32)
+        tok = tokens[first[text] + place].astype(np.int16)
+        h = np.zeros((self.hidden, len(lane)), np.float32)
         for at in range(0, total, SPAN):
-            hs, where = [], []
-            for t in range(at, min(at + SPAN, total)):
-                n = int(live[t])
-                i = base[:n] + t
-                h = h[:n]
-                hs.append(h)
-                where.append(i)
-                x, u = table[tok[i]], h @ U
-                zr = np.tanh(x[:, : 2 * H] + u[:, : 2 * H])
-                zr *= 0.5
-                zr += 0.5
-                c = np.tanh(x[:, 2 * H :] + zr[:, H:] * u[:, 2 * H :])
-                h = c + zr[:, :H] * (h - c)
-                e = ends[i]
-                if e.any():
-                    h[e] = 0
-            w = np.concatenate(where)
-            out += np.bincount(text[w], self.outputs(np.concatenate(hs), tok[w]), len(sizes))
+            n = int((length > at).sum())
+            steps = np.arange(at, min(at + SPAN, total))[:, None]
+            live = (steps < length[:n]).ravel()
+            i = np.minimum(base[:n] + steps, len(tok) - 1)
+            x, _, _, h = self.states(tok[i], (place[i] > 0).astype(np.float32), h[:, :n])
+            i = i.ravel()
+            order = np.argsort(tok[i] if live.all() else np.where(live, tok[i], np.int16(0x7FFF)), kind="stable")[: int(live.sum())]
+            states = x[:, : self.hidden + 1].transpose(0, 2, 1).reshape(-1, self.hidden + 1).take(order, 0)
+            i = i[order]
+            out += np.bincount(text[i], self.sorted_outputs(states, tok[i])[0], len(sizes))
         return out
 
 
@@ -309,17 +310,25 @@ def count_words(rows: DataFrame) -> DataFrame:
     """word (binary, the end is empty) and c over all texts; tasks count before anything is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-        for part in slices(batches):
-            for words in word_lists(part.column("text").to_pylist(), lower=True):
-                held.update(words)
-                held[END] += 1
-            if len(held) > 600_000:
-                yield send()
-                held.clear()
+        held: list[pa.Table] = []
+        merged = waiting = 0
+
+        def merge() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return pa.table([sums.column("word"), sums.column("c_sum")], names=["word", "c"])
+
+        for part in slices(batches, most=BATCH_BYTES):
+            words, code, _ = coded_words(part.column("text"))
+            held.append(pa.table([words, pa.array(np.bincount(code, minlength=len(words)))], names=["word", "c"]))
+            waiting += len(words)
+            if waiting > merged + HELD_WORDS:
+                held[:] = [merge()]
+                merged, waiting = held[0].num_rows, 0
+                if merged > HELD_WORDS:
+                    yield from held.pop().combine_chunks().to_batches()
+                    merged = 0
         if held:
-            yield send()
+            yield from merge().combine_chunks().to_batches()
 
     return map_batches(rows.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -352,33 +361,11 @@ class Lexicon:
         self.inside = np.where(rest, np.log10((c + 1) / (self.tail_n + self.tail_v + 1)[self.kind]), 0.0)
         self.input = np.where(rest, self.head + self.kind, np.arange(len(self.words)))
         self.model = Gru(c[: self.head], self.tail_n)
-        self._index: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
-
-    @property
-    def index(self) -> dict[bytes, int]:
-        if self._index is None:
-            self._index = {w: i for i, w in enumerate(self.words)}
-        return self._index
-
-    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Position of each word and end (-1: not among the most frequent), words of each text with the end, and the words at -1."""
-        lists = word_lists(texts, lower=True)
-        for x in lists:
-            x.append(END)
-        flat = list(itertools.chain.from_iterable(lists))
-        at = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
-        miss = np.flatnonzero(at < 0)
-        return at, np.fromiter(map(len, lists), np.int64, len(lists)), [flat[i] for i in miss.tolist()], miss
-
-    def inputs(self, at: np.ndarray, missing: list[bytes], miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Model inputs of the words, and the spelling classes of the missing ones."""
-        kind = np.fromiter(map(spelling, missing), np.int64, len(missing))
-        x = self.input[at]
-        x[miss] = self.head + kind
-        return x, kind
+        self.words = pa.array(self.words, pa.binary())
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Position of each word, -1 where it is not among the most frequent."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
 
 
 def lexicon(rows: DataFrame, scratch: Scratch, lookup: int = LOOKUP) -> tuple[Lexicon, DataFrame]:
@@ -406,30 +393,37 @@ TAIL = pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("times", pa.int6
 
 
 def look(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """doc_id, learn, u (a number from 0 to 1 by id and text), x (the model's inputs, 16 bits each), n_tokens, and of the words that the
-    lexicon has: n_known, base, inside; tail: all others."""
+    """row (a number of its own), doc_id, learn, u (a number from 0 to 1 by id and text), x (the model's inputs, 16 bits each), n_tokens, and of
+    the words that the lexicon has: n_known, base, inside; tail: all others."""
     shared = docs.sparkSession.sparkContext.broadcast(lex)
     kind = docs.schema["doc_id"].dataType.simpleString()
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 11) / float(1 << 53)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        for part in slices(batches):
-            at, sizes, missing, miss = lex.look_up(part.column("text").to_pylist())
-            x, k = lex.inputs(at, missing, miss)
+        lex, row = shared.value, TaskContext.get().partitionId() << 36
+        for part in slices(batches, most=BATCH_BYTES):
+            words, code, sizes = coded_words(part.column("text"))
+            at = lex.look_up(words)
+            ok = at >= 0
+            rare = np.flatnonzero(~ok)
+            kind = np.zeros(len(words), np.int32)
+            kind[rare] = np.fromiter(map(spelling, words.take(pa.array(rare)).to_numpy(zero_copy_only=False)), np.int32, len(rare))
+            x = np.where(ok, lex.input[at], lex.head + kind).astype(np.int16)[code]
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            inputs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(x.astype(np.int16))])
+            inputs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(x)])
             text = np.repeat(np.arange(len(sizes)), sizes)
-            ok = at >= 0
-            by = lambda v: np.bincount(text, np.where(ok, v[at], 0), len(sizes))  # noqa: B023, E731
-            pairs = Counter(zip(text[miss].tolist(), missing, k.tolist()))
-            per = np.bincount(np.fromiter((p[0] for p in pairs), np.int64, len(pairs)), minlength=len(sizes))  # pairs come by text
-            items = pa.StructArray.from_arrays([pa.array((p[1] for p in pairs), pa.binary()), pa.array((p[2] for p in pairs), pa.int32()), pa.array(pairs.values(), pa.int64())], fields=list(TAIL))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), items)
-            out = [*(part.column(c) for c in ("doc_id", "learn", "u")), inputs, pa.array(sizes), pa.array(by(lex.known).astype(np.int64)), pa.array(by(lex.base)), pa.array(by(lex.inside)), lists]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "learn", "u", "x", "n_tokens", "n_known", "base", "inside", "tail"])
+            by = lambda v: np.bincount(text, np.where(ok, v[at], 0)[code], len(sizes))  # noqa: B023, E731
+            miss = np.flatnonzero(~ok[code])
+            pairs, times = np.unique(text[miss] * len(words) + code[miss], return_counts=True)  # by text
+            own = pairs % max(1, len(words))
+            items = pa.StructArray.from_arrays([words.take(pa.array(own)), pa.array(kind[own]), pa.array(times)], fields=list(TAIL))
+            ends = np.searchsorted(pairs, np.arange(len(sizes) + 1) * len(words))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            out = [pa.array(np.arange(row, row + len(sizes))), *(part.column(c) for c in ("doc_id", "learn", "u")), inputs, pa.array(sizes), pa.array(by(lex.known).astype(np.int64)), pa.array(by(lex.base)), pa.array(by(lex.inside)), lists]
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "learn", "u", "x", "n_tokens", "n_known", "base", "inside", "tail"])
 
-    return map_batches(docs.select("doc_id", "learn", u.alias("u"), "text"), run, f"doc_id {kind}, learn boolean, u double, x binary, n_tokens long, n_known long, base double, inside double, tail array<struct<word: binary, kind: int, times: long>>")
+    return map_batches(docs.select("doc_id", "learn", u.alias("u"), "text"), run, f"row long, doc_id {kind}, learn boolean, u double, x binary, n_tokens long, n_known long, base double, inside double, tail array<struct<word: binary, kind: int, times: long>>")
 
 
 def inputs_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -513,18 +507,15 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7, lookup: int = LOOKUP,
     shared = spark.sparkContext.broadcast(lex.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 36
+        model = shared.value
         held: list[tuple[np.ndarray, pa.RecordBatch]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal row
             rows = pa.Table.from_batches([b for _, b in held]).combine_chunks().to_batches()[0]
             ln = model.score(np.concatenate([x for x, _ in held]), rows.column("n_tokens").to_numpy())
-            own = pa.array(ln / LN10 + rows.column("inside").to_numpy())
-            out = [pa.array(np.arange(row, row + len(ln))), *(rows.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")), own, rows.column("tail")]
-            row += len(ln)
             held.clear()
-            return pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "n_tokens", "n_known", "base", "own", "tail"])
+            own = pa.array(ln / LN10 + rows.column("inside").to_numpy())
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in plain_columns), own], names=[*plain_columns, "own"])
 
         size = 0
         for batch in batches:
@@ -538,15 +529,16 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7, lookup: int = LOOKUP,
         if held:
             yield flush()
 
-    scored = map_batches(looked.drop("learn", "u"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, tail array<struct<word: binary, kind: int, times: long>>")
-    first = lambda c: F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col(c)).alias(c)  # noqa: E731  once for each text
-    flat = scored.select("*", F.posexplode_outer("tail").alias("pos", "item")).select("row", *map(first, ("doc_id", "n_tokens", "n_known", "base", "own")), F.coalesce(F.col("item.word"), F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("word"), F.col("item.kind").alias("kind"), F.coalesce("item.times", F.lit(0)).alias("times"))
-    met = flat.join(rest, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    plain_columns = ["row", "doc_id", "n_tokens", "n_known", "base"]
+    scored = map_batches(looked.select(*plain_columns, "inside", "x"), run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double")
+    # The words beyond the lexicon go their own way, with nothing but their text's row.
+    met = looked.select("row", F.explode("tail").alias("item")).select("row", "item.word", "item.kind", "item.times").join(rest, "word", "left")
+    c, times = F.coalesce("c", F.lit(0)), F.col("times")
     room = F.array(*(F.lit(float(n + v + 1)) for n, v in zip(lex.tail_n, lex.tail_v)))
-    times = F.col("times")
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(F.col("c") > 0, times).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(times * F.log10((F.col("c") + 1) / F.lit(float(lex.total + lex.distinct + 1))))).alias("base_score"),
-        (F.max("own") + F.sum(F.when(times > 0, times * F.log10((F.col("c") + 1) / F.get(room, F.col("kind")))).otherwise(0.0))).alias("score"),
+    tails = met.groupBy("row").agg(
+        F.sum(F.when(c > 0, times).otherwise(0)).alias("_known"), F.sum(times * F.log10((c + 1) / F.lit(float(lex.total + lex.distinct + 1)))).alias("_base"),
+        F.sum(times * F.log10((c + 1) / F.get(room, F.col("kind")))).alias("_inside"),
     )
+    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias
+    out = scored.join(tails, "row", "left").select("doc_id", "n_tokens", plus("n_known", "_known")("n_known"), plus("base", "_base")("base_score"), plus("own", "_inside")("score"))
     return out.select("doc_id", (crc_bucket(of) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(lex.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from sparkwarden.llm import gru, packing, store, tokens
-from sparkwarden.llm.common import Scratch, tokenizer_path
+from sparkwarden.llm.common import Scratch, coded_words, tokenizer_path, word_lists
 
 from .fixtures import BLANK, SF, crc, empty, odd, odd_rows
 
@@ -252,6 +252,25 @@ def test_training_learns():
     assert m.score(x[:600], np.full(100, 6)).sum() > 0.3 * before
 
 
+def test_coded_words():
+    """Words by Arrow are those by Python: each distinct one once, an empty word at each text's end, odd blanks and slices of a column."""
+    texts = [*ODD_TEXTS, "  a  B\tc ", "A\x0bÉ\x0cß\x85d\xa0Z\u2003q", "a\x1cb\x1d\x1e\x1f c", " \r\n", "x"]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(3, 9), pa.array([None], pa.string()), pa.array(texts, pa.large_string())):
+        words, code, counts = coded_words(column)
+        words = words.to_pylist()
+        assert len(words) == len(set(words))
+        assert [[words[i] for i in x] for x in np.split(code, np.cumsum(counts)[:-1])] == [[*x, b""] for x in word_lists(column.to_pylist(), lower=True)]
+
+
+@pytest.mark.parametrize("held", [1, 50, 600_000])
+def test_counts_sent_in_parts(spark, monkeypatch, held):
+    """Counts are whole however often a task merges and sends what it holds."""
+    monkeypatch.setattr(gru, "HELD_WORDS", held)
+    monkeypatch.setattr(gru, "BATCH_BYTES", 2000)
+    want = Counter(w for x in word_lists([r[1] for r in odd_rows()], lower=True) for w in [*x, b""])
+    assert {bytes(r["word"]): r["c"] for r in gru.count_words(odd(spark)).collect()} == want
+
+
 @pytest.mark.parametrize("lookup", [40, 300_000])
 def test_scores(spark, lookup):
     docs = odd(spark)
