@@ -5,6 +5,9 @@ merges across such a place, so the ids of a text are those of its chunks, and ne
 before. Where that can't be told (runs of blanks before a chunk in byte-level files, files of other kinds)
 the whole text goes to the library.
 
+In files of the one kind whose words are runs of letters, in lower case (op8's), a chunk also ends between an ASCII letter and ASCII
+punctuation, A-Z are lowered before chunks are looked up, and words to be learnt go to the library with a blank between two.
+
 Chunks are found and hashed in numpy on the texts' bytes, without a Python object for each, and looked up in a table of 64-bit
 hashes that holds CACHE_BYTES at most (two chunks of one hash: below 1e-13 for each new chunk).
 """
@@ -13,6 +16,8 @@ from __future__ import annotations
 
 import json
 import os
+import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,9 @@ from .common import mix, tokenizer_path, worker_cache
 
 #: Bytes that the chunk table of one Python worker takes at most (for a moment, while it is cut down, one and a half times that).
 CACHE_BYTES = 48 << 20
+#: Words as the files know them that let chunks be cut finer.
+FINE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PUNCTUATION = np.array([chr(b) in string.punctuation for b in range(256)])
 #: Bytes of longer chunks are hashed by xxhash.
 SHORT = 64
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -74,12 +82,20 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.lib = Tokenizer.from_file(path)
         spec = json.loads(self.lib.to_str())
         special = [x for x in spec.get("added_tokens", []) if x.get("special") and not x.get("normalized")]
         self.kind = self._kind(spec) if special else "whole"
         self.mark, self.mark_id = (special[-1]["content"], special[-1]["id"]) if special else ("", -1)
+        self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
+        self.fine = self.kind == "word" and self._fine(spec)
+        if self.fine:  # the model alone, for words of a to z, which are as they are after all other steps; and whether an id ends a word
+            self.bare = Tokenizer(self.lib.model)
+            self.bare.pre_tokenizer = WhitespaceSplit()
+            self.ends = np.zeros(max(self.lib.get_vocab_size(), self.mark_id + 1), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.most = cache
         self._clear()
 
@@ -96,6 +112,26 @@ class Encoder:
             return "word"
         return "whole"
 
+    @staticmethod
+    def _fine(spec: dict) -> bool:
+        """Whether words are FINE's, in lower case, and each one's last id, and no other, ends with </w>."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model, split, rest = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0], spec["pre_tokenizer"]["pretokenizers"][1:]
+        plain_model = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "continuing_subword_prefix"))
+        by_byte = [(x.get("type"), x.get("use_regex"), x.get("add_prefix_space")) for x in rest] == [("ByteLevel", False, False)]
+        lowered = [n.get("type") for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        return plain_model and by_byte and lowered and split.get("pattern") == {"Regex": FINE} and all(c in model["vocab"] and f"{c}</w>" in model["vocab"] for c in ByteLevel.alphabet())
+
+    def _finer(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with A-Z lowered where no mark can follow (NFC comes first, and joins some marks to small letters only), and where chunks
+        are cut besides blanks: a word ends between an ASCII letter and ASCII punctuation. Nothing of both near added tokens."""
+        low = data | (((data - np.uint8(65)) < 26) & (np.append(data[1:], np.uint8(0)) < 128)).astype(np.uint8) << np.uint8(5)
+        raw = low.tobytes()
+        if any(t in raw for t in self.added):
+            return data, np.zeros(0, np.int64)
+        return low, np.flatnonzero(((low[:-1] - np.uint8(97)) < 26) & PUNCTUATION[low[1:]]) + 1
+
     def _clear(self) -> None:
         self.table = Table()
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -143,8 +179,33 @@ class Encoder:
         return self.kind != "byte" or bool(k) and not k[-1].isspace() and not k[k[0] == "\n"].isspace()
 
     def _learn(self, h: np.ndarray, keys: list[bytes], blank: list[bool]) -> None:
-        """Encodes chunks many at a time, with a special token between two. In byte-level files a chunk carries the blank before it."""
+        """Encodes chunks many at a time. In byte-level files a chunk carries the blank before it."""
         text = [k.decode("utf-8") for k in keys]
+        kind = np.fromiter(((t.isalpha() + (t.isascii() and t.islower() and t.isalpha()) for t in text) if self.fine else (0 for _ in text)), np.int8, len(text))
+        order = np.argsort(kind, kind="stable")  # others, words, words of a to z
+        h, text, blank = h[order], [text[i] for i in order.tolist()], [blank[i] for i in order.tolist()]
+        a, b = np.searchsorted(kind[order], (1, 2)).tolist()
+        parts = [self._marked(text[:a], blank[:a])]
+        if self.fine:
+            parts += [*self._words(text[a:b], self.lib), *self._words(text[b:], self.bare)]
+        own, size = (np.concatenate(x) for x in zip(*parts))
+        self.table.add(h)
+        self._store(own, np.where(size == NOT_ALONE, 0, size), self.turn)
+        n = self.table.n
+        self.len[n - len(size) : n][size == NOT_ALONE] = NOT_ALONE
+
+    def _words(self, text: list[str], lib: object) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of chunks that are letters only, and how many each has, told apart by the ids that end words. A chunk is one word at least, so as many ends as
+        chunks mean one word each; where there are more (letters that the library doesn't take for such), chunks are marked."""
+        for at in range(0, len(text), 4000):
+            parts = [text[a : a + 500] for a in range(at, min(at + 4000, len(text)), 500)]
+            for part, e in zip(parts, lib.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                stop = np.flatnonzero(self.ends[ids])
+                yield (ids, np.diff(stop, prepend=-1).astype(np.uint32)) if len(stop) == len(part) else self._marked(part, [False] * len(part))
+
+    def _marked(self, text: list[str], blank: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any chunks, and how many each has (NOT_ALONE: not to be told), with a special token between two."""
         good = np.fromiter(map(self._good, text), bool, len(text))
         texts = [" " + t if b else t for t, b, g in zip(text, blank, good) if g]
         joined = [self.mark.join(texts[a : a + 500]) + self.mark for a in range(0, len(texts), 500)]
@@ -153,20 +214,15 @@ class Encoder:
         stop = np.flatnonzero(ids == self.mark_id)
         length = np.full(len(text), NOT_ALONE, np.uint32)
         length[good] = np.diff(np.concatenate([[-1], stop])) - 1
-        self.table.add(h)
-        own = ids[ids != self.mark_id]
-        size = np.where(good, length, 0).astype(np.int64)
-        self._store(own, size, self.turn)
-        n = self.table.n
-        self.len[n - len(text) : n][~good] = NOT_ALONE
+        return ids[ids != self.mark_id], length
 
-    def _chunks(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _chunks(self, data: np.ndarray, edge: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of each chunk of the texts in `data`, its text, and whether a blank belongs to it."""
         text = np.flatnonzero(edge[1:] > edge[:-1])
         blank, line = np.flatnonzero(data == 32), np.flatnonzero(data == 10)
         if self.kind != "byte":  # line ends are blanks
-            blank, line = np.sort(np.concatenate([blank, line]), kind="stable"), line[:0]
-        # What begins a chunk, in this order at one place: the blank before it, a text, a line's end.
+            blank, line = np.sort(np.concatenate([blank, line]), kind="stable"), cut
+        # What begins a chunk, in this order at one place: the blank before it, a text, a line's end or a cut.
         key = np.sort(np.concatenate([3 * (blank + 1), 3 * edge[text] + 1, 3 * line + 2]), kind="stable")
         begin, what = key // 3, key % 3
         end = np.append(begin[1:] - (what[1:] == 0), len(data))
@@ -183,7 +239,8 @@ class Encoder:
         if self.nbytes() > self.most:
             self._trim()
         self.turn += 1
-        begin, end, owner, blank = self._chunks(data, edge)
+        data, cut = self._finer(data) if self.fine else (data, np.zeros(0, np.int64))
+        begin, end, owner, blank = self._chunks(data, edge, cut)
         h = hashes(data, begin, end, blank)
         piece = self.table.find(h)
         if (miss := np.flatnonzero(piece < 0)).size:

@@ -40,6 +40,27 @@ def test_encoder(spark, name):
                 assert got.tolist() == plain_ids(name, t, 0)[:-1]
 
 
+FINE_TEXTS = [
+    "Word word. WORD, (word) word's WORD'S word''s 'word' rock'n'roll don't!! x.y.z a1.b2 $Word$ _word_ word-Word ...", "T\u0308 T\u0308. t\u0308 H\u0331, h\u0331 E\u0301. e\u0301 W\u030a A\u030a", "İ I\u0307 ıI. ΑΣ ΑΣ. ß ẞ ŉ ǅ ǆ ﬁ ª º ⅷ Ⅷ ٣ ² ½ K Å",
+    "ab<|startoftext|>cd", "AB<|STARTOFTEXT|>cd Ab", "<|startoftext", "|>", "x <|endoftext|>. y", "a\u0338 <\u0338 .\u0338 b.\u0338", "你好 你好. ถ้า हिन्दी \U0001e900\U0001e922 \U00032000 \ua7cb\ua7da \U00010d4a", "a\u2028B\u00a0c.\u3000D", "it'S 'Tis 'T 'll. L'LL", "e\u200dE .E\u200d", None, "Ab", "\u0301b"
+]
+
+
+def test_finer_chunks():
+    """Words apart from punctuation and in lower case: the library's ids, each word learnt once. All texts at once, and each alone."""
+    e, want = tokens.Encoder(tokenizer_path(store.TOKENIZER)), [plain_ids(store.TOKENIZER, t, 0)[:-1] for t in FINE_TEXTS]
+    for at in (range(0, 1), range(len(FINE_TEXTS)), *([i] for i in range(len(FINE_TEXTS))), [2, 1, 9]):
+        ids, n = e.encode([FINE_TEXTS[i] for i in at])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [want[i] for i in at]
+    e = tokens.Encoder(tokenizer_path(store.TOKENIZER))
+    e.encode(["Word word. WORD!! word, word!! Word."])
+    assert e.table.n == 4  # word . !! ,
+    learnt = []
+    e._marked = lambda text, blank, real=e._marked: (learnt.extend(text), real(text, blank))[1]
+    ids, n = e.encode(["un known İi words \u01c5 lower"])  # İ becomes a letter and a mark, so its words are told apart by marks
+    assert ids.tolist() == plain_ids(store.TOKENIZER, "un known İi words \u01c5 lower", 0)[:-1] and "İi" in learnt and "words" not in learnt
+
+
 @pytest.mark.parametrize("name", [packing.TOKENIZER, store.TOKENIZER])
 def test_long_chunks_and_texts(name):
     """Chunks beyond SHORT, chunks that differ in the middle only, and a text of more than two slices."""
