@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gru, jaccard, langid, licenses, mixing, packing, rules, shards, store, topk
+from . import gru, jaccard, langid, licenses, lines, mixing, packing, repair, rules, shards, store, topk, whitening
 from .common import Scratch, table
 
 SHARDS = 24
@@ -57,7 +57,37 @@ def op10_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(table(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedupe(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_langid, op2_mix, op3_topk, op4_license, op5_jaccard, op6_rules, op7_pack, op8_store, op9_shards, op10_gru)
+    f.__name__: f
+    for f in (
+        *(op1_langid, op2_mix, op3_topk, op4_license, op5_jaccard, op6_rules, op7_pack, op8_store, op9_shards, op10_gru),
+        *(op11_whiten, op12_lines, op13_repair),
+    )
+}
+ORACLES: dict[str, str] = {
+    "op12_lines": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM lines),
+        hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT doc_id, line, at, keeper IS NULL OR keeper = doc_id AS stays FROM keyed LEFT JOIN hot USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE stays), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }
-ORACLES: dict[str, str] = {}
