@@ -80,14 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op12_lines": r"""
         WITH lines AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
             FROM documents),
         keyed AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM lines),
         hot AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-        marked AS (SELECT doc_id, line, at, keeper IS NULL OR keeper = doc_id AS stays FROM keyed LEFT JOIN hot USING (k))
+        marked AS (SELECT doc_id, line, pos, keeper IS NULL OR keeper = doc_id AS stays FROM keyed LEFT JOIN hot USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
-            sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE stays), '')) AS kept_sha256
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
 }
