@@ -1,24 +1,34 @@
 """GuardedFrame: a DataFrame of which each column has a policy, checked operator by operator.
 
-Policies of columns are settled on the driver while the plan is built, without touching data. What depends on data, the
-sizes of groups, becomes one small job at release(): the least count over the same keys. Policies that vary by row (ByRow)
-ride along as an integer column beside the data. The data itself stays inside until release(), which returns the plain
-DataFrame or raises PolicyViolation.
+Policies of columns are settled on the driver while the plan is built, without touching data. What depends on data becomes a part of
+the plan itself: an aggregate under a least group size, and a cell whose policy varies by row (ByRow), stand behind a test that
+raises an error where the rows break the policy. So a query is run once, and a value that may not be seen is never computed for
+anyone; release() returns the plain DataFrame or raises PolicyViolation for what the plan alone shows, verdict() runs the tests.
+
+A group's size is the number of registered rows of which a cell reaches the aggregate. Where a join or a union may have
+repeated rows their ids are counted, each once: ids are laid beside the data at registration and dropped by Spark where
+nothing counts them. A join on a declared key of the other side repeats nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import itertools
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .noise import Budget, laplace_of
 from .policy import A, CLEAN, N, Policy, PolicyViolation, T, norm, parse
 from .varied import ByRow, Varied, any_of, chosen, lift, merged, shadow, worst
 
+#: What the errors of tests in a plan begin with.
+MARK = "forbidden by a policy: "
+NUMBERS = itertools.count()
+
 ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b, "mod": lambda a, b: a % b, "pow": F.pow}
 COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b}
 
@@ -69,12 +79,14 @@ class Expr:
     build: Callable[[GuardedFrame], tuple[Column, Policy | Varied]]
     literal: Any = None
     is_literal: bool = False
+    bounds: tuple[float, float] | None = None
 
     def _arith(self, other: Any, name: str) -> Expr:
         a, b = self, as_expr(other)
 
         def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
-            (ca, pa), (cb, pb) = a.build(f), b.build(f)
+            (ca, pa, la), (cb, pb, lb) = f.part(a), f.part(b)
+            f.apart(la, lb)
             given = lambda e: e.literal if e.is_literal else object()
 
             def after(p: Policy, q: Policy) -> Policy:
@@ -92,7 +104,8 @@ class Expr:
         a, b = self, as_expr(other)
 
         def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
-            (ca, pa), (cb, pb) = a.build(f), b.build(f)
+            (ca, pa, la), (cb, pb, lb) = f.part(a), f.part(b)
+            f.apart(la, lb)
             return COMPARE[name](ca, cb), lift(Policy.join, pa, pb)
 
         return Expr(build)
@@ -120,17 +133,12 @@ class Expr:
         return self._compare(other, "!=")
 
     def apply(self, name: str, fn: Callable[..., Column], *args: Any) -> Expr:
-        """A function known by its name and literal arguments; at most one argument can satisfy a label."""
+        """A function of this column known by its name and literal arguments, all of which its label must name."""
+        plain(*args)
 
         def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
             c, p = self.build(f)
-
-            def after(p: Policy) -> Policy:
-                if len(args) > 1 and not p.released:
-                    raise PolicyViolation(f"{name} with {len(args)} arguments", policy=p)
-                return p.downgrade(T(name, args[0] if args else None), name)
-
-            return fn(c, *args), lift(after, p)
+            return fn(c, *args), lift(lambda p: p.downgrade(T(name, *args), name), p)
 
         return Expr(build)
 
@@ -141,25 +149,38 @@ class Expr:
     __invert__ = lambda s: s._test(lambda c: ~c)
     __neg__ = lambda s: s.apply("neg", lambda c: -c)
     is_null = lambda s: s._test(lambda c: c.isNull())
-    is_in = lambda s, *xs: s._test(lambda c: c.isin(*xs))
-    between = lambda s, a, b: s._test(lambda c: c.between(a, b))
-    like = lambda s, pattern: s._test(lambda c: c.like(pattern))
-    contains = lambda s, pattern: s._test(lambda c: c.rlike(pattern))
-    starts_with = lambda s, x: s._test(lambda c: c.startswith(x))
-    ends_with = lambda s, x: s._test(lambda c: c.endswith(x))
+    is_in = lambda s, *xs: plain(*xs) and s._test(lambda c: c.isin(*xs))
+    between = lambda s, a, b: plain(a, b) and s._test(lambda c: c.between(a, b))
+    like = lambda s, pattern: plain(pattern) and s._test(lambda c: c.like(pattern))
+    contains = lambda s, pattern: plain(pattern) and s._test(lambda c: c.rlike(pattern))
+    starts_with = lambda s, x: plain(x) and s._test(lambda c: c.startswith(x))
+    ends_with = lambda s, x: plain(x) and s._test(lambda c: c.endswith(x))
     year = lambda s: s.apply("year", F.year)
     round = lambda s, n=0: s.apply("round", lambda c, n: F.round(c, n), n)
     substring = lambda s, at, n: s.apply("substring", lambda c, a, n: F.substring(c, a, n), at, n)
+    regexp_replace = lambda s, pattern, by: s.apply("regexp_replace", F.regexp_replace, pattern, by)
     redact = lambda s, by="*": s.apply("redact", lambda c: F.when(c.isNotNull(), F.lit(by)))
     identity = lambda s: s.apply("identity", lambda c: c)
 
-    def laplace(self, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> Expr:
-        """With Laplace noise of scale sensitivity / epsilon, which discharges N labels of this epsilon or a larger one."""
+    def clip(self, low: float, high: float) -> Expr:
+        """Values between two bounds; the policy stays, and noise knows what one cell can change."""
+        plain(low, high)
+        if not low < high:
+            raise ValueError("bounds that leave no room")
+        made = self._test(lambda c: F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+        return replace(made, bounds=(float(low), float(high)))
+
+    def laplace(self, epsilon: float, sensitivity: float | None = None) -> Expr:
+        """With Laplace noise of scale sensitivity / epsilon, which discharges N labels of this epsilon or a larger one, and takes
+        epsilon from the budgets of the columns that it reads each time it is released. Sensitivity: the width between clip()'s bounds, if not given."""
+        if sensitivity is None:
+            if self.bounds is None:
+                raise ValueError("noise needs clip() or a sensitivity")
+            sensitivity = self.bounds[1] - self.bounds[0]
+        noise = laplace_of(epsilon, sensitivity)
 
         def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
-            c, p = self.build(f)
-            u = F.rand(seed) - 0.5
-            noise = -F.signum(u) * F.log1p(-2 * F.abs(u) + 1e-300) * (sensitivity / epsilon)
+            c, p = f.noting(self, epsilon)
             return c + noise, lift(lambda p: p.downgrade(N(epsilon), "laplace"), p)
 
         return Expr(build)
@@ -168,11 +189,19 @@ class Expr:
         return Expr(lambda f: (lambda c, p: (c.cast(kind), p))(*self.build(f)))
 
 
+def plain(*xs: Any) -> bool:
+    """Refuses Spark's Columns where only values are meant: they could read any cell, whatever its policy."""
+    if any(isinstance(x, Column) or isinstance(x, (list, tuple, set)) and not plain(*x) for x in xs):
+        raise TypeError("a Column isn't a value: use col() and the expressions of this module")
+    return True
+
+
 def col(name: str) -> Expr:
-    return Expr(lambda f: (F.col(name), f.policies[name]))
+    return Expr(lambda f: f.cell(name))
 
 
 def lit(x: Any) -> Expr:
+    plain(x)
     return Expr(lambda f: (F.lit(x), CLEAN), x, True)
 
 
@@ -182,17 +211,22 @@ def as_expr(x: Any) -> Expr:
 
 def when(cond: Expr, yes: Any, no: Any) -> Expr:
     """Each row has the policy of the arm that it takes. Under an aggregate with a least group size only the rows that
-    take a protected arm count, so that a condition can't single out a row."""
+    take a protected arm count, so that a condition can't single out a row; what is to be aggregated may read a column in one arm only."""
 
     def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
-        (c, _), (a, pa), (b, pb) = cond.build(f), as_expr(yes).build(f), as_expr(no).build(f)
+        c = cond.build(replace(f, _log=Log()))[0]
+        (a, pa, la), (b, pb, lb) = f.part(as_expr(yes)), f.part(as_expr(no))
+        if f.reads(la) & f.reads(lb):
+            raise PolicyViolation("cells of one table through arms that differ")
+        f._log.picked |= f.reads(la) | f.reads(lb)
         return F.when(c, a).otherwise(b), chosen(c, pa, pb)
 
     return Expr(build)
 
 
 def function(name: str, *args: Any) -> Expr:
-    """A built-in function without protected arguments: its cells are clean."""
+    """A built-in function of values: its cells are clean."""
+    plain(*args)
     return Expr(lambda f: (F.call_function(name, *map(F.lit, args)), CLEAN))
 
 
@@ -200,94 +234,275 @@ def offset_by(e: Expr, duration: str) -> Expr:
     return e.apply("dt.offset_by", lambda c, d: c + F.expr(f"INTERVAL {d[:-1]} {dict(s='SECOND', m='MINUTE', h='HOUR', d='DAY')[d[-1]]}"), duration)
 
 
+@dataclass
+class Log:
+    """What building an expression has read: columns, and the noise drawn from budgets."""
+
+    names: set[str] = field(default_factory=set)
+    #: Row ids of cells that only some rows read.
+    picked: set[str] = field(default_factory=set)
+    spent: list[tuple[Budget, float]] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Made:
+    """A built expression: its column, policy, the row ids and budgets of the cells that it reads, and what noise has cost."""
+
+    column: Column
+    policy: Policy | Varied
+    origin: frozenset[str]
+    budgets: frozenset[Budget]
+    spent: tuple[tuple[Budget, float], ...]
+    names: frozenset[str]
+    picked: frozenset[str]
+
+
+def forbidden(what: str) -> Column:
+    return F.raise_error(F.lit(MARK + what))
+
+
+def sized(value: Column, slack: Column, what: str) -> Column:
+    """The value where its group is large enough, else an error."""
+    return F.when(slack >= 0, value).otherwise(forbidden(what))
+
+
+def size_slack(sizes: list[tuple[Column, Column | None, int]]) -> Column:
+    """Of (test of a row, its id where rows may be repeated, least size) how many rows the worst is beyond its least; a size of 0 passes."""
+    counts = [(F.count_if(there) if rid is None else F.count_distinct(F.when(there, rid)), k) for there, rid, k in sizes]
+    return F.coalesce(F.least(*(F.when(n > 0, n - k) for n, k in counts), F.lit(None).cast("long")), F.lit(0))
+
+
+def row_id(df: DataFrame) -> Column:
+    """An id of each row: where it stands in its file, if it comes straight from one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "SubqueryAlias" or plan.nodeName().startswith("View"):
+        plan = plan.children().apply(0)
+    if plan.nodeName().startswith("Relation parquet"):
+        return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return F.monotonically_increasing_id()
+
+
 @dataclass(frozen=True)
 class GuardedFrame:
     _df: DataFrame
     policies: dict[str, Policy | Varied]
-    #: (counts of groups as a DataFrame with column n, least size, what it is for)
-    _duties: tuple[tuple[DataFrame, int, str], ...] = field(default=())
+    #: The row ids (columns beside the data) of what the cells of each column come from.
+    _origin: dict[str, frozenset[str]] = field(default_factory=dict)
+    #: Row ids that may stand in several rows.
+    _repeated: frozenset[str] = frozenset()
+    #: Sets of columns that no two rows share.
+    _unique: frozenset[frozenset[str]] = frozenset()
+    #: Row ids of cells that only some rows of a column have.
+    _picked: dict[str, frozenset[str]] = field(default_factory=dict)
+    _budgets: dict[str, frozenset[Budget]] = field(default_factory=dict)
+    _spent: tuple[tuple[Budget, float], ...] = ()
+    _log: Log = field(default_factory=Log)
 
     @staticmethod
-    def register(df: DataFrame, policies: dict[str, str | Policy | ByRow] | None = None) -> GuardedFrame:
+    def register(
+        df: DataFrame,
+        policies: dict[str, str | Policy | ByRow | Varied] | None = None,
+        keys: Iterable[Iterable[str]] = (),
+        budgets: dict[str, Budget] | None = None,
+        rid: str | None = None,
+    ) -> GuardedFrame:
+        """`keys`: sets of columns that are known to differ from row to row. `budgets`: what noise may cost, by column. `rid`: a column of
+        df that tells its rows apart; it isn't among the frame's."""
         given = {k: parse(v) if isinstance(v, str) else v for k, v in (policies or {}).items()}
-        if unknown := given.keys() - set(df.columns):
+        if unknown := (given.keys() | (budgets or {}).keys() | {c for k in keys for c in k}) - set(df.columns):
             raise ValueError(f"no such columns: {sorted(unknown)}")
-        f = GuardedFrame(df, {c: CLEAN for c in df.columns})
-        return f._put(df, {c: (F.col(f"`{c}`"), given[c].varied() if isinstance(given[c], ByRow) else given[c]) for c in given}, f.policies)
-
-    def _put(self, df: DataFrame, made: dict[str, tuple[Column, Policy | Varied]], kept: dict[str, Policy | Varied]) -> GuardedFrame:
-        """`df` with the columns made, and a column of ids beside each whose policy varies by row."""
-        ids = {shadow(n): p.pid for n, (_, p) in made.items() if isinstance(p, Varied)}
-        return self._with(df.withColumns({n: c for n, (c, _) in made.items()} | ids), kept | {n: p.at(n) for n, (_, p) in made.items()})
-
-    def _with(self, df: DataFrame, policies: dict[str, Policy | Varied], *duties: tuple[DataFrame, int, str]) -> GuardedFrame:
-        return GuardedFrame(df, policies, (*self._duties, *duties))
+        if len({c.lower() for c in df.columns}) < len(df.columns):
+            raise ValueError("columns need names that differ in more than case")
+        f = GuardedFrame(df, {c: CLEAN for c in df.columns if c != rid}, _unique=frozenset(map(frozenset, keys)))
+        f = replace(f, _budgets={c: frozenset([b]) for c, b in (budgets or {}).items()})
+        known = {c: p.varied() if isinstance(p, ByRow) else p for c, p in given.items()}
+        counted = [c for c, p in known.items() if any(x.kind == "A" for q in (p.table if isinstance(p, Varied) else (p,)) for x in q.labels)]
+        if counted:
+            own = f"_rid_{next(NUMBERS)}"
+            f = replace(f, _df=df.withColumn(own, row_id(df) if rid is None else F.col(rid)), _origin={c: frozenset([own]) for c in counted})
+        ids = {shadow(c): p.pid for c, p in known.items() if isinstance(p, Varied)}
+        return replace(f, _df=f._df.withColumns(ids) if ids else f._df, policies=f.policies | {c: p.at(c) for c, p in known.items()})
+
+    def named(self, name: str) -> str:
+        """The column that the session takes a name for."""
+        if name in self.policies:
+            return name
+        if self._df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+            raise KeyError(name)
+        return {c.lower(): c for c in self.policies}[name.lower()]
+
+    def cell(self, name: str) -> tuple[Column, Policy | Varied]:
+        name = self.named(name)
+        self._log.names.add(name)
+        self._log.picked |= self._picked.get(name, frozenset())
+        return F.col(f"`{name}`"), self.policies[name]
+
+    def noting(self, e: Expr, epsilon: float) -> tuple[Column, Policy | Varied]:
+        """An expression's column and policy; epsilon is noted against the budgets of what it reads."""
+        m = self.made(e)
+        self._log.names |= m.names
+        self._log.picked |= m.picked
+        self._log.spent += [*m.spent, *((b, epsilon) for b in m.budgets)]
+        return m.column, m.policy
+
+    def made(self, e: Any) -> Made:
+        f = replace(self, _log=Log())
+        c, p = as_expr(e).build(f)
+        of = lambda known: frozenset().union(*(known.get(n, frozenset()) for n in f._log.names))
+        return Made(c, p, of(self._origin), of(self._budgets), tuple(f._log.spent), frozenset(f._log.names), frozenset(f._log.picked))
+
+    def part(self, e: Expr) -> tuple[Column, Policy | Varied, Log]:
+        """A part of an expression, and what it alone has read."""
+        log = Log()
+        c, p = e.build(replace(self, _log=log))
+        self._log.names |= log.names
+        self._log.picked |= log.picked
+        self._log.spent += log.spent
+        return c, p, log
+
+    def reads(self, log: Log) -> frozenset[str]:
+        """Row ids of the cells read that ask for a group size."""
+        tables = {n: p.table if isinstance(p, Varied) else (p,) for n, p in ((n, self.policies[n]) for n in log.names)}
+        asked = [n for n, t in tables.items() if any(x.kind == "A" for p in t for x in p.labels)]
+        return frozenset().union(*(self._origin.get(n, frozenset()) for n in asked))
+
+    def apart(self, a: Log, b: Log) -> None:
+        if self.reads(a) & b.picked or self.reads(b) & a.picked:
+            raise PolicyViolation("cells of one table through arms that differ")
+
+    def _ids(self) -> list[str]:
+        """Row ids that columns still need."""
+        return sorted(frozenset().union(*self._origin.values()) & set(self._df.columns))
+
+    def _taken(self, df: DataFrame, made: dict[str, Made], kept: Iterable[str], unique: frozenset[frozenset[str]]) -> GuardedFrame:
+        """`df` with columns `made`, and those of `kept` that aren't among them as they are."""
+        kept = list(kept)
+        of = lambda known, name: {c: known[c] for c in kept if c in known} | {n: getattr(m, name) for n, m in made.items()}
+        spent = tuple(x for m in made.values() for x in m.spent)
+        policies = {c: self.policies[c] for c in kept} | {n: m.policy.at(n) for n, m in made.items()}
+        return GuardedFrame(df, policies, of(self._origin, "origin"), self._repeated, unique, of(self._picked, "picked"), of(self._budgets, "budgets"), (*self._spent, *spent))
 
     def filter(self, cond: Expr) -> GuardedFrame:
-        return self._with(self._df.where(cond.build(self)[0]), self.policies)
+        return replace(self, _df=self._df.where(cond.build(replace(self, _log=Log()))[0]))
 
     def select(self, *names: str, **exprs: Expr) -> GuardedFrame:
-        made = {n: col(n).build(self) for n in names} | {n: as_expr(e).build(self) for n, e in exprs.items()}
-        ids = [p.pid.alias(shadow(n)) for n, (_, p) in made.items() if isinstance(p, Varied)]
-        return self._with(self._df.select(*(c.alias(n) for n, (c, _) in made.items()), *ids), {n: p.at(n) for n, (_, p) in made.items()})
+        made = {self.named(n): self.made(col(n)) for n in names} | {n: self.made(e) for n, e in exprs.items()}
+        if len({n.lower() for n in made}) < len(made):
+            raise ValueError("columns need names that differ in more than case")
+        ids = [m.policy.pid.alias(shadow(n)) for n, m in made.items() if isinstance(m.policy, Varied)]
+        rids = sorted(frozenset().union(*(m.origin for m in made.values())) & set(self._df.columns))
+        df = self._df.select(*(m.column.alias(n) for n, m in made.items()), *ids, *rids)
+        stay = frozenset(k for k in self._unique if all(c in names and c not in exprs for c in k))
+        return self._taken(df, made, (), stay)
 
     def with_columns(self, **exprs: Expr) -> GuardedFrame:
-        return self._put(self._df, {n: as_expr(e).build(self) for n, e in exprs.items()}, self.policies)
+        """A name that the session takes for that of a column replaces it."""
+        known = {n: next((c for c in self.policies if c.lower() == n.lower()), n) for n in exprs}
+        made = {known[n]: self.made(e) for n, e in exprs.items()}
+        ids = {shadow(n): m.policy.pid for n, m in made.items() if isinstance(m.policy, Varied)}
+        df = self._df.withColumns({n: m.column for n, m in made.items()} | ids)
+        return self._taken(df, made, list(self.policies), frozenset(k for k in self._unique if not k & made.keys()))
 
     def join(self, other: GuardedFrame, on: list[str], how: str = "inner") -> GuardedFrame:
         """Cells that an outer join fills with null are clean; a key has the policies of both sides."""
-        duties = (*self._duties, *other._duties)
+        on = [self.named(c) for c in on]
+        if unknown := set(on) - set(other.policies):
+            raise ValueError(f"keys {sorted(unknown)} need the same names on both sides")
+        if (set(self.policies) & set(other.policies)) - set(on):
+            raise ValueError("columns need names of their own")
+        spent = (*self._spent, *other._spent)
         if how in ("left_semi", "left_anti"):
-            keys = {c: (F.col(f"`{c}`"), lift(Policy.join, self.policies[c], worst(other.policies[c]))) for c in on}
             right = other._df.select(*(f"`{c}`" for c in on))
-            return GuardedFrame(self._df.join(right, on, how), self.policies, duties)._put(self._df.join(right, on, how), keys, self.policies)
-        ids = {c: F.col(f"`{shadow(c)}`").alias(f"_right{shadow(c)}") for c, p in other.policies.items() if c in on and isinstance(p, Varied)}
-        df = self._df.join(other._df.select("*", *ids.values()).drop(*(shadow(c) for c in ids)), on, how)
+            keys = {c: replace(self.made(col(c)), policy=lift(Policy.join, self.policies[c], worst(other.policies[c]))) for c in on}
+            df = self._df.join(right, on, how)
+            ids = {shadow(c): m.policy.pid for c, m in keys.items() if isinstance(m.policy, Varied)}
+            return replace(self._taken(df.withColumns(ids) if ids else df, keys, list(self.policies), self._unique), _spent=spent)
+        other = other._renamed(set(self._df.columns))
+        key_ids = {c: F.col(f"`{shadow(c)}`").alias(f"_right{shadow(c)}") for c, p in other.policies.items() if c in on and isinstance(p, Varied)}
+        df = self._df.join(other._df.select("*", *key_ids.values()).drop(*(shadow(c) for c in key_ids)), on, how)
         policies = {c: (p.padded() if isinstance(p, Varied) else p) for c, p in (other.policies | self.policies).items()}
-        right = {c: (Varied(F.col(f"`_right{shadow(c)}`"), other.policies[c].table).padded() if c in ids else other.policies[c]) for c in on}
-        keys = {c: (F.col(f"`{c}`"), lift(Policy.join, policies[c], right[c])) for c in on}
-        rest = {c: (F.col(f"`{c}`"), p) for c, p in policies.items() if isinstance(p, Varied) and c not in on}
-        return GuardedFrame(df, policies, duties)._put(df, keys | rest, policies)
+        right = {c: (Varied(F.col(f"`_right{shadow(c)}`"), other.policies[c].table).padded() if c in key_ids else other.policies[c]) for c in on}
+        policies |= {c: lift(Policy.join, policies[c], right[c]) for c in on}
+        ids = {shadow(c): p.pid for c, p in policies.items() if isinstance(p, Varied)}
+        both = lambda a, b: {c: a.get(c, frozenset()) | b.get(c, frozenset()) for c in a.keys() | b.keys()}
+        single = lambda f: any(k <= set(on) for k in f._unique)
+        # rows that a join makes up for those without a partner have no cells to count either
+        stays = lambda f, sides: single(f) and how not in sides
+        repeated = self._repeated | (frozenset() if stays(other, ("right", "right_outer", "full", "full_outer", "outer")) else frozenset(self._ids()))
+        repeated |= other._repeated | (frozenset() if stays(self, ("left", "left_outer", "full", "full_outer", "outer")) else frozenset(other._ids()))
+        unique = (self._unique if single(other) else frozenset()) | (other._unique if single(self) else frozenset())
+        unique = frozenset(k for k in unique if how == "inner" or k <= set(on))
+        out = GuardedFrame(df.withColumns(ids) if ids else df, {c: p.at(c) for c, p in policies.items()}, both(self._origin, other._origin), repeated, unique)
+        return replace(out, _picked=both(self._picked, other._picked), _budgets=both(self._budgets, other._budgets), _spent=spent)
+
+    def _renamed(self, taken: set[str]) -> GuardedFrame:
+        """With row ids whose names aren't taken, as in a join of a frame with itself."""
+        new = {r: f"_rid_{next(NUMBERS)}" for r in self._df.columns if r.startswith("_rid_") and r in taken}
+        if not new:
+            return self
+        of = lambda rids: frozenset(new.get(r, r) for r in rids)
+        each = lambda known: {c: of(r) for c, r in known.items()}
+        return replace(self, _df=self._df.withColumnsRenamed(new), _origin=each(self._origin), _picked=each(self._picked), _repeated=of(self._repeated))
 
     def union(self, other: GuardedFrame) -> GuardedFrame:
-        """Where a column's policy varies by row on either side, each row keeps its own."""
+        """Where a column's policy varies by row on either side, each row keeps its own. The same row may come from both sides."""
         both = {c: merged(p, other.policies[c]) for c, p in self.policies.items()}
-        sides = [[F.col(f"`{c}`") for c in both] + [m[k].pid.alias(shadow(c)) for c, m in both.items() if isinstance(m[k], Varied)] for k in (0, 1)]
-        return GuardedFrame(self._df.select(*sides[0]).unionByName(other._df.select(*sides[1])), {c: m[0].at(c) for c, m in both.items()}, (*self._duties, *other._duties))
+        origin, ids = {}, {}
+        for c in both:
+            sides = sorted(self._origin.get(c, ())), sorted(other._origin.get(c, ()))
+            for a, b in itertools.zip_longest(*sides):
+                ids.setdefault((a, b), f"_rid_{next(NUMBERS)}")
+                origin[c] = origin.get(c, frozenset()) | {ids[a, b]}
+        frames = []
+        for k, f in enumerate((self, other)):
+            rids = [(F.lit(None).cast("long") if pair[k] is None else F.col(pair[k])).alias(n) for pair, n in ids.items()]
+            frames.append(f._df.select(*(F.col(f"`{c}`") for c in both), *(m[k].pid.alias(shadow(c)) for c, m in both.items() if isinstance(m[k], Varied)), *rids))
+        budgets = {c: self._budgets.get(c, frozenset()) | other._budgets.get(c, frozenset()) for c in both}
+        policies = {c: m[0].at(c) for c, m in both.items()}
+        picked = {c: origin.get(c, frozenset()) for c in both if self._picked.get(c) or other._picked.get(c)}
+        df = frames[0].unionByName(frames[1])
+        return GuardedFrame(df, policies, origin, frozenset(ids.values()), frozenset(), picked, budgets, (*self._spent, *other._spent))
 
     def distinct(self) -> GuardedFrame:
+        """Equal rows as one, which counts as one of those that it stands for."""
         groups = self._df.groupBy(*(f"`{c}`" for c in self.policies))
         varied = {c: any_of(p, lambda k: looked_up(groups, k)) for c, p in self.policies.items() if isinstance(p, Varied)}
-        if not varied:
-            return self._with(self._df.select(*(f"`{c}`" for c in self.policies)).distinct(), self.policies)
-        df = groups.agg(*(m.pid.alias(shadow(c)) for c, m in varied.items()))
-        return self._with(df, self.policies | {c: m.at(c) for c, m in varied.items()})
+        kept = [*(m.pid.alias(shadow(c)) for c, m in varied.items()), *(F.min(r).alias(r) for r in self._ids())]
+        df = groups.agg(*kept) if kept else self._df.select(*(f"`{c}`" for c in self.policies)).distinct()
+        return replace(self, _df=df, policies=self.policies | {c: m.at(c) for c, m in varied.items()}, _unique=self._unique | {frozenset(self.policies)})
 
     def sort(self, *by: Any) -> GuardedFrame:
-        return self._with(self._df.orderBy(*by), self.policies)
+        return replace(self, _df=self._df.orderBy(*by))
 
     def limit(self, n: int) -> GuardedFrame:
-        return self._with(self._df.limit(n), self.policies)
+        return replace(self, _df=self._df.limit(n))
 
     def group_by(self, *keys: str) -> Grouped:
-        return Grouped(self, keys)
+        return Grouped(self, tuple(map(self.named, keys)))
 
     def agg(self, suppress: bool = False, **aggs: tuple[str, Expr | None]) -> GuardedFrame:
         return Grouped(self, ()).agg(suppress, **aggs)
 
     def verdict(self) -> str:
+        """Whether the rows may be released: the plan is run with its tests, and its rows go nowhere."""
         try:
-            self.release()
+            self._tested().write.format("noop").mode("overwrite").save()
             return "allow"
         except PolicyViolation:
             return "deny"
+        except Exception as e:
+            if MARK in str(e):
+                return "deny"
+            raise
 
     def sample(self, fraction: float, seed: int | None = None) -> GuardedFrame:
-        return self._with(self._df.sample(fraction, seed), self.policies)
+        return replace(self, _df=self._df.sample(fraction, seed))
 
     def group(self, **key: Any) -> GuardedFrame:
         """The rows of one group: those whose key columns have these values."""
-        return self._with(self._df.where(reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in key.items()), F.lit(True))), self.policies)
+        plain(*key.values())
+        tests = (F.col(f"`{self.named(c)}`").eqNullSafe(F.lit(v)) for c, v in key.items())
+        return replace(self, _df=self._df.where(reduce(lambda a, b: a & b, tests, F.lit(True))))
 
     def explain(self, mode: str = "formatted") -> None:
         """Spark's plan and the columns' policies; no rows."""
@@ -298,22 +513,25 @@ class GuardedFrame:
         """The policies that cells of each column can have."""
         return {c: list(map(str, p.table if isinstance(p, Varied) else (p,))) for c, p in self.policies.items()}
 
-    def release(self) -> DataFrame:
-        """The data, if every cell may be seen."""
-        held = []
+    def _tested(self) -> DataFrame:
+        """The data behind the tests of cells whose policies vary by row."""
+        out = []
         for c, p in self.policies.items():
+            value = F.col(f"`{c}`")
             if isinstance(p, Varied):
-                held += [(c, p)] if p.held() else []
+                for i in p.held():
+                    value = F.when(p.pid == i, forbidden(f"release on column {c!r}: {p.table[i]}")).otherwise(value)
             elif not p.released:
                 raise PolicyViolation("release", c, p)
-        for c, p in held:  # reads ids up to the first row that may not be seen
-            if bad := self._df.where(p.pid.isin(p.held())).select(p.pid).limit(1).collect():
-                raise PolicyViolation("release", c, p.table[bad[0][0]])
-        for counts, k, what in self._duties:
-            least = counts.agg(F.min("n")).first()[0]  # keys only are read; one row comes back
-            if least is not None and least < k:
-                raise PolicyViolation(f"{what} over {k - least} rows too few")
-        return self._df.select(*(f"`{c}`" for c in self.policies))
+            out.append(value.alias(c))
+        return self._df.select(*out)
+
+    def release(self) -> DataFrame:
+        """The data, if every cell may be seen. Tests that need data are part of its plan, and raise an error when it runs. What noise
+        costs is taken from its budgets."""
+        df = self._tested()
+        Budget.charge_all(self._spent)
+        return df
 
 
 def looked_up(groups: Any, key: Column) -> list[str]:
@@ -328,38 +546,64 @@ class Grouped:
 
     def agg(self, suppress: bool = False, **aggs: tuple) -> GuardedFrame:
         """name=(method, expression, parameters..., filter): first and last take the name of an ordering column, std and var a ddof,
-        quantile its q and interpolation; an expression behind these filters the rows that are aggregated, and those that
-        pass are the group whose size counts. With `suppress` groups that are too small are left out instead of forbidding all.
+        quantile its q and interpolation, laplace_sum and laplace_count an epsilon; an expression behind these filters the rows that are
+        aggregated, and those that pass are the group whose size counts. With `suppress` groups that are too small are left out
+        instead of forbidding all.
 
         A key has the policies of all its cells in the group; so has what is left of those of an aggregated expression."""
         f, out, short = self.frame, [], []
         groups = f._df.groupBy(*(f"`{k}`" for k in self.keys))
         look = lambda k: looked_up(groups, k)
-        policies: dict[str, Policy | Varied] = {}
-        for k in self.keys:
-            p = f.policies[k]
-            policies[k] = any_of(p, look) if isinstance(p, Varied) else p
+        made = {k: f.made(col(k)) for k in self.keys}
+        made = {k: replace(m, policy=any_of(m.policy, look) if isinstance(m.policy, Varied) else m.policy) for k, m in made.items()}
         for name, (method, e, *args) in aggs.items():
-            where = args.pop().build(f)[0] if args and isinstance(args[-1], Expr) else None
-            c, p = e.build(f) if e is not None else (F.lit(1), CLEAN)
+            where = f.made(args.pop()).column if args and isinstance(args[-1], Expr) else None
+            m = f.made(e) if e is not None else f.made(lit(1))
+            c, p = m.column, m.policy
             real = method in ("min", "nanmin", "nanmax") and f._df.select(c).schema[0].dataType.simpleString() in ("float", "double")
-            out.append(aggregate(method, F.lit(1) if method == "len" else c, real, where, *args).alias(name))
             least = lambda p: dict(p.labels[0].ops).get(norm(method), 0) if p.labels and p.labels[0].kind == "A" else 0  # noqa: B023, E731
-            after = lift(lambda p: p.downgrade(A(method, k=least(p)), method, name), p)  # noqa: B023
             passed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+            if method in ("laplace_sum", "laplace_count"):
+                value, after, spent = noisy(method, e, c, p, passed, *args)
+                m = replace(m, spent=(*m.spent, *((b, spent) for b in m.budgets)))
+            else:
+                value = aggregate(method, F.lit(1) if method == "len" else c, real, where, *args)
+                after = lift(lambda p: p.downgrade(A(method, k=least(p)), method), p)  # noqa: B023
+            rids = sorted(m.origin & f._repeated) or [None]
+            if not p.released and any(r is not None and r not in f._df.columns for r in rids):
+                raise PolicyViolation("aggregation of rows that a join may repeat and that have no id")
+            sizes = []
             if isinstance(p, Varied):
                 for i, k in ((i, least(q)) for i, q in enumerate(p.table) if least(q)):
                     there = passed & (p.pid == i)
-                    rows = F.count_if(there if p.own else passed)
-                    short.append(F.when(F.count_if(there) > 0, rows - k))
+                    sizes += [(there, there if p.own else passed, r, k) for r in rids]
             elif least(p):
-                short.append(F.when(F.count_if(passed) > 0, F.count_if(passed) - least(p)))  # an empty group discloses nothing
-            policies[name] = any_of(after, look) if isinstance(after, Varied) else after
-        ids = [p.pid.alias(shadow(n)) for n, p in policies.items() if isinstance(p, Varied)]
-        at = {n: p.at(n) for n, p in policies.items()}
-        if not short:
-            return f._with(groups.agg(*out, *ids), at)
-        slack = F.coalesce(F.least(*short, F.lit(None).cast("long")), F.lit(0))  # the least of them; nulls are passed over
-        if suppress:
-            return f._with(groups.agg(*out, *ids, slack.alias("_slack")).where("_slack >= 0").drop("_slack"), at)
-        return f._with(groups.agg(*out, *ids), at, (groups.agg(slack.alias("n")), 0, "aggregation"))
+                sizes += [(passed, passed, r, least(p)) for r in rids]  # an empty group discloses nothing
+            if sizes:
+                slacks = [F.when(F.count_if(any_) > 0, size_slack([(there, r and F.col(r), k)])).otherwise(F.lit(0)) for any_, there, r, k in sizes]
+                slack = reduce(lambda a, b: F.least(a, b), slacks)
+                short.append(slack)
+                value = value if suppress else sized(value, slack, f"{method} as {name} over too small a group")
+            out.append(value.alias(name))
+            made[name] = replace(m, policy=any_of(after, look) if isinstance(after, Varied) else after)
+        ids = [m.policy.pid.alias(shadow(n)) for n, m in made.items() if isinstance(m.policy, Varied)]
+        rid, held = f"_rid_{next(NUMBERS)}", {n for n, m in made.items() if not m.policy.released}
+        if held:  # what is left to be discharged counts groups from here on
+            ids.append((F.xxhash64(*(f"`{k}`" for k in self.keys)) if self.keys else F.lit(0).cast("long")).alias(rid))
+        made = {n: replace(m, origin=frozenset([rid]) if n in held else frozenset(), picked=frozenset()) for n, m in made.items()}
+        if short and suppress:
+            ids.append(reduce(lambda a, b: F.least(a, b), short).alias("_slack"))
+        df = groups.agg(*out, *ids)
+        df = df.where("_slack >= 0").drop("_slack") if short and suppress else df
+        return replace(f._taken(df, made, (), frozenset([frozenset(self.keys)])), _repeated=frozenset())
+
+
+def noisy(method: str, e: Expr | None, c: Column, p: Policy | Varied, passed: Column, epsilon: float) -> tuple[Column, Policy | Varied, float]:
+    """A sum or count with noise for what one cell can change: a sum needs clip()'s bounds."""
+    if method == "laplace_sum":
+        if e is None or e.bounds is None:
+            raise ValueError("laplace_sum needs clip()")
+        value, sensitivity = F.coalesce(F.sum(F.when(passed, c)), F.lit(0)), max(map(abs, e.bounds))
+    else:
+        value, sensitivity = F.count_if(passed & c.isNotNull()), 1.0
+    return value + laplace_of(epsilon, sensitivity), lift(lambda p: p.downgrade(N(epsilon), method), p), epsilon

@@ -1,258 +1,20 @@
-"""SQL under policies: the analysed plan is walked once, on the driver, and gives each output column its policy.
-
-Only queries are run: the parsed text is looked at before Spark may act on it, so commands and inserts are refused. A plan node,
-relation or column that isn't known is refused whatever the policies are; a function that isn't known lets clean columns
-pass and forbids all others. Predicates may use protected columns: filters choose rows, and the rows keep their policies.
-
-A group's size is the number of its rows of which a protected cell reaches the aggregate: rows that a FILTER clause or the
-conditions of a CASE leave out don't count, and each protected column of an expression is counted for itself.
-"""
+"""SQL under policies: tables with policies, and queries over them whose plans are rewritten to carry these (see rewrite.py)."""
 
 from __future__ import annotations
 
 import contextlib
 import time
 from collections import defaultdict
-from collections.abc import Iterator
-from decimal import Decimal
-from functools import reduce
-from typing import Any
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..frame import GuardedFrame
-from ..policy import A, CLEAN, NotAllowed, Policy, PolicyViolation, T, norm, parse
+from ..noise import Budget
+from ..policy import CLEAN, Policy, PolicyViolation, parse
 from ..sources import policies as files
-from ..varied import Varied, worst
-
-ARITHMETIC = {"Add": "add", "Subtract": "sub", "Multiply": "mul", "Divide": "div", "Remainder": "mod", "Pow": "pow"}
-OFFSETS = {"TimestampAddInterval", "TimeAdd"}
-SAME = {"Alias", "Cast", "OuterReference", "SortOrder", "Between"}
-JOINED = {"EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "And", "Or", "Not", "In", "InSubquery", "IsNull", "IsNotNull", "Coalesce", "Like", "ILike", "RLike", "StartsWith", "EndsWith", "Contains", "InSet"}
-SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
-METHODS = {
-    "Sum": "sum", "Average": "mean", "Max": "max", "Min": "min", "Count": "count", "First": "first", "Last": "last", "MinBy": "first", "MaxBy": "last", "Median": "median", "CollectList": "implode",
-    "StddevSamp": "std", "VarianceSamp": "var", "StddevPop": "std", "VariancePop": "var", "Percentile": "quantile", "PercentileCont": "quantile", "PercentileDisc": "quantile",
-}
-#: Nodes whose rows are some of their children's rows.
-PASSED = {"Filter", "SubqueryAlias", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Join", "LateralJoin", "WithCTE", "CTERelationDef", "ResolvedHint", "Sample", "Except", "Intersect"}
-#: Nodes that make columns of their own; allowed over clean columns.
-MADE = {"Window", "Generate", "Expand", "Pivot", "Unpivot"}
-#: Rows that stand in the text itself.
-INLINE = {"OneRowRelation", "LocalRelation", "Range", "ResolvedInlineTable"}
-#: What the parser makes of queries. Anything else, commands and inserts among it, is refused.
-QUERY = {
-    "Project", "Filter", "Aggregate", "Join", "LateralJoin", "Union", "Except", "Intersect", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "Sample", "Generate", "Window",
-    "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "UnresolvedHint", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases",
-    "WithWindowDefinition", "OneRowRelation", "LocalRelation", "Range", "Pivot", "UnresolvedPivot",
-}
-
-
-def kind(x: Any) -> str:
-    return x.getClass().getSimpleName()
-
-
-def seq(x: Any) -> list[Any]:
-    return [x.apply(i) for i in range(x.size())]
-
-
-def argument(e: Any) -> Any:
-    """The value of a literal below casts; anything else equals nothing."""
-    while kind(e) in ("Cast", "Alias"):
-        e = e.child()
-    if kind(e) != "Literal":
-        return object()
-    text = str(e.value())
-    if "interval" in e.dataType().typeName().lower():
-        return f"{Decimal(text) / 1_000_000:f}s" if text.lstrip("-").isdigit() else text
-    try:
-        return Decimal(text)
-    except ArithmeticError:
-        return text
-
-
-def name_of(e: Any) -> str:
-    """A function's name; that of a user's function, where it has one."""
-    if kind(e) in ("PythonUDF", "PythonUDAF"):
-        return e.name()
-    if kind(e) == "ScalaUDF" and e.udfName().isDefined():
-        return e.udfName().get()
-    return e.prettyName()
-
-
-class Walk:
-    def __init__(self, spark: SparkSession, tables: dict[str, dict[str, Policy]], allow_unregistered: bool = False) -> None:
-        self.spark, self.tables, self.open = spark, tables, allow_unregistered
-        self.of: dict[int, Policy] = {}
-        self.ctes: dict[int, list[Policy]] = {}
-        self.duties: list[tuple[DataFrame, int, str]] = []
-        self.defs: Any = None
-        self.common: dict[Any, Policy] = {}
-        self.sizes: list[tuple[list[Column], int]] = []
-
-    def attribute(self, a: Any) -> Policy:
-        if (known := self.of.get(a.exprId().id())) is None:
-            raise NotAllowed(f"column {a.name()} of unknown origin")
-        return known
-
-    def outputs(self, plan: Any) -> list[Policy]:
-        return [self.attribute(a) for a in seq(plan.output())]
-
-    def put(self, attributes: list[Any], policies: list[Policy]) -> list[Policy]:
-        self.of.update({a.exprId().id(): p for a, p in zip(attributes, policies, strict=True)})
-        return policies
-
-    def plan(self, p: Any) -> list[Policy]:
-        k, out = kind(p), seq(p.output())
-        if k == "View" and (name := p.desc().identifier().table().lower()) in self.tables:
-            known = self.tables[name]
-            if unknown := [a.name() for a in out if a.name().lower() not in known]:
-                raise NotAllowed(f"columns {unknown} that {name} wasn't registered with")
-            return self.put(out, [known[a.name().lower()] for a in out])
-        if k == "CTERelationRef":
-            return self.put(out, self.ctes[p.cteId()])
-        if k == "WithCTE":
-            self.defs = p.cteDefs()
-        children = seq(p.children())
-        if not children or k == "View":
-            if k not in INLINE and not self.open:
-                raise NotAllowed(f"{p.nodeName()}: not a registered table")
-            return self.put(out, [CLEAN] * len(out))
-        below = [self.plan(c) for c in children]
-        if k == "CTERelationDef":
-            self.ctes[p.id()] = below[0]
-        if k == "Project":
-            self.put(out, [self.expr(e) for e in seq(p.projectList())])
-        elif k == "Aggregate":
-            self.aggregate(p)
-        elif k == "Union":
-            self.put(out, [reduce(Policy.join, ps) for ps in zip(*below, strict=True)])
-        elif k in PASSED:
-            for e in seq(p.expressions()):
-                (self.expr if k in ("Filter", "Join") else self.visit)(e)
-        elif k in MADE:
-            for e in seq(p.expressions()):
-                self.visit(e)
-            if any(not x.released for ps in below for x in ps):
-                raise PolicyViolation(f"{p.nodeName()} over protected columns")
-            self.put(out, [CLEAN] * len(out))
-        else:
-            raise NotAllowed(f"{p.nodeName()}: not a known step of a query")
-        return self.outputs(p)
-
-    def visit(self, e: Any) -> None:
-        """Walks the plans inside of an expression whose own value isn't passed on."""
-        if kind(e) in SUBQUERIES:
-            self.plan(e.plan())
-        for c in seq(e.children()):
-            self.visit(c)
-
-    def column(self, e: Any) -> Column:
-        return Column(self.spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(e))
-
-    def aggregate(self, p: Any) -> None:
-        self.sizes = []
-        for e in seq(p.groupingExpressions()):
-            self.visit(e)
-        found = [self.expr(e) for e in seq(p.aggregateExpressions())]
-        sizes, self.sizes = self.sizes, []
-        self.put(seq(p.output()), found)
-        if sizes:
-            jvm = self.spark._jvm.org.apache.spark.sql
-            try:
-                child = p.child()
-                if self.defs is not None:  # the rows may come from a common table expression
-                    child = jvm.catalyst.plans.logical.WithCTE(child, self.defs)
-                rows = DataFrame(jvm.classic.Dataset.ofRows(self.spark._jsparkSession, child), self.spark)
-                keys = [self.column(e) for e in seq(p.groupingExpressions())]
-                n = [(F.count_if(reduce(lambda a, b: a & b, tests, F.lit(True))), k) for tests, k in sizes]
-                slack = F.least(*(F.when(c > 0, c - k) for c, k in n), F.lit(None).cast("long"))  # a group without such rows discloses nothing
-                self.duties.append((rows.groupBy(*keys).agg(slack.alias("n")), 0, "aggregation"))
-                self.duties[-1][0].schema
-            except Exception as e:
-                raise PolicyViolation("aggregation whose groups can't be counted by themselves") from e
-
-    def expr(self, e: Any) -> Policy:
-        k = kind(e)
-        if k == "AttributeReference":
-            return self.attribute(e)
-        if k == "AggregateExpression":
-            return self.fold(e)
-        if k in SUBQUERIES:
-            return reduce(Policy.join, self.plan(e.plan()), CLEAN)
-        if k == "With":  # common expressions are settled before what refers to them
-            self.common |= {d.id().id(): self.expr(d.child()) for d in seq(e.defs())}
-            return self.expr(e.child())
-        if k == "CommonExpressionRef":
-            return self.common[e.id().id()]
-        parts = seq(e.children())
-        if k in ("If", "CaseWhen"):
-            tests, arms = arms_of(e)
-            for t in tests:
-                self.expr(t)
-            return reduce(Policy.join, map(self.expr, arms), CLEAN)
-        below = [self.expr(c) for c in parts]
-        if k == "InSubquery":
-            below += [self.expr(e.query())]
-        if k in SAME or k in JOINED:
-            return reduce(Policy.join, below, CLEAN)
-        held = [i for i, x in enumerate(below) if not x.released]
-        if not held:
-            return CLEAN
-        if k in ARITHMETIC and len(held) == 2:
-            return below[0].join(below[1])
-        if len(held) == 1 and len(parts) <= 2:
-            name = ARITHMETIC.get(k) or ("dt.offset_by" if k in OFFSETS else name_of(e))
-            other = argument(parts[1 - held[0]]) if len(parts) == 2 else None
-            return below[held[0]].downgrade(T(name, other), name)
-        raise PolicyViolation(name_of(e), policy=below[held[0]])
-
-    def fold(self, e: Any) -> Policy:
-        f = e.aggregateFunction()
-        method = "nunique" if e.isDistinct() and kind(f) == "Count" else METHODS.get(kind(f), kind(f))
-        parts = seq(f.children())
-        if kind(f) in ("MinBy", "MaxBy"):  # the order chooses a row, like a predicate
-            self.visit(parts[1])
-            parts = parts[:1]
-        p = reduce(Policy.join, map(self.expr, parts), CLEAN)
-        where = [e.filter().get()] if e.filter().isDefined() else []
-        for w in where:
-            self.expr(w)
-        if p.released:
-            return CLEAN
-        if k := dict(p.labels[0].ops).get(norm(method), 0) if p.labels[0].kind == "A" else 0:
-            passed = [self.column(w) for w in where]
-            self.sizes += [([*passed, *tests], k) for part in parts for tests in self.reaching(part)]
-        return p.downgrade(A(method, k=k), method)
-
-    def reaching(self, e: Any) -> list[list[Column]]:
-        """For each protected column in an expression the tests that a row must pass for its cell to reach the value."""
-        k = kind(e)
-        if k == "AttributeReference":
-            return [] if self.attribute(e).released else [[]]
-        if k in SUBQUERIES or k == "CommonExpressionRef":
-            return [[]]
-        if k in ("If", "CaseWhen"):
-            tests, arms = arms_of(e)
-            before, found = [], []
-            for i, arm in enumerate(arms):
-                own = [self.column(tests[i])] if i < len(tests) else []
-                found += [[*(~F.coalesce(b, F.lit(False)) for b in before), *own, *more] for more in self.reaching(arm)]
-                before += own
-            return found
-        if k == "With" or k == "Coalesce" and sum(bool(self.reaching(c)) for c in seq(e.children())) > 1:
-            raise PolicyViolation("aggregation of an expression whose rows can't be counted")
-        return [x for c in seq(e.children()) for x in self.reaching(c)]
-
-
-def arms_of(e: Any) -> tuple[list[Any], list[Any]]:
-    """Tests and arms of If and CaseWhen; an arm without a test of its own comes last."""
-    parts = seq(e.children())
-    if kind(e) == "If":
-        return parts[:1], parts[1:]
-    n = len(parts) - len(parts) % 2
-    return parts[:n:2], [*parts[1:n:2], *parts[n:]]
+from ..varied import ByRow
+from .rewrite import Rewriter, refuse_commands
 
 
 class Profile:
@@ -280,21 +42,34 @@ class PolicyContext:
 
     def __init__(self, spark: SparkSession, allow_unregistered: bool = False, enforce: bool = True) -> None:
         self.spark, self.allow_unregistered, self.enforce = spark, allow_unregistered, enforce
-        self.tables: dict[str, dict[str, Policy]] = {}
         self.frames: dict[str, GuardedFrame] = {}
         self.profile = Profile()
         self.last_error: PolicyViolation | None = None
 
-    def register(self, name: str, df: DataFrame, policies: dict[str, str | Policy] | str | None = None, on: list[str] | None = None) -> None:
-        """`policies`: by column; or the path of a JSON file, or of a Parquet folder whose ids go by the key columns `on`. In SQL a
-        column whose policies vary by row has the join of them; table() keeps them apart."""
+    def register(
+        self,
+        name: str,
+        df: DataFrame,
+        policies: dict[str, str | Policy | ByRow] | str | None = None,
+        on: list[str] | None = None,
+        keys: Iterable[Iterable[str]] = (),
+        missing: str = "top",
+        budgets: dict[str, Budget] | None = None,
+    ) -> None:
+        """`policies`: by column (one for all rows, or by row); or the path of a JSON file, or of a Parquet folder whose ids go by the key
+        columns `on` (without these by the rows' places). `missing`: the policy of rows that such a file leaves out. `keys`: sets of
+        columns that are known to differ from row to row, so that joins on them repeat nothing."""
         with self.profile.step("register"):
             if isinstance(policies, str):
-                self.frames[name.lower()] = f = files.read_parquet(self.spark, df, policies, on) if on else files.read_json(df, policies)
+                options = {"missing": missing, "keys": keys, "budgets": budgets}
+                if on:
+                    f = files.read_parquet(self.spark, df, policies, on, **options)
+                else:
+                    f = files.read_json(df, policies, **options) if files.is_json(self.spark, policies) else files.read_dense_parquet(self.spark, df, policies, **options)
             else:
-                self.frames[name.lower()] = f = GuardedFrame.register(df, {k: parse(v) if isinstance(v, str) else v for k, v in (policies or {}).items()})
+                f = GuardedFrame.register(df, {k: parse(v) if isinstance(v, str) else v for k, v in (policies or {}).items()}, keys, budgets)
+            self.frames[name.lower()] = f
             df.createOrReplaceTempView(name)
-            self.tables[name.lower()] = {c.lower(): worst(p) if isinstance(p, Varied) else p for c, p in f.policies.items()}
 
     def table(self, name: str) -> GuardedFrame:
         return self.frames[name.lower()]
@@ -315,16 +90,7 @@ class PolicyContext:
             if len(set(df.columns)) < len(df.columns):
                 raise ValueError("columns of a guarded query need names of their own")
             with self.profile.step("check"):
-                walk = Walk(self.spark, self.tables, self.allow_unregistered)
-                found = walk.plan(df._jdf.queryExecution().analyzed())
-            return GuardedFrame(df, dict(zip(df.columns, found, strict=True)), tuple(walk.duties))
+                return Rewriter(self.spark, self.frames, self.allow_unregistered).rewritten(df)
         except PolicyViolation as e:
             self.last_error = e
             raise
-
-
-def refuse_commands(parsed: Any) -> None:
-    if kind(parsed).rstrip("$") not in QUERY:
-        raise NotAllowed(f"{parsed.nodeName()}: not a query")
-    for c in seq(parsed.children()):
-        refuse_commands(c)

@@ -45,7 +45,7 @@ def value(x: Any) -> Any:
 @dataclass(frozen=True)
 class Label:
     kind: str
-    #: T: (name, argument or None); A: (method, least group size); N: (epsilon, delta)
+    #: T: (name, argument, tuple of arguments or None); A: (method, least group size); N: (epsilon, delta)
     ops: frozenset = frozenset()
 
     def join(self, other: Label) -> Label:
@@ -77,15 +77,17 @@ class Label:
         return bool(op.ops) and op.ops <= self.ops
 
     def __str__(self) -> str:
-        show = {"T": lambda o: o[0] + ("" if o[1] is None else f":{o[1]}"), "A": lambda o: f"{o[0]}>={o[1]}", "N": lambda o: f"{o[0]},{o[1]}"}
+        show = {"T": lambda o: o[0] + ("" if o[1] is None else "".join(f":{x}" for x in (o[1] if isinstance(o[1], tuple) else (o[1],)))), "A": lambda o: f"{o[0]}>={o[1]}", "N": lambda o: f"{o[0]},{o[1]}"}
         return self.kind if self.kind in ("bot", "top") else f"{self.kind}{{{', '.join(sorted(map(show[self.kind], self.ops)))}}}"
 
 
 BOT, TOP = Label("bot"), Label("top")
 
 
-def T(name: str, arg: Any = None) -> Label:
-    return Label("T", frozenset([(norm(name), value(arg))]))
+def T(name: str, *args: Any) -> Label:
+    """A transform by its name and its other arguments: one by itself, several as a tuple."""
+    given = tuple(map(value, args))
+    return Label("T", frozenset([(norm(name), given if len(given) > 1 else given[0] if given else None)]))
 
 
 def A(*methods: str, k: int = 1) -> Label:
@@ -151,7 +153,7 @@ CLEAN = Policy()
 
 
 def parse(text: str) -> Policy:
-    """'T{+:1} => A{sum>=5} => bot'; '' and 'clean' are the clean policy."""
+    """'T{+:1} => A{sum>=5} => bot'; '' and 'clean' are the clean policy. Arguments of a transform stand behind colons, as in T{substring:1:2}."""
     out = Policy()
     for part in filter(None, (x.strip() for x in text.split("=>"))):
         if part == "clean":
@@ -161,7 +163,7 @@ def parse(text: str) -> Policy:
         elif m := re.fullmatch(r"([TAN])\{(.*)\}", part):
             items = [x.strip() for x in m[2].split(";" if m[1] == "N" else ",") if x.strip()]
             if m[1] == "T":
-                label = Label("T", frozenset((norm(n), _literal(a) if sep else None) for n, sep, a in (x.partition(":") for x in items)))
+                label = Label("T", frozenset((norm(n), _arguments(a) if sep else None) for n, sep, a in (x.partition(":") for x in items)))
             elif m[1] == "A":
                 label = Label("A", frozenset((norm(n.strip()), int(k or 1)) for n, _, k in (x.partition(">=") for x in items)))
             else:
@@ -174,6 +176,11 @@ def parse(text: str) -> Policy:
     return out
 
 
+def _arguments(x: str) -> Any:
+    found = tuple(map(_literal, x.split(":")))
+    return found if len(found) > 1 else found[0]
+
+
 def _literal(x: str) -> Any:
     try:
         return value(Decimal(x.strip()))
@@ -182,9 +189,12 @@ def _literal(x: str) -> Any:
 
 
 def to_json(p: Policy) -> str:
-    return json.dumps([[x.kind, sorted(([o[0], None if o[1] is None else str(o[1])] for o in x.ops), key=str)] for x in p.labels])
+    show = lambda a: None if a is None else list(map(str, a)) if isinstance(a, tuple) else str(a)
+    return json.dumps([[x.kind, sorted(([o[0], show(o[1])] for o in x.ops), key=str)] for x in p.labels])
 
 
 def from_json(text: str) -> Policy:
-    read = {"T": lambda o: (o[0], None if o[1] is None else _literal(o[1])), "A": lambda o: (o[0], int(o[1])), "N": lambda o: (float(o[0]), None if o[1] is None else float(o[1]))}
+    given = lambda a: None if a is None else tuple(map(_literal, a)) if isinstance(a, list) else _literal(a)
+    number = lambda a: None if a is None else float(a)
+    read = {"T": lambda o: (o[0], given(o[1])), "A": lambda o: (o[0], int(o[1])), "N": lambda o: (float(o[0]), number(o[1]))}
     return Policy(tuple(Label(kind, frozenset(map(read[kind], ops)) if ops else frozenset()) for kind, ops in json.loads(text)))

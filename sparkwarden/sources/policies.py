@@ -3,16 +3,19 @@ ids by row with a table of policies beside it."""
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
+from dataclasses import replace
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import GuardedFrame
+from ..frame import GuardedFrame, row_id
 from ..policy import BOT, CLEAN, TOP, Label, Policy, from_json, norm, parse, to_json, value
 from ..varied import Varied
 
@@ -39,7 +42,8 @@ def _label(x: Any) -> Label:
     (name, body), *_ = x.items()
     if name == "PolicyTransform":
         pairs = [next(iter(o.values())) for o in _ops(body)]
-        return Label("T", frozenset((norm(p["name"]), _argument(p["arg"]) if "arg" in p else None) for p in pairs))
+        several = lambda p: tuple(map(_argument, p["args"])) if "args" in p else _argument(p["arg"]) if "arg" in p else None
+        return Label("T", frozenset((norm(p["name"]), several(p)) for p in pairs))
     if name == "PolicyAgg":
         how = lambda h: METHODS[h] if isinstance(h, str) else ("len" if h.get("Count", {}).get("include_nulls") else "count") if "Count" in h else "quantile"
         return Label("A", frozenset((how(o["how"]), int(o["group_size"])) for o in _ops(body)))
@@ -78,13 +82,20 @@ def encode(p: Policy) -> Any:
 
 
 def _transform(name: str, arg: Any) -> Any:
+    """Of several arguments this library's own shape, as the others stop at one."""
     if arg is None:
         return {"Unary": {"name": name}}
+    if isinstance(arg, tuple):
+        return {"Nary": {"name": name, "args": list(map(_written, arg))}}
+    return {"Binary": {"name": name, "arg": _written(arg)}}
+
+
+def _written(arg: Any) -> Any:
     if isinstance(arg, Decimal):
-        return {"Binary": {"name": name, "arg": {"Float64": float(arg)}}}
+        return {"Float64": float(arg)}
     if m := re.fullmatch(r"(\d+)([smhd])", str(arg)):
-        return {"Binary": {"name": name, "arg": {"Duration": {"secs": int(m[1]) * SECONDS[m[2]], "nanos": 0}}}}
-    return {"Binary": {"name": name, "arg": {"String": str(arg)}}}
+        return {"Duration": {"secs": int(m[1]) * SECONDS[m[2]], "nanos": 0}}
+    return {"String": str(arg)}
 
 
 def loads(text: str) -> list[list[Policy]]:
@@ -103,15 +114,63 @@ def write_parquet(ids: DataFrame, tables: dict[str, list[Policy]], path: str) ->
     ids.sparkSession.createDataFrame(rows, "name string, id int, policy string").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
 
 
-def read_parquet(spark: SparkSession, df: DataFrame, path: str, on: list[str]) -> GuardedFrame:
-    """`df` under the policies written at `path`; a row whose key isn't there is clean. The join is on the keys, once each."""
+def read_parquet(spark: SparkSession, df: DataFrame, path: str, on: list[str], missing: str = "top", **options: Any) -> GuardedFrame:
+    """`df` under the policies written at `path`, by key, once each: nulls are keys like others. A row whose key isn't there has the policy
+    `missing`, and one whose key is there with several policies may not be seen at all. Other options are register()'s."""
     tables: dict[str, dict[int, Policy]] = {}
     for r in spark.read.parquet(f"{path}/table").collect():  # one row for each different policy of a column
         tables.setdefault(r["name"], {})[r["id"]] = from_json(r["policy"])
-    ids = spark.read.parquet(f"{path}/ids").select(*on, *(F.col(c).alias(f"_id_{c}") for c in tables))
-    f = GuardedFrame.register(df.join(ids, on, "left").select(*df.columns, *(f"_id_{c}" for c in tables)))
-    made = {c: (F.col(c), Varied(F.col(f"_id_{c}"), tuple(t[i] for i in range(len(t)))).padded()) for c, t in tables.items()}
-    return f._put(f._df, made, {c: CLEAN for c in df.columns})
+    rows = spark.read.parquet(f"{path}/ids").groupBy(*(F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(on)))
+    found = rows.agg(*(F.when(F.count_distinct(c) == 1, F.min(c)).otherwise(-1).alias(f"_id_{c}") for c in tables))
+    df = df.withColumn("_rid", row_id(df))
+    both = df.join(found, reduce(lambda a, b: a & b, (df[f"`{k}`"].eqNullSafe(found[f"_key_{i}"]) for i, k in enumerate(on))), "left")
+    return _attached(df, both, tables, missing, options)
+
+
+def _attached(df: DataFrame, both: DataFrame, tables: dict[str, dict[int, Policy]], missing: str, options: dict[str, Any]) -> GuardedFrame:
+    """Policies by the integers _id_<column> beside the data: -1 forbids, null is `missing`."""
+    given = {}
+    for c, t in tables.items():
+        n = len(t)
+        pid = F.coalesce(F.when(F.col(f"_id_{c}") < 0, n + 1).otherwise(F.col(f"_id_{c}")), F.lit(n))
+        given[c] = Varied(pid, (*(t[i] for i in range(n)), parse(missing), Policy((TOP,))))
+    f = GuardedFrame.register(both.select(df["*"], *(f"_id_{c}" for c in tables)), given, rid="_rid", **options)
+    return f.select(*(c for c in df.columns if c != "_rid"))
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """A scan of Parquet files with `_position`, the place of each row over all files in order of their paths."""
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = sorted(map(tuple, at.groupBy("_file").count().collect()))  # a row for each file
+    starts = [(f, n) for (f, _), n in zip(sizes, itertools.accumulate((n for _, n in sizes), initial=0))]
+    files = df.sparkSession.createDataFrame(starts, "_file string, _start long")
+    return at.join(F.broadcast(files), "_file").withColumn("_position", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def write_dense(ids: DataFrame, tables: dict[str, list[Policy]], path: str) -> None:
+    """`ids`: `position`, counted from 0 as the table's rows stand in its files, and for each guarded column c the integer column c."""
+    write_parquet(ids, tables, path)
+
+
+def read_dense(df: DataFrame, tables: dict[str, dict[int, Policy]], ids: DataFrame, missing: str = "top", **options: Any) -> GuardedFrame:
+    """A scan of Parquet files under one policy for each cell, matched by the rows' places; `ids` as for write_dense."""
+    placed = positions(df).withColumn("_rid", F.col("_position"))
+    found = ids.groupBy(F.col("position").alias("_at")).agg(*(F.when(F.count_distinct(c) == 1, F.min(c)).otherwise(-1).alias(f"_id_{c}") for c in tables))
+    both = placed.join(found, F.col("_position") == F.col("_at"), "left")
+    return _attached(placed.drop("_position"), both, tables, missing, options)
+
+
+def read_dense_parquet(spark: SparkSession, df: DataFrame, path: str, missing: str = "top", **options: Any) -> GuardedFrame:
+    tables: dict[str, dict[int, Policy]] = {}
+    for r in spark.read.parquet(f"{path}/table").collect():
+        tables.setdefault(r["name"], {})[r["id"]] = from_json(r["policy"])
+    return read_dense(df, tables, spark.read.parquet(f"{path}/ids"), missing, **options)
+
+
+def is_json(spark: SparkSession, path: str) -> bool:
+    """Whether a policy file is one JSON document, and not a folder of ids and their table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    return not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -124,17 +183,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/policies-{uuid.uuid4().hex}"
 
 
-def read_json(df: DataFrame, path: str) -> GuardedFrame:
-    """`df` under the policies of a JSON file whose columns come in the order of df's; each column must have one policy for all
-    its rows, as rows of a DataFrame have no order (policies that vary by row: Parquet, by key)."""
-    text = df.sparkSession.read.text(path, wholetext=True).first()[0]
+def read_json(df: DataFrame, path: str, missing: str = "top", **options: Any) -> GuardedFrame:
+    """`df` under the policies of a JSON file, one document, whose columns come in the order of df's: one policy for all rows of a
+    column, or one for each; then df must be a scan of Parquet files, whose rows have places."""
+    spark = df.sparkSession
+    text = spark.read.text(path, wholetext=True).first()[0]
     names = json.loads(text).get("schema", df.columns)
-    given = {}
-    for c, ps in zip(names, loads(text), strict=True):
-        if len(set(ps)) > 1:
-            raise ValueError(f"policies of {c} vary by row: they need a key, as in Parquet")
-        given[c] = ps[0] if ps else CLEAN
-    return GuardedFrame.register(df, given)
+    cells = dict(zip(names, loads(text), strict=True))
+    given = {c: ps[0] if ps else CLEAN for c, ps in cells.items() if len(set(ps)) <= 1}
+    dense = {c: ps for c, ps in cells.items() if c not in given}
+    if not dense:
+        return GuardedFrame.register(df, given, **options)
+    tables = {c: list(dict.fromkeys(ps)) for c, ps in dense.items()}
+    longest = max(map(len, dense.values()))
+    rows = [(i, *(tables[c].index(ps[i]) if i < len(ps) else None for c, ps in dense.items())) for i in range(longest)]
+    ids = spark.createDataFrame(rows, ", ".join(["position long", *(f"`{c}` int" for c in dense)]))
+    f = read_dense(df, {c: dict(enumerate(t)) for c, t in tables.items()}, ids, missing, **options)
+    return replace(f, policies=f.policies | given, _origin=f._origin | {c: frozenset().union(*f._origin.values()) for c in given})
 
 
 # The policies of the micro benchmark, put on l_discount.

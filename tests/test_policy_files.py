@@ -26,7 +26,9 @@ def test_round_trip(text):
 def test_parquet(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 3, i) for i in range(9)], "id int, k int, v int")
     files.write_parquet(df.where("id < 8").selectExpr("id", "CAST(k = 0 AS INT) AS v"), {"v": [CLEAN, parse("A{sum>=3}")]}, f"{tmp_path}/p")
-    g = files.read_parquet(spark, df, f"{tmp_path}/p", ["id"])
+    closed = files.read_parquet(spark, df, f"{tmp_path}/p", ["id"])
+    assert closed.filter(col("k") > 0).filter(col("id") < 8).verdict() == "allow" and closed.filter(col("id") == 8).verdict() == "deny"
+    g = files.read_parquet(spark, df, f"{tmp_path}/p", ["id"], missing="clean")
     assert g.verdict() == "deny"
     assert g.filter(col("k") > 0).release().count() == 6 and g.filter(col("id") == 8).verdict() == "allow"
     assert g.group_by("k").agg(s=("sum", col("v"))).verdict() == "allow"
