@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .noise import Budget, laplace_of
 from .policy import A, CLEAN, N, Policy, PolicyViolation, T, norm, parse
+from .sources.rows import positions, row_id
 from .varied import ByRow, Varied, any_of, chosen, lift, merged, shadow, worst
 
 #: What the errors of tests in a plan begin with.
@@ -57,7 +58,7 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "sum": lambda c, _: F.sum(c), "mean": lambda c, _: F.avg(c), "max": lambda c, _: F.max(c), "min": least_of, "len": lambda c, _: F.count(c), "count": lambda c, _: F.count(c),
     "nanmin": lambda c, real: F.min(no_nan(c, real)), "nanmax": lambda c, real: F.max(no_nan(c, real)), "median": lambda c, _: F.median(c), "nunique": lambda c, _: F.count_distinct(c),
     "std": lambda c, _, ddof=1: (F.stddev_samp if ddof else F.stddev_pop)(c), "var": lambda c, _, ddof=1: (F.var_samp if ddof else F.var_pop)(c), "quantile": lambda c, _, q, how="linear": quantile(c, q, how),
-    "implode": lambda c, _: F.collect_list(c), "groups": lambda c, _: F.array_sort(F.collect_list(c)),
+    "implode": lambda c, _: F.collect_list(c), "groups": lambda c, _: F.array_sort(F.collect_list(c)),  # of the rows' places, see indexed()
 }
 
 
@@ -213,9 +214,11 @@ def when(cond: Expr, yes: Any, no: Any) -> Expr:
     """Each row has the policy of the arm that it takes. Under an aggregate with a least group size only the rows that
     take a protected arm count, so that a condition can't single out a row; what is to be aggregated may read a column in one arm only."""
 
+    yes, no = as_expr(yes), as_expr(no)
+
     def build(f: GuardedFrame) -> tuple[Column, Policy | Varied]:
         c = cond.build(replace(f, _log=Log()))[0]
-        (a, pa, la), (b, pb, lb) = f.part(as_expr(yes)), f.part(as_expr(no))
+        (a, pa, la), (b, pb, lb) = f.part(yes), f.part(no)
         if f.reads(la) & f.reads(lb):
             raise PolicyViolation("cells of one table through arms that differ")
         f._log.picked |= f.reads(la) | f.reads(lb)
@@ -272,16 +275,6 @@ def size_slack(sizes: list[tuple[Column, Column | None, int]]) -> Column:
     return F.coalesce(F.least(*(F.when(n > 0, n - k) for n, k in counts), F.lit(None).cast("long")), F.lit(0))
 
 
-def row_id(df: DataFrame) -> Column:
-    """An id of each row: where it stands in its file, if it comes straight from one."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() == "SubqueryAlias" or plan.nodeName().startswith("View"):
-        plan = plan.children().apply(0)
-    if plan.nodeName().startswith("Relation parquet"):
-        return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    return F.monotonically_increasing_id()
-
-
 @dataclass(frozen=True)
 class GuardedFrame:
     _df: DataFrame
@@ -297,6 +290,8 @@ class GuardedFrame:
     _budgets: dict[str, frozenset[Budget]] = field(default_factory=dict)
     _spent: tuple[tuple[Budget, float], ...] = ()
     _log: Log = field(default_factory=Log)
+    #: The data as registered, without row ids, for queries that don't count them.
+    _bare: DataFrame | None = None
 
     @staticmethod
     def register(
@@ -321,7 +316,14 @@ class GuardedFrame:
             own = f"_rid_{next(NUMBERS)}"
             f = replace(f, _df=df.withColumn(own, row_id(df) if rid is None else F.col(rid)), _origin={c: frozenset([own]) for c in counted})
         ids = {shadow(c): p.pid for c, p in known.items() if isinstance(p, Varied)}
-        return replace(f, _df=f._df.withColumns(ids) if ids else f._df, policies=f.policies | {c: p.at(c) for c, p in known.items()})
+        with_ids = lambda d: d.withColumns(ids) if ids else d
+        return replace(f, _df=with_ids(f._df), _bare=with_ids(df) if counted and rid is None else None, policies=f.policies | {c: p.at(c) for c, p in known.items()})
+
+    @staticmethod
+    def indexed(df: DataFrame, policies: dict[str, str | Policy | ByRow | Varied] | None = None, row: str = "row", **options: Any) -> GuardedFrame:
+        """register(), with a column of the rows' places in their Parquet files, which go along with the rows: `groups` of it gives the
+        rows of each group, and group() of a key those of one."""
+        return GuardedFrame.register(positions(df, row), policies, rid=None, **options)
 
     def named(self, name: str) -> str:
         """The column that the session takes a name for."""
@@ -383,7 +385,7 @@ class GuardedFrame:
         return GuardedFrame(df, policies, of(self._origin, "origin"), self._repeated, unique, of(self._picked, "picked"), of(self._budgets, "budgets"), (*self._spent, *spent))
 
     def filter(self, cond: Expr) -> GuardedFrame:
-        return replace(self, _df=self._df.where(cond.build(replace(self, _log=Log()))[0]))
+        return replace(self, _df=self._df.where(cond.build(replace(self, _log=Log()))[0]), _bare=None)
 
     def select(self, *names: str, **exprs: Expr) -> GuardedFrame:
         made = {self.named(n): self.made(col(n)) for n in names} | {n: self.made(e) for n, e in exprs.items()}
@@ -469,13 +471,14 @@ class GuardedFrame:
         varied = {c: any_of(p, lambda k: looked_up(groups, k)) for c, p in self.policies.items() if isinstance(p, Varied)}
         kept = [*(m.pid.alias(shadow(c)) for c, m in varied.items()), *(F.min(r).alias(r) for r in self._ids())]
         df = groups.agg(*kept) if kept else self._df.select(*(f"`{c}`" for c in self.policies)).distinct()
-        return replace(self, _df=df, policies=self.policies | {c: m.at(c) for c, m in varied.items()}, _unique=self._unique | {frozenset(self.policies)})
+        unique = self._unique | {frozenset(self.policies)}
+        return replace(self, _df=df, policies=self.policies | {c: m.at(c) for c, m in varied.items()}, _unique=unique, _bare=None)
 
     def sort(self, *by: Any) -> GuardedFrame:
-        return replace(self, _df=self._df.orderBy(*by))
+        return replace(self, _df=self._df.orderBy(*by), _bare=None)
 
     def limit(self, n: int) -> GuardedFrame:
-        return replace(self, _df=self._df.limit(n))
+        return replace(self, _df=self._df.limit(n), _bare=None)
 
     def group_by(self, *keys: str) -> Grouped:
         return Grouped(self, tuple(map(self.named, keys)))
@@ -496,13 +499,13 @@ class GuardedFrame:
             raise
 
     def sample(self, fraction: float, seed: int | None = None) -> GuardedFrame:
-        return replace(self, _df=self._df.sample(fraction, seed))
+        return replace(self, _df=self._df.sample(fraction, seed), _bare=None)
 
     def group(self, **key: Any) -> GuardedFrame:
         """The rows of one group: those whose key columns have these values."""
         plain(*key.values())
         tests = (F.col(f"`{self.named(c)}`").eqNullSafe(F.lit(v)) for c, v in key.items())
-        return replace(self, _df=self._df.where(reduce(lambda a, b: a & b, tests, F.lit(True))))
+        return replace(self, _df=self._df.where(reduce(lambda a, b: a & b, tests, F.lit(True))), _bare=None)
 
     def explain(self, mode: str = "formatted") -> None:
         """Spark's plan and the columns' policies; no rows."""

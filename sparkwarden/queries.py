@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import anonymity
 from .frame import GuardedFrame, col, lit, offset_by, when
 from .plans.context import PolicyContext
 from .policy import PolicyViolation, parse
 from .sources import policies as files
 from .sources.policies import MICRO
+from .sources.rows import positions
 from .varied import ByRow
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -58,6 +60,13 @@ SQL: dict[str, str] = {
     "scalar_subquery": "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) + 10 FROM customer)",
     "correlated_subquery": "SELECT p_partkey FROM part WHERE p_retailprice > 1000 AND p_size < (SELECT max(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)",
     "having": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 8",
+    "rollup": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "cube": "SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) AS m, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "grouping_sets": "SELECT c_mktsegment, c_nationkey, max(c_acctbal) AS m, grouping(c_mktsegment) AS g FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    "window_mean": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 4) AS m FROM orders",
+    "window_frame": "SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM lineitem",
+    "window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS r FROM orders",
+    "substring_key": "SELECT substring(o_orderpriority, 1, 1) AS p, count(*) AS n FROM orders GROUP BY 1",
     "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY l_returnflag, l_linestatus",
     "tpch_q2": "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND c_mktsegment = 'BUILDING' AND o_totalprice = (SELECT min(x.o_totalprice) FROM orders x WHERE x.o_custkey = c_custkey) ORDER BY o_totalprice, o_orderkey LIMIT 100",
     "tpch_q3": "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
@@ -125,6 +134,15 @@ def offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_id", later=offset_by(col("ts"), "5s")).release()
 
 
+#: Columns that differ from row to row: a join on them repeats no row of the other side.
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+
+
+def revenue(k: int) -> dict[str, str]:
+    """Prices and discounts may be seen only together, as sums over k rows or more."""
+    return {"l_extendedprice": f"A{{sum>={k}}}", "l_discount": f"T{{-:1}} => A{{sum>={k}}}"}
+
+
 #: For each query of SQL policies that it meets: columns that only choose rows or aren't asked for (top), those that it aggregates over
 #: groups of a least size, and those that it must transform.
 GUARDS: dict[str, dict[str, str]] = {
@@ -137,12 +155,15 @@ GUARDS: dict[str, dict[str, str]] = {
     "agg_quantile": {"l_quantity": "A{quantile>=20}", "l_extendedprice": "A{quantile>=20, mean>=5}"}, "agg_filter": {"l_extendedprice": "A{max>=20}", "l_quantity": "top", "l_discount": "top"},
     "global_agg": {"o_totalprice": "A{min>=20, max>=20}"}, "case_when": {"o_totalprice": "top"}, "is_in": {"p_size": "top", "p_type": "top"}, "like_contains": {"p_brand": "top", "p_type": "top"},
     "date_year": {"o_orderdate": "T{year}"}, "substring": {"o_totalprice": "top"}, "scalar_subquery": {"c_acctbal": "A{mean>=20}"}, "correlated_subquery": {"p_retailprice": "top"}, "having": {"l_quantity": "top"},
-    "tpch_q1": {"l_quantity": "A{sum>=20, mean>=20}", "l_linenumber": "top"}, "tpch_q2": {"r_name": "top", "c_mktsegment": "top"}, "tpch_q3": {"l_shipdate": "top", "c_mktsegment": "top"},
-    "tpch_q4": {"l_shipdate": "top", "o_totalprice": "top"}, "tpch_q5": {"r_name": "top", "o_orderdate": "top"}, "tpch_q6": {"l_shipdate": "top", "l_quantity": "top"}, "tpch_q7": {"c_nationkey": "top", "s_nationkey": "top"},
-    "tpch_q8": {"r_name": "top", "p_type": "top"}, "tpch_q9": {"p_type": "top"}, "tpch_q10": {"l_returnflag": "top", "o_orderdate": "top"}, "tpch_q11": {"l_extendedprice": "A{sum>=1}", "n_name": "top"}, "tpch_q12": {"o_orderpriority": "top"},
-    "tpch_q13": {"o_orderpriority": "top"}, "tpch_q14": {"p_type": "top", "l_shipdate": "top"}, "tpch_q15": {"l_shipdate": "top"}, "tpch_q16": {"s_acctbal": "top"}, "tpch_q17": {"l_extendedprice": "A{sum>=5}", "p_brand": "top"},
-    "tpch_q18": {"l_quantity": "A{sum>=1}"}, "tpch_q19": {"l_quantity": "top", "p_brand": "top"}, "tpch_q20": {"l_quantity": "A{sum>=1}", "p_type": "top"}, "tpch_q21": {"o_orderstatus": "top", "l_returnflag": "top"},
+    "tpch_q1": {"l_quantity": "A{sum>=20, mean>=20}", "l_linenumber": "top"}, "tpch_q2": {"r_name": "top", "c_mktsegment": "top"}, "tpch_q3": {"l_shipdate": "top", "c_mktsegment": "top"} | revenue(1),
+    "tpch_q4": {"l_shipdate": "top", "o_totalprice": "top"}, "tpch_q5": {"r_name": "top", "o_orderdate": "top"} | revenue(2), "tpch_q6": {"l_shipdate": "top", "l_quantity": "top", "l_extendedprice": "A{sum>=20}", "l_discount": "A{sum>=20}"},
+    "tpch_q7": {"c_nationkey": "top", "s_nationkey": "top"} | revenue(3), "tpch_q8": {"r_name": "top", "p_type": "top"} | revenue(4), "tpch_q9": {"p_type": "top"} | revenue(5), "tpch_q10": {"l_returnflag": "top"} | revenue(1),
+    "tpch_q11": {"l_extendedprice": "A{sum>=1}", "n_name": "top"}, "tpch_q12": {"o_orderpriority": "top"}, "tpch_q13": {"o_orderpriority": "top", "o_orderkey": "A{count>=1}"}, "tpch_q14": {"p_type": "top", "l_shipdate": "top"} | revenue(20),
+    "tpch_q15": {"l_shipdate": "top"} | revenue(5), "tpch_q16": {"s_acctbal": "top", "l_suppkey": "A{nunique>=10}"}, "tpch_q17": {"l_extendedprice": "A{sum>=20}", "l_quantity": "A{mean>=10}", "p_brand": "top"},
+    "tpch_q18": {"l_quantity": "A{sum>=1}"}, "tpch_q19": {"l_quantity": "top", "p_brand": "top"} | revenue(20), "tpch_q20": {"l_quantity": "A{sum>=20}", "p_type": "top"}, "tpch_q21": {"o_orderstatus": "top", "l_returnflag": "top"},
     "tpch_q22": {"c_acctbal": "A{sum>=5, mean>=5}"},
+    "rollup": {"l_quantity": "A{sum>=20}"}, "cube": {"o_totalprice": "A{mean>=20}"}, "grouping_sets": {"c_acctbal": "A{max>=20}"}, "window_mean": {"o_totalprice": "A{mean>=20}"}, "window_frame": {"l_quantity": "A{sum>=3}"},
+    "window_rank": {"o_totalprice": "T{rank}"}, "substring_key": {"o_orderpriority": "T{substring:1:1}"},
 }
 
 
@@ -153,7 +174,7 @@ def guarded_sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
         ctx = PolicyContext(spark)
         for t in named(SQL[name]):
             df = table(spark, sf_dir, t)
-            ctx.register(t, df, {c: p for c, p in GUARDS[name].items() if c in df.columns})
+            ctx.register(t, df, {c: p for c, p in GUARDS[name].items() if c in df.columns}, keys=[[KEYS[t]]] if t in KEYS else [])
         return ctx.sql(SQL[name]).release()
 
     return run
@@ -199,6 +220,78 @@ def by_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter(col("c_acctbal") >= 0).select("c_custkey", "c_acctbal").release()
 
 
+def by_row_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Balances below zero only as means of 20 or more, those of two segments not at all, the others freely; by SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = PolicyContext(spark)
+        rules = ((F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "top"), (F.col("c_acctbal") < 0, "A{mean>=20}"))
+        ctx.register("customer", table(spark, sf_dir, "customer"), {"c_acctbal": ByRow(rules)}, keys=[["c_custkey"]])
+        ctx.register("orders", table(spark, sf_dir, "orders"))
+        ctx.register("nation", table(spark, sf_dir, "nation"), keys=[["n_nationkey"]])
+        return ctx.sql(text).release()
+
+    return run
+
+
+#: SQL over policies that vary by row; DuckDB runs the same.
+BY_ROW = {
+    "by_row_sql": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment",
+    "by_row_sql_filter": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0 AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
+    "by_row_sql_join": "SELECT n_name, o_orderkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' WHERE c_acctbal > 5000 AND c_mktsegment = 'HOUSEHOLD'",
+    "by_row_sql_case": "SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.0 ELSE c_acctbal END AS shown FROM customer",
+    "by_row_sql_cte": "WITH good AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'HOUSEHOLD'), bad AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'HOUSEHOLD') SELECT x.mean, y.k, y.best FROM (SELECT round(avg(v), 4) AS mean FROM (SELECT v FROM good UNION ALL SELECT v FROM bad) u) x CROSS JOIN (SELECT k, max(v) AS best FROM good GROUP BY k) y",
+}
+
+
+def dense_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy for each cell by the place of its row, from a file."""
+    path = f"{files.scratch_dir(spark)}/customer.cells"
+    customer = table(spark, sf_dir, "customer")
+    ids = positions(customer).select(F.col("_position").alias("position"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0).alias("c_acctbal"))
+    files.write_dense(ids, {"c_acctbal": [parse("clean"), parse("A{mean>=20}")]}, path)
+    ctx = PolicyContext(spark)
+    ctx.register("customer", customer, path)
+    return ctx.sql("SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m FROM customer GROUP BY c_mktsegment").release()
+
+
+def agg_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each group by their places in the table."""
+    g = GuardedFrame.indexed(table(spark, sf_dir, "orders"), {"o_totalprice": "top"}).group_by("o_orderpriority").agg(rows=("groups", col("row")))
+    at = F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x * (x % 97))
+    return g.release().select("o_orderpriority", F.size("rows").cast("long").alias("n"), F.col("rows")[0].alias("lo"), F.element_at("rows", -1).alias("hi"), at.alias("mixed"))
+
+
+def one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = GuardedFrame.indexed(table(spark, sf_dir, "orders"), {"o_totalprice": "top"})
+    return g.group(o_orderstatus="F", o_orderpriority="1-URGENT").select("row", "o_orderkey").release()
+
+
+def nary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of several arguments, which the policy names."""
+    g = GuardedFrame.register(table(spark, sf_dir, "customer"), {"c_name": "T{regexp_replace:[0-9]:#}", "c_mktsegment": "T{substring:1:3}"})
+    return g.select("c_custkey", name=col("c_name").regexp_replace("[0-9]", "#"), seg=col("c_mktsegment").substring(1, 3)).release()
+
+
+def people(spark: SparkSession, sf_dir: str, **policies: str) -> GuardedFrame:
+    return GuardedFrame.register(table(spark, sf_dir, "customer"), policies).with_columns(band=when(col("c_acctbal") < 0, "owes", when(col("c_acctbal") < 5000, "low", "high")))
+
+
+def k_anonymity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = people(spark, sf_dir, c_nationkey="T{k_anonymous:15}", c_mktsegment="T{k_anonymous:15}")
+    return anonymity.k_anonymous(g, ["c_nationkey", "c_mktsegment"], 15, suppress=True).select("c_custkey", "c_nationkey", "c_mktsegment").release()
+
+
+def l_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = people(spark, sf_dir)
+    return anonymity.l_diverse(g, ["c_nationkey", "c_mktsegment"], "band", 3, suppress=True).select("c_custkey", "band").release()
+
+
+def t_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = people(spark, sf_dir)
+    return anonymity.t_close(g, ["c_nationkey"], "band", 0.08, suppress=True).select("c_custkey", "c_nationkey").release()
+
+
 GUARDED_SQL = list(SQL)
 
 
@@ -211,64 +304,114 @@ def micro(which: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-SMALL = {"df1": [(2, 5), (3, 5), (3, 4), (1, 4), (5, 1)], "df3": [(2, 5), (3, 5), (3, 5), (1, 5), (5, 5)]}
+DAYS, SUMS = {"o_orderdate": "T{dt.offset_by:5s}"}, {"o_totalprice": "A{sum>=2}"}
+ROWS = {"o_totalprice": ByRow((("o_orderstatus = 'F'", "top"), ("o_orderstatus = 'O'", "A{sum>=2}")))}
 
 
-def cases(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], GuardedFrame]]:
-    """The acceptance cases: policy1 is T{dt.offset_by:5s} on a, policy2 A{sum>=2} on a."""
-    two = spark.createDataFrame([(f"2021-01-0{i}", i) for i in range(1, 6)], "a string, b int").withColumn("a", F.to_timestamp("a"))
-    dates = lambda: GuardedFrame.register(two, {"a": "T{dt.offset_by:5s}"})
-    ints = lambda n, p: GuardedFrame.register(spark.createDataFrame(SMALL[n], "a int, b int"), {"a": p})
-    df1 = spark.createDataFrame(SMALL["df1"], "a int, b int")
-    df1.createOrReplaceTempView("never_registered")
+def dsl_cases(orders: DataFrame, nation: DataFrame) -> dict[str, tuple[Callable[[], GuardedFrame], str]]:
+    """Of GuardedFrames: what makes one, and whether it may be released."""
+    days, sums = lambda: GuardedFrame.register(orders, DAYS), lambda p="A{sum>=2}": GuardedFrame.register(orders, {"o_totalprice": p})
+    later = lambda s="5s": days().select("o_orderstatus", "o_totalprice", at=offset_by(col("o_orderdate"), s))
+    price, n = col("o_totalprice"), nation.select(F.col("n_nationkey").alias("n"))
+    first, noise = col("o_orderkey") == orders.agg(F.min("o_orderkey")).first()[0], {"o_totalprice": "N{0.5,}"}
+    noisy = lambda e: GuardedFrame.register(orders, noise).select(x=price.clip(0, 10**6).laplace(e))
+    return {
+        "query_fail": (lambda: days().filter(lit(1) < col("o_orderkey")).group_by("o_orderstatus").agg(s=("max", col("o_orderdate"))), "deny"),
+        "query_ok": (lambda: later().group_by("at").agg(s=("sum", price)), "allow"),
+        "non_single": (lambda: days().filter(col("o_orderdate") < lit("1999-01-01").cast("timestamp")).select("o_orderkey", at=offset_by(col("o_orderdate"), "5s")), "allow"),
+        "expr_in_agg_ok": (lambda: later().group_by("o_orderstatus").agg(s=("max", col("at"))), "allow"),
+        "expr_in_agg_fail": (lambda: later("4s").group_by("at").agg(s=("sum", price)), "deny"),
+        "expr_within_agg_ok": (lambda: days().group_by("o_orderstatus").agg(s=("max", offset_by(col("o_orderdate"), "5s"))), "allow"),
+        "union_ok": (lambda: later().union(later()), "allow"), "union_fail": (lambda: days().union(days()), "deny"),
+        "join_fail": (lambda: days().select("o_orderdate", "o_orderkey").join(days().select("o_orderdate", c=col("o_custkey")), ["o_orderdate"]), "deny"),
+        "groupsize_fail": (lambda: sums().group_by("o_orderkey").agg(s=("sum", price)), "deny"),
+        "groupsize_ok": (lambda: sums().group_by("o_orderstatus").agg(s=("sum", price)), "allow"),
+        "wrong_method": (lambda: sums().group_by("o_orderstatus").agg(s=("mean", price)), "deny"),
+        "ternary_fail": (lambda: days().select(x=when(col("o_orderkey") > 0, col("o_orderdate"), lit("2000-01-01").cast("timestamp"))), "deny"),
+        "ternary_ok": (lambda: days().select(x=when(col("o_orderkey") < 0, col("o_orderdate"), lit("2000-01-01").cast("timestamp"))), "allow"),
+        "ternary_one": (lambda: sums().select(x=when(first, price, 0.0)).agg(s=("sum", col("x"))), "deny"),
+        "ternary_two": (lambda: sums().select(x=when(col("o_orderstatus") == "F", price, 0.0)).agg(s=("sum", col("x"))), "allow"),
+        "ternary_beside": (lambda: sums().agg(s=("sum", price - when(first, 0.0, price))), "deny"),
+        "ternary_kept_beside": (lambda: sums().with_columns(x=when(first, 0.0, price)).agg(s=("sum", price - col("x"))), "deny"),
+        "chain_ok": (lambda: sums("T{+:1} => A{max>=5}").group_by("o_orderstatus").agg(m=("max", price + 1)), "allow"),
+        "chain_fail": (lambda: sums("T{+:1} => A{max>=5}").group_by("o_orderkey").agg(m=("max", price + 1)), "deny"),
+        "filter_one": (lambda: sums().agg(s=("sum", price, first)), "deny"),
+        "repeated_one": (lambda: sums().filter(first).with_columns(k=lit(1)).join(GuardedFrame.register(n).with_columns(k=lit(1)), ["k"]).agg(s=("sum", price)), "deny"),
+        "repeated_all": (lambda: sums().with_columns(k=lit(1)).join(GuardedFrame.register(n).with_columns(k=lit(1)), ["k"]).agg(s=("sum", price)), "allow"),
+        "twice_one": (lambda: sums().filter(first).union(sums().filter(first)).agg(s=("sum", price)), "deny"),
+        "other_case": (lambda: GuardedFrame.register(orders, {"o_totalprice": "top"}).with_columns(O_OrderKey=price).select("o_orderkey"), "deny"),
+        "noise_ok": (lambda: noisy(0.5), "allow"), "noise_fail": (lambda: noisy(2.0), "deny"),
+        "noisy_sum": (lambda: GuardedFrame.register(orders, noise).group_by("o_orderstatus").agg(s=("laplace_sum", price.clip(0, 10**6), 0.5)), "allow"),
+        "by_row_fail": (lambda: GuardedFrame.register(orders, ROWS).select("o_totalprice"), "deny"),
+        "by_row_ok": (lambda: GuardedFrame.register(orders, ROWS).filter(col("o_orderstatus") == "P").select("o_totalprice"), "allow"),
+    }
+
+
+#: (policies of orders, SQL over orders and nation, verdict); %d is the least o_orderkey.
+SQL_CASES: dict[str, tuple[dict, str, str]] = {
+    "sql_fail": (DAYS, "SELECT o_orderdate, o_custkey + 1 AS c FROM orders WHERE o_custkey > 1", "deny"),
+    "sql_ok": (DAYS, "SELECT o_orderdate + INTERVAL '5' SECOND AS later, o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '1999-01-02'", "allow"),
+    "outer_column": ({"o_totalprice": "top"}, "SELECT (SELECT o.o_totalprice) AS x FROM orders o", "deny"),
+    "outer_lateral": ({"o_totalprice": "top"}, "SELECT t.x FROM orders o, LATERAL (SELECT o.o_totalprice AS x) t", "deny"),
+    "outer_lateral_union": ({"o_totalprice": "top"}, "SELECT t.x FROM orders o, LATERAL (SELECT o.o_totalprice AS x UNION ALL SELECT o.o_totalprice) t", "deny"),
+    "outer_explode": ({"o_totalprice": "top"}, "SELECT t.x FROM orders o, LATERAL (SELECT explode(array(o.o_totalprice)) AS x) t", "deny"),
+    "outer_in_aggregate": ({"o_totalprice": "A{max>=9}"}, "SELECT max(x) AS m FROM (SELECT (SELECT o.o_totalprice) AS x FROM orders o)", "deny"),
+    "lateral": ({"o_totalprice": "top"}, "SELECT t.p FROM nation n, LATERAL (SELECT o_totalprice AS p FROM orders LIMIT 1) t", "deny"),
+    "lateral_ok": ({"o_totalprice": "top"}, "SELECT t.p FROM nation n, LATERAL (SELECT o_orderkey AS p FROM orders WHERE o_custkey = n.n_nationkey) t", "allow"),
+    "exists_ok": ({"o_totalprice": "top"}, "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = n_nationkey AND o_totalprice > 9)", "allow"),
+    "command": ({"o_totalprice": "top"}, "INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT o_totalprice FROM orders", "deny"),
+    "create_view": ({"o_totalprice": "top"}, "CREATE OR REPLACE TEMP VIEW never_made AS SELECT o_totalprice FROM orders", "deny"),
+    "other_view": ({"o_totalprice": "top"}, "SELECT o_totalprice FROM never_registered", "deny"),
+    "other_database": ({"o_totalprice": "top"}, "SELECT o_totalprice FROM global_temp.orders", "deny"),
+    "agg_filter_one": (SUMS, "SELECT sum(o_totalprice) FILTER (WHERE o_orderkey = %d) AS s FROM orders", "deny"),
+    "agg_filter_two": (SUMS, "SELECT sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS s FROM orders", "allow"),
+    "case_one": (SUMS, "SELECT sum(CASE WHEN o_orderkey = %d THEN o_totalprice END) AS s FROM orders", "deny"),
+    "case_one_below": (SUMS, "SELECT sum(x) AS s FROM (SELECT CASE WHEN o_orderkey = %d THEN o_totalprice ELSE 0 END AS x FROM orders)", "deny"),
+    "case_two": (SUMS, "SELECT sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS s FROM orders", "allow"),
+    "case_difference": (SUMS, "SELECT sum(o_totalprice - CASE WHEN o_orderkey = %d THEN 0 ELSE o_totalprice END) AS s FROM orders", "deny"),
+    "joined_one": (SUMS, "SELECT sum(o_totalprice) AS s FROM orders, nation WHERE o_orderkey = %d", "deny"),
+    "joined_all": (SUMS, "SELECT n_name, sum(o_totalprice) AS s FROM orders, nation GROUP BY n_name", "allow"),
+    "joined_by_key": (SUMS, "SELECT sum(o_totalprice) AS s FROM orders JOIN nation ON o_orderkey = n_nationkey", "allow"),
+    "padded_one": (SUMS, "SELECT sum(o_totalprice) AS s FROM nation LEFT JOIN orders ON o_orderkey = %d AND n_nationkey = 1", "deny"),
+    "twice_one_sql": (SUMS, "SELECT sum(p) AS s FROM (SELECT o_totalprice AS p FROM orders WHERE o_orderkey = %d UNION ALL SELECT o_totalprice FROM orders WHERE o_orderkey = %d)", "deny"),
+    "distinct_one": (SUMS, "SELECT sum(p) AS s FROM (SELECT DISTINCT o_totalprice AS p, n_name FROM orders, nation WHERE o_orderkey = %d)", "deny"),
+    "cte_self_join": (SUMS, "WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS g, o_totalprice AS p FROM orders) SELECT x.g, sum(y.p) AS s FROM t x JOIN t y ON x.k = y.k GROUP BY x.g", "allow"),
+    "cte_self_join_one": (SUMS, "WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS g, o_totalprice AS p FROM orders) SELECT x.k, sum(y.p) AS s FROM t x JOIN t y ON x.g = y.g WHERE y.k = %d GROUP BY x.k", "deny"),
+    "correlated_groups": (SUMS, "SELECT n_name, (SELECT sum(o_totalprice) FROM orders WHERE o_custkey % 7 = n_nationkey) AS s FROM nation", "allow"),
+    "correlated_ones": (SUMS, "SELECT n_name, (SELECT sum(o_totalprice) FROM orders WHERE o_orderkey = n_nationkey) AS s FROM nation", "deny"),
+    "having_one": (SUMS, "SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING sum(o_totalprice) > 100", "deny"),
+    "rollup_ok": (SUMS, "SELECT o_orderstatus, sum(o_totalprice) AS s FROM orders GROUP BY ROLLUP (o_orderstatus)", "allow"),
+    "rollup_one": (SUMS, "SELECT o_orderkey, sum(o_totalprice) AS s FROM orders GROUP BY ROLLUP (o_orderkey)", "deny"),
+    "window_ok": (SUMS, "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus) AS s FROM orders", "allow"),
+    "window_first": (SUMS, "SELECT o_orderkey, sum(o_totalprice) OVER (ORDER BY o_orderkey) AS s FROM orders", "deny"),
+    "window_rank_fail": ({"o_totalprice": "top"}, "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) AS r FROM orders", "deny"),
+    "window_order": ({"o_totalprice": "top"}, "SELECT o_orderkey, count(*) OVER (ORDER BY o_totalprice) AS r FROM orders", "deny"),
+    "by_row_all": (ROWS, "SELECT o_totalprice FROM orders", "deny"),
+    "by_row_clean": (ROWS, "SELECT o_totalprice FROM orders WHERE o_orderstatus = 'P'", "allow"),
+    "by_row_sum": (ROWS, "SELECT o_orderpriority, sum(o_totalprice) AS s FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderpriority", "allow"),
+    "by_row_top": (ROWS, "SELECT o_orderpriority, sum(o_totalprice) AS s FROM orders GROUP BY o_orderpriority", "deny"),
+    "by_row_padded": (ROWS, "SELECT n_name, o_totalprice FROM nation LEFT JOIN orders ON o_orderkey = n_nationkey AND o_orderstatus = 'P'", "allow"),
+    "nary_ok": ({"o_orderpriority": "T{substring:1:1}"}, "SELECT substring(o_orderpriority, 1, 1) AS p FROM orders", "allow"),
+    "nary_more": ({"o_orderpriority": "T{substring:1:1}"}, "SELECT substring(o_orderpriority, 1, 2) AS p FROM orders", "deny"),
+    "quantile_ok": ({"o_totalprice": "A{quantile>=3}"}, "SELECT percentile(o_totalprice, 0.5) AS m FROM orders", "allow"),
+}
 
-    def sql(text: str, **tables: tuple[DataFrame, str]) -> GuardedFrame:
+
+def cases(spark: SparkSession, sf_dir: str) -> dict[str, tuple[Callable[[], GuardedFrame], str]]:
+    """The acceptance cases, over orders and nation: what makes a frame, and the verdict on it."""
+    orders, nation = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation")
+    orders.createOrReplaceTempView("never_registered")
+    orders.createOrReplaceGlobalTempView("orders")
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+
+    def sql(policies: dict, text: str) -> GuardedFrame:
         ctx = PolicyContext(spark)
-        for name, (df, p) in tables.items():
-            ctx.register(name, df, {"a": p})
-        return ctx.sql(text)
+        ctx.register("orders", orders, policies, keys=[["o_orderkey"]])
+        ctx.register("nation", nation, keys=[["n_nationkey"]])
+        return ctx.sql(text.replace("%d", str(first)))
 
-    p1 = lambda: ints("df1", "T{dt.offset_by:5s}")
-    ok = lambda s="5s": dates().select("b", a=offset_by(col("a"), s))
-    return {
-        "query_fail": lambda: p1().filter(lit(1) < col("a")).group_by("b").agg(s=("sum", col("a"))),
-        "query_ok": lambda: dates().filter(lit(1) < col("b")).select("b", a=offset_by(col("a"), "5s")).group_by("a").agg(s=("sum", col("b"))),
-        "non_single": lambda: dates().filter(col("a") < lit("2021-01-04").cast("timestamp")).filter(col("a") < lit("2021-01-05").cast("timestamp")).select("b", a=offset_by(col("a"), "5s")),
-        "expr_in_agg_ok": lambda: ok().group_by("a").agg(s=("sum", col("b"))),
-        "expr_in_agg_fail_1": lambda: ok("4s").group_by("a").agg(s=("sum", col("b"))),
-        "expr_in_agg_fail_2": lambda: p1().group_by("b").agg(s=("sum", col("a"))),
-        "expr_within_agg_ok": lambda: dates().group_by("b").agg(s=("max", offset_by(col("a"), "5s"))),
-        "union_ok": lambda: ok().union(ok()),
-        "union_fail": lambda: dates().union(dates()),
-        "join_fail": lambda: dates().join(dates().select("a", c=col("b")), ["a"]),
-        "groupsize_fail": lambda: ints("df1", "A{sum>=2}").group_by("b").agg(s=("sum", col("a"))),
-        "self_join": lambda: ints("df3", "A{sum>=2}").join(ints("df3", "A{sum>=2}").group_by("b").agg(a=("sum", col("a"))).select("a"), ["a"]),
-        "groupsize_ok": lambda: ints("df3", "A{sum>=2}").group_by("b").agg(s=("sum", col("a"))),
-        "wrong_method": lambda: ints("df3", "A{sum>=2}").group_by("b").agg(s=("mean", col("a"))),
-        "select_fail": lambda: p1().filter(lit(1) < col("a")).select("a", b1=col("b") + 1),
-        "ternary_fail": lambda: p1().select(x=when(col("b") > 1, col("a"), 0)),
-        "chain_ok": lambda: ints("df3", "T{+:1} => A{max>=5}").group_by("b").agg(m=("max", col("a") + 1)),
-        "sql_fail": lambda: sql("SELECT a, b + 1 AS c FROM d WHERE b > 1", d=(two, "T{dt.offset_by:5s}")),
-        "sql_ok": lambda: sql("SELECT a + INTERVAL '5' SECOND AS later, b FROM d WHERE a > TIMESTAMP '2021-01-02'", d=(two, "T{dt.offset_by:5s}")),
-        "lateral": lambda: sql("SELECT t.a FROM (SELECT 1 AS z) x, LATERAL (SELECT a FROM i) t", i=(df1, "top")),
-        "lateral_ok": lambda: sql("SELECT t.b FROM (SELECT 1 AS z) x, LATERAL (SELECT b FROM i) t", i=(df1, "top")),
-        "command": lambda: sql("INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING parquet SELECT a FROM i", i=(df1, "top")),
-        "create_view": lambda: sql("CREATE OR REPLACE TEMP VIEW never_made AS SELECT a FROM i", i=(df1, "top")),
-        "agg_filter_one": lambda: sql("SELECT sum(a) FILTER (WHERE b = 1) AS s FROM i", i=(df1, "A{sum>=2}")),
-        "agg_filter_two": lambda: sql("SELECT sum(a) FILTER (WHERE b = 5) AS s FROM i", i=(df1, "A{sum>=2}")),
-        "case_one": lambda: sql("SELECT sum(CASE WHEN b = 1 THEN a END) AS s FROM i", i=(df1, "A{sum>=2}")),
-        "case_two": lambda: sql("SELECT sum(CASE WHEN b > 4 THEN a ELSE 0 END) AS s FROM i", i=(df1, "A{sum>=2}")),
-        "case_beside": lambda: sql("SELECT sum(a + CASE WHEN b = 1 THEN a ELSE 0 END) AS s FROM i", i=(df1, "A{sum>=2}")),
-        "raw_path": lambda: sql(f"SELECT n_name FROM parquet.`{sf_dir}/nation.parquet`"),
-        "other_view": lambda: sql("SELECT a FROM never_registered", i=(df1, "top")),
-        "quantile_ok": lambda: sql("SELECT percentile(a, 0.5) AS m FROM i", i=(df1, "A{quantile>=3}")),
-        "ternary_ok": lambda: p1().select(x=when(col("b") > 9, col("a"), 0)),
-        "ternary_one": lambda: ints("df1", "A{sum>=2}").select(x=when(col("b") == 1, col("a"), 0)).agg(s=("sum", col("x"))),
-        "noise_ok": lambda: ints("df1", "N{0.5,}").select(x=col("a").clip(0, 5).laplace(0.5)),
-        "noise_fail": lambda: ints("df1", "N{0.5,}").select(x=col("a").clip(0, 5).laplace(2.0)),
-        "filter_one": lambda: ints("df1", "A{sum>=2}").agg(s=("sum", col("a"), col("b") == 1)),
-        "chain_fail": lambda: ints("df1", "T{+:1} => A{max>=5}").group_by("b").agg(m=("max", col("a") + 1)),
-    }
+    made = {k: (lambda p=p, text=text: sql(p, text), verdict) for k, (p, text, verdict) in SQL_CASES.items()}
+    return dsl_cases(orders, nation) | made
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,15 +421,29 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         except PolicyViolation:
             return "deny"
 
-    return spark.createDataFrame([(k, of(f)) for k, f in cases(spark, sf_dir).items()], "name string, verdict string")
+    return spark.createDataFrame([(k, of(f)) for k, (f, _) in cases(spark, sf_dir).items()], "name string, verdict string")
 
 
-EXPECTED = {k: "allow" for k in "query_ok non_single expr_in_agg_ok expr_within_agg_ok union_ok groupsize_ok chain_ok sql_ok lateral_ok agg_filter_two case_two quantile_ok ternary_ok noise_ok".split()} | {k: "deny" for k in "query_fail expr_in_agg_fail_1 expr_in_agg_fail_2 union_fail join_fail groupsize_fail wrong_method select_fail ternary_fail chain_fail self_join sql_fail lateral command create_view agg_filter_one case_one case_beside raw_path other_view ternary_one noise_fail filter_one".split()}
+EXPECTED = {k: v for k, (_, _, v) in SQL_CASES.items()} | {
+    "query_fail": "deny", "query_ok": "allow", "non_single": "allow", "expr_in_agg_ok": "allow", "expr_in_agg_fail": "deny", "expr_within_agg_ok": "allow", "union_ok": "allow", "union_fail": "deny", "join_fail": "deny",
+    "groupsize_fail": "deny", "groupsize_ok": "allow", "wrong_method": "deny", "ternary_fail": "deny", "ternary_ok": "allow", "ternary_one": "deny", "ternary_two": "allow", "ternary_beside": "deny", "ternary_kept_beside": "deny",
+    "chain_ok": "allow", "chain_fail": "deny", "filter_one": "deny", "repeated_one": "deny", "repeated_all": "allow", "twice_one": "deny", "other_case": "deny", "noise_ok": "allow", "noise_fail": "deny", "noisy_sum": "allow",
+    "by_row_fail": "deny", "by_row_ok": "allow",
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run_sql(v) for k, v in SQL.items()} | {
     "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts, "by_row": by_row, "by_row_filter": by_row_filter, "sql_entry": sql_entry, "dsl_aggregates": dsl_aggregates, "dsl_expressions": dsl_expressions,
-} | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"micro_policy_{k}": micro(k) for k in MICRO}
-ORACLES: dict[str, str] = SQL | {
+    "dense_policies": dense_policies, "agg_groups": agg_groups, "one_group": one_group, "nary": nary, "k_anonymity": k_anonymity, "l_diversity": l_diversity, "t_closeness": t_closeness,
+} | {k: by_row_sql(v) for k, v in BY_ROW.items()} | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"micro_policy_{k}": micro(k) for k in MICRO}
+BAND = "SELECT *, CASE WHEN c_acctbal < 0 THEN 'owes' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band FROM customer"
+ORACLES: dict[str, str] = SQL | BY_ROW | {
+    "dense_policies": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m FROM customer GROUP BY 1",
+    "agg_groups": "SELECT o_orderpriority, count(*) AS n, min(r) AS lo, max(r) AS hi, CAST(sum(r * (r % 97)) AS BIGINT) AS mixed FROM (SELECT *, row_number() OVER () - 1 AS r FROM orders) GROUP BY 1",
+    "one_group": "SELECT r AS row, o_orderkey FROM (SELECT *, row_number() OVER () - 1 AS r FROM orders) WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
+    "nary": "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '#', 'g') AS name, substring(c_mktsegment, 1, 3) AS seg FROM customer",
+    "k_anonymity": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) >= 15",
+    "l_diversity": f"WITH p AS ({BAND}), ok AS (SELECT c_nationkey, c_mktsegment FROM p GROUP BY 1, 2 HAVING count(DISTINCT band) >= 3) SELECT c_custkey, band FROM p JOIN ok USING (c_nationkey, c_mktsegment)",
+    "t_closeness": f"WITH p AS ({BAND}), v AS (SELECT band, count(*) * 1.0 / (SELECT count(*) FROM p) AS whole FROM p GROUP BY 1), c AS (SELECT c_nationkey, count(*) AS size FROM p GROUP BY 1), cv AS (SELECT c_nationkey, v.band, whole, (SELECT count(*) FROM p WHERE p.c_nationkey = c.c_nationkey AND p.band = v.band) * 1.0 / size AS own FROM c CROSS JOIN v) SELECT c_custkey, c_nationkey FROM p WHERE c_nationkey IN (SELECT c_nationkey FROM cv GROUP BY 1 HAVING sum(abs(own - whole)) / 2 <= 0.08)",
     "guarded_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY 1, 2",
     "groupsize_ok": "SELECT o_orderstatus, max(o_totalprice) AS m FROM orders GROUP BY 1",
     "groupsize_suppress": "SELECT c_nationkey, max(c_acctbal) AS m FROM customer GROUP BY 1 HAVING count(*) >= 60",

@@ -3,7 +3,6 @@ ids by row with a table of policies beside it."""
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import uuid
@@ -15,9 +14,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import GuardedFrame, row_id
+from ..frame import GuardedFrame
 from ..policy import BOT, CLEAN, TOP, Label, Policy, from_json, norm, parse, to_json, value
 from ..varied import Varied
+from .rows import positions, row_id
 
 # Names of labels, operations and methods in the JSON shapes.
 PLAIN = {"PolicyBot": BOT, "PolicyTop": TOP}
@@ -138,15 +138,6 @@ def _attached(df: DataFrame, both: DataFrame, tables: dict[str, dict[int, Policy
     return f.select(*(c for c in df.columns if c != "_rid"))
 
 
-def positions(df: DataFrame) -> DataFrame:
-    """A scan of Parquet files with `_position`, the place of each row over all files in order of their paths."""
-    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    sizes = sorted(map(tuple, at.groupBy("_file").count().collect()))  # a row for each file
-    starts = [(f, n) for (f, _), n in zip(sizes, itertools.accumulate((n for _, n in sizes), initial=0))]
-    files = df.sparkSession.createDataFrame(starts, "_file string, _start long")
-    return at.join(F.broadcast(files), "_file").withColumn("_position", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
-
-
 def write_dense(ids: DataFrame, tables: dict[str, list[Policy]], path: str) -> None:
     """`ids`: `position`, counted from 0 as the table's rows stand in its files, and for each guarded column c the integer column c."""
     write_parquet(ids, tables, path)

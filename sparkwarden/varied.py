@@ -55,16 +55,16 @@ class Varied:
 
 @dataclass(frozen=True)
 class ByRow:
-    """The first rule that holds for a row gives its policy: ((condition over the row's columns, policy), ...)."""
+    """The first rule that holds for a row gives its policy: ((condition over the row's columns, as a Column or SQL, policy), ...)."""
 
-    rules: tuple[tuple[Column, str | Policy], ...]
+    rules: tuple[tuple[Column | str, str | Policy], ...]
     otherwise: str | Policy = CLEAN
 
     def varied(self) -> Varied:
         table = [parse(p) if isinstance(p, str) else p for p in (*(p for _, p in self.rules), self.otherwise)]
         pid = F.lit(len(self.rules))
         for i, (condition, _) in reversed(list(enumerate(self.rules))):
-            pid = F.when(condition, F.lit(i)).otherwise(pid)
+            pid = F.when(F.expr(condition) if isinstance(condition, str) else condition, F.lit(i)).otherwise(pid)
         return Varied(pid, tuple(table))
 
 

@@ -6,6 +6,7 @@ from sparkwarden import queries
 from sparkwarden.plans.context import PolicyContext
 from sparkwarden.policy import PolicyViolation
 
+SMALL = [(2, 5), (3, 5), (3, 4), (1, 4), (5, 1)]
 OFF, SUM2 = {"a": "T{dt.offset_by:5s}"}, {"a": "A{sum>=2}"}
 CASES = [
     (OFF, "SELECT a, b + 1 AS b1 FROM d WHERE b > 1", "deny"),
@@ -37,7 +38,7 @@ CASES = [
 def test_verdict(spark, policies, text, want):
     ctx = PolicyContext(spark)
     ctx.register("d", spark.sql("SELECT timestamp(concat('2021-01-0', id)) AS a, CAST(id AS INT) AS b FROM range(1, 6)"), policies if policies is OFF else {})
-    ctx.register("i", spark.createDataFrame(queries.SMALL["df1"], "a int, b int"), policies if policies is not OFF else {})
+    ctx.register("i", spark.createDataFrame(SMALL, "a int, b int"), policies if policies is not OFF else {})
     try:
         found = ctx.sql(text).verdict()
     except PolicyViolation:

@@ -14,12 +14,13 @@ from sparkwarden.sources import generate
 from sparkwarden.varied import ByRow
 
 NAN = float("nan")
+SMALL = [(2, 5), (3, 5), (3, 4), (1, 4), (5, 1)]
 
 
 @pytest.fixture
 def ctx(spark):
     c = PolicyContext(spark)
-    c.register("i", spark.createDataFrame(queries.SMALL["df1"], "a int, b int"), {"a": "top"})
+    c.register("i", spark.createDataFrame(SMALL, "a int, b int"), {"a": "top"})
     return c
 
 
@@ -71,7 +72,7 @@ def test_column_replaced_behind_the_context(spark, ctx):
 def test_user_functions_by_name(spark):
     spark.udf.register("mask_it", lambda x: 0, "int")
     c = PolicyContext(spark)
-    c.register("i", spark.createDataFrame(queries.SMALL["df1"], "a int, b int"), {"a": "T{mask_it}"})
+    c.register("i", spark.createDataFrame(SMALL, "a int, b int"), {"a": "T{mask_it}"})
     assert c.sql("SELECT mask_it(a) AS x FROM i").verdict() == "allow"
     with pytest.raises(PolicyViolation):
         c.sql("SELECT abs(a) AS x FROM i")
@@ -117,7 +118,7 @@ def test_more_policies_than_are_laid_out(spark):
 
 
 def test_rows_of_a_protected_arm_count(spark):
-    df = spark.createDataFrame(queries.SMALL["df1"], "a int, b int")
+    df = spark.createDataFrame(SMALL, "a int, b int")
     g = GuardedFrame.register(df, {"a": "A{sum>=2}"}).select("b", x=when(col("b") >= 4, col("a"), 0))
     assert g.agg(s=("sum", col("x"))).release().first()[0] == 9
     assert g.filter(col("b") == 1).agg(s=("sum", col("x"))).release().first()[0] == 0
