@@ -38,7 +38,7 @@ def test_every_case_is_expected(cases):
 
 
 @pytest.mark.parametrize("make", [lit, as_expr, lambda c: col("k").is_in(1, c), lambda c: col("k").between(0, c), lambda c: function("abs", c), lambda c: col("k") + c, lambda c: col("k").substring(1, c), lambda c: when(col("k") > 1, c, 0), lambda c: col("k").like(c)])
-def test_columns_are_no_values(make):
+def test_columns_are_no_values(spark, make):
     with pytest.raises(TypeError):
         make(F.col("secret"))
 
