@@ -72,13 +72,16 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-#: Rows of ids that may be broadcast; beyond that the join is a sort-merge join.
-BROADCAST_ROWS = 2_000_000
+#: Rows of ids that may be broadcast, and their bytes; beyond that the join is a sort-merge join.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marks a staged table of ids for broadcasting if it has been counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marks a staged table of ids for broadcasting if its rows and bytes have been counted to be few."""
+    varying = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum(varying, F.lit(16 + 8 * len(df.columns)))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 _kept: dict[tuple, object] = {}

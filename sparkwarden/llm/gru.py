@@ -16,7 +16,8 @@ Counts of the LOOKUP most frequent words are broadcast, a fixed bound; the count
 that use them in a shuffle join, so vocabularies of any size give whole results.
 
 Null texts are empty: the end alone. With no training text every count is 0 and the model is untrained. Repeated rows and
-ids are scored each for itself; an empty table gives no rows.
+ids are scored each for itself; a null id counts as the empty text where rows are dealt out. A text of any length is scored whole, its state carried
+from window to window. Extra columns of any name are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -193,25 +193,28 @@ def is_letter() -> np.ndarray:
 
 
 def fit(docs: DataFrame, held_out: int = 2, of: int = 4, sample_chars: int = SAMPLE_CHARS, span: int = SPAN) -> Model:
-    """Learns from labelled texts outside the held-out part. Two scans: characters by language, then the few rows whose
-    hash is low enough for the sample."""
+    """Learns from labelled texts outside the held-out part. Two scans: characters of different rows by language, then the few rows whose
+    hash is low enough for the sample; the lowest of a language always is."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = plain(docs, doc_id=kind, text="string", lang="string").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket(of) != held_out))
     size = F.least(F.length("text"), F.lit(span))
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(size).alias("n")).collect()}
-    if not any(have.values()):
-        return Model({})
     h = F.xxhash64("doc_id", "text", F.lit(SEED))
+    every = rows.select("lang", h.alias("h"), size.alias("size")).where("size > 0").distinct()  # equal rows count once
+    found = every.groupBy("lang").agg(F.sum("size").alias("n"), F.min_by("h", F.shiftrightunsigned("h", 11)).alias("first")).collect()
+    have, first = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["first"] for r in found}
+    if not have:
+        return Model({})
     u = F.shiftrightunsigned(h, 11) / float(1 << 53)
     share = F.create_map(*(F.lit(x) for k, n in sorted(have.items()) for x in (k, min(1.0, 4 * (sample_chars + span) / max(n, 1)))))
     begin = F.pmod(h, F.length("text") - size + 1).cast("int") + 1
-    few = rows.where(u < F.element_at(share, F.col("lang"))).select("lang", h.alias("h"), F.substring("text", begin, F.lit(span)).alias("text")).distinct()
+    lowest = h == F.element_at(F.create_map(*(F.lit(x) for k in sorted(first) for x in (k, first[k]))), F.col("lang"))
+    few = rows.where((u < F.element_at(share, F.col("lang"))) | lowest).select("lang", h.alias("h"), F.substring("text", begin, F.lit(span)).alias("text")).distinct()
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h", "text").rowsBetween(Window.unboundedPreceding, -1))
     few = few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * sample_chars)
-    found: dict[str, list[tuple[int, str]]] = {}
+    taken: dict[str, list[tuple[int, str]]] = {}
     for r in few.collect():  # 2 * sample_chars + span characters a language at most: blanks and signs go in clean()
-        found.setdefault(r["lang"], []).append((r["before"], r["text"]))
-    texts = {k: re.sub(" +", " ", " ".join(clean(t) for _, t in sorted(v)))[:sample_chars].strip() for k, v in found.items()}
+        taken.setdefault(r["lang"], []).append((r["before"], r["text"]))
+    texts = {k: re.sub(" +", " ", " ".join(clean(t) for _, t in sorted(v)))[:sample_chars].strip() for k, v in taken.items()}
     return Model({k: v for k, v in texts.items() if v})
 
 

@@ -3,7 +3,9 @@
 Lines of a file, its paragraphs (lines up to one without words, comment signs aside) and the file as a whole are sparse TF-IDF
 vectors; idf comes from the templates, and words that no template has weigh most. A line or paragraph of which the whole, or a
 run of known words, has a cosine to a template of `least` or more is a header of that licence. A file is a licence
-file of its directory if its name says so (LICENSE, COPYING, ...) and it has a header, or if the whole text reaches `whole`.
+file of its directory if its name says so (LICENSE, COPYING, ...) and it has a header, or if the whole text reaches `whole`. The long
+licences (texts/*.txt, with and without what follows their terms) are templates for whole texts only, by themselves: a text that reaches LONG is that
+licence, whatever others it mentions, and a licence file.
 Files without a licence of their own take that of the nearest directory above them that has a licence file.
 
 Inheritance is settled for directories, not files: each directory looks its ancestors up in the table of licence files by a
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_slices
-from .templates import TEMPLATES
+from .templates import TEMPLATES, long_texts
 
 STOP = frozenset(b"the of is this to a an and or in with by are be any you may not that for on at as it".split())
 #: Punctuation to blanks, but for dots and signs inside names, and A-Z to a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c in b"\n.-+" or c >= 128 else 32 for c in range(256))
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
-LEAST, WHOLE = 0.72, 0.6
+LEAST, WHOLE, LONG = 0.72, 0.6, 0.9
+#: Words that a text needs to be held against the long licences.
+LONG_WORDS = 300
 
 
 def words(line: bytes) -> list[bytes]:
@@ -46,10 +50,12 @@ def bag(text: str) -> list[bytes]:
     return words(text.encode("utf-8", "surrogatepass").translate(TABLE).replace(b"\n", b" "))
 
 
-@functools.cache
-def model() -> tuple[dict[bytes, int], np.ndarray, float, np.ndarray]:
+Model = tuple[dict[bytes, int], np.ndarray, float, np.ndarray]
+
+
+def weighed(templates: list[tuple[str, str]]) -> Model:
     """The templates' words, their idf, that of other words, and the unit vectors [word, template]."""
-    docs = [Counter(bag(t)) for _, t in TEMPLATES]
+    docs = [Counter(bag(t)) for _, t in templates]
     df = Counter(w for d in docs for w in d)
     place = {w: k for k, w in enumerate(df)}
     idf = np.array([1 + math.log((1 + len(docs)) / (1 + n)) for n in df.values()])
@@ -60,9 +66,20 @@ def model() -> tuple[dict[bytes, int], np.ndarray, float, np.ndarray]:
     return place, idf, 1 + math.log(1 + len(docs)), rows / np.sqrt((rows**2).sum(0))
 
 
-def cosine(counts: Counter[bytes]) -> tuple[float, int]:
+@functools.cache
+def model() -> Model:
+    return weighed(TEMPLATES)
+
+
+@functools.cache
+def long_model() -> tuple[list[str], Model]:
+    texts = long_texts()
+    return [name for name, _ in texts], weighed(texts)
+
+
+def cosine(counts: Counter[bytes], to: Model | None = None) -> tuple[float, int]:
     """The best cosine of a bag of words to a template, and the template."""
-    place, idf, other, rows = model()
+    place, idf, other, rows = to or model()
     at = [place[w] for w in counts if w in place]
     if not at:
         return 0.0, 0
@@ -102,7 +119,13 @@ def scan(text: str | None) -> tuple[str | None, float, float]:
             paragraph = []
     if not near:
         return None, 0.0, 0.0
-    whole, k = cosine(Counter(words(raw.replace(b"\n", b" "))))
+    counts = Counter(words(raw.replace(b"\n", b" ")))
+    if counts.total() >= LONG_WORDS:
+        long_names, long = long_model()
+        score, k = cosine(counts, long)
+        if score >= LONG:
+            return long_names[k], round(score, 12), round(score, 12)
+    whole, k = cosine(counts)
     if whole >= WHOLE and whole > best:
         best, at = whole, k
     return TEMPLATES[at][0], round(best, 12), round(whole, 12)  # so that equal wordings tie

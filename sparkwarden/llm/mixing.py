@@ -7,7 +7,8 @@ quota q every block is taken q // n times, and q % n of them, picked by a seeded
 A document takes the words it has in those blocks.
 
 Rows with null source form a source of their own; texts without words take nothing; equal ids and
-repeated rows are ordered by their text's hash. An empty table gives no rows.
+repeated rows are ordered by their text's hash; rows of a null id by the text's hash alone. A text of any length is one run of the line, of which only
+the number of words is kept. Extra columns of any name are left out, and stay where rows are picked. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ kind, and the very last one becomes windows of powers of two, which need no padd
 
 Each task packs what it reads, in parts of BUFFER ids: no shuffle, and memory doesn't follow the input. A text is
 in one task. Null texts are empty: they hold the end id only. Repeated rows are packed each for itself;
-an empty table gives no rows.
+a null id is one like others; a text of any length is encoded whole, by one task, and cut into windows. Extra columns of any name are left
+out; an empty table gives no rows.
 """
 
 from __future__ import annotations

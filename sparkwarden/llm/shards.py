@@ -8,7 +8,8 @@ Slots count the rows of a shard from 0 without gaps. They come from counts of sm
 hash of the row), so no task ever holds a whole shard.
 
 A null key counts as one key of its own; equal ids share a shard; ties of the order are split by
-the text's checksum. Empty tables give no rows.
+the text's checksum. Null texts are empty; texts of any length are whole, of which size and checksum are all that is kept. Extra columns of any
+name are left out. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ BUCKETS = 64
 
 
 def draw(key: Column, shard: int, weight: float) -> Column:
-    """-weight / ln(u) with u in (0, 1) from the key and the shard."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(SEED + shard)), 11).cast("double") + 0.5) / float(1 << 53)
+    """-weight / ln(u) with u in (0, 1) from the key and the shard: 52 bits and a half, which a double holds without rounding up to 1."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(SEED + shard)), 12).cast("double") + 0.5) / float(1 << 52)
     return F.lit(-float(weight)) / F.log(u)
 
 

@@ -12,8 +12,8 @@ A leaf is the BLAKE2b of a recipe's digests, so the root vouches for every id of
 ids anew, rebuilds the leaves and compares: `verified` is false where anything differs. A text's crc32 is combined from
 its chunks' crc32s, so reading back shuffles no ids.
 
-Null texts are empty: the end id only. Null doc_ids come first, equal ids in the order of their recipes. An empty
-table gives an empty store.
+Null texts are empty: the end id only. Null doc_ids come first, equal ids in the order of their recipes. A
+text of any length is one task's, chunk by chunk. Extra columns of any name are left out. An empty table gives an empty store.
 """
 
 from __future__ import annotations

@@ -1,10 +1,13 @@
 """Wordings of common licences: whole texts of the short ones, notices and openings of the long ones, and sentences by which files declare them.
+The whole texts of the long ones are in texts/.
 
 Fixed values: the licences' own words and the SPDX identifiers.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -54,3 +57,20 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 SPDX = "MIT ISC Apache-2.0 GPL-3.0 GPL-2.0 LGPL-3.0 LGPL-2.1 AGPL-3.0 BSD-2-Clause BSD-3-Clause MPL-2.0 Zlib Unlicense EPL-2.0 BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0".split()
 TEMPLATES += [(k, f"SPDX-License-Identifier: {k}{end}") for k in SPDX for end in (("", "-only", "-or-later") if "GPL" in k else ("",))]
+
+
+#: The long licences, and where what follows their terms begins.
+LONG = {
+    "Apache-2.0": "APPENDIX: How to apply", "MPL-2.0": "Exhibit A - Source Code Form", "GPL-2.0": "END OF TERMS AND CONDITIONS", "GPL-3.0": "END OF TERMS AND CONDITIONS",
+    "LGPL-2.1": "END OF TERMS AND CONDITIONS", "LGPL-3.0": "", "CC0-1.0": "",
+}
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """Each long licence whole, and without what follows its terms. The Affero licence is that of version 3 of its family under its own name."""
+    out = []
+    for name, end in LONG.items():
+        text = pkgutil.get_data(__package__, f"texts/{name}.txt").decode()
+        out += [(name, text)] + ([(name, text.split(end)[0])] if end else [])
+    affero = [("AGPL-3.0", t.replace("General Public License", "Affero General Public License").replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC")) for n, t in out if n == "GPL-3.0"]
+    return out + affero

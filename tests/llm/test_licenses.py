@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+
 from sparkwarden.llm import licenses, templates
 from sparkwarden.llm.templates import MIT, TEMPLATES
 
@@ -87,3 +89,24 @@ def test_ties(spark):
 def test_string_ids(spark):
     df = spark.createDataFrame([("x1", "s", "words"), (None, None, None)], "doc_id string, source string, text string")
     assert {r["doc_id"]: r["license"] for r in licenses.inherit(licenses.document_paths(df)).collect()} == {"x1": None, None: None}
+
+
+@pytest.mark.parametrize("name", list(templates.LONG) + ["AGPL-3.0"])
+def test_long_licences(spark, name):
+    """Whole texts, with and without what follows their terms, laid out anew, with a copyright line before, under any name."""
+    for found, text in templates.long_texts():
+        if found != name:
+            continue
+        for t in (text, f"Copyright 2024 Somebody\n\n{text}", " ".join(text.split()), text.replace("\n", "\r\n")):
+            own, score, whole = licenses.scan(t)
+            assert own == name and score == whole >= licenses.LONG
+    texts = dict(templates.long_texts())
+    df = spark.createDataFrame([(1, "a/whatever.txt", texts[name]), (2, "a/b/code.py", "x = 1"), (3, "c/code.py", "x = 1")], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.kind) for r in licenses.inherit(df).collect()}
+    assert got == {1: (name, "file"), 2: (name, "inherited"), 3: (None, None)}
+
+
+def test_long_prose_is_no_licence():
+    texts = [r for _, r in templates.long_texts()]
+    words = [w for t in texts for w in t.split()]
+    assert licenses.scan(" ".join(words[i] for i in range(0, len(words), 37)))[2] < licenses.LONG

@@ -228,3 +228,43 @@ def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     both = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in both) > 0.95 * len(both)
+
+
+def test_rendezvous_by_hand(spark):
+    """Each shard's draw in Python: the same shards, with weights and with one more."""
+    import math
+
+    import xxhash
+
+    def draw(key, shard, weight):
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        h = xxhash.xxh64_intdigest((shards.SEED + shard).to_bytes(4, "little"), h)
+        return -weight / math.log(((h >> 12) + 0.5) / 2**52)
+
+    weights = [1.0, 2.5, 0.0, 1.0, 0.5]
+    for r in shards.assign(odd(spark), weights, 2.0).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        best = lambda ws: max((k for k, w in enumerate(ws) if w), key=lambda k: (draw(key, k, ws[k]), k))  # noqa: B023, E731
+        assert (r.shard, r.grown_shard) == (best(weights), best([*weights, 2.0]))
+    assert ((2**52 - 1) + 0.5) / 2**52 < 1  # the largest draw stays below 1
+
+
+def test_language_of_copies(spark):
+    """A language of which all rows are copies is learnt, whatever their hash; and so is one beside many others."""
+    rng = np.random.default_rng(1)
+    en = [" ".join(rng.choice("the and of thing onth erea tion ing thha".split(), 300)) for _ in range(30)]
+    rows = [(4, "zażółć gęślą jaźń " * 170, "pl")] * 400 + [(i, t, "en") for i, t in enumerate(en)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (langid.SAMPLE_CHARS, 3000):
+        model = langid.fit(df, sample_chars=sample)
+        assert set(model.langs) == {"en", "pl"} and model.predict(["gęślą jaźń zażółć", "the thing and"])[0] == ["pl", "en"]
+
+
+def test_small_counts_bytes(spark, monkeypatch):
+    from sparkwarden.llm import common
+
+    df = spark.createDataFrame([("x" * 1000,)] * 50, "id string")
+    assert "broadcast" in common.small(df)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 40_000)
+    assert "broadcast" not in common.small(df)._jdf.queryExecution().analyzed().toString()
+    assert common.small(df.limit(0)).count() == 0
