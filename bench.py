@@ -12,8 +12,9 @@ from pyspark.sql import SparkSession
 from sparkwarden import queries as base
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-PAIRS = {k: f"guarded_sql_{k}" for k in base.SQL if k.startswith("tpch")}
-ALONE = [k for k in base.QUERIES if k.startswith("micro") or k in ("guarded_q1", "groupsize_ok", "by_row", "dsl_aggregates")]
+MORE = ("rollup", "cube", "window_mean", "window_frame", "joined_sum")
+PAIRS = {k: f"guarded_sql_{k}" for k in base.SQL if k.startswith("tpch") or k in MORE}
+ALONE = [k for k in base.QUERIES if k.startswith("micro") or k.startswith("guarded_by_ids") or k in ("guarded_q1", "groupsize_ok", "by_row", "by_row_sql", "by_row_sql_join", "dsl_aggregates")]
 TURNS = 2
 
 spark = (

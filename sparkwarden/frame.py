@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .noise import Budget, laplace_of
-from .policy import A, CLEAN, N, Policy, PolicyViolation, T, norm, parse
+from .policy import A, CLEAN, Duplicate, N, NotFound, Policy, PolicyViolation, T, norm, parse
 from .sources.rows import positions, row_id
 from .varied import ByRow, Varied, any_of, chosen, lift, merged, shadow, worst
 
@@ -307,7 +307,7 @@ class GuardedFrame:
         if unknown := (given.keys() | (budgets or {}).keys() | {c for k in keys for c in k}) - set(df.columns):
             raise ValueError(f"no such columns: {sorted(unknown)}")
         if len({c.lower() for c in df.columns}) < len(df.columns):
-            raise ValueError("columns need names that differ in more than case")
+            raise Duplicate("columns need names that differ in more than case")
         f = GuardedFrame(df, {c: CLEAN for c in df.columns if c != rid}, _unique=frozenset(map(frozenset, keys)))
         f = replace(f, _budgets={c: frozenset([b]) for c, b in (budgets or {}).items()})
         known = {c: p.varied() if isinstance(p, ByRow) else p for c, p in given.items()}
@@ -329,9 +329,10 @@ class GuardedFrame:
         """The column that the session takes a name for."""
         if name in self.policies:
             return name
-        if self._df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
-            raise KeyError(name)
-        return {c.lower(): c for c in self.policies}[name.lower()]
+        found = {c.lower(): c for c in self.policies}.get(name.lower())
+        if found is None or self._df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+            raise NotFound(f"column {name!r}")
+        return found
 
     def cell(self, name: str) -> tuple[Column, Policy | Varied]:
         name = self.named(name)
@@ -388,9 +389,11 @@ class GuardedFrame:
         return replace(self, _df=self._df.where(cond.build(replace(self, _log=Log()))[0]), _bare=None)
 
     def select(self, *names: str, **exprs: Expr) -> GuardedFrame:
+        """Columns by name ("*" for all), and made ones."""
+        names = tuple(c for n in names for c in (self.policies if n == "*" else (n,)))
         made = {self.named(n): self.made(col(n)) for n in names} | {n: self.made(e) for n, e in exprs.items()}
         if len({n.lower() for n in made}) < len(made):
-            raise ValueError("columns need names that differ in more than case")
+            raise Duplicate("columns need names that differ in more than case")
         ids = [m.policy.pid.alias(shadow(n)) for n, m in made.items() if isinstance(m.policy, Varied)]
         rids = sorted(frozenset().union(*(m.origin for m in made.values())) & set(self._df.columns))
         df = self._df.select(*(m.column.alias(n) for n, m in made.items()), *ids, *rids)
@@ -411,7 +414,7 @@ class GuardedFrame:
         if unknown := set(on) - set(other.policies):
             raise ValueError(f"keys {sorted(unknown)} need the same names on both sides")
         if (set(self.policies) & set(other.policies)) - set(on):
-            raise ValueError("columns need names of their own")
+            raise Duplicate("columns need names of their own")
         spent = (*self._spent, *other._spent)
         if how in ("left_semi", "left_anti"):
             right = other._df.select(*(f"`{c}`" for c in on))
@@ -516,6 +519,10 @@ class GuardedFrame:
         """The policies that cells of each column can have."""
         return {c: list(map(str, p.table if isinstance(p, Varied) else (p,))) for c, p in self.policies.items()}
 
+    def policy_cells(self, n: int = 15) -> DataFrame:
+        """The policies of the cells of the first n rows, in the cells' places; no cell is read."""
+        return self._df.limit(n).select(*((p.text() if isinstance(p, Varied) else F.lit(str(p))).alias(c) for c, p in self.policies.items()))
+
     def _tested(self) -> DataFrame:
         """The data behind the tests of cells whose policies vary by row."""
         out = []
@@ -577,11 +584,11 @@ class Grouped:
                 raise PolicyViolation("aggregation of rows that a join may repeat and that have no id")
             sizes = []
             if isinstance(p, Varied):
-                for i, k in ((i, least(q)) for i, q in enumerate(p.table) if least(q)):
+                for i, k in ((i, least(q)) for i, q in enumerate(p.table) if least(q) > 1):
                     there = passed & (p.pid == i)
                     sizes += [(there, there if p.own else passed, r, k) for r in rids]
-            elif least(p):
-                sizes += [(passed, passed, r, least(p)) for r in rids]  # an empty group discloses nothing
+            elif least(p) > 1:  # a group has a row anyway, and an empty one discloses nothing
+                sizes += [(passed, passed, r, least(p)) for r in rids]
             if sizes:
                 slacks = [F.when(F.count_if(any_) > 0, size_slack([(there, r and F.col(r), k)])).otherwise(F.lit(0)) for any_, there, r, k in sizes]
                 slack = reduce(lambda a, b: F.least(a, b), slacks)

@@ -6,14 +6,16 @@ import contextlib
 import time
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..frame import GuardedFrame
 from ..noise import Budget
-from ..policy import CLEAN, Policy, PolicyViolation, parse
+from ..policy import CLEAN, Duplicate, NotFound, Policy, PolicyError, PolicyViolation, parse
 from ..sources import policies as files
 from ..varied import ByRow
+from .metrics import Step, measured
 from .rewrite import Rewriter, refuse_commands
 
 
@@ -44,7 +46,7 @@ class PolicyContext:
         self.spark, self.allow_unregistered, self.enforce = spark, allow_unregistered, enforce
         self.frames: dict[str, GuardedFrame] = {}
         self.profile = Profile()
-        self.last_error: PolicyViolation | None = None
+        self.last_error: PolicyError | None = None
 
     def register(
         self,
@@ -71,9 +73,24 @@ class PolicyContext:
             self.frames[name.lower()] = f
             df.createOrReplaceTempView(name)
 
+    def scan(self, name: str, path: str, form: str = "parquet", options: dict[str, str] | None = None, schema: str | None = None, **rest: Any) -> None:
+        """Registers files of a form that Spark reads (parquet, csv, json, orc, ...); what else register() takes comes behind."""
+        with self.profile.step("scan"):
+            reader = self.spark.read.format(form).options(**(options or {}))
+            df = (reader.schema(schema) if schema else reader).load(path)
+        self.register(name, df, **rest)
+
     def table(self, name: str) -> GuardedFrame:
+        if name.lower() not in self.frames:
+            raise NotFound(f"table {name!r}")
         return self.frames[name.lower()]
 
+    def measure(self, text: str, enforce: bool | None = None) -> list[Step]:
+        """Runs the query and tells what its operators have cost, and which of them hold tests of policies. With enforce=False
+        the same without policies, to compare."""
+        with self.profile.step("measure"):
+            return measured(self.sql(text, enforce)._tested())
+
     def show_policies(self) -> dict[str, dict[str, list[str]]]:
         """Of each table the policies that cells of its columns can have."""
         return {t: f.explain_policies() for t, f in self.frames.items()}
@@ -87,10 +104,10 @@ class PolicyContext:
                 df = self.spark.sql(text)
             if not (self.enforce if enforce is None else enforce):
                 return GuardedFrame(df, {c: CLEAN for c in df.columns})
-            if len(set(df.columns)) < len(df.columns):
-                raise ValueError("columns of a guarded query need names of their own")
+            if len({c.lower() for c in df.columns}) < len(df.columns):
+                raise Duplicate("columns of a guarded query need names of their own")
             with self.profile.step("check"):
                 return Rewriter(self.spark, self.frames, self.allow_unregistered).rewritten(df)
-        except PolicyViolation as e:
+        except PolicyError as e:
             self.last_error = e
             raise

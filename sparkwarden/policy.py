@@ -17,7 +17,25 @@ LEVEL = {"bot": 0, "T": 1, "A": 2, "N": 3, "top": 4}
 ALIAS = {"+": "add", "-": "sub", "*": "mul", "/": "div", "%": "mod", "^": "pow", "avg": "mean"}
 
 
-class PolicyViolation(Exception):
+class PolicyError(Exception):
+    """What this library raises by itself; `code` tells the kinds apart."""
+
+    code = "compute"
+
+
+class NotFound(PolicyError, KeyError):
+    """A column or table that isn't there."""
+
+    code = "not found"
+
+
+class Duplicate(PolicyError, ValueError):
+    """Names that should differ, in more than case."""
+
+    code = "duplicate"
+
+
+class PolicyViolation(PolicyError):
     """An operation or a release that a policy forbids."""
 
     code = "privacy"

@@ -63,6 +63,7 @@ SQL: dict[str, str] = {
     "rollup": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "cube": "SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 4) AS m, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, max(c_acctbal) AS m, grouping(c_mktsegment) AS g FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    "joined_sum": "SELECT o_orderpriority, round(sum(l_quantity), 2) AS s, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority",
     "window_mean": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 4) AS m FROM orders",
     "window_frame": "SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM lineitem",
     "window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS r FROM orders",
@@ -162,19 +163,19 @@ GUARDS: dict[str, dict[str, str]] = {
     "tpch_q15": {"l_shipdate": "top"} | revenue(5), "tpch_q16": {"s_acctbal": "top", "l_suppkey": "A{nunique>=10}"}, "tpch_q17": {"l_extendedprice": "A{sum>=20}", "l_quantity": "A{mean>=10}", "p_brand": "top"},
     "tpch_q18": {"l_quantity": "A{sum>=1}"}, "tpch_q19": {"l_quantity": "top", "p_brand": "top"} | revenue(20), "tpch_q20": {"l_quantity": "A{sum>=20}", "p_type": "top"}, "tpch_q21": {"o_orderstatus": "top", "l_returnflag": "top"},
     "tpch_q22": {"c_acctbal": "A{sum>=5, mean>=5}"},
-    "rollup": {"l_quantity": "A{sum>=20}"}, "cube": {"o_totalprice": "A{mean>=20}"}, "grouping_sets": {"c_acctbal": "A{max>=20}"}, "window_mean": {"o_totalprice": "A{mean>=20}"}, "window_frame": {"l_quantity": "A{sum>=3}"},
+    "rollup": {"l_quantity": "A{sum>=20}"}, "joined_sum": {"l_quantity": "A{sum>=20}"}, "cube": {"o_totalprice": "A{mean>=20}"}, "grouping_sets": {"c_acctbal": "A{max>=20}"}, "window_mean": {"o_totalprice": "A{mean>=20}"}, "window_frame": {"l_quantity": "A{sum>=3}"},
     "window_rank": {"o_totalprice": "T{rank}"}, "substring_key": {"o_orderpriority": "T{substring:1:1}"},
 }
 
 
-def guarded_sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of SQL, released under its policies of GUARDS."""
+def guarded_sql(name: str, keys: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of SQL, released under its policies of GUARDS. Without keys any join may repeat rows, and their ids are counted."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ctx = PolicyContext(spark)
         for t in named(SQL[name]):
             df = table(spark, sf_dir, t)
-            ctx.register(t, df, {c: p for c, p in GUARDS[name].items() if c in df.columns}, keys=[[KEYS[t]]] if t in KEYS else [])
+            ctx.register(t, df, {c: p for c, p in GUARDS[name].items() if c in df.columns}, keys=[[KEYS[t]]] if keys and t in KEYS else [])
         return ctx.sql(SQL[name]).release()
 
     return run
@@ -201,6 +202,26 @@ def dsl_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.release().withColumn("sd", F.round("sd", 6))
 
 
+def dsl_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest of a column with NaNs, which go first or are left out, and its values as a list; all columns by a wildcard."""
+    g = GuardedFrame.register(table(spark, sf_dir, "lineitem"), {"l_quantity": "A{min>=20, nanmin>=20, nanmax>=20, implode>=20}"})
+    g = g.with_columns(v=when(col("l_linenumber") == 3, lit(float("nan")), col("l_quantity"))).select("*").group_by("l_returnflag")
+    out = g.agg(lo=("min", col("v")), nlo=("nanmin", col("v")), nhi=("nanmax", col("v")), every=("implode", col("l_quantity"), col("l_linenumber") < 3)).release()
+    total = F.aggregate("every", F.lit(0.0), lambda a, x: a + x)
+    return out.select("l_returnflag", F.isnan("lo").alias("lo_is_nan"), "nlo", "nhi", F.size("every").cast("long").alias("n"), F.round(total, 2).alias("total"))
+
+
+def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as CSV, JSON and ORC, under policies."""
+    part, path = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice"), files.scratch_dir(spark)
+    ctx = PolicyContext(spark)
+    for form in ("csv", "json", "orc"):
+        part.write.format(form).save(f"{path}/{form}")
+        ctx.scan(form, f"{path}/{form}", form, schema="p_partkey long, p_type string, p_retailprice double", policies={"p_retailprice": "A{max>=5}"})
+    one = "SELECT p_type, max(p_retailprice) AS m, count(*) AS n FROM {} GROUP BY p_type"
+    return ctx.sql(" UNION ALL ".join(one.format(form) for form in ("csv", "json", "orc"))).release()
+
+
 def dsl_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates, unary operators, functions and a ternary, of which some discharge a policy."""
     g = GuardedFrame.register(table(spark, sf_dir, "orders"), {"o_orderdate": "T{year}", "o_totalprice": "T{neg}", "o_custkey": "top"})
@@ -293,6 +314,8 @@ def t_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GUARDED_SQL = list(SQL)
+#: Queries that also run without declared keys.
+BY_IDS = ("joined_sum", "tpch_q14", "tpch_q20")
 
 
 def micro(which: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -433,10 +456,12 @@ EXPECTED = {k: v for k, (_, _, v) in SQL_CASES.items()} | {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: run_sql(v) for k, v in SQL.items()} | {
     "guarded_q1": guarded_q1, "groupsize_ok": groupsize_ok, "groupsize_suppress": groupsize_suppress, "offset_by": offset, "verdicts": verdicts, "by_row": by_row, "by_row_filter": by_row_filter, "sql_entry": sql_entry, "dsl_aggregates": dsl_aggregates, "dsl_expressions": dsl_expressions,
-    "dense_policies": dense_policies, "agg_groups": agg_groups, "one_group": one_group, "nary": nary, "k_anonymity": k_anonymity, "l_diversity": l_diversity, "t_closeness": t_closeness,
-} | {k: by_row_sql(v) for k, v in BY_ROW.items()} | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"micro_policy_{k}": micro(k) for k in MICRO}
+    "dsl_nan": dsl_nan, "file_scans": file_scans, "dense_policies": dense_policies, "agg_groups": agg_groups, "one_group": one_group, "nary": nary, "k_anonymity": k_anonymity, "l_diversity": l_diversity, "t_closeness": t_closeness,
+} | {k: by_row_sql(v) for k, v in BY_ROW.items()} | {f"guarded_sql_{k}": guarded_sql(k) for k in GUARDED_SQL} | {f"guarded_by_ids_{k}": guarded_sql(k, False) for k in BY_IDS} | {f"micro_policy_{k}": micro(k) for k in MICRO}
 BAND = "SELECT *, CASE WHEN c_acctbal < 0 THEN 'owes' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band FROM customer"
 ORACLES: dict[str, str] = SQL | BY_ROW | {
+    "dsl_nan": "SELECT l_returnflag, true AS lo_is_nan, min(v) AS nlo, max(v) AS nhi, count(*) FILTER (WHERE l_linenumber < 3) AS n, round(sum(l_quantity) FILTER (WHERE l_linenumber < 3), 2) AS total FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS v FROM lineitem) GROUP BY 1",
+    "file_scans": "SELECT p_type, max(p_retailprice) AS m, count(*) AS n FROM part, range(3) GROUP BY p_type, range",
     "dense_policies": "SELECT c_mktsegment, round(avg(c_acctbal), 4) AS m FROM customer GROUP BY 1",
     "agg_groups": "SELECT o_orderpriority, count(*) AS n, min(r) AS lo, max(r) AS hi, CAST(sum(r * (r % 97)) AS BIGINT) AS mixed FROM (SELECT *, row_number() OVER () - 1 AS r FROM orders) GROUP BY 1",
     "one_group": "SELECT r AS row, o_orderkey FROM (SELECT *, row_number() OVER () - 1 AS r FROM orders) WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
@@ -454,4 +479,4 @@ ORACLES: dict[str, str] = SQL | BY_ROW | {
     "dsl_expressions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, -o_totalprice AS minus, substring(o_orderpriority, 3, 4) AS p, CASE WHEN o_orderstatus LIKE 'F%' OR o_orderstatus LIKE '%O' THEN 'x' ELSE 'y' END AS band FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND regexp_matches(o_orderpriority, '[A-Z]') AND o_custkey > 100 AND o_totalprice BETWEEN 1000 AND 250000",
     "offset_by": "SELECT event_id, ts + INTERVAL '5' SECOND AS later FROM events",
     "verdicts": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPECTED.items()) + ") t(name, verdict)",
-} | {f"guarded_sql_{k}": SQL[k] for k in GUARDED_SQL} | {f"micro_policy_{k}": f"SELECT l_returnflag, max(l_discount{' + 1.0' if k in 'cd' else ''}) AS m FROM lineitem GROUP BY 1" for k in MICRO}
+} | {f"guarded_sql_{k}": SQL[k] for k in GUARDED_SQL} | {f"guarded_by_ids_{k}": SQL[k] for k in BY_IDS} | {f"micro_policy_{k}": f"SELECT l_returnflag, max(l_discount{' + 1.0' if k in 'cd' else ''}) AS m FROM lineitem GROUP BY 1" for k in MICRO}

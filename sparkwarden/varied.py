@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .policy import CLEAN, TOP, Policy, PolicyViolation, parse
 
 DENIED = Policy((TOP,))
-#: Of tables up to this size all sets of policies that a group can have are laid out; of larger ones those that groups have are looked up.
-EXACT = 6
+#: Of tables up to this size all sets of policies that a group can have are laid out; of larger ones all joins of policies, up to this many
+#: pairs of a join and a policy; beyond that the sets that groups have are looked up.
+EXACT, PAIRS = 6, 20_000
 
 
 def shadow(name: str) -> str:
@@ -45,6 +46,10 @@ class Varied:
         """The value of each row's policy."""
         return F.element_at(F.array(*map(F.lit, values)), self.pid + 1)
 
+    def text(self) -> Column:
+        """Each row's policy as text."""
+        return F.element_at(F.array(*(F.lit(str(p)) for p in self.table)), self.pid + 1)
+
     def at(self, name: str) -> Varied:
         return Varied(F.col(f"`{shadow(name)}`"), self.table, self.own)
 
@@ -94,7 +99,12 @@ def worst(p: Policy | Varied) -> Policy:
 
 def any_of(p: Varied, look: Callable[[Column], list[str]]) -> Varied:
     """As an aggregate: the join of the policies that rows of a group have. `look` gives the different values that an aggregate
-    has over the groups; it is asked for tables beyond EXACT only, as a job whose result has a row for each set found."""
+    has over the groups; it is asked beyond EXACT and PAIRS only, as a job whose result has a row for each set found."""
+    if len(p.table) > EXACT and (joins := joined(p.table)):
+        n, table = len(p.table), tuple(joins)
+        step = F.array(*(F.lit(joins[j.join(q)]) for j in table for q in p.table))
+        at = F.aggregate(F.collect_set(p.pid), F.lit(0), lambda done, x: F.element_at(step, done * n + x + 1))
+        return Varied(at, table)
     if len(p.table) > EXACT:
         key = F.array_join(F.array_sort(F.collect_set(p.pid)).cast("array<string>"), ",")
         found = sorted(look(key))
@@ -108,6 +118,22 @@ def any_of(p: Varied, look: Callable[[Column], list[str]]) -> Varied:
     return Varied(Varied(bits, tuple(subsets)).number([table.index(s) for s in subsets]), table)
 
 
+def joined(table: tuple[Policy, ...]) -> dict[Policy, int]:
+    """All joins of the policies, numbered from the clean one on; empty if there are too many. Most policies have few: of group sizes the
+    largest is the join."""
+    found, todo = {CLEAN: 0}, [CLEAN]
+    while todo:
+        one = todo.pop()
+        for p in table:
+            both = one.join(p)
+            if both not in found:
+                if (len(found) + 1) * len(table) > PAIRS:
+                    return {}
+                found[both] = len(found)
+                todo.append(both)
+    return found
+
+
 def chosen(test: Column, yes: Policy | Varied, no: Policy | Varied) -> Policy | Varied:
     """The policy of the arm that each row takes."""
     if not isinstance(yes, Varied) and yes == no:

@@ -10,7 +10,7 @@ from sparkwarden.frame import MARK, GuardedFrame, as_expr, col, function, lit, w
 from sparkwarden.noise import Budget
 from sparkwarden.plans import rewrite
 from sparkwarden.plans.context import PolicyContext
-from sparkwarden.policy import NotAllowed, PolicyViolation, parse, to_json, from_json
+from sparkwarden.policy import Duplicate, NotAllowed, NotFound, PolicyViolation, from_json, parse, to_json
 from sparkwarden.sources import policies as files
 from sparkwarden.sources.rows import positions
 from sparkwarden.varied import ByRow
@@ -240,3 +240,68 @@ def test_by_row_agrees_with_frames(spark):
         ("SELECT DISTINCT c_acctbal FROM c WHERE c_acctbal >= 0", lambda: g.filter(col("c_acctbal") >= 0).select("c_acctbal").distinct()),
     ):
         assert ctx.sql(text).verdict() == frame().verdict()
+
+
+def test_what_tests_cost(spark):
+    """Spark's metrics by operator: the aggregate holds the test, rows agree with a plain run, and nothing is scanned twice."""
+    ctx = PolicyContext(spark)
+    ctx.register("lineitem", queries.table(spark, SF, "lineitem"), {"l_quantity": "A{sum>=20}"})
+    text = "SELECT l_returnflag, sum(l_quantity) AS s FROM lineitem WHERE l_linenumber < 5 GROUP BY l_returnflag"
+    guarded, bare = ctx.measure(text), ctx.measure(text, enforce=False)
+    assert sum(s.tests for s in guarded) > 0 and not any(s.tests for s in bare)
+    assert all("Aggregate" in s.name or s.name == "Project" for s in guarded if s.tests)
+    for steps in (guarded, bare):
+        scans = [s for s in steps if s.name.startswith("Scan")]
+        assert len(scans) == 1 and scans[0].rows == queries.table(spark, SF, "lineitem").count() and sum(s.milliseconds for s in steps) > 0
+        assert next(s.rows for s in steps if "Aggregate" in s.name) == 3
+    assert {k for k, _, _ in ctx.profile.report()} >= {"register", "check", "measure"}
+
+
+def test_kinds_of_errors(spark):
+    ctx = PolicyContext(spark)
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    ctx.register("t", df, {"a": ByRow((("b > 1", "top"),))})
+    for make, kind, code in (
+        (lambda: ctx.table("nowhere"), NotFound, "not found"), (lambda: ctx.table("t").select("c"), NotFound, "not found"), (lambda: ctx.sql("SELECT a, b AS A FROM t"), Duplicate, "duplicate"),
+        (lambda: ctx.table("t").join(ctx.table("t").select("a", "b"), ["a"]), Duplicate, "duplicate"), (lambda: ctx.sql("SET x = 1"), NotAllowed, "invalid operation"),
+    ):
+        with pytest.raises(kind) as e:
+            make()
+        assert e.value.code == code
+    assert isinstance(ctx.last_error, NotAllowed)
+    assert [tuple(r) for r in ctx.table("t").policy_cells().collect()] == [("top", "clean")]
+
+
+def test_users_aggregates_by_name(spark):
+    import pandas as pd
+
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    spark.udf.register("spread_of", F.pandas_udf(spread, "double"))
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(6)], "g int, v double")
+    for policy, want in (("A{spread_of>=1}", "allow"), ("A{sum>=1}", "deny"), ("A{spread_of>=3}", "deny"), ("top", "deny")):
+        ctx = PolicyContext(spark)
+        ctx.register("t", df, {"v": policy})
+        try:
+            found = ctx.sql("SELECT g, spread_of(v) AS s FROM t GROUP BY g").verdict()
+        except PolicyViolation:
+            found = "deny"
+        assert found == want
+
+
+@pytest.mark.parametrize(("policy", "text", "want"), [
+    ("T{left:2}", "SELECT left(s, 2) AS x FROM t", "allow"), ("T{left:2}", "SELECT left(s, 3) AS x FROM t", "deny"), ("T{left:2}", "SELECT right(s, 2) AS x FROM t", "deny"), ("T{substring:1:2}", "SELECT substring(s, 1, 2) AS x FROM t", "allow"),
+    ("top", "SELECT nvl(s, 'x') AS x FROM t", "deny"), ("A{max>=2}", "SELECT max(nvl(s, 'x')) AS x FROM t", "allow"), ("A{max>=9}", "SELECT max(nvl(s, 'x')) AS x FROM t", "deny"), ("A{max>=2}", "SELECT max(nvl2(g, s, 'x')) AS x FROM t", "allow"),
+    ("A{max>=2}", "SELECT max(if(g = 0, s, NULL)) AS x FROM t WHERE g < 1", "allow"), ("A{max>=2}", "SELECT max(nvl2(nullif(g, 0), s, 'x')) AS x FROM t WHERE k < 3", "deny"), ("T{upper}", "SELECT upper(s) AS x FROM t", "allow"),
+    ("T{date_add:3}", "SELECT date_add(d, 3) AS x FROM u", "allow"), ("T{date_add:3}", "SELECT date_add(d, 4) AS x FROM u", "deny"), ("T{date_format:yyyy}", "SELECT date_format(d, 'yyyy') AS x FROM u", "allow"),
+])
+def test_functions_by_name(spark, policy, text, want):
+    ctx = PolicyContext(spark)
+    ctx.register("t", spark.createDataFrame([(i, i // 2, f"abc{i}") for i in range(5)], "k int, g int, s string"), {"s": policy})
+    ctx.register("u", spark.sql("SELECT date'2024-01-01' AS d"), {"d": policy})
+    try:
+        found = ctx.sql(text).verdict()
+    except PolicyViolation:
+        found = "deny"
+    assert found == want

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.frame import GuardedFrame, col, when
-from sparkwarden.policy import PolicyViolation
+from sparkwarden.policy import PolicyViolation, parse
 from sparkwarden.varied import ByRow
 
 ROWS = [(1, "x", 10), (1, "x", 20), (1, "y", 30), (2, "x", 40), (2, "x", 50), (3, "y", 60)]
@@ -74,3 +74,27 @@ def test_no_rows(spark):
     assert none.verdict() == "allow"
     with pytest.raises(ValueError):
         GuardedFrame.register(spark.createDataFrame(ROWS, "k int, g string, v int"), {"nothing": "top"})
+
+
+def test_joins_of_many_policies(spark, monkeypatch):
+    """Tables of 30 policies: all joins laid out, or the sets of groups looked up, give the same."""
+    from sparkwarden import varied
+
+    rules = tuple((F.col("v") == i, f"A{{sum>={1 + i % 3}}} => T{{+:{i % 7}}}") for i in range(30))
+    df = spark.createDataFrame([(i % 4, i % 10, i) for i in range(40)], "k int, g int, v int")
+    f = GuardedFrame.register(df, {"v": ByRow(rules)})
+    seen = []
+    for pairs in (20_000, 0):
+        monkeypatch.setattr(varied, "PAIRS", pairs)
+        by = lambda key: f.group_by(key).agg(s=("sum", col("v")))
+        seen.append([by("k").verdict(), by("g").verdict(), by("g").select(s=col("s") + 1).verdict(), f.filter(col("v") >= 30).distinct().verdict(), f.filter(col("v") > 2).distinct().verdict()])
+        seen[-1].append(f.filter(col("v") % 7 == 2).group_by("k").agg(True, s=("sum", col("v"))).select(s=col("s") + 2).verdict())
+    assert seen[0] == seen[1] and set(seen[0]) == {"allow", "deny"}
+    assert varied.joined(tuple(parse(f"A{{sum>={i}}}") for i in range(1, 90))) == {} and len(joined_of(90)) == 91
+
+
+def joined_of(n):
+    from sparkwarden import varied
+
+    varied.PAIRS = 20_000
+    return varied.joined(tuple(parse(f"A{{sum>={i}}}") for i in range(1, n + 1)))
