@@ -65,7 +65,7 @@ SQL: dict[str, str] = {
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, max(c_acctbal) AS m, grouping(c_mktsegment) AS g FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "joined_sum": "SELECT o_orderpriority, round(sum(l_quantity), 2) AS s, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority",
     "window_mean": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus), 4) AS m FROM orders",
-    "window_frame": "SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM lineitem",
+    "window_frame": "SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM lineitem",
     "window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS r FROM orders",
     "substring_key": "SELECT substring(o_orderpriority, 1, 1) AS p, count(*) AS n FROM orders GROUP BY 1",
     "tpch_q1": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-05' GROUP BY l_returnflag, l_linestatus",
@@ -406,6 +406,9 @@ SQL_CASES: dict[str, tuple[dict, str, str]] = {
     "rollup_ok": (SUMS, "SELECT o_orderstatus, sum(o_totalprice) AS s FROM orders GROUP BY ROLLUP (o_orderstatus)", "allow"),
     "rollup_one": (SUMS, "SELECT o_orderkey, sum(o_totalprice) AS s FROM orders GROUP BY ROLLUP (o_orderkey)", "deny"),
     "window_ok": (SUMS, "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus) AS s FROM orders", "allow"),
+    "window_sliding": (SUMS, "SELECT o_orderkey, sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING) AS s FROM orders", "deny"),
+    "window_by_row": (ROWS, "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus) AS s FROM orders WHERE o_orderstatus <> 'F'", "allow"),
+    "window_by_row_top": (ROWS, "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderpriority) AS s FROM orders", "deny"),
     "window_first": (SUMS, "SELECT o_orderkey, sum(o_totalprice) OVER (ORDER BY o_orderkey) AS s FROM orders", "deny"),
     "window_rank_fail": ({"o_totalprice": "top"}, "SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) AS r FROM orders", "deny"),
     "window_order": ({"o_totalprice": "top"}, "SELECT o_orderkey, count(*) OVER (ORDER BY o_totalprice) AS r FROM orders", "deny"),

@@ -112,10 +112,19 @@ def any_of(p: Varied, look: Callable[[Column], list[str]]) -> Varied:
         table = tuple(dict.fromkeys(joins)) or (CLEAN,)
         at = F.element_at(F.create_map(*(F.lit(x) for k, j in zip(found, joins) for x in (k, table.index(j)))), key) if found else F.lit(0)
         return Varied(at, table)
+    return of_bits(p, bits_of(p))
+
+
+def bits_of(p: Varied) -> Column:
+    """As an aggregate: a bit for each policy of the table that a row has."""
+    return F.bit_or(p.number([1 << i for i in range(len(p.table))]))
+
+
+def of_bits(p: Varied, bits: Column) -> Varied:
+    """The join of the policies whose bits are set."""
     subsets = [reduce(Policy.join, (q for i, q in enumerate(p.table) if mask >> i & 1), CLEAN) for mask in range(1 << len(p.table))]
-    bits = F.coalesce(F.bit_or(p.number([1 << i for i in range(len(p.table))])), F.lit(0))
     table = tuple(dict.fromkeys(subsets))
-    return Varied(Varied(bits, tuple(subsets)).number([table.index(s) for s in subsets]), table)
+    return Varied(Varied(F.coalesce(bits, F.lit(0)), tuple(subsets)).number([table.index(s) for s in subsets]), table)
 
 
 def joined(table: tuple[Policy, ...]) -> dict[Policy, int]:
