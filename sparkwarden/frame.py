@@ -264,15 +264,27 @@ def forbidden(what: str) -> Column:
     return F.raise_error(F.lit(MARK + what))
 
 
-def sized(value: Column, slack: Column, what: str) -> Column:
-    """The value where its group is large enough, else an error."""
-    return F.when(slack >= 0, value).otherwise(forbidden(what))
+#: Of an aggregate: a test of rows with a protected cell, one of the rows that count with them, their id where they may be repeated, and the
+#: least number of these. None stands for all rows, and for the same test.
+Size = tuple[Column | None, Column | None, Column | None, int]
 
 
-def size_slack(sizes: list[tuple[Column, Column | None, int]]) -> Column:
-    """Of (test of a row, its id where rows may be repeated, least size) how many rows the worst is beyond its least; a size of 0 passes."""
-    counts = [(F.count_if(there) if rid is None else F.count_distinct(F.when(there, rid)), k) for there, rid, k in sizes]
-    return F.coalesce(F.least(*(F.when(n > 0, n - k) for n, k in counts), F.lit(None).cast("long")), F.lit(0))
+def sized(value: Column, small: Column, what: str) -> Column:
+    """The value, or an error where its group is too small."""
+    return F.when(small, forbidden(what)).otherwise(value)
+
+
+def too_small(sizes: list[Size]) -> Column:
+    """Whether any of the sizes is short of its least. A group without protected cells discloses none."""
+    tests = []
+    for any_, counted, rid, k in sizes:
+        of = any_ if counted is None else counted
+        if rid is None:
+            n = F.count(F.lit(1)) if of is None else F.count_if(of)
+        else:
+            n = F.count_distinct(rid if of is None else F.when(of, rid))
+        tests.append(n.between(1, k - 1) if counted is None else (F.count_if(any_) > 0) & (n < k))
+    return reduce(lambda a, b: a | b, tests)
 
 
 @dataclass(frozen=True)
@@ -581,9 +593,9 @@ class Grouped:
             c, p = m.column, m.policy
             real = method in ("min", "nanmin", "nanmax") and f._df.select(c).schema[0].dataType.simpleString() in ("float", "double")
             least = lambda p: dict(p.labels[0].ops).get(norm(method), 0) if p.labels and p.labels[0].kind == "A" else 0  # noqa: B023, E731
-            passed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+            passed = None if where is None else F.coalesce(where, F.lit(False))
             if method in ("laplace_sum", "laplace_count"):
-                value, after, spent = noisy(method, e, c, p, passed, *args)
+                value, after, spent = noisy(method, e, c, p, F.lit(True) if passed is None else passed, *args)
                 m = replace(m, spent=(*m.spent, *((b, spent) for b in m.budgets)))
             else:
                 value = aggregate(method, F.lit(1) if method == "len" else c, real, where, *args)
@@ -591,18 +603,15 @@ class Grouped:
             rids = sorted(m.origin & f._repeated) or [None]
             if not p.released and any(r is not None and r not in f._df.columns for r in rids):
                 raise PolicyViolation("aggregation of rows that a join may repeat and that have no id")
-            sizes = []
-            if isinstance(p, Varied):
-                for i, k in ((i, least(q)) for i, q in enumerate(p.table) if least(q) > 1):
-                    there = passed & (p.pid == i)
-                    sizes += [(there, there if p.own else passed, r, k) for r in rids]
-            elif least(p) > 1:  # a group has a row anyway, and an empty one discloses nothing
-                sizes += [(passed, passed, r, least(p)) for r in rids]
+            sizes: list[Size] = []
+            for i, q in enumerate(p.table if isinstance(p, Varied) else (p,)):
+                if least(q) > 1:  # a group has a row anyway
+                    any_ = passed if not isinstance(p, Varied) else p.pid == i if passed is None else passed & (p.pid == i)
+                    counted = None if not isinstance(p, Varied) or p.own else F.lit(True) if passed is None else passed
+                    sizes += [(any_, counted, r and F.col(r), least(q)) for r in rids]
             if sizes:
-                slacks = [F.when(F.count_if(any_) > 0, size_slack([(there, r and F.col(r), k)])).otherwise(F.lit(0)) for any_, there, r, k in sizes]
-                slack = reduce(lambda a, b: F.least(a, b), slacks)
-                short.append(slack)
-                value = value if suppress else sized(value, slack, f"{method} as {name} over too small a group")
+                short.append(too_small(sizes))
+                value = value if suppress else sized(value, short[-1], f"{method} as {name} over too small a group")
             out.append(value.alias(name))
             made[name] = replace(m, policy=any_of(after, look) if isinstance(after, Varied) else after)
         ids = [m.policy.pid.alias(shadow(n)) for n, m in made.items() if isinstance(m.policy, Varied)]
@@ -611,9 +620,9 @@ class Grouped:
             ids.append((F.xxhash64(*(f"`{k}`" for k in self.keys)) if self.keys else F.lit(0).cast("long")).alias(rid))
         made = {n: replace(m, origin=frozenset([rid]) if n in held else frozenset(), picked=frozenset()) for n, m in made.items()}
         if short and suppress:
-            ids.append(reduce(lambda a, b: F.least(a, b), short).alias("_slack"))
+            ids.append(reduce(lambda a, b: a | b, short).alias("_small"))
         df = groups.agg(*out, *ids)
-        df = df.where("_slack >= 0").drop("_slack") if short and suppress else df
+        df = df.where("not _small").drop("_small") if short and suppress else df
         return replace(f._taken(df, made, (), frozenset([frozenset(self.keys)])), _repeated=frozenset())
 
 
