@@ -23,7 +23,7 @@ def odd_rows(n: int = 60, seed: int = 3) -> list[tuple]:
         rows.append((i, " ".join(words).capitalize() + ".\nNew line  here", "en" if i % 3 else "es", f"src{i % 4}" if i % 7 else None))
     rows += [(1000, None, "en", "src0"), (1001, "", None, "src1"), (1002, " \t\n ", "en", None), (1003, "12 34 \x1c 5 6", None, "src9")]
     rows += [(1004, "word " * 5000, "en", "src0"), (1005, "a b c d e", "en", "src1"), (1006, "one", "es", "src2"), (None, "null id the and of thing", "en", "src2")]
-    rows += [(1007, " ".join(f"w{i % 4001}" for i in range(220_000)), "en", "src1")]  # beyond what is handled at once
+    rows += [(1007, " ".join(f"{'w' * 30}{i % 4001}" for i in range(33_000)), "en", "src1")]  # beyond what is handled at once
     rows += [rows[5], rows[5], (rows[6][0], rows[7][1], "en", "src3")]  # repeated rows, and an id with two texts
     return rows
 
