@@ -6,7 +6,6 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from dataclasses import replace
 from decimal import Decimal
 from functools import reduce
 from typing import Any
@@ -128,8 +127,8 @@ def read_parquet(spark: SparkSession, df: DataFrame, path: str, on: list[str], m
 
 
 def _attached(df: DataFrame, both: DataFrame, tables: dict[str, dict[int, Policy]], missing: str, options: dict[str, Any]) -> GuardedFrame:
-    """Policies by the integers _id_<column> beside the data: -1 forbids, null is `missing`."""
-    given = {}
+    """Policies by the integers _id_<column> beside the data: -1 forbids, null is `missing`. `also` of the options: policies of other columns."""
+    given = dict(options.pop("also", {}))
     for c, t in tables.items():
         n = len(t)
         pid = F.coalesce(F.when(F.col(f"_id_{c}") < 0, n + 1).otherwise(F.col(f"_id_{c}")), F.lit(n))
@@ -189,8 +188,7 @@ def read_json(df: DataFrame, path: str, missing: str = "top", **options: Any) ->
     longest = max(map(len, dense.values()))
     rows = [(i, *(tables[c].index(ps[i]) if i < len(ps) else None for c, ps in dense.items())) for i in range(longest)]
     ids = spark.createDataFrame(rows, ", ".join(["position long", *(f"`{c}` int" for c in dense)]))
-    f = read_dense(df, {c: dict(enumerate(t)) for c, t in tables.items()}, ids, missing, **options)
-    return replace(f, policies=f.policies | given, _origin=f._origin | {c: frozenset().union(*f._origin.values()) for c in given})
+    return read_dense(df, {c: dict(enumerate(t)) for c, t in tables.items()}, ids, missing, also=given, **options)
 
 
 # The policies of the micro benchmark, put on l_discount.

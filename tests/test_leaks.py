@@ -193,6 +193,12 @@ def test_policy_files_by_place(spark, tmp_path):
         assert ctx.table("t").filter(col("k") == 5).release().first().v == 10
     with pytest.raises(ValueError):
         positions(spark.range(3))
+    # a column with one policy beside one with a policy for each cell: its rows are counted once as well
+    (tmp_path / "both.json").write_text(files.dumps([[parse("A{sum>=2}")], [parse("top" if at[p] % 4 == 0 else "clean") for p in range(40)]]))
+    ctx = PolicyContext(spark)
+    ctx.register("t", df, f"{tmp_path}/both.json")
+    ctx.register("n", spark.range(20).toDF("n"))
+    assert ctx.sql("SELECT sum(k) AS s FROM t, n WHERE k = 5").verdict() == "deny" and ctx.sql("SELECT sum(k) AS s FROM t, n WHERE k < 7").verdict() == "allow"
 
 
 def test_several_arguments():
