@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import plain
 
 SEED = 20011
+#: Sorted windows of a shard, at least: where the session has very many shuffle partitions, a quarter of these.
 BUCKETS = 64
 
 
@@ -45,12 +46,13 @@ def assign(docs: DataFrame, weights: list[float], grown_weight: float = 1.0) ->
     return rows.drop("_key")
 
 
-def slots(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def slots(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     """Adds slot: the row's place in its shard. Sorted inside (shard, bucket) and shifted by what smaller buckets hold."""
+    buckets = buckets or max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "_b", "_base")
     inside = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size")) - 1
     numbered = rows.withColumn("_in", inside)
-    # at most shards x buckets rows, whatever the table's size
+    # at most shards x buckets rows
     return numbered.join(F.broadcast(base), ["shard", "_b"]).withColumn("slot", (F.col("_base") + F.col("_in")).cast("long")).drop("_b", "_base", "_in")

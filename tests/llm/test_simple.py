@@ -268,3 +268,12 @@ def test_small_counts_bytes(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 40_000)
     assert "broadcast" not in common.small(df)._jdf.queryExecution().analyzed().toString()
     assert common.small(df.limit(0)).count() == 0
+
+
+def test_slots_of_any_number_of_windows(spark):
+    rows = shards.assign(odd(spark), [1.0] * 3).select("doc_id", "size", "text_crc32", "shard")
+    for buckets in (None, 1, 5, 1000):
+        got = defaultdict(list)
+        for r in shards.slots(rows, buckets).collect():
+            got[r.shard].append(r.slot)
+        assert sum(map(len, got.values())) == len(odd_rows()) and all(sorted(v) == list(range(len(v))) for v in got.values())
