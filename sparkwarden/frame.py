@@ -29,6 +29,8 @@ from .varied import ByRow, Varied, any_of, chosen, lift, merged, shadow, worst
 #: What the errors of tests in a plan begin with.
 MARK = "forbidden by a policy: "
 NUMBERS = itertools.count()
+#: Logarithm of the entries that a sketch of row ids may have.
+MOST_ENTRIES = 20
 
 ARITHMETIC = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b, "mod": lambda a, b: a % b, "pow": F.pow}
 COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b}
@@ -274,6 +276,15 @@ def sized(value: Column, small: Column, what: str) -> Column:
     return F.when(small, forbidden(what)).otherwise(value)
 
 
+def different(rid: Column, k: int) -> Column:
+    """How many different ids there are, exactly below k, and k at least from there on: no more of them are kept, so that rows which a join repeats
+    aren't sent to be told apart. A theta sketch is exact up to its nominal entries and keeps as many beyond them."""
+    if k <= 2:
+        return F.when(F.min(rid) < F.max(rid), 2).when(F.max(rid).isNotNull(), 1).otherwise(0)
+    lg = max(4, k.bit_length())
+    return F.theta_sketch_estimate(F.theta_sketch_agg(rid, lg)) if lg <= MOST_ENTRIES else F.count_distinct(rid)
+
+
 def too_small(sizes: list[Size]) -> Column:
     """Whether any of the sizes is short of its least. A group without protected cells discloses none."""
     tests = []
@@ -282,7 +293,7 @@ def too_small(sizes: list[Size]) -> Column:
         if rid is None:
             n = F.count(F.lit(1)) if of is None else F.count_if(of)
         else:
-            n = F.count_distinct(rid if of is None else F.when(of, rid))
+            n = different(rid if of is None else F.when(of, rid), k)
         tests.append(n.between(1, k - 1) if counted is None else (F.count_if(any_) > 0) & (n < k))
     return reduce(lambda a, b: a | b, tests)
 
