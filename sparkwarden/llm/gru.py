@@ -47,12 +47,21 @@ ROUNDS, TASKS, WORTH, LAID, PASS_LANES, PASS_RATE = 4, 64, 1 << 21, 1 << 22, 128
 BUFFER, SIDE, SPAN = 1 << 22, 256, 64
 #: Tokens whose softmax over the classes is taken at once.
 BLOCK = 512
+#: Parameters that a step of Adam goes through at once: so many of all its vectors as stay in the cache.
+ADAM_BLOCK = 1 << 14
 #: Rows of words and counts that a task merges and holds, about.
 HELD_WORDS = 600_000
 LN10 = float(np.log(10))
 END = b""
 
 
+def places(order: np.ndarray) -> np.ndarray:
+    """The inverse of a permutation."""
+    out = np.empty_like(order)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def spelling(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
@@ -84,7 +93,7 @@ class Gru:
         x = np.ones((len(tok), h.shape[1] + 1), h.dtype)
         x[:, :-1] = h[order]
         out, *more = self.sorted_outputs(x, tok[order], grad)
-        place = np.argsort(order)
+        place = places(order)
         return (out[place], more[0][place], more[1]) if grad else out[place]
 
     def sorted_outputs(self, x: np.ndarray, tok: np.ndarray, grad: bool = False, careful: bool = False) -> tuple:
@@ -119,14 +128,14 @@ class Gru:
                 y = softmax(C, cls[i:j] * (j - i) + rows[: j - i], i, j, sums[0])
                 if grad:
                     gC += y @ x[i:j]
-                    np.matmul(y.T, C[:, :H], out=dh[i:j])
+                    np.matmul(y.T, p["C"], out=dh[i:j])
             for a, b, i, j in zip(self.first.tolist(), self.first[1:].tolist(), edge.tolist(), edge[1:].tolist()):
                 if i == j or b - a == 1:
                     continue
                 y = softmax(O[a:b], own[i:j], i, j, sums[1])
                 if grad:
                     np.matmul(y, x[i:j], out=gO[a:b])
-                    dh[i:j] += y.T @ O[a:b, :H]
+                    dh[i:j] += y.T @ p["O"][a:b]
         if not careful and n and not (sums.min() > 1e-30 and sums.max() < 1e30):
             return self.sorted_outputs(x, tok, grad, True)
         out -= np.log(sums[0]) + np.log(sums[1])
@@ -178,7 +187,9 @@ class Gru:
         H, width = self.hidden, x.shape[1]
         flat = np.concatenate([v.ravel() for v in self.p.values()])  # all parameters as one vector, which `p` looks into
         parts = lambda v: {k: x.reshape(w.shape) for (k, w), x in zip(self.p.items(), np.split(v, np.cumsum([w.size for w in self.p.values()])[:-1]))}
-        grad, m1, m2, change = (np.zeros_like(flat) for _ in range(4))
+        grad, m1, m2 = (np.zeros_like(flat) for _ in range(3))
+        change = np.empty(ADAM_BLOCK, np.float32)
+        blocks = [tuple(v[i : i + ADAM_BLOCK] for v in (grad, m1, m2, flat)) for i in range(0, len(flat), ADAM_BLOCK)]
         p, into = parts(flat), parts(grad)
         self.p = p
         n, last = 0, epochs * -(-width // steps)
@@ -192,7 +203,7 @@ class Gru:
                 size = int(live.sum())
                 tok = xs.ravel().astype(np.int16)
                 order = np.argsort(tok if size == len(tok) else np.where(live, tok, np.int16(0x7FFF)), kind="stable")  # places beyond a lane's end come last
-                place, order = np.argsort(order), order[:size]
+                place, order = places(order), order[:size]
                 tok = tok[order]
                 col, gates, cand, h = self.states(xs, keep, h[:, :lanes], True)
                 before, z, r, uh = col[:, :H], gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H : 3 * H]
@@ -240,16 +251,19 @@ class Gru:
                 grad *= np.float32(min(1.0, 0.5 / max(norm, 1e-9)) / size)
                 lr = rate * (1 - (1 - least) * n / last) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
                 # Adam with means not divided through: m1 holds ten times the first, m2 a thousand times the second.
-                m1 *= np.float32(0.9)
-                m1 += grad
-                m2 *= np.float32(0.999)
-                np.multiply(grad, grad, out=change)
-                m2 += change
-                np.sqrt(m2, out=change)
-                change += np.float32(1e-8 * 1000**0.5)
-                np.divide(m1, change, out=change)
-                change *= np.float32(lr * 0.1 * 1000**0.5)
-                flat -= change
+                by = np.float32(lr * 0.1 * 1000**0.5)
+                for g, a, b, w in blocks:
+                    a *= np.float32(0.9)
+                    a += g
+                    b *= np.float32(0.999)
+                    c = change[: len(g)]
+                    np.multiply(g, g, out=c)
+                    b += c
+                    np.sqrt(b, out=c)
+                    c += np.float32(1e-8 * 1000**0.5)
+                    np.divide(a, c, out=c)
+                    c *= by
+                    w -= c
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """ln P of each text (tokens of all texts, one after another, and the number of each text's)."""
