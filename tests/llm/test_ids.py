@@ -216,6 +216,18 @@ def test_gradients():
     assert (out.sum() - m.outputs(h2, tok).sum()) / 1e-5 == pytest.approx(dh[3, 2], abs=1e-3)
 
 
+def test_steps_of_adam_by_blocks(monkeypatch):
+    """The weights are the same to the bit however many parameters a step goes through at once."""
+    tok, new, found = np.random.default_rng(0).integers(0, 13, 400).astype(np.int16), np.arange(400) % 50 == 0, []
+    for block in (7, 1 << 14):
+        monkeypatch.setattr(gru, "ADAM_BLOCK", block)
+        m = gru.Gru(np.arange(20, 10, -1.0), np.array([5.0, 4, 3]), hidden=5, embed=4)
+        m.train(tok, new, epochs=2, lanes=4, steps=8)
+        found.append(m.p)
+    assert all((v == found[1][k]).all() for k, v in found[0].items())
+    assert (gru.places(np.array([2, 0, 1])) == [1, 2, 0]).all()
+
+
 def test_probabilities_sum_to_one():
     m = gru.Gru(np.array([50, 20, 10, 5, 5, 4, 3, 3, 2, 1.0]), np.array([5.0, 4, 3]), hidden=5, embed=4)
     h = np.random.default_rng(0).standard_normal((1, 5)).astype(np.float32)
